@@ -5,8 +5,9 @@ from __future__ import annotations
 from . import chat, licenses
 from .chat import op7_chat_snapshots
 from .licenses import op10_license_digests
+from .media import op1_webp
 from .packing import op8_pack
 from .sentence_pieces import op6_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_webp, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
 ORACLES = {"op7_chat_snapshots": chat.ORACLE, "op10_license_digests": licenses.ORACLE}
