@@ -8,6 +8,7 @@ from .licenses import op10_license_digests
 from .media import op1_webp
 from .packing import op8_pack
 from .sentence_pieces import op6_sentencepiece
+from .suffixes import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_webp, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_webp, op3_suffix_dedup, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
 ORACLES = {"op7_chat_snapshots": chat.ORACLE, "op10_license_digests": licenses.ORACLE}
