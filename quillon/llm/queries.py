@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat, licenses
 from .chat import op7_chat_snapshots
+from .forest import op2_forest
 from .languages import op5_languages
 from .licenses import op10_license_digests
 from .media import op1_webp
@@ -11,5 +12,5 @@ from .packing import op8_pack
 from .sentence_pieces import op6_sentencepiece
 from .suffixes import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_webp, op3_suffix_dedup, op5_languages, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_forest, op3_suffix_dedup, op5_languages, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
 ORACLES = {"op7_chat_snapshots": chat.ORACLE, "op10_license_digests": licenses.ORACLE}
