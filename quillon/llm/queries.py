@@ -10,8 +10,9 @@ from .licenses import op10_license_digests
 from .media import op1_webp
 from .near_copies import op4_bagminhash
 from .packing import op8_pack
+from .ppm import op9_ppm
 from .sentence_pieces import op6_sentencepiece
 from .suffixes import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_forest, op3_suffix_dedup, op4_bagminhash, op5_languages, op6_sentencepiece, op7_chat_snapshots, op8_pack, op10_license_digests)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_forest, op3_suffix_dedup, op4_bagminhash, op5_languages, op6_sentencepiece, op7_chat_snapshots, op8_pack, op9_ppm, op10_license_digests)}
 ORACLES = {"op7_chat_snapshots": chat.ORACLE, "op10_license_digests": licenses.ORACLE}
