@@ -19,7 +19,7 @@ from .common import flat, ids_or_null, in_blocks, in_order, mix, n_blocks, shuff
 from .words import in_pieces, tokens, word_hashes
 
 #: Symbols of the longest context; bits of a symbol; symbols: 0 before a text, byte + 1, END behind it. MB of a block.
-ORDER, BITS, END, BLOCK_MB = 5, 9, 257, 6
+ORDER, BITS, END, BLOCK_MB = 6, 9, 257, 8
 SYMBOLS = 257
 END_WORD = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
@@ -166,8 +166,8 @@ class Model:
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """The log probability of each window's last symbol after the others.
 
-        From the longest context that was trained on: count / (n + q), or the escape q / (n + q) and on to the next shorter
-        one without the symbols that the longer ones had; at the end all symbols that never came are alike.
+        From the longest context that was trained on: (2 count - 1) / 2n, or the escape q / 2n and on to the next shorter one
+        without the symbols that the longer ones had; at the end all symbols that never came are alike.
         """
         out = np.zeros(len(keys))
         on = np.arange(len(keys))
@@ -185,9 +185,9 @@ class Model:
             q = self.q[j][node] - q_before[at]
             place = np.minimum(np.searchsorted(self.seen[j], seen), len(self.seen[j]) - 1)
             hit = self.seen[j][place] == seen
-            part = np.where(hit, self.counts[j][place], q).astype(float)
+            part = np.where(hit, 2 * self.counts[j][place] - 1, q).astype(float)
             some = hit | (q > 0)  # where all symbols are excluded, the escape is sure
-            out[at[some]] += np.log10(part[some] / (n + q)[some])
+            out[at[some]] += np.log10(part[some] / (2 * n)[some])
             q_before[at], left[at] = self.q[j][node], self.left[j][node]
             done = np.zeros(len(on), bool)
             done[here] = hit
