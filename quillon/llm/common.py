@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,19 @@ def run_edges(same_as_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(same_as_before)]])
 
 
-def lists(flat_values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat_values, kind))
+def squeezed(a: np.ndarray, size: int | None = None) -> bytes:
+    """The values, of each the lowest `size` bytes, first bytes first: small and slowly growing ones take little room."""
+    wide = a.dtype.itemsize
+    by_byte = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), wide)[:, : size or wide]
+    return zstandard.compress(np.ascontiguousarray(by_byte.T).tobytes(), 1)
+
+
+def loose(b: bytes, kind: type, size: int | None = None) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    by_byte = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size or wide, -1).T
+    out = np.zeros((len(by_byte), wide), np.uint8)
+    out[:, : by_byte.shape[1]] = by_byte
+    return out.view(kind).ravel()
 
 
 def unlisted(column) -> np.ndarray:

@@ -11,11 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, ids_or_null, in_blocks, in_order, mix, n_blocks, shuffle_width, table
+from .common import flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, shuffle_width, squeezed, table
 from .words import in_pieces, tokens, word_hashes
 
 #: Symbols of the longest context; bits of a symbol; symbols: 0 before a text, byte + 1, END behind it. MB of a block.
@@ -59,15 +58,6 @@ def context_dest(keys: np.ndarray, width: int) -> np.ndarray:
     return (mix(keys >> U(BITS) & U((1 << 2 * BITS) - 1)) % U(width)).astype(np.int64)
 
 
-def _squeezed(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
-
-
-def _loose(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _runs(keys: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order and how many of each have the flag."""
     if flag is not None:
@@ -122,7 +112,7 @@ def _send(width: int):
             order = np.argsort(dest, kind="stable")
             to, first = np.unique(dest[order], return_index=True)
             for d, part in zip(to.tolist(), np.split(order, first[1:]), strict=True):
-                out.append((d, at, _squeezed(np.diff(keys[part], prepend=U(0))), _squeezed(counts[part])))
+                out.append((d, at, squeezed(np.diff(keys[part], prepend=U(0))), squeezed(counts[part])))
         dest, at, keys, counts = zip(*out, strict=True)
         return pa.table({"dest": pa.array(dest, pa.int64()), "block": pa.array(at, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -199,8 +189,8 @@ class Model:
 def _answer(width: int, blocks: int, pairs: np.ndarray):
     def run(got: pa.Table) -> pa.Table:
         dest = got["dest"][0].as_py()
-        keys = [np.cumsum(_loose(b, U)) for b in got["keys"].to_pylist()]
-        counts = np.concatenate([_loose(b, np.uint32) for b in got["counts"].to_pylist()])
+        keys = [np.cumsum(loose(b, U)) for b in got["keys"].to_pylist()]
+        counts = np.concatenate([loose(b, np.uint32) for b in got["counts"].to_pylist()])
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, counts, len(every)).astype(np.int64)
         if dest < width:
@@ -211,7 +201,7 @@ def _answer(width: int, blocks: int, pairs: np.ndarray):
             values = total
             n, distinct = int(total.sum()), int((total > 0).sum())
         parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        to, answers = got["block"].to_pylist(), [_squeezed(values[p]) for p in parts]
+        to, answers = got["block"].to_pylist(), [squeezed(values[p]) for p in parts]
         more = blocks if dest >= width else 0  # every block gets every total
         return pa.table({
             "block": pa.array([*to, *range(more)], pa.int64()), "dest": pa.array([dest] * (len(to) + more), pa.int64()),
@@ -235,7 +225,7 @@ def _score(width: int):
         for (keys, _, dest), kind in zip(b.sent(width), (np.float32, np.int64), strict=True):
             v = np.zeros(len(keys), kind)
             for d in np.unique(dest).tolist():
-                v[dest == d] = _loose(by_dest[d], kind)
+                v[dest == d] = loose(by_dest[d], kind)
             values.append((keys, v))
         texts = len(b.sizes)
         keys, v = values[0]

@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, flat, ids_or_null, in_blocks, in_order, list_lengths, lists, mix, n_blocks, run_edges, shuffle_width, table, unlisted
+from .common import RollingHash, flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, run_edges, shuffle_width, squeezed, table
 
 #: Bytes of a repeated string, of the first digit, of a block of documents (MB), and of what is hashed at once.
 DEPTH, GRAM, BLOCK_MB, AT_ONCE = 100, 32, 4, 1_000_000
 FIRST, SECOND = RollingHash(3), RollingHash(4)
 U = np.uint64
 
-MESSAGES = "dest long, block long, h1 array<long>, h2 array<long>, doc_id array<long>, i array<int>, lo array<int>, n array<int>, rel array<int>"
-ANSWERS = "block long, i array<int>, lo array<int>, n array<int>, ask boolean"
+#: Columns of a message or an answer: type, and the bytes of it that are sent. h2 and w stand beside the 8 bytes of h1.
+COLUMNS = {"h1": (np.uint64, 8), "h2": (np.uint64, 6), "w": (np.uint64, 6), "doc_id": (np.int64, 8), "i": (np.int32, 4), "lo": (np.int32, 4), "n": (np.int32, 4), "rel": (np.int32, 4)}
+MESSAGES = "dest long, block long, own boolean, " + ", ".join(f"{c} binary" for c in COLUMNS)
+ANSWERS = "block long, ask boolean, i binary, lo binary, n binary, rel binary"
 
 
 def segments(off: np.ndarray, depth: int):
@@ -100,33 +102,39 @@ def first_of_equals(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _messages(block: int, dest: np.ndarray, width: int, **columns: np.ndarray) -> pa.Table:
-    """A row for each destination, with lists."""
-    order = np.argsort(dest, kind="stable")
-    offsets = np.searchsorted(dest[order], np.arange(width + 1))
-    some = np.flatnonzero(np.diff(offsets))
-    offsets = np.append(offsets[some], len(order)) if len(some) else np.zeros(1, np.int64)
-    kinds = {"i": pa.int32(), "lo": pa.int32(), "n": pa.int32(), "rel": pa.int32()}
-    out = {"dest": pa.array(some, pa.int64()), "block": pa.array(np.full(len(some), block), pa.int64())}
-    return pa.table(out | {k: lists(v[order].astype(np.int64 if k not in kinds else np.int32) if v.dtype != np.uint64 else v[order].view(np.int64), offsets, kinds.get(k, pa.int64())) for k, v in columns.items()})
+def _packed(name: str, parts: list[np.ndarray]) -> pa.Array:
+    kind, size = COLUMNS[name]
+    return pa.array([squeezed(x.astype(kind), size) for x in parts], pa.binary())
 
 
-def _own(block: int, width: int, **columns: np.ndarray) -> pa.Table:
-    """Repeats that the block has found by itself, as a message that is passed on to it: it has no hashes."""
-    n = len(columns["i"])
-    none = np.zeros(0, np.int64)
-    return pa.table({"dest": pa.array([block % width] * bool(n), pa.int64()), "block": pa.array([block] * bool(n), pa.int64())} | {k: lists(none, np.zeros(1 + bool(n), np.int32), pa.int64()) for k in ("h1", "h2", "doc_id")} | {k: lists(columns[k].astype(np.int32), np.array([0, n][: 1 + bool(n)]), pa.int32()) for k in ("i", "lo", "n")} | {"rel": lists(none.astype(np.int32), np.zeros(1 + bool(n), np.int32), pa.int32())})
+def _unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [loose(b, *COLUMNS[name]) if b is not None else np.zeros(0, COLUMNS[name][0]) for b in table[name].to_pylist()]
 
 
-def _sent(block: int, width: int, found: list[tuple[np.ndarray, ...]]) -> pa.Table:
-    """Messages of h1, h2, doc_id, i, lo, n, rel: of equal contexts in the block only the first is sent."""
-    if not found:
-        found = [(np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 5)]
-    h1, h2, doc_id, i, lo, n, rel = (np.concatenate(x) for x in zip(*found, strict=True))
-    first = first_of_equals(h1, h2)
-    dest = (mix(h1[first]) % U(width)).astype(np.int64)
-    sent = _messages(block, dest, width, h1=h1[first], h2=h2[first], doc_id=doc_id[first], i=i[first], lo=lo[first], n=n[first], rel=rel[first])
-    return pa.concat_tables([sent, _own(block, width, i=i[~first], lo=lo[~first], n=n[~first])])
+def _messages(block: int, width: int, found: dict[str, np.ndarray], own: dict[str, np.ndarray]) -> pa.Table:
+    """What a block sends: a row for each destination with its part of found (by h1; w has n values for each), and its own
+    repeats, which come back to it as they are."""
+    dest = (mix(found["h1"]) % U(width)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    to, first = np.unique(dest[order], return_index=True)
+    parts = np.split(order, first[1:]) if len(to) else []
+    some = bool(len(own["i"]))
+    columns = {}
+    for c in COLUMNS:
+        if c == "w" and c in found:
+            ends = np.cumsum(found["n"])
+            at = [np.repeat(ends[p] - found["n"][p], found["n"][p]) + _counted(found["n"][p]) for p in parts]
+            sent = _packed(c, [found["w"][x] for x in at])
+        else:
+            sent = _packed(c, [found[c][p] for p in parts]) if c in found else pa.nulls(len(parts), pa.binary())
+        kept = _packed(c, [own[c]]) if c in own else pa.nulls(1, pa.binary())
+        columns[c] = pa.concat_arrays([sent, kept[: int(some)]])
+    return pa.table({"dest": pa.array([*to.tolist(), *[block % width] * some], pa.int64()), "block": pa.array([block] * (len(to) + some), pa.int64()), "own": pa.array([False] * len(to) + [True] * some, pa.bool_())} | columns)
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _ids(block: pa.Table) -> np.ndarray:
@@ -134,80 +142,96 @@ def _ids(block: pa.Table) -> np.ndarray:
 
 
 def _anchor_pass(depth: int, width: int):
+    names = ("h1", "h2", "doc_id", "i", "lo", "n", "rel")
+
     def run(block: pa.Table) -> pa.Table:
         block = in_order(block)
         buf, off = flat(block["text"])
-        ids, found = _ids(block), []
+        ids, found = _ids(block), [(np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 5)]
         for group in segments(off, depth):
             part, i, s, starts = gathered(buf, off, group)
             h1, h2, of, lo, n, rel = anchors(part, starts, depth)
             found.append((h1, h2, ids[i[of]], i[of], lo + s[of], n, rel))
-        return _sent(block["block"][0].as_py(), width, found)
+        every = dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True))
+        first = first_of_equals(every["h1"], every["h2"])  # copies within the block are one
+        return _messages(block["block"][0].as_py(), width, {c: x[first] for c, x in every.items()}, {c: every[c][~first] for c in ("i", "lo", "n", "rel")})
 
     return run
 
 
 def _window_pass(depth: int, width: int):
+    gram = min(GRAM, depth)
+
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.filter(answers["ask"])
-        found: list = []
+        none = {c: np.zeros(0, np.int64) for c in ("i", "lo", "n", "rel")}
         if not block.num_rows or not answers.num_rows:
-            return _sent(0, width, found)
+            return _messages(0, width, none | {"h1": np.zeros(0, U)}, none)
         block = in_order(block)
         buf, off = flat(block["text"])
-        ids = _ids(block)
-        i, lo, n = (unlisted(answers[k]).astype(np.int64) for k in ("i", "lo", "n"))
-        order = np.lexsort([lo, i])
-        i, lo, n = i[order], lo[order], n[order]
+        asked = {c: np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in none}
+        order = np.lexsort([asked["lo"], asked["i"]])
+        i, lo, n, rel = (asked[c][order] for c in none)
         sizes = np.cumsum(n + depth)
+        h1, w = [], []
         for r in np.split(np.arange(len(i)), np.searchsorted(sizes, np.arange(AT_ONCE, sizes[-1], AT_ONCE))):
             if len(r):
                 parts = list(zip(i[r].tolist(), lo[r].tolist(), (lo[r] + n[r] + depth - 1).tolist(), strict=True))
                 part, _, _, starts = gathered(buf, off, parts)
-                each = n[r]
-                k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                p = np.repeat(starts[:-1], each) + k
-                h1, h2 = (mix(x.spans(x.sums(part), p, p + depth)) for x in (FIRST, SECOND))
-                at = np.repeat(i[r], each)
-                found.append((h1, h2, ids[at], at, np.repeat(lo[r], each) + k, np.ones(len(k), np.int64), np.zeros(len(k), np.int64)))
-        return _sent(block["block"][0].as_py(), width, found)
+                a, p = starts[:-1] + rel[r], np.repeat(starts[:-1], n[r]) + _counted(n[r])
+                h1.append(mix(FIRST.spans(FIRST.sums(part), a, a + gram)))
+                w.append(mix(SECOND.spans(SECOND.sums(part), p, p + depth)))
+        found = {"h1": np.concatenate(h1), "w": np.concatenate(w), "doc_id": _ids(block)[i], "i": i, "lo": lo, "n": n, "rel": rel}
+        return _messages(block["block"][0].as_py(), width, found, none)
 
     return run
 
 
-def _compare(ask_for_edges: bool):
-    """Of the messages to one destination: the windows that an earlier one repeats, and those that have to be looked at."""
+def _compare(windows: bool):
+    """Of the messages to one destination: what an earlier one repeats; in the first pass also which anchors to look at again,
+    because their first digit has several contexts."""
 
     def run(got: pa.Table) -> pa.Table:
-        own = got.filter(pc.equal(list_lengths_array(got["h1"]), 0))
-        got = got.filter(pc.greater(list_lengths_array(got["h1"]), 0))
-        out = [pa.table({"block": own["block"], "i": own["i"], "lo": own["lo"], "n": own["n"], "ask": pa.array([False] * own.num_rows, pa.bool_())})]
+        own = got.filter(got["own"])
+        got = got.filter(pc.invert(got["own"]))
+        out = [pa.table({"block": own["block"], "ask": pa.array([False] * own.num_rows, pa.bool_())} | {c: own[c] for c in ("i", "lo", "n", "rel")})]
         if got.num_rows:
-            block = np.repeat(got["block"].to_numpy(), list_lengths(got["h1"]))
-            h1, h2, doc_id, i, lo, n = (unlisted(got[k]) for k in ("h1", "h2", "doc_id", "i", "lo", "n"))
-            order = np.lexsort([lo, i, doc_id, h2, h1])
-            block, h1, h2, i, lo, n = (x[order] for x in (block, h1, h2, i, lo, n))
+            h1 = _unpacked(got, "h1")
+            block = np.repeat(got["block"].to_numpy(), [len(x) for x in h1])
+            h1 = np.concatenate(h1)
+            doc_id, i, lo, n, rel = (np.concatenate(_unpacked(got, c)) for c in ("doc_id", "i", "lo", "n", "rel"))
+            if windows:  # a row for each window; its place before the anchor is part of the digit
+                k = _counted(n)
+                second = np.concatenate(_unpacked(got, "w")) | (np.repeat(rel, n) - k).astype(U) << U(48)
+                block, h1, doc_id, i, lo = (np.repeat(x, n) for x in (block, h1, doc_id, i, lo))
+                lo, n, rel = lo + k.astype(np.int32), np.ones(len(k), np.int32), np.zeros(len(k), np.int32)
+            else:
+                second = np.concatenate(_unpacked(got, "h2"))
+            order = np.lexsort([lo, i, doc_id, second, h1])
+            block, h1, second, i, lo, n, rel = (x[order] for x in (block, h1, second, i, lo, n, rel))
             later = np.zeros(len(h1), bool)
-            later[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            out.append(_answers(block[later], i[later], lo[later], n[later], False))
-            if ask_for_edges:
+            later[1:] = (h1[1:] == h1[:-1]) & (second[1:] == second[:-1])
+            out.append(_answers(block[later], i[later], lo[later], n[later], rel[later], False))
+            if not windows:
                 first, last = run_edges(h1[1:] == h1[:-1])
-                several = np.repeat(h2[first] != h2[last], last - first + 1) & ~later
-                out.append(_answers(block[several], i[several], lo[several], n[several], True))
+                several = np.repeat(second[first] != second[last], last - first + 1) & ~later
+                out.append(_answers(block[several], i[several], lo[several], n[several], rel[several], True))
         return pa.concat_tables(x.cast(out[0].schema) for x in out)
 
     return run
 
 
-def list_lengths_array(column) -> pa.Array:
-    return pa.array(list_lengths(column))
-
-
-def _answers(block: np.ndarray, i: np.ndarray, lo: np.ndarray, n: np.ndarray, ask: bool) -> pa.Table:
-    order = np.argsort(block, kind="stable")
-    to, first = np.unique(block[order], return_index=True)
-    offsets = np.append(first, len(order))
-    return pa.table({"block": pa.array(to, pa.int64())} | {k: lists(v[order].astype(np.int32), offsets, pa.int32()) for k, v in (("i", i), ("lo", lo), ("n", n))} | {"ask": pa.array([ask] * len(to), pa.bool_())})
+def _answers(block: np.ndarray, i: np.ndarray, lo: np.ndarray, n: np.ndarray, rel: np.ndarray, ask: bool) -> pa.Table:
+    """A row for each block; windows in a row of one document become one entry."""
+    order = np.lexsort([lo, i, block])
+    block, i, lo, n, rel = (x[order] for x in (block, i, lo, n, rel))
+    if not ask and len(block):
+        first, last = run_edges((block[1:] == block[:-1]) & (i[1:] == i[:-1]) & (lo[1:] == lo[:-1] + n[:-1]))
+        block, i, n, lo = block[first], i[first], lo[last] + n[last] - lo[first], lo[first]
+        rel = np.zeros(len(i), np.int32)
+    to, first = np.unique(block, return_index=True)
+    parts = np.split(np.arange(len(block)), first[1:]) if len(to) else []
+    return pa.table({"block": pa.array(to, pa.int64()), "ask": pa.array([ask] * len(to), pa.bool_())} | {c: _packed(c, [v[p] for p in parts]) for c, v in (("i", i), ("lo", lo), ("n", n), ("rel", rel))})
 
 
 def removed_bytes(off: np.ndarray, answers: pa.Table, depth: int) -> np.ndarray:
@@ -215,7 +239,7 @@ def removed_bytes(off: np.ndarray, answers: pa.Table, depth: int) -> np.ndarray:
     marks = np.zeros(int(off[-1]) + 1, np.int32)
     answers = answers.filter(pc.invert(answers["ask"]))
     if answers.num_rows:
-        i, lo, n = (unlisted(answers[k]).astype(np.int64) for k in ("i", "lo", "n"))
+        i, lo, n = (np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in ("i", "lo", "n"))
         np.add.at(marks, off[i] + lo, 1)
         np.add.at(marks, off[i] + lo + n - 1 + depth, -1)
     return np.cumsum(marks[:-1]) > 0
@@ -251,9 +275,9 @@ def _repeats(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """The documents in blocks, and the answers to the blocks: what is repeated in each."""
     width = shuffle_width(docs.sparkSession)
     found = docs.groupBy("block").applyInArrow(_anchor_pass(depth, width), MESSAGES)
-    first = found.groupBy("dest").applyInArrow(_compare(True), ANSWERS)
+    first = found.groupBy("dest").applyInArrow(_compare(False), ANSWERS)
     edges = docs.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_window_pass(depth, width), MESSAGES)
-    second = edges.groupBy("dest").applyInArrow(_compare(False), ANSWERS)
+    second = edges.groupBy("dest").applyInArrow(_compare(True), ANSWERS)
     return first, second
 
 
