@@ -18,7 +18,7 @@ from .common import flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks
 from .words import in_pieces, tokens, word_hashes
 
 #: Symbols of the longest context; bits of a symbol; symbols: 0 before a text, byte + 1, END behind it. MB of a block.
-ORDER, BITS, END, BLOCK_MB = 6, 9, 257, 8
+ORDER, BITS, END, BLOCK_MB = 6, 9, 257, 5
 SYMBOLS = 257
 END_WORD = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
@@ -58,27 +58,36 @@ def context_dest(keys: np.ndarray, width: int) -> np.ndarray:
     return (mix(keys >> U(BITS) & U((1 << 2 * BITS) - 1)) % U(width)).astype(np.int64)
 
 
-def _runs(keys: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order and how many of each have the flag."""
-    if flag is not None:
-        every, some = _runs(keys)[0], _runs(keys[flag])
-        counts = np.zeros(len(every), np.uint32)
-        counts[np.searchsorted(every, some[0])] = some[1]
-        return every, counts
-    keys = np.sort(keys)
+def _runs(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (of 63 bits) in order and how many of each have the flag."""
+    keys = keys << U(1) | flag
+    keys.sort()
+    flag, keys = (keys & U(1)).astype(np.uint8), keys >> U(1)
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
+    return keys[at], (np.add.reduceat(flag, at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32))
 
 
-def places(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key is among the distinct ones (all are): by a table of hashes, and by bisection where two share a slot."""
-    shift = U(64 - max(4, len(distinct).bit_length() + 2))
-    slots = np.zeros(1 << int(64 - shift), np.int32)
-    slots[(distinct * U(0x9E3779B97F4A7C15)) >> shift] = np.arange(len(distinct))
-    out = slots[(keys * U(0x9E3779B97F4A7C15)) >> shift]
-    other = np.flatnonzero(distinct[out] != keys)
-    out[other] = np.searchsorted(distinct, keys[other])
-    return out
+class Places:
+    """Where keys are among the distinct ones (all are): by a table of hashes, and by bisection where two share a slot."""
+
+    def __init__(self, distinct: np.ndarray):
+        self.distinct, self.shift = distinct, U(64 - max(4, len(distinct).bit_length() + 2))
+        self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.slots[self._slot(distinct)] = np.arange(len(distinct))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15)) >> self.shift
+
+    def values(self, keys: np.ndarray, of: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+        """of[place] of each key."""
+        out = np.empty(len(keys), of.dtype)
+        for s in range(0, len(keys), at_once):
+            k = keys[s : s + at_once]
+            at = self.slots[self._slot(k)]
+            other = np.flatnonzero(self.distinct[at] != k)
+            at[other] = np.searchsorted(self.distinct, k[other])
+            out[s : s + at_once] = of[at]
+        return out
 
 
 class Block:
@@ -93,7 +102,7 @@ class Block:
         self.sizes = np.diff(off) + 1
         self.windows = windows(s)
         first, last, of = tokens(buf, off)
-        self.words = np.concatenate([word_hashes(buf, first, last), np.full(len(self.sizes), END_WORD)])
+        self.words = np.concatenate([word_hashes(buf, first, last) >> U(1), np.full(len(self.sizes), END_WORD)])
         self.word_of = np.concatenate([of, np.arange(len(self.sizes))])
 
     def sent(self, width: int):
@@ -229,9 +238,9 @@ def _score(width: int):
             values.append((keys, v))
         texts = len(b.sizes)
         keys, v = values[0]
-        score = np.add.reduceat(v[places(keys, b.windows)].astype(np.float64), np.cumsum(b.sizes) - b.sizes)
+        score = np.add.reduceat(Places(keys).values(b.windows, v), np.cumsum(b.sizes) - b.sizes, dtype=np.float64)
         keys, v = values[1]
-        c = v[places(keys, b.words)]
+        c = Places(keys).values(b.words, v)
         n = np.bincount(b.word_of, minlength=texts)
         base = np.bincount(b.word_of, np.log10(c + 1.0), texts) - n * np.log10(trained + distinct + 1.0)
         columns = [ids_or_null(b.rows["doc_id"].to_numpy()), b.rows["held_out"].combine_chunks(), n, np.bincount(b.word_of, c > 0, texts).astype(np.int64), np.full(texts, trained), base, score]
