@@ -12,12 +12,24 @@ from ..functions.num import half_up, score
 SLOTS = ("top", "bottom", "shoes", "jacket", "bag", "cap", "watch", "accessory")
 
 
+#: Different texts of colours that every task may hold.
+MOST_TEXTS = 100_000
+
+
+def _named(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
+    """text, c and b: colour and brightness of each different text, worked out once for each. Up to MOST_TEXTS are sent to all
+    tasks; more are joined by text."""
+    texts = outfits.select(F.explode(F.array(*slots)).alias("text")).where("text IS NOT NULL").distinct()
+    small = texts.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS
+    names = texts.withColumn("c", C.normalize(F.col("text"))).withColumn("b", C.brightness(F.col("text"), F.col("c")))
+    return F.broadcast(names) if small else names
+
+
 def with_colors(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
-    """For each slot its colour and brightness (null where nothing is worn), once a row."""
-    for s in slots:
-        outfits = outfits.withColumn(f"{s}_c", F.when(F.col(s).isNotNull(), C.normalize(F.col(s))))
+    """For each slot its colour and brightness (null where nothing is worn), colors (those that are known) and groups."""
+    names = _named(outfits, slots)
     for s in slots:
-        outfits = outfits.withColumn(f"{s}_b", F.when(F.col(s).isNotNull(), C.brightness(F.col(s), F.col(f"{s}_c"))))
+        outfits = outfits.join(names.select(F.col("text").alias(s), F.col("c").alias(f"{s}_c"), F.col("b").alias(f"{s}_b")), s, "left")
     known = F.filter(F.array(*[F.col(f"{s}_c") for s in slots]), lambda x: x.isNotNull() & (x != C.UNKNOWN))
     return outfits.withColumn("colors", known).withColumn("groups", F.array_compact(F.array(*[F.col(f"{s}_b") for s in slots])))
 
