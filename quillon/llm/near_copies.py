@@ -39,7 +39,8 @@ def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, si
     """BagMinHash: the first point of all processes of a text in each of `size` places; infinite without shingles.
 
     A process gives its points in ascending order, each in a random place and at a random level, and ends when its next
-    point is past the largest value of its text's signature.
+    point is past the largest value of its text's signature. A text's values are the same to the last bit whatever other
+    texts are signed with it.
     """
     out = np.full((texts, size), np.inf)
     flat_out = out.ravel()
@@ -48,7 +49,9 @@ def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, si
     while len(of):
         many = int(np.clip(40_000 // len(of), 1, 64))
         key = seed[:, None] + (np.arange(step, step + many, dtype=np.uint64) * _STEP)[None, :]
-        points = np.cumsum(-np.log(_uniform(key)) / rate[:, None], axis=1) + x[:, None]
+        points = -np.log(_uniform(key)) / rate[:, None]
+        points[:, 0] += x  # the sum goes strictly from point to point, so its last bits don't depend on how many come at once
+        points = np.cumsum(points, axis=1)
         place = (mix(key ^ _SLOT) % U(size)).astype(np.int64)
         counts = points < largest[of][:, None]
         if (share < 1).any():

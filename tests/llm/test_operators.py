@@ -222,6 +222,18 @@ def test_bagminhash_is_unbiased():
     assert abs((s[0] == s[1]).mean() - true) < 0.025 and np.isinf(s[2]).all()
 
 
+@pytest.mark.parametrize("n", [20, 50, 300])
+def test_signatures_do_not_depend_on_other_texts(n):
+    rng = np.random.default_rng(n)
+    texts = 4000 // n
+    h, w = rng.integers(0, 2**63, n * texts).astype(np.uint64), rng.integers(1, 4, n * texts)
+    together = near_copies.signatures(np.repeat(np.arange(texts), n), h, w, texts, 216)
+    for i in range(0, texts, 7):
+        of = slice(i * n, i * n + n)
+        alone = near_copies.signatures(np.zeros(n, np.int64), h[of], w[of], 1, 216)
+        assert (alone[0].view(np.uint64) == together[i].view(np.uint64)).all()
+
+
 # 5
 
 
