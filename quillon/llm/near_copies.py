@@ -15,8 +15,9 @@ from .words import U, in_pieces, shingles
 #: Words of a shingle, least similarity, bands and values of a band. A pair at the least similarity meets in no band with
 #: probability (1 - 0.8 ** 6) ** 36 = 0.00002.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 36, 6
-#: Different texts of a bucket up to which all pairs of different classes are compared.
-ALL_PAIRS = 32
+#: Different texts of a bucket up to which all pairs of different classes are compared; in larger ones only those that share
+#: a rare shingle can be alike. Cells of the histogram that says which are rare, and texts of a shingle that are joined at once.
+ALL_PAIRS, CELLS, AT_ONCE = 32, 1 << 18, 1000
 _STEP, _SLOT, _LEVEL = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
 
 
@@ -149,7 +150,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     text is empty. An empty table gives no row; other columns are ignored.
     Equal texts count as one from the start. In each bucket of a band every text is compared with one of them; where a bucket
     still has several classes, all pairs of different classes in it are compared up to ALL_PAIRS texts, and beyond that every
-    text with one that each band draws anew, so that the pairs grow with the texts, not with their square.
+    text with one that each band draws anew. Where larger buckets have several classes after that, all their pairs of
+    different classes are compared that can reach LEAST by their rarest shingles (see _by_rare_shingles), so that no pair that
+    meets in a bucket is missed.
     """
     rows = written(signed(docs))
     texts = rows.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("t")).select("digest", "t.*")
@@ -166,15 +169,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     labels = components(links)
     more = written(verified(_across(met, labels).join(star, ["a", "b"], "left_anti"), their))
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+    members = written(_in_large(met, labels))
+    if not members.isEmpty():
+        more = written(verified(_by_rare_shingles(members, their).join(star, ["a", "b"], "left_anti"), their))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     named = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "n", F.coalesce("label", "digest").alias("label"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
+def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    return met.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+
+
 def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b (a before b): pairs of texts of different classes in one bucket, of like numbers of shingles."""
-    now = met.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    """a, b (a before b): pairs of texts of different classes in one bucket, of like numbers of shingles; in buckets of more
+    than ALL_PAIRS texts only those with the drawn one."""
+    now = _labelled(met, labels)
     drawn = F.min_by(F.struct("digest", "n", "label"), F.xxhash64("digest", "band")).alias("drawn")
     mixed = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn).where("low != high")
     rows = now.join(mixed.select("band", "h", "drawn"), ["band", "h"])
@@ -186,6 +200,71 @@ def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.unionByName(large.select(F.least("digest", "drawn.digest").alias("a"), F.greatest("digest", "drawn.digest").alias("b"))).distinct()
 
 
+def _in_large(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """digest, label: the texts of buckets of more than ALL_PAIRS texts and of several classes."""
+    now = _labelled(met.where(F.col("texts") > ALL_PAIRS), labels)
+    mixed = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    return now.join(mixed, ["band", "h"], "left_semi").select("digest", "label").distinct()
+
+
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text and key of every occurrence of a shingle: the k-th of equal ones has a key of its own, so that the overlap of
+    two texts' multisets is that of two sets of keys."""
+    of, h, weight = shingles(texts, SHINGLE)
+    k = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(of, weight), mix(np.repeat(h, weight) + k.astype(U) * _SLOT)
+
+
+def _cells(batches):
+    cells = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for piece in in_pieces(batch):
+            cells += np.bincount((occurrences(piece["text"])[1] % U(CELLS)).astype(np.int64), minlength=CELLS)
+    some = np.flatnonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "k"])
+
+
+def _rarest(cells: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for piece in in_pieces(batch):
+                of, key = occurrences(piece["text"])
+                order = np.lexsort([key, cells[(key % U(CELLS)).astype(np.int64)], of])
+                of, key = of[order], key[order]
+                n = np.bincount(of, minlength=piece.num_rows)
+                rest = np.repeat(np.cumsum(n), n) - np.arange(len(of))  # keys from this one on
+                first = rest >= LEAST * n[of] - 1e-6
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=piece.num_rows))])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[first].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece["digest"], pa.array(n, pa.int64()), keys], ["digest", "n", "keys"])
+
+    return run
+
+
+def _by_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b (a before b): all pairs of members (digest, label) of different labels whose similarity can be LEAST or more.
+
+    The keys of every text are put in one order, rare ones first (by a histogram of CELLS cells of all texts; the pairs found
+    don't depend on it). The first key that two texts share leaves at most the rest of each to share, so pairs are taken only
+    at keys where that rest is enough. A key that many texts have is joined in parts of about AT_ONCE texts against all.
+    """
+    cells = np.zeros(CELLS, np.int64)
+    counted = texts.select("text").mapInArrow(_cells, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    cells[counted["cell"].to_numpy()] = counted["k"].to_numpy()  # CELLS of them at most
+    rarest = texts.mapInArrow(_rarest(cells), "digest string, n long, keys array<long>")
+    keys = written(rarest.join(members, "digest")).select("digest", "label", "n", F.posexplode("keys").alias("at", "key"))
+    keys = keys.select("digest", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "key")
+    shared = keys.groupBy("key").agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "parts")
+    both = written(keys.join(shared, "key"))
+    name = lambda df, x: df.select("key", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "rest")])
+    x = name(both.where((1 + LEAST) * F.col("rest") >= 2 * LEAST * F.col("n") - 1e-6).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "x")
+    y = name(both.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "y")
+    larger = F.struct("n_x", "digest_x") < F.struct("n_y", "digest_y")
+    enough = (1 + LEAST) * F.least("rest_x", "rest_y") >= LEAST * (F.col("n_x") + F.col("n_y")) - 1e-6
+    met = x.join(y, ["key", "part"]).where(larger & (F.col("label_x") != F.col("label_y")) & enough)
+    return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near_classes: that of its smallest doc_id, and of rows with the same doc_id that
     of the smallest text. Of classes that have no doc_id at all one row stays in all."""

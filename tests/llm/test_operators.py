@@ -12,6 +12,7 @@ import public_tokenizers as tok
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import chat, forest, languages, licenses, media, near_copies, packing, ppm, sentence_pieces, suffixes, webp
 
@@ -213,6 +214,42 @@ def test_near_copies(spark, odd, none, sf_dir):
     assert one.columns == odd.columns and sum(r["text"] == LONG for r in one.collect()) <= 1
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Texts of 256 shingles that share large buckets through their template. Five places changed in each leave two of them
+    at most 0.79 alike (four places in common); the two of each template with two changes are 236 / 276 alike to one
+    another, but to no other one, and share only the template's shingles."""
+    rng, data, want = np.random.default_rng(7), [], []
+    for f in range(3):
+        places = [*{tuple(sorted(rng.choice(range(30, 247, 6), 5, replace=False))) for _ in range(500)}, (6, 12), (18, 24)]
+        for i, changed in enumerate(places):
+            text = [f"w{f}-{p}" for p in range(260)]
+            for p in changed:
+                text[p] = f"x{i}-{p}"
+            data.append((1000 * f + i, " ".join(text)))
+            want.append((1000 * f + i, 1000 * f + min(i, len(places) - 2)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert sorted((r[0], r[1]) for r in rows(near_copies.near_classes(df))) == want
+
+
+@pytest.mark.parametrize("at_once", [1000, 7])
+def test_rare_shingles_miss_no_pair(spark, monkeypatch, at_once):
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(90):
+        text = [f"w{i}" for i in range(60)]
+        for p in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            text[p] = str(rng.choice(["x", "y", f"z{i}"]))
+        texts.append(" ".join(text[int(rng.integers(0, 6)) :]) + " again and" * int(rng.integers(1, 9)))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "digest string, text string")
+    members = df.select("digest", F.col("digest").alias("label"))
+    got = {tuple(r)[:2] for r in near_copies.verified(near_copies._by_rare_shingles(members, df), df).collect()}
+    grams = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    want = {(f"{i:03}", f"{j:03}") for j in range(len(texts)) for i in range(j) if sum((grams[i] & grams[j]).values()) >= 0.8 * sum((grams[i] | grams[j]).values())}
+    assert got == want and want
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(4)
     h, w = np.concatenate([np.arange(300), np.arange(60, 360)]).astype(np.uint64), rng.integers(1, 12, 600)
