@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -23,18 +24,26 @@ FIT_STEPS = 400
 _encoders: dict[tuple, object] = {}
 
 
-def byte_level_encoder(ranks_file: str, pattern: str):
-    """The ids of a text by the byte-level vocabulary in ranks_file, as an array of 32-bit integers."""
-    if (ranks_file, pattern) not in _encoders:
+def special_tokens(vocabulary_file: str) -> dict[str, int]:
+    """The added tokens of a vocabulary of `tokenizers` and their ids: such strings are one token wherever they stand in a text."""
+    with open(vocabulary_file, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def byte_level_encoder(ranks_file: str, pattern: str, special: dict[str, int] | None = None):
+    """The ids of a text by the byte-level vocabulary in ranks_file and the special tokens, as an array of 32-bit integers."""
+    special = special or {}
+    key = ranks_file, pattern, tuple(sorted(special.items()))
+    if key not in _encoders:
         import base64
 
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[ranks_file, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    encoding = _encoders[ranks_file, pattern]
-    return lambda text: np.frombuffer(encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), np.uint32)
+        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    encoding = _encoders[key]
+    return lambda text: np.frombuffer(encoding.encode_to_numpy(text, allowed_special=set(special), disallowed_special=()), np.uint32)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,13 +52,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, ranks_file: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, ranks_file: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part: the pieces of every row's whole text with end_id behind it."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode = byte_level_encoder(ranks_file, pattern)
+        encode = byte_level_encoder(ranks_file, pattern, special)
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows = []
@@ -207,17 +216,17 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*keep, "rank").mapInArrow(run, schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_file: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_file: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece of every document.
 
     A missing or empty text is one piece, its end id. Repeated rows are documents of their own; an empty table gives no
-    row; other columns are ignored. The texts are read once: their pieces are a table in the shared folder, from which the
+    row; other columns are ignored. Strings in special are one token; without it they are ordinary text. The texts are read once: their pieces are a table in the shared folder, from which the
     histogram, the ranks and the result come.
     """
-    return pack(written(pieces(docs, ranks_file, pattern, capacity, end_id)), capacity)
+    return pack(written(pieces(docs, ranks_file, pattern, capacity, end_id, special)), capacity)
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as p
 
-    return pack_documents(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    return pack_documents(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, special=special_tokens(p.path("byte_bpe_50k.json")))

@@ -369,6 +369,22 @@ def test_packing(odd, none):
     assert rows(packing.pack_documents(none, *args)) == []
 
 
+def test_packing_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 2, "x<|endoftext|>y  <|endoftext|>\n", "<|<|endoftext|>|>", "<|endoftext|", "no " * 2000 + "<|endoftext|>", ""]
+    want = []
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want += [(i, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (packing.op8_pack(spark, str(tmp_path)), corpus_pipeline.pack(spark, df, "")):
+        assert sorted(tuple(r)[:5] for r in got.collect()) == want
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=300))
 def test_plan_places_all(lengths):
