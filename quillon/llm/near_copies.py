@@ -154,6 +154,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     different classes are compared that can reach LEAST by their rarest shingles (see _by_rare_shingles), so that no pair that
     meets in a bucket is missed.
     """
+    named = _named(docs)
+    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return named.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n, label (of the class, the same for all rows in it) of every row: what near_classes counts."""
     rows = written(signed(docs))
     texts = rows.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("t")).select("digest", "t.*")
     banded = texts.where("n > 0").select("digest", "n", F.posexplode("bands").alias("band", "h"))
@@ -176,9 +183,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         more = written(verified(_by_rare_shingles(members, their).join(star, ["a", "b"], "left_anti"), their))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    named = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "n", F.coalesce("label", "digest").alias("label"))
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"))
+    return rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", "n", F.coalesce("label", "digest").alias("label"))
 
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,12 +271,15 @@ def _by_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near_classes: that of its smallest doc_id, and of rows with the same doc_id that
-    of the smallest text. Of classes that have no doc_id at all one row stays in all."""
-    kept = near_classes(docs.select("doc_id", "text")).where("doc_id = class_id OR class_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumns({"first of its doc_id": first}).where("`first of its doc_id` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each class of near_classes: that of its smallest doc_id, and of rows with the same doc_id that of
+    the smallest text. A class that has no doc_id at all keeps its smallest text. Rows of one doc_id in different classes stay."""
+    named = _named(docs.select("doc_id", "text"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    first = named.join(least, "label").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    first = first.select(F.col("doc_id").alias("kept id"), F.col("digest").alias("kept digest"), F.col("label").alias("kept class")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("`kept id`")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("`kept digest`"))
+    place = F.row_number().over(W.partitionBy("`kept class`").orderBy("text"))
+    return docs.join(first, same).withColumns({"place in its class": place}).where("`place in its class` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,17 @@
 
 import corpus_pipeline
 
+DOCS = "doc_id long, text string, label int"
+
+
+def test_near_dedup_keeps_one_of_each_class(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcde")
+    data = [(None, a), (None, a), (None, b), (None, c + " near"), (9, c), (5, d), (5, e), (5, e + " near"), (6, d), (None, d), (None, None), (None, ""), (3, "x")]
+    df = spark.createDataFrame([(*r, 1) for r in data], DOCS).repartition(3)
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert got.columns == df.columns and kept == sorted([(0, a), (0, b), (9, c), (5, d), (5, e), (0, ""), (3, "x")])
+
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
