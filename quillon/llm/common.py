@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where the session names none."""
+    """The folder of spark.checkpoint.dir. A session on this machine alone that names none gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -47,9 +49,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Destinations of messages at most: a block sends a row to each.
+MOST_DESTINATIONS = 4096
+
+
+def destinations(spark: SparkSession, blocks: int, blocks_each: float) -> int:
+    """How many destinations the messages of so many blocks need if each can take those of blocks_each; at least
+    spark.sql.shuffle.partitions, so that all cores have some."""
+    return min(max(shuffle_width(spark), math.ceil(blocks / blocks_each)), max(MOST_DESTINATIONS, shuffle_width(spark)))
+
+
 def in_blocks(docs: DataFrame, blocks: int, *more) -> DataFrame:
-    """doc_id, text, more and their block; all rows of one doc_id are in one block."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(blocks)).cast("long"))
+    """doc_id, text, more and their block. A row's block depends on doc_id and text, so that rows without doc_id, or with the
+    same one, are spread; equal rows are in one block."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(blocks)).cast("long"))
 
 
 def in_order(block: pa.Table) -> pa.Table:

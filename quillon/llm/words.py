@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import RollingHash, flat, mix
+from .common import flat, mix
 
-WORDS = RollingHash(11)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 U = np.uint64
@@ -28,7 +27,21 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mix(WORDS.spans(WORDS.sums(buf), first, last) + (last - first).astype(U))
+    """A hash of each word's bytes: its groups of eight bytes, each mixed with its place in the word, are added up.
+
+    Mixing isn't linear in the bytes, so words that a polynomial can't tell apart (such as long Thue-Morse words) differ here.
+    """
+    if not len(first):
+        return np.zeros(0, U)
+    size = last - first
+    groups = (size + 7) // 8
+    begin = np.cumsum(groups) - groups
+    place = np.arange(int(groups.sum())) - np.repeat(begin, groups)
+    eight = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))  # at every byte
+    left = np.repeat(size, groups) - 8 * place
+    value = eight[np.repeat(first, groups) + 8 * place] & (~U(0) >> (U(8) * (8 - np.minimum(left, 8)).astype(U)))
+    mixed = mix(mix(value + U(0x2545F4914F6CDD1D)) + mix(place.astype(U) + U(11)))
+    return mix(np.add.reduceat(mixed, begin) + size.astype(U))
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
