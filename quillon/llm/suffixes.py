@@ -9,6 +9,10 @@ leftmost of equals. Equal windows choose the same place, so nothing that is repe
 2. Second digit: all bytes of the windows that chose the place. In a group of one such context the first anchor stays
    and the windows of the others are repeats. (Copies end here.)
 3. Only where a first digit has several contexts (at the edges of repeated passages): the whole window is the digit.
+
+A first digit that has several contexts within one block needs no comparison to know that: the block sends two of its anchors
+as witnesses for the other blocks and takes all of them to step 3, where each window goes its own way. So a line or a passage
+that a third of all documents share is two entries a block in step 2, and is spread over all destinations in step 3.
 """
 
 from __future__ import annotations
@@ -22,16 +26,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, run_edges, shuffle_width, squeezed, table
+from .common import RollingHash, destinations, flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, run_edges, squeezed, table
 
-#: Bytes of a repeated string, of the first digit, of a block of documents (MB), and of what is hashed at once.
-DEPTH, GRAM, BLOCK_MB, AT_ONCE = 100, 32, 4, 1_000_000
+#: Bytes of a repeated string, of the first digit, of a block of documents (MB), and of what is hashed at once; blocks whose
+#: messages one destination takes.
+DEPTH, GRAM, BLOCK_MB, AT_ONCE, BLOCKS_EACH = 100, 32, 4, 1_000_000, 4
 FIRST, SECOND = RollingHash(3), RollingHash(4)
 U = np.uint64
 
-#: Columns of a message or an answer: type, and the bytes of it that are sent. h2 and w stand beside the 8 bytes of h1.
-COLUMNS = {"h1": (np.uint64, 8), "h2": (np.uint64, 6), "w": (np.uint64, 6), "doc_id": (np.int64, 8), "i": (np.int32, 4), "lo": (np.int32, 4), "n": (np.int32, 4), "rel": (np.int32, 4)}
-MESSAGES = "dest long, block long, own boolean, " + ", ".join(f"{c} binary" for c in COLUMNS)
+#: Columns of a message or an answer: type, and the bytes of it that are sent. h2 stands beside the 8 bytes of h1: the context
+#: of an anchor, or the second hash of a window.
+COLUMNS = {"h1": (np.uint64, 8), "h2": (np.uint64, 6), "doc_id": (np.int64, 8), "i": (np.int32, 4), "lo": (np.int32, 4), "n": (np.int32, 4), "rel": (np.int32, 4)}
+MESSAGES = "dest long, block long, own boolean, ask boolean, " + ", ".join(f"{c} binary" for c in COLUMNS)
+BACK = ("i", "lo", "n", "rel")
+LOW_48 = U((1 << 48) - 1)
 ANSWERS = "block long, ask boolean, i binary, lo binary, n binary, rel binary"
 
 
@@ -111,25 +119,22 @@ def _unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
     return [loose(b, *COLUMNS[name]) if b is not None else np.zeros(0, COLUMNS[name][0]) for b in table[name].to_pylist()]
 
 
-def _messages(block: int, width: int, found: dict[str, np.ndarray], own: dict[str, np.ndarray]) -> pa.Table:
-    """What a block sends: a row for each destination with its part of found (by h1; w has n values for each), and its own
-    repeats, which come back to it as they are."""
+def _messages(block: int, width: int, found: dict[str, np.ndarray], own: dict[str, np.ndarray], asks: dict[str, np.ndarray]) -> pa.Table:
+    """What a block sends: a row for each destination with its part of found (by h1), and rows that come back to it as they
+    are: its own repeats, and the anchors that it has to look at again."""
     dest = (mix(found["h1"]) % U(width)).astype(np.int64)
-    order = np.argsort(dest, kind="stable")
+    order = np.lexsort([found["lo"], found["i"], dest])
     to, first = np.unique(dest[order], return_index=True)
     parts = np.split(order, first[1:]) if len(to) else []
-    some = bool(len(own["i"]))
+    back = [(x, ask) for x, ask in ((own, False), (asks, True)) if len(x["i"])]
     columns = {}
     for c in COLUMNS:
-        if c == "w" and c in found:
-            ends = np.cumsum(found["n"])
-            at = [np.repeat(ends[p] - found["n"][p], found["n"][p]) + _counted(found["n"][p]) for p in parts]
-            sent = _packed(c, [found["w"][x] for x in at])
-        else:
-            sent = _packed(c, [found[c][p] for p in parts]) if c in found else pa.nulls(len(parts), pa.binary())
-        kept = _packed(c, [own[c]]) if c in own else pa.nulls(1, pa.binary())
-        columns[c] = pa.concat_arrays([sent, kept[: int(some)]])
-    return pa.table({"dest": pa.array([*to.tolist(), *[block % width] * some], pa.int64()), "block": pa.array([block] * (len(to) + some), pa.int64()), "own": pa.array([False] * len(to) + [True] * some, pa.bool_())} | columns)
+        sent = _packed(c, [found[c][p] for p in parts]) if c in found else pa.nulls(len(parts), pa.binary())
+        columns[c] = pa.concat_arrays([sent, *[_packed(c, [x[c]]) if c in x else pa.nulls(1, pa.binary()) for x, _ in back]])
+    return pa.table({
+        "dest": pa.array([*to.tolist(), *[block % width] * len(back)], pa.int64()), "block": pa.array([block] * (len(to) + len(back)), pa.int64()),
+        "own": pa.array([False] * len(to) + [True] * len(back), pa.bool_()), "ask": pa.array([False] * len(to) + [ask for _, ask in back], pa.bool_()),
+    } | columns)
 
 
 def _counted(n: np.ndarray) -> np.ndarray:
@@ -154,35 +159,52 @@ def _anchor_pass(depth: int, width: int):
             found.append((h1, h2, ids[i[of]], i[of], lo + s[of], n, rel))
         every = dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True))
         first = first_of_equals(every["h1"], every["h2"])  # copies within the block are one
-        return _messages(block["block"][0].as_py(), width, {c: x[first] for c, x in every.items()}, {c: every[c][~first] for c in ("i", "lo", "n", "rel")})
+        own = {c: every[c][~first] for c in BACK}
+        every = {c: x[first] for c, x in every.items()}
+        several, witness = _several_contexts(every["h1"], every["h2"])
+        return _messages(block["block"][0].as_py(), width, {c: x[~several | witness] for c, x in every.items()}, own, {c: every[c][several] for c in BACK})
 
     return run
 
 
+def _several_contexts(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors (of different contexts) share their first digit with another one, and of each such digit the first and
+    the last context."""
+    order = np.lexsort([h2, h1])
+    first, last = run_edges(h1[order][1:] == h1[order][:-1]) if len(h1) else (np.zeros(0, int), np.zeros(0, int))
+    several, witness = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
+    several[order] = np.repeat(last > first, last - first + 1)
+    witness[order[np.concatenate([first, last])]] = True
+    return several, witness & several
+
+
 def _window_pass(depth: int, width: int):
-    gram = min(GRAM, depth)
+    names = ("h1", "h2", "doc_id", "i", "lo")
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.filter(answers["ask"])
-        none = {c: np.zeros(0, np.int64) for c in ("i", "lo", "n", "rel")}
+        none = {c: np.zeros(0, np.int64) for c in BACK}
         if not block.num_rows or not answers.num_rows:
-            return _messages(0, width, none | {"h1": np.zeros(0, U)}, none)
+            return _messages(0, width, none | {"h1": np.zeros(0, U)}, none, none)
         block = in_order(block)
         buf, off = flat(block["text"])
-        asked = {c: np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in none}
-        order = np.lexsort([asked["lo"], asked["i"]])
-        i, lo, n, rel = (asked[c][order] for c in none)
-        sizes = np.cumsum(n + depth)
-        h1, w = [], []
+        i, lo, n = (np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in ("i", "lo", "n"))
+        order = np.lexsort([lo, i])
+        i, lo, n = i[order], lo[order], n[order]
+        once = np.concatenate([[True], (i[1:] != i[:-1]) | (lo[1:] != lo[:-1])])  # a witness can be asked for twice
+        i, lo, n = i[once], lo[once], n[once]
+        ids, sizes, found = _ids(block), np.cumsum(n + depth), []
         for r in np.split(np.arange(len(i)), np.searchsorted(sizes, np.arange(AT_ONCE, sizes[-1], AT_ONCE))):
             if len(r):
                 parts = list(zip(i[r].tolist(), lo[r].tolist(), (lo[r] + n[r] + depth - 1).tolist(), strict=True))
                 part, _, _, starts = gathered(buf, off, parts)
-                a, p = starts[:-1] + rel[r], np.repeat(starts[:-1], n[r]) + _counted(n[r])
-                h1.append(mix(FIRST.spans(FIRST.sums(part), a, a + gram)))
-                w.append(mix(SECOND.spans(SECOND.sums(part), p, p + depth)))
-        found = {"h1": np.concatenate(h1), "w": np.concatenate(w), "doc_id": _ids(block)[i], "i": i, "lo": lo, "n": n, "rel": rel}
-        return _messages(block["block"][0].as_py(), width, found, none)
+                k = _counted(n[r])
+                p, of = np.repeat(starts[:-1], n[r]) + k, np.repeat(i[r], n[r])
+                found.append((mix(FIRST.spans(FIRST.sums(part), p, p + depth)), mix(SECOND.spans(SECOND.sums(part), p, p + depth)) & LOW_48, ids[of], of, np.repeat(lo[r], n[r]) + k))
+        every = dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True))
+        first = first_of_equals(every["h1"], every["h2"])
+        own = {c: every[c][~first] for c in ("i", "lo")} | {"n": np.ones((~first).sum(), np.int64), "rel": np.zeros((~first).sum(), np.int64)}
+        return _messages(block["block"][0].as_py(), width, {c: x[first] for c, x in every.items()}, own, none)
 
     return run
 
@@ -194,20 +216,14 @@ def _compare(windows: bool):
     def run(got: pa.Table) -> pa.Table:
         own = got.filter(got["own"])
         got = got.filter(pc.invert(got["own"]))
-        out = [pa.table({"block": own["block"], "ask": pa.array([False] * own.num_rows, pa.bool_())} | {c: own[c] for c in ("i", "lo", "n", "rel")})]
+        out = [pa.table({"block": own["block"], "ask": own["ask"]} | {c: own[c] for c in BACK})]
         if got.num_rows:
             h1 = _unpacked(got, "h1")
             block = np.repeat(got["block"].to_numpy(), [len(x) for x in h1])
             h1 = np.concatenate(h1)
-            doc_id, i, lo, n, rel = (np.concatenate(_unpacked(got, c)) for c in ("doc_id", "i", "lo", "n", "rel"))
-            if windows:  # a row for each window; its place before the anchor is part of the digit
-                k = _counted(n)
-                second = np.concatenate(_unpacked(got, "w")) | (np.repeat(rel, n) - k).astype(U) << U(48)
-                block, h1, doc_id, i, lo = (np.repeat(x, n) for x in (block, h1, doc_id, i, lo))
-                lo, n, rel = lo + k.astype(np.int32), np.ones(len(k), np.int32), np.zeros(len(k), np.int32)
-            else:
-                second = np.concatenate(_unpacked(got, "h2"))
-            order = np.lexsort([lo, i, doc_id, second, h1])
+            second, doc_id, i, lo = (np.concatenate(_unpacked(got, c)) for c in ("h2", "doc_id", "i", "lo"))
+            n, rel = (np.ones(len(h1), np.int32), np.zeros(len(h1), np.int32)) if windows else (np.concatenate(_unpacked(got, c)) for c in ("n", "rel"))
+            order = np.lexsort([lo, i, block, doc_id, second, h1])
             block, h1, second, i, lo, n, rel = (x[order] for x in (block, h1, second, i, lo, n, rel))
             later = np.zeros(len(h1), bool)
             later[1:] = (h1[1:] == h1[:-1]) & (second[1:] == second[:-1])
@@ -271,9 +287,9 @@ def _cut(depth: int, columns: list[str], whole_characters: bool):
     return run
 
 
-def _repeats(docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, blocks: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """The documents in blocks, and the answers to the blocks: what is repeated in each."""
-    width = shuffle_width(docs.sparkSession)
+    width = destinations(docs.sparkSession, blocks, BLOCKS_EACH)
     found = docs.groupBy("block").applyInArrow(_anchor_pass(depth, width), MESSAGES)
     first = found.groupBy("dest").applyInArrow(_compare(False), ANSWERS)
     edges = docs.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_window_pass(depth, width), MESSAGES)
@@ -285,13 +301,14 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document.
 
     Each byte goes that a string of depth bytes covers which also starts earlier: in a smaller doc_id, or before in the same
-    document. Rows without doc_id come first; rows of the same doc_id are documents in the order of their texts. A missing
-    text is empty, a text of under depth bytes loses nothing, an empty table gives no row, other columns are ignored.
-    Blocks of about BLOCK_MB are as many as the input needs; one message goes from each block to each destination, and in it
-    the copies within the block are one, so a passage that a third of all documents share is one entry a block.
+    document. Rows without doc_id come first; rows of the same doc_id are documents in the order of their blocks, and within
+    a block of their texts (all rows of up to BLOCK_MB are one block). A missing text is empty, a text of under depth bytes
+    loses nothing, an empty table gives no row, other columns are ignored. Blocks of about BLOCK_MB, and the destinations of
+    their messages, are as many as the input needs; a text that is longer than that is a block of its own size.
     """
-    blocks = in_blocks(docs, n_blocks(docs, BLOCK_MB))
-    first, second = _repeats(blocks, depth)
+    many = n_blocks(docs, BLOCK_MB)
+    blocks = in_blocks(docs, many)
+    first, second = _repeats(blocks, many, depth)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return blocks.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(_cut(depth, [], False), schema)
 
@@ -302,8 +319,9 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     A missing text becomes empty, a missing doc_id stays missing, and n_chars (if there is one) counts the characters left.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")] or [F.lit(0).alias("none")]).alias("others")
-    blocks = in_blocks(docs, n_blocks(docs, BLOCK_MB), kept)
-    first, second = _repeats(blocks.select("doc_id", "text", "block"), depth)
+    many = n_blocks(docs, BLOCK_MB)
+    blocks = in_blocks(docs, many, kept)
+    first, second = _repeats(blocks.select("doc_id", "text", "block"), many, depth)
     schema = T.StructType([blocks.schema["others"]])
     for name in ("doc_id", "n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, T.LongType())
