@@ -3,27 +3,34 @@
 The model's counts are those of windows of ORDER + 1 symbols in the whole training part; contexts of lower orders are sums
 of these. A block of documents sends its distinct windows with their counts, and its distinct words, to where all windows of
 one context meet; what comes back are the windows' log probabilities and the words' counts, in the order in which they were sent.
-Neither the model nor the vocabulary is in one place.
+Neither the model nor the vocabulary is in one place. Windows are dealt by the last two symbols of their context. Where such a
+pair is frequent, its windows are dealt to several groups by the last four, and the counts of its contexts of two and three
+symbols, which need all of them, come from a table that is summed before.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, shuffle_width, squeezed, table
+from .common import destinations, flat, ids_or_null, in_blocks, in_order, loose, mix, n_blocks, squeezed, table, written
 from .words import in_pieces, tokens, word_hashes
 
-#: Symbols of the longest context; bits of a symbol; symbols: 0 before a text, byte + 1, END behind it. MB of a block.
-ORDER, BITS, END, BLOCK_MB = 6, 9, 257, 5
+#: Symbols of the longest context; bits of a symbol; symbols: 0 before a text, byte + 1, END behind it. MB of a block; blocks whose
+#: windows one group takes.
+ORDER, BITS, END, BLOCK_MB, BLOCKS_EACH = 6, 9, 257, 5, 2
 SYMBOLS = 257
 END_WORD = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
 MESSAGES = "dest long, block long, keys binary, counts binary"
-ANSWERS = "block long, dest long, answer binary, total long, distinct long"
+ANSWERS = "block long, dest long, answer binary"
+#: Cells of the pairs of symbols; the keys of words in the same table are negative.
+PAIRS = 1 << 2 * BITS
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -53,9 +60,26 @@ def windows(s: np.ndarray) -> np.ndarray:
     return key[s[ORDER:] > 0]
 
 
-def context_dest(keys: np.ndarray, width: int) -> np.ndarray:
-    """Where a window goes: by the last two symbols of its context, so that all contexts of two and more meet."""
-    return (mix(keys >> U(BITS) & U((1 << 2 * BITS) - 1)) % U(width)).astype(np.int64)
+class Layout:
+    """Which group a window goes to: of each pair of symbols at the end of a context the first group and how many it has.
+
+    A pair with more than its share of the training symbols has groups of its own; the others share the rest by their hashes.
+    """
+
+    def __init__(self, pairs: np.ndarray, groups: int):
+        share = max(1.0, pairs.sum() / groups)
+        self.parts = np.maximum(1, np.ceil(pairs / share)).astype(np.int64)
+        self.hot = pairs > share
+        self.first = np.zeros(len(pairs), np.int64)
+        own = self.parts[self.hot]
+        self.first[self.hot] = np.cumsum(own) - own
+        rest = max(1, math.ceil(pairs[~self.hot].sum() / share))
+        self.first[~self.hot] = own.sum() + (mix(np.flatnonzero(~self.hot).astype(U)) % U(rest)).astype(np.int64)
+        self.groups = int(own.sum()) + rest
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        pair = (keys >> U(BITS) & U(PAIRS - 1)).astype(np.int64)
+        return self.first[pair] + (mix(keys >> U(BITS) & U(PAIRS**2 - 1)) % self.parts[pair].astype(U)).astype(np.int64)
 
 
 def _runs(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +129,19 @@ class Block:
         self.words = np.concatenate([word_hashes(buf, first, last) >> U(1), np.full(len(self.sizes), END_WORD)])
         self.word_of = np.concatenate([of, np.arange(len(self.sizes))])
 
-    def sent(self, width: int):
+    def sent(self, layout: Layout, width: int):
         """Of the windows and the words: the distinct ones, how often they are trained on, and where each goes."""
         keys, counts = _runs(self.windows, np.repeat(self.train, self.sizes))
-        yield keys, counts, context_dest(keys, width)
+        yield keys, counts, layout.of(keys)
         keys, counts = _runs(self.words, self.train[self.word_of])
-        yield keys, counts, width + (keys % U(width)).astype(np.int64)
+        yield keys, counts, layout.groups + (keys % U(width)).astype(np.int64)
 
 
-def _send(width: int):
+def _send(shared, width: int):
     def run(block: pa.Table) -> pa.Table:
         b, out = Block(block), []
         at = b.rows["block"][0].as_py()
-        for keys, counts, dest in b.sent(width):
+        for keys, counts, dest in b.sent(shared.value[1], width):
             order = np.argsort(dest, kind="stable")
             to, first = np.unique(dest[order], return_index=True)
             for d, part in zip(to.tolist(), np.split(order, first[1:]), strict=True):
@@ -133,19 +157,21 @@ class Model:
 
     Order j: seen (context and symbol) with counts, contexts with total n and distinct symbols q, and left: the total of
     the shorter context that is left when the symbols of this one are excluded. pairs: counts of (symbol before, symbol)
-    in the whole training part, which orders 1 and 0 come from.
+    in the whole training part, which orders 1 and 0 come from. short: keys of four symbols and their counts, which orders
+    2 and 3 come from where the windows given aren't all of a pair.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, short: tuple[np.ndarray, np.ndarray] | None = None):
         every = np.flatnonzero(pairs).astype(U)
         single = np.bincount((every & U((1 << BITS) - 1)).astype(np.int64), pairs[every.astype(np.int64)], 1 << BITS).astype(np.int64)
         levels = [(np.flatnonzero(single).astype(U), single[single > 0]), (every, pairs[every.astype(np.int64)].astype(np.int64))]
         for j in range(2, ORDER + 1):
-            cut = keys & U((1 << BITS * (j + 1)) - 1)
+            of, n = short if short is not None and j < 4 else (keys, counts)
+            cut = of & U((1 << BITS * (j + 1)) - 1)
             order = np.argsort(cut, kind="stable")
             cut = cut[order]
             at = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]])) if len(cut) else np.zeros(0, np.int64)
-            levels.append((cut[at], np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)))
+            levels.append((cut[at], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)))
         self.seen, self.counts = [x for x, _ in levels], [c for _, c in levels]
         self.contexts, self.n, self.q, self.left = [], [], [], []
         for j, (seen, count) in enumerate(levels):
@@ -195,50 +221,57 @@ class Model:
         return out
 
 
-def _answer(width: int, blocks: int, pairs: np.ndarray):
-    def run(got: pa.Table) -> pa.Table:
+def _values(values: np.ndarray) -> bytes:
+    """Doubles or integers of which many are the same: the different ones, and the place of each."""
+    every, at = np.unique(values, return_inverse=True)
+    table, places = squeezed(every), squeezed(at.astype(np.uint32), max(1, (len(every).bit_length() + 7) // 8))
+    return len(table).to_bytes(4, "little") + table + max(1, (len(every).bit_length() + 7) // 8).to_bytes(1, "little") + places
+
+
+def _valued(b: bytes, kind: type) -> np.ndarray:
+    end = 4 + int.from_bytes(b[:4], "little")
+    return loose(b[4:end], kind)[loose(b[end + 1 :], np.uint32, b[end])]
+
+
+def _answer(shared):
+    def run(got: pa.Table, short: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "dest": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
+        pairs, layout = shared.value
         dest = got["dest"][0].as_py()
         keys = [np.cumsum(loose(b, U)) for b in got["keys"].to_pylist()]
         counts = np.concatenate([loose(b, np.uint32) for b in got["counts"].to_pylist()])
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, counts, len(every)).astype(np.int64)
-        if dest < width:
-            trained = total > 0
-            values = Model(every[trained], total[trained], pairs).log10(every).astype(np.float32)
-            n = distinct = 0
-        else:
-            values = total
-            n, distinct = int(total.sum()), int((total > 0).sum())
+        values = np.bincount(at, counts, len(every)).astype(np.int64)
+        if dest < layout.groups:
+            trained = values > 0
+            four = (short["key"].to_numpy().astype(U), short["n"].to_numpy()) if short.num_rows else None
+            values = Model(every[trained], values[trained], pairs, four).log10(every)
         parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        to, answers = got["block"].to_pylist(), [squeezed(values[p]) for p in parts]
-        more = blocks if dest >= width else 0  # every block gets every total
-        return pa.table({
-            "block": pa.array([*to, *range(more)], pa.int64()), "dest": pa.array([dest] * (len(to) + more), pa.int64()),
-            "answer": pa.array([*answers, *[None] * more], pa.binary()), "total": pa.array([0] * len(to) + [n] * more, pa.int64()),
-            "distinct": pa.array([0] * len(to) + [distinct] * more, pa.int64()),
-        })
+        return pa.table({"block": got["block"], "dest": got["dest"], "answer": pa.array([_values(values[p]) for p in parts], pa.binary())})
 
     return run
 
 
-def _score(width: int):
+def _score(shared, width: int, trained: int, distinct: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not block.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
         b = Block(block)
-        by_dest = {d: a for d, a in zip(answers["dest"].to_pylist(), answers["answer"].to_pylist(), strict=True) if a is not None}
-        trained, distinct = pc.sum(answers["total"]).as_py(), pc.sum(answers["distinct"]).as_py()
+        by_dest = dict(zip(answers["dest"].to_pylist(), answers["answer"].to_pylist(), strict=True))
         values = []
-        for (keys, _, dest), kind in zip(b.sent(width), (np.float32, np.int64), strict=True):
+        for (keys, _, dest), kind in zip(b.sent(shared.value[1], width), (np.float64, np.int64), strict=True):
             v = np.zeros(len(keys), kind)
-            for d in np.unique(dest).tolist():
-                v[dest == d] = loose(by_dest[d], kind)
+            order = np.argsort(dest, kind="stable")
+            to, first = np.unique(dest[order], return_index=True)
+            for d, part in zip(to.tolist(), np.split(order, first[1:]), strict=True):
+                v[part] = _valued(by_dest[d], kind)
             values.append((keys, v))
         texts = len(b.sizes)
         keys, v = values[0]
-        score = np.add.reduceat(Places(keys).values(b.windows, v), np.cumsum(b.sizes) - b.sizes, dtype=np.float64)
+        score = np.add.reduceat(Places(keys).values(b.windows, v), np.cumsum(b.sizes) - b.sizes)
         keys, v = values[1]
         c = Places(keys).values(b.words, v)
         n = np.bincount(b.word_of, minlength=texts)
@@ -249,25 +282,56 @@ def _score(width: int):
     return run
 
 
-def pair_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of (symbol before, symbol) in the texts of docs: 2 ** (2 * BITS) cells at most, whatever the input."""
+def training_counts(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Of the texts of docs: counts of (symbol before, symbol), PAIRS cells at most whatever the input; how many tokens they
+    have; and how many different ones. The words are counted where Spark puts them; only their number comes here."""
 
     def run(batches):
-        cells = np.zeros(1 << 2 * BITS, np.int64)
         for batch in batches:
             for piece in in_pieces(batch):
                 buf, off = flat(pc.fill_null(piece["text"], ""))
-                s, _ = symbols(lower_bytes(buf), off)
+                buf = lower_bytes(buf)
+                s, _ = symbols(buf, off)
                 at = np.flatnonzero(s)
-                if len(at):
-                    cells += np.bincount(s[at - 1].astype(np.int64) << BITS | s[at], minlength=len(cells))
-        some = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
-
-    out = np.zeros(1 << 2 * BITS, np.int64)
-    for cell, n in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+                cells = np.bincount(s[at - 1].astype(np.int64) << BITS | s[at], minlength=PAIRS) if len(at) else np.zeros(PAIRS, np.int64)
+                cells[0] = len(off) - 1  # texts: what follows (0, 0) is the first symbol
+                some = np.flatnonzero(cells)
+                first, last, _ = tokens(buf, off)
+                words, n = np.unique(np.append(word_hashes(buf, first, last) >> U(1), np.full(len(off) - 1, END_WORD)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - words.astype(np.int64)])), pa.array(np.concatenate([cells[some], n]))], ["cell", "n"])
+
+    counted = written(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    out = np.zeros(PAIRS, np.int64)
+    for cell, n in counted.where("cell >= 0").collect():
         out[cell] = n
-    return out
+    total, distinct = counted.where("cell < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return out, total, distinct
+
+
+def short_counts(docs: DataFrame, shared) -> DataFrame:
+    """dest, key, n: counts of four symbols in the texts of docs, for each group of a pair that has several groups."""
+
+    def run(batches):
+        layout = shared.value[1]
+        for batch in batches:
+            for piece in in_pieces(batch):
+                buf, off = flat(pc.fill_null(piece["text"], ""))
+                keys = windows(symbols(lower_bytes(buf), off)[0]) & U(PAIRS**2 - 1)
+                pair = (keys >> U(BITS) & U(PAIRS - 1)).astype(np.int64)
+                keys, n = np.unique(keys[layout.parts[pair] > 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["key", "n"])
+
+    def dealt(batches):
+        layout = shared.value[1]
+        for batch in batches:
+            pair = batch["key"].to_numpy() >> BITS & PAIRS - 1
+            parts = layout.parts[pair]
+            at = np.repeat(np.arange(batch.num_rows), parts)
+            dest = np.repeat(layout.first[pair], parts) + np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(dest), *[batch[c].take(pa.array(at)) for c in ("key", "n")]], ["dest", "key", "n"])
+
+    summed = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(dealt, "dest long, key long, n long")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -284,13 +348,19 @@ def score(docs: DataFrame) -> DataFrame:
     of their own, equal texts have equal values, an empty table gives no row, other columns are ignored. Without anything
     to learn from all symbols are alike.
     """
-    width, blocks = shuffle_width(docs.sparkSession), n_blocks(docs, BLOCK_MB)
+    spark, blocks = docs.sparkSession, n_blocks(docs, BLOCK_MB)
+    width = destinations(spark, blocks, BLOCKS_EACH)
     held = held_out(F.col("doc_id"))
     rows = in_blocks(docs, blocks, F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(~held, F.lit(False)).alias("train"))
-    pairs = pair_counts(docs.where(~held))
-    sent = rows.groupBy("block").applyInArrow(_send(width), MESSAGES)
-    answers = sent.groupBy("dest").applyInArrow(_answer(width, blocks, pairs), ANSWERS)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(width), SCHEMA)
+    trained_on = docs.where(~held)
+    pairs, trained, distinct = training_counts(trained_on)
+    layout = Layout(pairs, width)
+    pairs = np.where(np.arange(PAIRS) == 0, 0, pairs)
+    shared = spark.sparkContext.broadcast((pairs, layout))  # PAIRS entries
+    sent = rows.groupBy("block").applyInArrow(_send(shared, width), MESSAGES)
+    short = short_counts(trained_on, shared) if (layout.parts > 1).any() else spark.createDataFrame([], "dest long, key long, n long")
+    answers = sent.groupBy("dest").cogroup(short.groupBy("dest")).applyInArrow(_answer(shared), ANSWERS)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, width, trained, distinct), SCHEMA)
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
