@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
-#: Hash cells of n-grams of 1 to ORDERS characters, and the labelled documents that a model is fitted on at most.
-CELLS, ORDERS, SAMPLE = 1 << 16, 3, 4000
+#: Hash cells of n-grams of 1 to ORDERS characters; the labelled documents that a model is fitted on at most, dealt evenly to
+#: the languages, and of these languages at most so many, the most frequent ones.
+CELLS, ORDERS, SAMPLE, LANGUAGES = 1 << 16, 3, 4000, 200
 #: Of follow-the-regularised-leader: step, its offset, L1 and L2 penalties, passes over the sample; the share for calibration.
 ALPHA, BETA, L1, L2, PASSES, CALIBRATION = 0.3, 1.0, 0.002, 0.01, 3, 0.2
 UNKNOWN = "und"
@@ -44,7 +47,9 @@ class Model:
     temperature: float = 1.0
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        cells, counts = ngram_counts(text)
+        return self.scaled(*ngram_counts(text))
+
+    def scaled(self, cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.log1p(counts) * self.idf[cells]
         return cells, x / (math.sqrt(x @ x) or 1.0)
 
@@ -134,22 +139,46 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:CELLS], int(out[CELLS])
 
 
+def features_of(docs: DataFrame, languages: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Language (its place), cells and counts of each row of docs, in one order; CELLS entries a row at most, whatever its text."""
+
+    def run(batches):
+        for batch in batches:
+            for text, y, h in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), batch["h"].to_pylist(), strict=True):
+                cells, counts = ngram_counts(text)
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([y], pa.int32()), pa.array([cells.astype("<i4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], ["h", "y", "cells", "counts"])
+
+    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    got = docs.select("text", place.alias("y"), "h").mapInArrow(run, "h long, y int, cells binary, counts binary").toArrow()
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("h", "y", "cells", "counts")), strict=True))
+    return [(y, np.frombuffer(cells, "<i4").astype(np.int64), np.frombuffer(counts, "<i4")) for _, y, cells, counts in rows]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the rows of docs (doc_id, text, lang) that have text with a letter and lang.
 
-    The document frequencies are of all rows. The weights and the temperature are fitted on at most `sample` rows, those with
-    the smallest hashes of doc_id; a fifth of them is for the temperature only. Languages are the lang values among these rows.
+    The document frequencies are of all rows. The weights and the temperature are fitted on at most `sample` rows: of each
+    language as many as of any other, those with the smallest hashes (of doc_id, then text), so that a rare language has rows
+    too; a fifth of them is for the temperature only. What reaches the driver is at most CELLS counts a row of the sample.
+    Languages are the lang values, the LANGUAGES most frequent ones if there are more.
     """
-    rows = docs.where(F.col("lang").isNotNull() & _has_letter()).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
+    rows = docs.where(F.col("lang").isNotNull() & _has_letter()).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not known:
         return Model([], np.zeros((CELLS, 0)), np.zeros(0), np.ones(CELLS))
+    languages = sorted(r["lang"] for r in known)
+    each = max(1, sample // len(languages))
+    order = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    last = rows.select("lang", "h").where(F.col("lang").isin(languages)).withColumn("place", order).where(F.col("place") <= each).groupBy("lang").agg(F.max("h")).collect()
+    wanted = functools.reduce(lambda a, b: a | b, [(F.col("lang") == lang) & (F.col("h") <= h) for lang, h in last])
+    data, per = [], dict.fromkeys(range(len(languages)), 0)
+    for y, cells, counts in features_of(rows.where(wanted).dropDuplicates(["h", "lang"]), languages):
+        per[y] += 1
+        if per[y] <= each:
+            data.append((cells, counts, y))
     seen, total = document_frequencies(rows)
-    chosen = rows.where(F.col("h") <= last).select("h", "doc_id", "lang", "text").limit(sample).collect()
-    chosen.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    languages = sorted({r["lang"] for r in chosen})
     model = Model(languages, np.zeros((CELLS, len(languages))), np.zeros(len(languages)), np.log((1 + total) / (1 + seen)) + 1)
-    data = [(*model.features(r["text"]), languages.index(r["lang"])) for r in chosen]
+    data = [(*model.scaled(cells, counts), y) for cells, counts, y in data]
     held = int(len(data) * CALIBRATION)
     model.weights, model.offsets = fit_ftrl(data[held:], len(languages))
     if held:
