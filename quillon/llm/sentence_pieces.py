@@ -16,8 +16,9 @@ MARK = "▁"
 #: A chunk: the marks (as spaces) before a word, and the word. No piece of a fit model crosses from a word to a mark.
 CHUNK = re.compile(" *[^ ]+| +")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct chunks that a Python worker holds before it starts a new table.
-HELD_CHUNKS = 400_000
+#: Distinct chunks, and characters in them, that a Python worker holds before it starts a new table, and the characters of the
+#: longest chunk that it keeps at all (longer ones are segmented where they stand).
+HELD_CHUNKS, HELD_CHARACTERS, LONGEST_KEPT = 400_000, 8_000_000, 1_000
 
 
 def load(model_file: str):
@@ -42,7 +43,7 @@ class ChunkTable(dict):
     """
 
     def __init__(self, model):
-        self.model, self.changed = model, {}
+        self.model, self.changed, self.held = model, {}, 0
         self.ends = [i.to_bytes(4, "little") for i in (model.bos_id(), model.eos_id())]
         self.pieces = [self._alone(i) for i in range(model.get_piece_size())]
         # The model drops the first mark when it decodes, and gives no mark to an empty text: a word in front keeps both.
@@ -59,10 +60,13 @@ class ChunkTable(dict):
     def learn(self, chunks: set[str]) -> None:
         """Segments the chunks that the table doesn't have, each once."""
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > HELD_CHUNKS:
+        more = sum(map(len, new))
+        if len(self) + len(new) > HELD_CHUNKS or self.held + more > HELD_CHARACTERS:
             self.clear()
             self.changed.clear()
-            new = list(chunks)
+            new, self.held = list(chunks), 0
+            more = sum(map(len, new))
+        self.held += more
         for c, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
             if c.isspace():
                 ids = self.model.encode("a" + c)[len(self.lead) :]
@@ -82,6 +86,10 @@ class ChunkTable(dict):
         for chunks in in_chunks:
             ids = b"".join([self.ends[0], *map(self.__getitem__, chunks), self.ends[1]])
             out.append((ids, "".join([self.changed.get(c, c) for c in chunks] if self.changed else chunks)[1:]))
+        for c in {c for chunks in in_chunks for c in chunks if len(c) > LONGEST_KEPT}:
+            del self[c]
+            self.changed.pop(c, None)
+            self.held -= len(c)
         return out
 
 
@@ -101,16 +109,38 @@ def groups(texts: list[str], most: int = 1_000_000):
 _tables: dict[str, ChunkTable] = {}
 
 
+def _table(model_file: str) -> ChunkTable:
+    if model_file not in _tables:  # a Python worker runs many tasks
+        model = load(model_file)
+        check_model(model)
+        _tables[model_file] = ChunkTable(model)
+    return _tables[model_file]
+
+
+def _encoded(chunks: ChunkTable, batch: pa.RecordBatch):
+    """ids (as bytes) and decoded text of each row."""
+    return (x for run in groups([t or "" for t in batch["text"].to_pylist()]) for x in chunks.encode_decode(run))
+
+
+def encoded(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, ids (with begin and end ids), decoded of every row's whole text, as encode_and_decode describes them."""
+
+    def run(batches):
+        chunks = _table(model_file)
+        for batch in batches:
+            for i, (ids, decoded) in enumerate(_encoded(chunks, batch)):
+                ids = pa.array([array("I", ids).tolist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, 1), ids, pa.array([decoded], pa.string())], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def _rows(model_file: str):
     def run(batches):
-        if model_file not in _tables:  # a Python worker runs many tasks
-            model = load(model_file)
-            check_model(model)
-            _tables[model_file] = ChunkTable(model)
-        chunks = _tables[model_file]
+        chunks = _table(model_file)
         for batch in batches:
             rows = []
-            for ids, decoded in (x for run in groups([t or "" for t in batch["text"].to_pylist()]) for x in chunks.encode_decode(run)):
+            for ids, decoded in _encoded(chunks, batch):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -123,7 +153,8 @@ def encode_and_decode(docs: DataFrame, model_file: str) -> DataFrame:
 
     A missing text is empty: two ids. Repeated rows give repeated rows; an empty table gives none; other columns are
     ignored. Each Python worker keeps a table of the distinct chunks that it has met and segments every one of them once; it
-    starts a new table at HELD_CHUNKS, so its memory doesn't grow with the input. No row moves: there is no shuffle.
+    starts a new table at HELD_CHUNKS chunks or HELD_CHARACTERS characters in them, and doesn't keep chunks of more than
+    LONGEST_KEPT characters, so its memory doesn't grow with the input. No row moves: there is no shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows(model_file), SCHEMA)
 
