@@ -41,6 +41,30 @@ def feature(samples: np.ndarray) -> str:
     return f"{mean:.4f},{flat.std():.4f},{bits:016x}"
 
 
+def _stored(batches):
+    for batch in batches:
+        for i, text in enumerate(batch["text"].to_pylist()):
+            media = pa.array([store((text or "").encode())], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, 1), media], ["doc_id", "media"])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, media: the WebP files of every row's whole text, as media_digests describes them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, media array<binary>")
+
+
+def _pixels(batches):
+    for batch in batches:
+        for i, media in enumerate(batch["media"].to_pylist()):
+            samples = [read_back(media).tobytes() if media else None]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, 1), pa.array(samples, pa.binary())], ["doc_id", "samples"])
+
+
+def pixels(media: DataFrame) -> DataFrame:
+    """doc_id, samples: the pixel array (ROW samples a row) of the files in the column media; null where there is none."""
+    return media.select("doc_id", "media").mapInArrow(_pixels, "doc_id long, samples binary")
+
+
 def _rows(batches):
     for batch in batches:
         rows = []
@@ -61,7 +85,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     A missing or empty text is one row of fill bytes. Repeated rows give repeated rows, equal texts equal values, an empty
     table no row; other columns are ignored. A long text is more rows of the image, and more files beyond webp.MAX_SIDE rows.
-    No row moves, and a task holds one text at a time besides its batch.
+    No row moves, and a task holds one text at a time besides its batch. stored() and pixels() give the files and the samples
+    themselves.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows, SCHEMA)
 

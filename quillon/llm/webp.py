@@ -18,6 +18,8 @@ MAX_SIDE, MAX_LENGTH, CACHE_HASH = 16384, 4096, 0x1E35A7BD
 #: The near places, nearest first: those left in the same row and up to seven rows above.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 ALPHA, RED, GREEN, BLUE = range(4)
+#: Modes of prediction: from the pixel to the left, and from the one above.
+LEFT, TOP = 1, 2
 
 
 class BadImage(ValueError):
@@ -496,6 +498,12 @@ def undo_predictor(pixels: np.ndarray, width: int, block: int, modes: np.ndarray
     height = len(out)
     out[0, 0] = (out[0, 0] + [255, 0, 0, 0]) & 255
     out[0] = np.cumsum(out[0], axis=0) & 255
+    if len(every := np.unique(modes[..., GREEN])) == 1 and every[0] in (LEFT, TOP):  # sums along a row or down a column
+        if every[0] == TOP:
+            return (np.cumsum(out, axis=0) & 255).astype(np.uint8)
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        out[1:] = np.cumsum(out[1:], axis=1)
+        return (out & 255).astype(np.uint8)
     for y in range(1, height):
         out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
         mode_of = _row_modes(modes, y, width, block).tolist()
@@ -681,11 +689,35 @@ def _header(width: int, height: int) -> BitWriter:
     return out
 
 
+def _bits(flat: np.ndarray) -> float:
+    """The bits that an ideal code of single values takes."""
+    n = np.bincount(flat, minlength=256)
+    n = n[n > 0]
+    return float(n @ np.log2(n.sum() / n))
+
+
+def best_prediction(values: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """The mode that leaves the least bits and the green residuals; None where single values and their copies take less."""
+    plain = values.ravel().copy()
+    literal = np.ones(len(plain), bool)
+    for p, n, _ in find_copies(plain.tobytes()):
+        literal[p : p + n] = False
+    least, best = 0.9 * _bits(plain[literal]), None
+    for mode in (LEFT, TOP):
+        left = values.copy()
+        left[0, 1:] -= values[0, :-1]
+        left[1:, 0] -= values[:-1, 0]
+        left[1:, 1:] -= values[1:, :-1] if mode == LEFT else values[:-1, 1:]
+        if (size := _bits(left.ravel())) < least:
+            least, best = size, (mode, left)
+    return best
+
+
 def encode_gray(values: np.ndarray) -> bytes:
     """A file whose green is values (height, width), red and blue 0, alpha 255.
 
     Up to 16 different values become a palette with 2 to 8 pixels in each stored one; else copies stand for lines that came
-    before and for runs.
+    before and for runs, or all values are predicted from the left or from above where that takes less.
     """
     height, width = values.shape
     out, colors = _header(width, height), np.flatnonzero(np.bincount(values.ravel(), minlength=256))
@@ -703,6 +735,15 @@ def encode_gray(values: np.ndarray) -> bytes:
         table[0, :, GREEN], table[0, 0, ALPHA] = np.diff(colors, prepend=0), 255
         write_any(out, table)
         others = (0, 0, 0)
+    elif best := best_prediction(values):
+        mode, values = best
+        flat, others = values.ravel(), (0, 0, 0)
+        block = min(9, max(2, max(height, width).bit_length()))
+        elements = np.zeros((-(-height >> block), -(-width >> block), 4), np.uint8)
+        elements[..., GREEN], elements[..., ALPHA] = mode, 255
+        out.put(1 | PREDICTOR << 1, 3)
+        out.put(block - 2, 3)
+        write_any(out, elements)
     else:
         others = (0, 0, 255)
     out.put(0, 1)  # no further transform
