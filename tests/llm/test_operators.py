@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
@@ -473,6 +474,27 @@ def test_licenses(spark, odd, none):
     assert rows(licenses.scan(none)) == [] and licenses.scan(odd).count() == len(odd_rows())
 
 
+def test_licenses_of_any_list(spark):
+    """Texts without any of the usual words, known by their lines, by themselves and by digests, with repeated rows."""
+    mine = {"Poem": "Roses, by any\nother NAME", "Line": "do as thou wilt"}
+    docs = [(1, "x\nDo as  thou wilt!\nDo as thou wilt\ny"), (1, "x\nDo as  thou wilt!\nDo as thou wilt\ny"), (2, "roses by any other name."), (None, None), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as digest", "'z' as license", "3 as copies")
+    got = sorted(rows(licenses.scan(df, mine).drop("digest")), key=by_null)
+    assert got == sorted([(1, None, 2, "Line")] * 2 + [(2, "Poem", 1, "Poem")] + [(None, None, 0, "")] * 2, key=by_null)
+    digests = {r["digest"]: r["license"] for r in licenses.known_digests(spark, mine).collect()}
+    assert sorted(rows(licenses.scan(df, digests=digests).drop("digest")), key=by_null) == got
+
+
+def test_license_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    there = [n for n in names if (folder / n).exists()]
+    if not there:
+        pytest.skip("no licence files on this machine")
+    df = spark.createDataFrame([(i, (folder / n).read_text()) for i, n in enumerate(there)], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(df).orderBy("doc_id").collect()] == [names[n] for n in there]
+
+
 @pytest.mark.parametrize("name", ["op7_chat_snapshots", "op10_license_digests"])
 def test_sql(spark, sf_dir, name):
     from quillon.llm.queries import ORACLES, QUERIES
