@@ -27,6 +27,17 @@ SEASONS = ("Spring", "Summer")
 STATUSES = ("queued", "preparing", "processing", "finalizing", "completed", "failed", "cancelled", "paused", "interrupted", "retry-scheduled")
 
 
+#: What people write: categories, subcategories, seasons and weather as they come.
+RAW_CATEGORIES = ("T-Shirt", " tops ", "Jeans", "short_pants", "Dress", "SKIRT", "Sneakers", "high-heels", "Coat", "Handbag", "watch", "Sunglasses", "pants", "Shorts", "outer wear", "Jacket", "all")
+RAW_SUBS = (
+    "T-Shirt", "polo", "Hoodie", "jumper", "Tank Top", "chinos", "Cargo", "Formal pants", "denim_shorts", "Pencil Skirt", "summer dress", "Evening Dress", "Sneaker", "chelsea boots", "Loafers",
+    "Sandals", "stilettos", "Puffer", "trench", "Blazer", "backpack", "purse", "hat", "Watch", " Scarf ", "  ", "wide-leg", "Overcoat", "Boots",
+)
+RAW_SEASONS = ("Summer", "estate", "FALL", "autunno", "Winter", "Inverno", "spring", "")
+RAW_WEATHER = ("hot", " Rain", "RAINY", "cold", "Mild", "snow", "")
+ITEM_STATES = ("ready", "queued", "processing", "failed", "cancelled")
+
+
 def named(names: tuple[str, ...], place: str) -> str:
     """SQL of the name at a 0-based place; null for none."""
     return f"CASE {place} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
@@ -51,6 +62,19 @@ DERIVED: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
         ("category", named(CATEGORIES, "p_partkey % 10")), ("color_ix", "p_size % 21"), ("color", named(COLORS, "p_size % 21")),
         ("favorite", "p_partkey % 7 = 0"), ("name", "p_name"), ("created_seq", "(p_partkey * 7919) % 100003"),
     )),
+    "clothes": ("part", (
+        ("id", "p_partkey"), ("owner_id", "CAST(floor(p_partkey / 20) AS bigint)"), ("category", named(RAW_CATEGORIES, "p_partkey % 17")),
+        ("sub_category", named(RAW_SUBS, "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(floor(p_partkey / 3) AS bigint) % 29 END")), ("name", "p_name"), ("color", named(COLORS, "p_size % 21")),
+        ("season_1", named(RAW_SEASONS, "p_partkey % 9")), ("season_2", named(RAW_SEASONS, "p_size % 8")), ("state", named(ITEM_STATES, "p_size % 6")), ("favorite", "p_partkey % 7 = 0"),
+        ("image", "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('https://x.example/storage/v1/object/public/wardrobe/u', CAST(p_size AS varchar(9)), '/my%20item', CAST(p_partkey AS varchar(9)), '.png?v=1') WHEN 2 THEN concat('file:///tmp/', CAST(p_partkey AS varchar(9)), '.HEIC') ELSE concat('https://x.example/storage/v1/object/public/wardrobe/', CAST(p_partkey AS varchar(9)), '.webp') END"),
+    )),
+    "saved_looks": ("orders", (
+        ("id", "o_orderkey"), ("user_id", "o_custkey"), ("favorite", "o_orderkey % 5 = 0"), ("created_ms", "CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE {ms:o_orderdate} END"),
+        ("score", "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_orderkey % 100 END"), ("ai_score", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey * 7) % 90 END"), ("color_score", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey * 3) % 101 END"),
+        ("occasion", named((*OCCASIONS, " party "), "o_orderkey % 8")), ("weather", named(RAW_WEATHER, "CAST(floor(o_orderkey / 4) AS bigint) % 8")),
+        ("top", "o_custkey % 2000"), ("bottom", "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_custkey * 3) % 2000 END"), ("shoes", "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_custkey * 7) % 2000 END"), ("jacket", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 2000 ELSE NULL END"),
+        ("dress_look", "o_orderkey % 9 = 0 AND o_orderkey % 2 = 0"),
+    )),
     "jobs": ("orders", (
         ("job_id", "o_orderkey"), ("item_id", "o_custkey"), ("batch_id", "o_orderkey % 50"), ("status", named(STATUSES, "o_orderkey % 10")),
         ("priority", "6 - CAST(substr(o_orderpriority, 1, 1) AS int)"), ("queue_position", "o_orderkey % 100"), ("created_ms", "{ms:o_orderdate}"),

@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import evaluation, imaging, ranking, styling, telemetry
+from __spark_entry__ import PLANS
+from quillon.plans import styling, telemetry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {n: f for p in (telemetry, styling, imaging, ranking, evaluation) for n, f in p.QUERIES.items()}
-ORACLES = {n: s for p in (telemetry, styling, imaging, ranking, evaluation) for n, s in p.ORACLES.items()}
+QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
+ORACLES = {n: s for p in PLANS for n, s in p.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
