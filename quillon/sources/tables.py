@@ -95,6 +95,24 @@ DERIVED: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
     "pixels": ("lineitem", (
         ("image_id", "l_suppkey"), ("r", "(l_partkey * 37 + l_linenumber * 11) % 256"), ("g", "(l_suppkey * 53 + l_partkey) % 256"), ("b", "(l_orderkey * 29) % 256"),
     )),
+    "item_changes": ("events", (
+        ("seq", "event_id"), ("id", "user_id"), ("ms", "{ms:ts}"), ("change", "CASE WHEN event_id % 10 < 3 THEN 'insert' WHEN event_id % 10 < 8 THEN 'update' ELSE 'delete' END"),
+        ("name", "CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN '   ' ELSE concat(' item ', CAST(event_id AS varchar(9)), ' ') END"), ("favorite", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END"), ("token", "concat('t', CAST(event_id % 3 AS varchar(9)))"),
+    )),
+    "job_events": ("events", (
+        ("seq", "event_id"), ("job_id", "user_id"), ("ms", "{ms:ts}"),
+        ("kind", "CASE event_id % 12 WHEN 0 THEN 'added' WHEN 1 THEN 'added' WHEN 2 THEN 'added' WHEN 3 THEN 'progress' WHEN 4 THEN 'progress' WHEN 5 THEN 'failed' WHEN 6 THEN 'failed' WHEN 7 THEN 'completed' WHEN 8 THEN 'retry' WHEN 9 THEN 'cancelled' WHEN 10 THEN 'interrupted' ELSE CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'progress' END END"),
+        ("progress", "CAST(event_id % 100 AS double) / 100"), ("retryable", "event_id % 7 <> 0"), ("attempt", "1 + event_id % 3"), ("reset", "event_id % 2 = 0"),
+    )),
+    "scan_issues": ("lineitem", (
+        ("scan_id", "l_orderkey"), ("seq", "CAST(l_linenumber AS bigint) * 1000000000000 + l_partkey * 1000000 + l_suppkey"), ("stage", "CASE WHEN l_partkey % 2 = 0 THEN 'pre' ELSE 'post' END"), ("code_ix", "(l_partkey * 7 + l_linenumber) % 34"),
+        ("severity", "CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN 'critical' WHEN 1 THEN 'error' WHEN 2 THEN 'error' WHEN 3 THEN 'info' WHEN 4 THEN 'info' ELSE 'warning' END"), ("confidence", "CAST((l_partkey * 13 + l_suppkey) % 100 AS double) / 100"),
+        ("pre_score", "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE CAST((l_orderkey * 7) % 101 AS double) / 100 END"), ("post_score", "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST((l_orderkey * 3) % 101 AS double) / 100 END"), ("with_background", "l_orderkey % 3 <> 0"),
+    )),
+    "candidates": ("lineitem", (
+        ("image_id", "l_orderkey"), ("ord", "CAST(l_linenumber AS bigint) * 1000000000000 + l_partkey * 1000000 + l_suppkey"), ("valid", "l_partkey % 8 <> 0"), ("reliable", "l_suppkey % 3 <> 0"),
+        ("score", "CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE CAST(l_partkey % 5 AS double) / 5 + CAST(l_suppkey % 3 AS double) * 0.0000004e0 END"), ("leakage", "CAST(l_suppkey % 4 AS double) / 10"), ("edge", "CAST(l_partkey % 7 AS double) / 7"), ("samples", "l_quantity"),
+    )),
     "queue_events": ("events", (
         ("seq", "event_id"), ("type", _case("event_type", _QUEUE_EVENT, "'queue-updated'")), ("job_id", "CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END"),
         ("batch_id", "event_id % 7"), ("ms", "{ms:ts}"),
