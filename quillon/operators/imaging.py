@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ DARK, BRIGHT, BLACK, WHITE = 0.12, 0.90, 0.015, 0.985
 FULL_GLOBAL, FULL_RANGE, FULL_LOCAL, EDGE = 0.055, 0.18, 0.035, 0.12
 #: Bins; share, bounds and correction of the threshold and the shares of foreground outside which it is made.
 BINS, OTSU_SHARE, LEAST_CUT, MOST_CUT, CUT_STEP, LEAST_SHARE, MOST_SHARE = 256, 0.58, 0.28, 0.72, 0.08, 0.002, 0.985
-#: Rows of centers that every task may hold.
+#: Centers that every task may hold at once.
 MOST_CENTERS = 10_000
 #: From which score on a scan is accepted, accepted with a warning, retried.
 ACCEPT, WARN, RETRY = 0.78, 0.66, 0.48
@@ -152,10 +153,44 @@ def mask_metrics(cells: DataFrame, width: int, height: int) -> DataFrame:
     )
 
 
-def components(cells: DataFrame, value: bool = True, diagonal: bool = True) -> DataFrame:
-    """image_id, label, area, min_x, max_x, min_y, max_y, edge: connected cells with mask = value; label is the smallest cell.
+def _runs(mask):
+    """Row, first and last column of each run of True in a row, in reading order."""
+    import numpy as np
+
+    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = mask
+    edge = np.diff(wide, axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def _joined(row, first, last, height: int, diagonal: bool) -> list[int]:
+    """Of each run the first run that it is connected with: runs of neighbouring rows that overlap are one."""
+    import numpy as np
+
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    starts, more = np.searchsorted(row, np.arange(height + 1)), int(diagonal)
+    for y in range(height - 1):
+        above, below = starts[y], starts[y + 1]
+        while above < starts[y + 1] and below < starts[y + 2]:
+            if first[below] <= last[above] + more and first[above] <= last[below] + more:
+                a, b = find(above), find(below)
+                root[max(a, b)] = min(a, b)
+            above, below = (above + 1, below) if last[above] < last[below] else (above, below + 1)
+    return [find(i) for i in range(len(root))]
+
 
-    An image is a group whose cells fit a task; its labels spread over its own neighbours, so images are worked on in parallel.
+def labelled(cells: DataFrame, value: bool = True, diagonal: bool = True) -> DataFrame:
+    """image_id, x, y, label of the cells with mask = value: label is the first cell, in reading order, of those connected.
+
+    An image is a group whose cells fit a task; images are worked on in parallel. Within one, runs of cells are joined, so the
+    work grows with the number of runs.
     """
     import numpy as np
     import pandas as pd
@@ -164,22 +199,22 @@ def components(cells: DataFrame, value: bool = True, diagonal: bool = True) -> D
         width, height = int(image["x"].max()) + 1, int(image["y"].max()) + 1
         mask = np.zeros((height, width), bool)
         mask[image["y"], image["x"]] = image["mask"] == value
-        label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
-        steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (diagonal or not (dy and dx))]
-        while True:
-            wide = np.pad(label, 1, constant_values=mask.size)
-            near = np.minimum.reduce([label, *[wide[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dy, dx in steps]])
-            near = np.where(mask, near, mask.size)
-            if (near == label).all():
-                break
-            label = near
-        y, x = np.nonzero(mask)
-        out = pd.DataFrame({"label": label[mask], "x": x, "y": y}).groupby("label").agg(area=("x", "size"), min_x=("x", "min"), max_x=("x", "max"), min_y=("y", "min"), max_y=("y", "max")).reset_index()
-        out["edge"] = (out["min_x"] == 0) | (out["min_y"] == 0) | (out["max_x"] == width - 1) | (out["max_y"] == height - 1)
-        out.insert(0, "image_id", image["image_id"].iloc[0])
-        return out
-
-    return cells.select("image_id", "x", "y", "mask").groupBy("image_id").applyInPandas(run, "image_id long, label long, area long, min_x int, max_x int, min_y int, max_y int, edge boolean")
+        row, first, last = _runs(mask)
+        of = np.array(_joined(row, first, last, height, diagonal), np.int64)
+        size = last - first + 1
+        x = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+        label = np.repeat((row * width + first)[of], size) if len(of) else np.zeros(0, np.int64)
+        return pd.DataFrame({"image_id": image["image_id"].iloc[0], "x": x, "y": np.repeat(row, size), "label": label})
+
+    return cells.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, label long")
+
+
+def components(cells: DataFrame, value: bool = True, diagonal: bool = True) -> DataFrame:
+    """image_id, label, area, min_x, max_x, min_y, max_y, edge: connected cells with mask = value; label is the smallest cell."""
+    size = cells.groupBy("image_id").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+    rows = labelled(cells, value, diagonal).groupBy("image_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    edge = (F.col("min_x") == 0) | (F.col("min_y") == 0) | (F.col("max_x") == F.col("right")) | (F.col("max_y") == F.col("bottom"))
+    return rows.join(size, "image_id").select("image_id", "label", "area", "min_x", "max_x", "min_y", "max_y", edge.alias("edge"))
 
 
 def holes(cells: DataFrame) -> DataFrame:
@@ -224,10 +259,22 @@ def nearest_center(vectors: DataFrame, centers: DataFrame, most: float) -> DataF
 
     centers (center, c) has one row a label; up to MOST_CENTERS of them are sent to all tasks, more are joined by length.
     """
-    if centers.limit(MOST_CENTERS + 1).count() <= MOST_CENTERS:
-        centers = F.broadcast(centers)
+    return nearest_of_blocks(vectors, centers, most)
+
+
+def nearest_of_blocks(vectors: DataFrame, centers: DataFrame, most: float, at_once: int = MOST_CENTERS) -> DataFrame:
+    """The same, in blocks of centers that are sent to all tasks one after another: a vector meets every block, and only its
+    nearest center of each is kept."""
+    blocks = [centers]
+    if (n := centers.count()) > at_once:
+        part = F.pmod(F.xxhash64("center"), F.lit(-(-n // at_once)))
+        blocks = [centers.where(part == i) for i in range(-(-n // at_once))]
+    return functools.reduce(DataFrame.unionByName, [_nearest(vectors, F.broadcast(b)) for b in blocks]).groupBy("id").agg(F.min(F.struct("distance", "center")).alias("b")).select("id", "b.center", "b.distance").where(F.col("distance") < most)
+
+
+def _nearest(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     far = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     rows = vectors.join(centers, F.size("v") == F.size("c")).select("id", "center", F.round(far, 6).alias("distance"))
-    return rows.groupBy("id").agg(F.min_by(F.struct("center", "distance"), F.struct("distance", "center")).alias("b")).select("id", "b.center", "b.distance").where(F.col("distance") < most)
+    return rows.groupBy("id").agg(F.min(F.struct("distance", "center")).alias("b")).select("id", "b.center", "b.distance")
 
 
