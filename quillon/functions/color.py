@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import COLORS
@@ -83,7 +83,7 @@ def canonical_pairs(pairs) -> list[str]:
 MATCHING = [f"{c}>{m}" for c in COLORS for m in MATCHES[c].split()]
 
 
-def literal_map(of: dict[str, str]) -> Column:
+def literal_map(of: dict[str, str | int]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in of.items()))
 
 
@@ -142,12 +142,14 @@ def pair_score(a: Column, a_bright: Column, b: Column, b_bright: Column) -> Colu
 
 
 def weighted(scores: list[tuple[Column, Column, int]]) -> Column:
-    """The mean of (there, score, weight) over those that are there, whole; 55 without any."""
-    total, weight = F.lit(0.0), F.lit(0)
-    for there, s, w in scores:
-        total = total + F.when(there, s * w).otherwise(0)
-        weight = weight + F.when(there, F.lit(w)).otherwise(0)
-    return F.when(weight <= 0, F.lit(55)).otherwise(score(total / weight))
+    """The mean of (there, score, weight) over those that are there, whole; 55 without any.
+
+    A fold over an array isn't part of generated whole stages; what is worked out beside it is then compiled in small functions,
+    which the virtual machine translates, where one large function of all rules would be interpreted.
+    """
+    rows = F.array(*[F.struct(F.when(there, s * w).otherwise(0).cast("long").alias("s"), F.when(there, w).otherwise(0).cast("long").alias("w")) for there, s, w in scores])
+    sums = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("w")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["w"] + x["w"]).alias("w")))
+    return F.when(sums["w"] <= 0, F.lit(55)).otherwise(score(sums["s"] / sums["w"]))
 
 
 #: What is compared in a look without a dress, with its weight; what a repeated colour adds.
@@ -155,8 +157,38 @@ HARMONY = (("top", "bottom", 35), ("bottom", "shoes", 25), ("top", "shoes", 15),
 REPEATS = (("shoes", "bag", 18), ("jacket", "shoes", 12), ("top", "shoes", 12), ("bottom", "jacket", 10), ("cap", "shoes", 8))
 
 
-def count_in(colors: str | Column, names) -> Column:
-    return F.size(F.filter(colors, lambda x: x.isin(*names)))
+#: What is counted of the colours of a look, each in four bits of one number, so that one sum counts all of it.
+COUNTED = {"known": COLORS, "light": LIGHT, "dark": DARK, "neutral": NEUTRAL, "strong": STRONG, "spring": SPRING, "rain": RAIN, "sport": SPORT}
+BRIGHT = ("light", "dark", "medium")
+
+
+#: All that brightness() says, and a number that is larger than that of any colour with any brightness.
+BRIGHTNESSES, STRIDE, CODE_BITS = ("light", "dark", "medium", "metallic", "unknown"), 128, 48
+
+
+def code(c: Column, b: Column) -> Column:
+    """The colour c with brightness b as one number: the counts, and above CODE_BITS which of all pairs of both it is."""
+    ix = F.coalesce(literal_map({n: i for i, n in enumerate(COLORS)})[c], F.lit(len(COLORS)))
+    counts = literal_map({n: sum((n in names) << 4 * i for i, names in enumerate(COUNTED.values())) for n in COLORS})
+    at = _first([(b == name, 1 << 4 * (len(COUNTED) + i)) for i, name in enumerate(BRIGHT)], F.lit(0)).cast("long")
+    bright = F.array_position(F.array(*map(F.lit, BRIGHTNESSES)), b).cast("int") - 1
+    return F.shiftleft((ix * len(BRIGHTNESSES) + bright).cast("long"), CODE_BITS) + F.coalesce(counts[c].cast("long"), F.lit(0).cast("long")) + at
+
+
+def pair_scores(spark: SparkSession) -> DataFrame:
+    """pair, pair_points: the score of any two codes a and b, at a * STRIDE + b. As many rows as there are pairs of codes."""
+    n = (len(COLORS) + 1) * len(BRIGHTNESSES)
+    rows = spark.range(n * n).select((F.col("id") / n).cast("int").alias("a"), (F.col("id") % n).cast("int").alias("b"))
+    color = lambda k: F.element_at(F.array(*map(F.lit, (*COLORS, UNKNOWN))), (F.col(k) / len(BRIGHTNESSES)).cast("int") + 1)
+    bright = lambda k: F.element_at(F.array(*map(F.lit, BRIGHTNESSES)), F.col(k) % len(BRIGHTNESSES) + 1)
+    rows = rows.select("a", "b", color("a").alias("ca"), bright("a").alias("ba"), color("b").alias("cb"), bright("b").alias("bb"))
+    return rows.select((F.col("a") * STRIDE + F.col("b")).cast("long").alias("pair"), pair_score(F.col("ca"), F.col("ba"), F.col("cb"), F.col("bb")).alias("pair_points"))
+
+
+def counted(counts: Column, name: str) -> Column:
+    """How many colours of a look count as one of COUNTED, or are as bright as one of BRIGHT."""
+    place = [*COUNTED, *[f"{b} ones" for b in BRIGHT]].index(name)
+    return F.shiftright(counts, 4 * place).bitwiseAND(15).cast("int")
 
 
 def color_count_score(different: Column, style: Column) -> Column:
@@ -164,35 +196,30 @@ def color_count_score(different: Column, style: Column) -> Column:
     return F.when(different == 0, 45).when(different == 1, 86).when(different == 2, 100).when(different == 3, 96).when(different == 4, four).otherwise(F.when(style == "Streetwear", 64).otherwise(38))
 
 
-def _is(name: str):
-    return lambda x: x == name
-
-
-def light_dark_score(groups: Column, style: Column) -> Column:
-    plain = F.filter(groups, lambda g: ~g.isin("unknown", "metallic"))
-    n, light, medium, dark = F.size(plain), *(F.size(F.filter(plain, _is(k))) for k in ("light", "medium", "dark"))
+def light_dark_score(light: Column, medium: Column, dark: Column, style: Column) -> Column:
+    """Of how many colours are light, medium and dark; metallic ones and those that aren't known don't count."""
+    n = light + medium + dark
     return (
         F.when(n == 0, 55).when((light > 0) & (dark > 0), 100).when((medium > 0) & ((light > 0) | (dark > 0)), 91)
         .when(dark == n, F.when(style.isin("Luxury", "Classic"), 88).otherwise(76)).when(light == n, F.when(style.isin("Minimal", "Sport"), 84).otherwise(72)).otherwise(78)
     )
 
 
-def neutral_score(colors: Column) -> Column:
-    neutral, strong = count_in(colors, NEUTRAL), count_in(colors, STRONG)
+def neutral_score(known: Column, neutral: Column, strong: Column) -> Column:
     return (
-        F.when(F.size(colors) == 0, 50).when(strong == 0, F.when(neutral > 0, 92).otherwise(68)).when((strong == 1) & (neutral >= 1), 100)
+        F.when(known == 0, 50).when(strong == 0, F.when(neutral > 0, 92).otherwise(68)).when((strong == 1) & (neutral >= 1), 100)
         .when((strong == 2) & (neutral >= 2), 82).when(strong >= 3, 42).otherwise(70)
     )
 
 
-def context_score(colors: Column, style: Column, weather: Column, season: Column) -> Column:
-    light, dark, neutral, strong = (count_in(colors, g) for g in (LIGHT, DARK, NEUTRAL, STRONG))
+def context_score(n, white: Column, style: Column, weather: Column, season: Column) -> Column:
+    """n(name): how many colours count as that; white: whether one is white."""
     plus = lambda when, points: F.when(F.coalesce(when, F.lit(False)), points).otherwise(0)
     warm = (F.coalesce(weather == "Hot", F.lit(False))) | (F.coalesce(season == "Summer", F.lit(False)))
-    total = F.lit(72) + plus(warm, light * 6 - dark * 2) + plus(weather == "Mild", neutral * 2 + F.when((light > 0) & (dark > 0), 6).otherwise(0))
-    total = total + plus(season == "Spring", count_in(colors, SPRING) * 4) + plus((weather == "Rainy") & F.array_contains(colors, "White"), F.lit(-8)) + plus((weather == "Rainy") & (count_in(colors, RAIN) > 0), F.lit(12))
-    total = total + plus(style.isin("Minimal", "Classic", "Luxury"), neutral * 4) + plus((style == "Streetwear") & strong.between(1, 2), F.lit(10)) + plus((style == "Sport") & (count_in(colors, SPORT) > 0), F.lit(10))
-    return F.when(F.size(colors) == 0, 55).otherwise(score(total))
+    total = F.lit(72) + plus(warm, n("light") * 6 - n("dark") * 2) + plus(weather == "Mild", n("neutral") * 2 + F.when((n("light") > 0) & (n("dark") > 0), 6).otherwise(0))
+    total = total + plus(season == "Spring", n("spring") * 4) + plus((weather == "Rainy") & white, F.lit(-8)) + plus((weather == "Rainy") & (n("rain") > 0), F.lit(12))
+    total = total + plus(style.isin("Minimal", "Classic", "Luxury"), n("neutral") * 4) + plus((style == "Streetwear") & n("strong").between(1, 2), F.lit(10)) + plus((style == "Sport") & (n("sport") > 0), F.lit(10))
+    return F.when(n("known") == 0, 55).otherwise(score(total))
 
 
 def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -2,7 +2,7 @@
 
 The rules are tables; each becomes one SQL expression over the columns of a look: top_t, bottom_t, shoes_t, jacket_t and
 accessory_t (what is written about an item, in lower case, null without one), top, bottom, shoes, jacket and accessory (colours),
-style, occasion, weather and season.
+is_dress (the top is a dress, so no bottom is missing), style, occasion, weather and season.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ SEASONS = {
 }
 #: Option, its value, what rejects the look, and the reason that is given.
 REJECTIONS = (
-    (None, None, "no top", "Missing top or dress."), (None, None, "no bottom", "Missing bottom."), (None, None, "no shoes", "Missing shoes."),
+    (None, None, "no top", "Missing top or dress."), (None, None, "no bottom or dress", "Missing bottom."), (None, None, "no shoes", "Missing shoes."),
     ("style", "Luxury", "bottom:shorts", "Luxury outfits do not use shorts."), ("style", "Luxury", "top:hoodie", "Hoodies are not suitable for the selected Luxury style."),
     ("style", "Luxury", "bottom:cargo bottom:joggers", "Cargo and joggers are not suitable for Luxury outfits."), ("style", "Luxury", "shoes:sandals", "Sandals are not suitable for Luxury outfits."),
     ("style", "Classic", "bottom:shorts", "Classic outfits do not use shorts."), ("style", "Classic", "bottom:cargo bottom:joggers", "Cargo and joggers are not suitable for Classic outfits."),
@@ -100,7 +100,7 @@ def _holds(what: str) -> str:
     if what.startswith("any "):
         return "(" + " OR ".join(f"coalesce({s} IN {_names(what[4:].split())}, FALSE)" for s in SLOTS) + ")"
     special = {
-        "jacket": "jacket_t IS NOT NULL", "no jacket": "jacket_t IS NULL", "no top": "top_t IS NULL", "no bottom": "bottom_t IS NULL", "no shoes": "shoes_t IS NULL",
+        "jacket": "jacket_t IS NOT NULL", "no jacket": "jacket_t IS NULL", "no top": "top_t IS NULL", "no bottom or dress": "(bottom_t IS NULL AND NOT is_dress)", "no shoes": "shoes_t IS NULL",
         "light jacket": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'coat')})", "jacket without sport": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'sport')})",
         "shoes without sneakers or sport": f"NOT ({_kind('shoes', 'sneakers')} OR {_kind('shoes', 'sport')})",
     }

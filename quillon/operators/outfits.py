@@ -17,42 +17,59 @@ MOST_TEXTS = 100_000
 
 
 def _named(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
-    """text, c and b: colour and brightness of each different text, worked out once for each. Up to MOST_TEXTS are sent to all
-    tasks; more are joined by text."""
+    """text and the code of its colour and brightness (see color.code), worked out once for each different text. Up to
+    MOST_TEXTS are sent to all tasks; more are joined by text."""
     texts = outfits.select(F.explode(F.array(*slots)).alias("text")).where("text IS NOT NULL").distinct()
     small = texts.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS
-    names = texts.withColumn("c", C.normalize(F.col("text"))).withColumn("b", C.brightness(F.col("text"), F.col("c")))
+    names = texts.withColumn("c", C.normalize(F.col("text"))).withColumn("b", C.brightness(F.col("text"), F.col("c"))).select("text", C.code(F.col("c"), F.col("b")).alias("code"))
     return F.broadcast(names) if small else names
 
 
-def with_colors(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
-    """For each slot its colour and brightness (null where nothing is worn), colors (those that are known) and groups."""
+def with_codes(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
+    """outfits with the code of the colour of each slot, <slot>_code; null where nothing is worn."""
     names = _named(outfits, slots)
     for s in slots:
-        outfits = outfits.join(names.select(F.col("text").alias(s), F.col("c").alias(f"{s}_c"), F.col("b").alias(f"{s}_b")), s, "left")
-    known = F.filter(F.array(*[F.col(f"{s}_c") for s in slots]), lambda x: x.isNotNull() & (x != C.UNKNOWN))
-    return outfits.withColumn("colors", known).withColumn("groups", F.array_compact(F.array(*[F.col(f"{s}_b") for s in slots])))
+        outfits = outfits.join(names.select(F.col("text").alias(s), F.col("code").alias(f"{s}_code")), s, "left")
+    return outfits
 
 
 def color_scores(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
-    """The six sub-scores of a look and their blend; each is whole before it is blended. All columns stay."""
-    rows = with_colors(outfits, slots)
-    style = F.coalesce("style", F.lit("Minimal"))
-    there = lambda *s: F.lit(True) if not s else F.col(s[0]).isNotNull() & there(*s[1:])
-    pairs = [(there(a, b), C.pair_score(F.col(f"{a}_c"), F.col(f"{a}_b"), F.col(f"{b}_c"), F.col(f"{b}_b")), w) for a, b, w in C.HARMONY if a in slots and b in slots]
-    same = lambda a, b: F.coalesce((F.col(f"{a}_c") == F.col(f"{b}_c")) & (F.col(f"{a}_c") != C.UNKNOWN), F.lit(False))
-    different = F.size(F.array_distinct("colors"))
+    """The six sub-scores of a look and their blend; each is whole before it is blended. All columns stay.
+
+    Colours are numbers, what is counted of them is one sum, and how well two go together is looked up in the list of all
+    pairs of codes, which has a fixed length: so the generated code is short enough to be compiled.
+    """
+    rows = with_codes(outfits, slots)
+    points = F.broadcast(C.pair_scores(outfits.sparkSession))
+    used = [(a, b, w) for a, b, w in C.HARMONY if a in slots and b in slots]
+    pair_code = lambda s: F.shiftright(f"{s}_code", C.CODE_BITS)
+    for a, b, _ in used:
+        names = [f"{a} {b}", f"{a} {b} points"]
+        rows = rows.withColumn(names[0], pair_code(a) * C.STRIDE + pair_code(b)).join(points.toDF(*names), names[0], "left").drop(names[0])
+    color = lambda s: F.floor(pair_code(s) / len(C.BRIGHTNESSES)).cast("int")
+    rows = rows.withColumns({f"{s} color": color(s) for s in slots} | {"all counts": sum((F.coalesce(f"{s}_code", F.lit(0)) for s in slots), F.lit(0).cast("long"))})
+    n = lambda name: C.counted(F.col("`all counts`"), name)
+    none = len(C.COLORS)
+    bits = F.lit(0)
+    for s in slots:
+        bits = bits.bitwiseOR(F.when(F.col(f"`{s} color`") < none, F.call_function("shiftleft", F.lit(1), F.col(f"`{s} color`"))).otherwise(0))
+    rows = rows.withColumn("all colors", bits).withColumns({name: n(name) for name in (*C.COUNTED, *[f"{b} ones" for b in C.BRIGHT])})
+    style, bits, of = F.coalesce("style", F.lit("Minimal")), F.col("`all colors`"), lambda name: F.col(f"`{name}`")
+    same = lambda a, b: F.coalesce((of(f"{a} color") == of(f"{b} color")) & (of(f"{a} color") < none), F.lit(False))
+    different = F.bit_count(bits)
     spread = F.lit(68)
-    for a, b, points in C.REPEATS:
+    for a, b, more in C.REPEATS:
         if a in slots and b in slots:
-            spread = spread + F.when(same(a, b), points).otherwise(0)
+            spread = spread + F.when(same(a, b), more).otherwise(0)
     for s in ("watch", "accessory"):
         if s in slots:
             spread = spread + F.when(same(s, "top") | same(s, "shoes"), 6).otherwise(0)
     spread = score(spread + F.when(different.between(2, 3), 8).otherwise(0) - F.when(different >= 5, 28).otherwise(0))
+    white = bits.bitwiseAND(1 << C.COLORS.index("White")) != 0
+    pairs = [(of(f"{a} {b} points").isNotNull(), of(f"{a} {b} points"), w) for a, b, w in used]
     rows = rows.select(
-        *outfits.columns, C.weighted(pairs).cast("int").alias("pair_harmony"), C.color_count_score(different, style).alias("color_count"), C.light_dark_score(F.col("groups"), style).alias("light_dark"),
-        C.neutral_score(F.col("colors")).alias("neutral"), spread.alias("distribution"), C.context_score(F.col("colors"), F.col("style"), F.col("weather"), F.col("season")).cast("int").alias("context"),
+        *outfits.columns, C.weighted(pairs).cast("int").alias("pair_harmony"), C.color_count_score(different, style).alias("color_count"), C.light_dark_score(of("light ones"), of("medium ones"), of("dark ones"), style).alias("light_dark"),
+        C.neutral_score(of("known"), of("neutral"), of("strong")).alias("neutral"), spread.alias("distribution"), C.context_score(of, white, F.col("style"), F.col("weather"), F.col("season")).cast("int").alias("context"),
     )
     final = F.col("pair_harmony") * 0.45 + F.col("color_count") * 0.15 + F.col("light_dark") * 0.15 + F.col("neutral") * 0.1 + F.col("distribution") * 0.1 + F.col("context") * 0.05
     return rows.withColumn("color_score", score(final))

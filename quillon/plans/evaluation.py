@@ -12,7 +12,8 @@ from .styling import _LOOKS, SLOTS
 
 #: What is written about the items of a look, derived from its keys; both engines take these expressions.
 TEXTS = {
-    "top_t": "lower(concat(CASE part_key % 6 WHEN 0 THEN 'T-Shirt' WHEN 1 THEN 'Shirt' WHEN 2 THEN 'Polo' WHEN 3 THEN 'Hoodie' WHEN 4 THEN 'Sweater' ELSE 'Blouse' END, ' ', top))",
+    "is_dress": "part_key % 11 = 6",
+    "top_t": "lower(concat(CASE WHEN part_key % 11 = 6 THEN 'Evening dress' ELSE CASE part_key % 6 WHEN 0 THEN 'T-Shirt' WHEN 1 THEN 'Shirt' WHEN 2 THEN 'Polo' WHEN 3 THEN 'Hoodie' WHEN 4 THEN 'Sweater' ELSE 'Blouse' END END, ' ', top))",
     "bottom_t": "CASE WHEN bottom IS NULL THEN NULL ELSE lower(concat(CASE supp_key % 6 WHEN 0 THEN 'Formal pants' WHEN 1 THEN 'Jeans' WHEN 2 THEN 'Cargo' WHEN 3 THEN 'Joggers' WHEN 4 THEN 'Shorts' ELSE 'Skirt' END, ' ', bottom)) END",
     "shoes_t": "lower(concat(CASE order_key % 5 WHEN 0 THEN 'Sneakers' WHEN 1 THEN 'Boots' WHEN 2 THEN 'Loafers' WHEN 3 THEN 'Sandals' ELSE 'Heels' END, ' ', shoes))",
     "jacket_t": "CASE WHEN jacket IS NULL THEN NULL ELSE lower(concat(CASE line_no % 4 WHEN 0 THEN 'Blazer' WHEN 1 THEN 'Coat' WHEN 2 THEN 'Sport jacket' ELSE 'Bomber' END, ' ', jacket)) END",
@@ -65,14 +66,71 @@ def outfit_evaluation_topk(spark, sf):
 QUERIES = {f.__name__: f for f in (hard_rejections, rule_scores, outfit_evaluation, outfit_evaluation_topk)}
 
 _TEXT_SQL = ", ".join(f"{sql} AS {name}" for name, sql in TEXTS.items())
-_KIND_SQL = ", ".join(f"{sql} AS {name}" for name, sql in L.kinds().items())
-_RULES = f"{_LOOKS}, tx0 AS (SELECT l5.*, {_TEXT_SQL} FROM l5), tx AS (SELECT *, {_KIND_SQL} FROM tx0), rj AS (SELECT *, list_filter([{', '.join(f'CASE WHEN {sql} THEN {chr(39)}{reason}{chr(39)} END' for sql, reason in L.rejections())}], lambda r: r IS NOT NULL) AS rs FROM tx)"
-_EVALUATED = f"""{_RULES}, s1 AS (SELECT *, CAST(least(100, greatest(0, floor(pair_harmony * 0.45e0 + color_count * 0.15e0 + light_dark * 0.15e0 + neutral * 0.1e0 + distribution * 0.1e0 + context * 0.05e0 + 0.5e0))) AS int) AS color_score, {', '.join(f'{sql} AS {name}' for name, sql in _SCORES.items())} FROM rj),
-  ev AS (SELECT *, {_FINAL} AS final_score, len(rs) = 0 AND {_FINAL} >= {L.least_score()} AS accepted FROM s1)"""
+
+
+def _in(names: str) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names.split()) + ")"
+
+
+def _of(names: str) -> str:
+    return f"len(list_filter(cl, lambda c: c IN {_in(names)}))"
+
+
+def _rated(base: str) -> str:
+    return f"CAST(least(100, greatest(0, floor({base} + 0.5e0))) AS int)"
+
+
+def _style(good: str, bad: str, wrong: int, most: int, few: int, many: int, jacket: int, points: str) -> str:
+    return _rated(f"60 + 5 * {_of(good)} - {wrong} * {_of(bad) if bad else 0} + CASE WHEN len(list_distinct(cl)) <= {most} THEN {few} ELSE -{many} END + CASE WHEN j THEN {jacket} ELSE 0 END + {points} + (pair - 70) * 0.25e0")
+
+
+def _if(*rules) -> str:
+    return " + ".join(f"CASE {' '.join(f'WHEN {w} THEN {n}' for w, n in zip(r[::2], r[1::2], strict=True))} ELSE 0 END" for r in rules)
+
+
+#: Written out rule by rule from the rules' description, without the tables and the text that the queries use.
+_RULES = f"""{_LOOKS}, tx AS (SELECT l5.*, {_TEXT_SQL} FROM l5),
+  fam(k) AS (VALUES {', '.join(f"('{c}>{m}')" for c, names in L.FAMILIES.items() for m in names.split())}),
+  kd AS (SELECT *, list_filter([top, bottom, shoes, jacket], lambda c: c IS NOT NULL) AS cl, regexp_matches(top_t, 'tshirt|t-shirt|tee') AS tee, contains(top_t, 'shirt') AND NOT regexp_matches(top_t, 'tshirt|t-shirt|tee') AS shirt, contains(top_t, 'polo') AS polo, contains(top_t, 'hoodie') AS hoodie, contains(top_t, 'sweater') AS sweater,
+    coalesce(regexp_matches(bottom_t, 'shorts|short pants'), FALSE) AS short, coalesce(contains(bottom_t, 'skirt'), FALSE) AS skirt, coalesce(contains(bottom_t, 'formal'), FALSE) AS formal, coalesce(regexp_matches(bottom_t, 'jeans|denim'), FALSE) AS jeans, coalesce(contains(bottom_t, 'cargo'), FALSE) AS cargo, coalesce(regexp_matches(bottom_t, 'jogger|sweatpants'), FALSE) AS jog,
+    contains(shoes_t, 'sneaker') AS sneak, contains(shoes_t, 'boot') AS boot, contains(shoes_t, 'loafer') AS loafer, contains(shoes_t, 'sandal') AS sandal, contains(shoes_t, 'sport') AS sporty, jacket_t IS NOT NULL AS j, coalesce(contains(jacket_t, 'coat'), FALSE) AS coat, coalesce(contains(jacket_t, 'sport'), FALSE) AS jsport,
+    coalesce(top, 'Black') AS pa, coalesce(bottom, 'Black') AS pb FROM tx),
+  pr AS (SELECT *, CASE WHEN pa = pb THEN 88 WHEN pa IN {_in('Black White Gray Beige Brown Navy Cream')} AND pb IN {_in('Black White Gray Beige Brown Navy Cream')} THEN 95 WHEN concat(pa, '>', pb) IN (SELECT k FROM fam) OR concat(pb, '>', pa) IN (SELECT k FROM fam) THEN 92
+    WHEN least(pa, pb) || greatest(pa, pb) IN ('GreenRed', 'PurpleYellow', 'OrangePink', 'OrangeRed', 'GreenPurple') THEN 45 ELSE 70 END AS pair FROM kd),
+  rj AS (SELECT *, list_filter([CASE WHEN NOT is_dress AND bottom_t IS NULL THEN 'Missing bottom.' END,
+    CASE WHEN style = 'Luxury' AND short THEN 'Luxury outfits do not use shorts.' END, CASE WHEN style = 'Luxury' AND hoodie THEN 'Hoodies are not suitable for the selected Luxury style.' END, CASE WHEN style = 'Luxury' AND (cargo OR jog) THEN 'Cargo and joggers are not suitable for Luxury outfits.' END, CASE WHEN style = 'Luxury' AND sandal THEN 'Sandals are not suitable for Luxury outfits.' END,
+    CASE WHEN style = 'Classic' AND short THEN 'Classic outfits do not use shorts.' END, CASE WHEN style = 'Classic' AND (cargo OR jog) THEN 'Cargo and joggers are not suitable for Classic outfits.' END, CASE WHEN style = 'Classic' AND hoodie THEN 'Hoodies are not suitable for Classic outfits.' END, CASE WHEN style = 'Classic' AND sandal THEN 'Sandals are not suitable for Classic outfits.' END,
+    CASE WHEN style = 'Sport' AND j AND NOT jsport THEN 'This jacket is not suitable for a Sport outfit.' END, CASE WHEN style = 'Sport' AND (loafer OR boot) THEN 'Loafers and boots are not suitable for this Sport outfit.' END,
+    CASE WHEN occasion = 'Work' AND short THEN 'Shorts are not suitable for Work.' END, CASE WHEN occasion = 'Work' AND (hoodie OR tee) THEN 'This top is too casual for Work.' END, CASE WHEN occasion = 'Work' AND sandal THEN 'Sandals are not suitable for Work.' END,
+    CASE WHEN occasion = 'Date' AND short THEN 'Shorts are not suitable for this Date outfit.' END, CASE WHEN occasion = 'Date' AND jog THEN 'Joggers are too casual for this Date outfit.' END, CASE WHEN occasion = 'Party' AND jog THEN 'Joggers are not suitable for this Party outfit.' END,
+    CASE WHEN occasion = 'Sport' AND NOT sneak AND NOT sporty THEN 'Sport outfits require sneakers.' END, CASE WHEN occasion = 'Summer' AND j THEN 'Summer outfits should not include a jacket.' END, CASE WHEN occasion = 'Summer' AND boot THEN 'Boots are not suitable for Summer.' END,
+    CASE WHEN weather = 'Hot' AND j THEN 'Hot weather outfits should not include a jacket.' END, CASE WHEN weather = 'Hot' AND boot THEN 'Boots are not suitable for hot weather.' END, CASE WHEN weather = 'Rainy' AND sandal THEN 'Sandals are not suitable for rainy weather.' END, CASE WHEN season = 'Summer' AND coat THEN 'A coat is not suitable for Summer.' END],
+    lambda r: r IS NOT NULL) AS rs FROM pr),
+  sc AS (SELECT *, CASE style
+    WHEN 'Minimal' THEN {_style('Black White Gray Beige Brown Navy', 'Yellow Orange Pink Purple', 15, 3, 15, 25, 4, _if((f"len(cl) = {_of('Black White Gray Beige Brown Navy Cream')}", 20), ('tee OR shirt OR polo', 10), ('jeans OR formal', 10), ('sneak', 8)))}
+    WHEN 'Classic' THEN {_style('Black White Gray Navy Brown Beige', 'Pink Orange Yellow Purple', 20, 3, 20, 30, 18, _if(('shirt OR polo OR sweater', 22), ('formal OR jeans', 18), ('loafer OR boot', 20), ('j', 12)))}
+    WHEN 'Luxury' THEN {_style('Black White Gray Navy Brown Beige', 'Yellow Orange Pink Purple Green', 25, 3, 25, 35, 25, _if(('shirt OR polo', 25), ('formal', 25, 'jeans', 10), ('loafer', 25, 'boot', 15, 'sneak', -8), ('j', 20)))}
+    WHEN 'Streetwear' THEN {_style('Black White Gray Green Blue Red', '', 8, 5, 15, 10, 10, _if(('hoodie OR tee', 22), ('cargo OR jeans', 22), ('sneak', 25)))}
+    ELSE {_style('Black White Blue Gray', 'Brown Purple', 10, 4, 15, 15, -10, _if(('tee OR hoodie', 20), ('short OR jog', 25), ('sneak', 30)))} END AS style_score,
+    CASE occasion WHEN 'Casual' THEN {_rated(f"65 + 5 * {_of('Black White Gray Blue Green Brown Beige')} + " + _if(('tee OR polo OR hoodie', 15), ('jeans OR cargo OR short', 15), ('sneak', 15)))}
+    WHEN 'Work' THEN {_rated(f"65 + 5 * {_of('Black White Gray Navy Brown Beige')} + " + _if(('shirt OR polo', 25), ('formal', 25), ('loafer', 20), ('j', 10)))}
+    WHEN 'Date' THEN {_rated(f"65 + 5 * {_of('Black White Gray Navy Brown Beige Red')} + " + _if(('shirt OR polo OR sweater', 18), ('formal OR jeans', 18), ('loafer OR boot', 16)))}
+    WHEN 'Party' THEN {_rated(f"65 + 5 * {_of('Black White Gray Red Navy')} + " + _if(('shirt OR polo OR tee', 15), ('jeans OR formal', 15), ('sneak OR loafer', 15)))}
+    WHEN 'Sport' THEN {_rated(f"65 + 5 * {_of('Black White Blue Gray')} + " + _if(('tee OR hoodie', 20), ('short OR jog', 25), ('sneak', 25)))}
+    WHEN 'Summer' THEN {_rated(f"65 + 5 * {_of('White Beige Blue Gray Green')} + " + _if(('tee OR polo', 15), ('short OR skirt', 20), ('sneak OR sandal', 15), ('NOT j', 10)))} ELSE 75 END AS occasion_score,
+    CASE weather WHEN 'Hot' THEN {_rated(f"65 + 5 * {_of('White Beige Blue Gray Green')} + " + _if(('NOT j', 20), ('short OR skirt', 15), ('sandal OR sneak', 10)))}
+    WHEN 'Mild' THEN {_rated(f"80 + 5 * {_of('Black White Gray Brown Beige Blue')} + " + _if(('j AND NOT coat', 5)))}
+    WHEN 'Rainy' THEN {_rated(f"65 + 5 * {_of('Black Gray Brown Navy')} - 10 * {_of('White')} + " + _if(('j', 15, 'TRUE', 5), ('boot', 20), ('sandal', -40)))} ELSE 75 END AS weather_score,
+    CASE season WHEN 'Spring' THEN {_rated(f"65 + 5 * {_of('White Blue Green Gray Beige')} + " + _if((f"{_of('White Blue Green Beige Gray')} > 0", 15), ('j AND NOT coat', 5)))}
+    WHEN 'Summer' THEN {_rated(f"65 + 5 * {_of('White Beige Blue Gray Green')} + " + _if(('NOT j', 20), ('short OR skirt', 15), (f"{_of('White Beige Cream Gray')} > 0 OR list_contains(cl, 'Light Blue')", 10)))} ELSE 75 END AS season_score,
+    65 AS accessory_score, {_FAVORITES} AS favorite_score,
+    CAST(least(100, greatest(0, floor(pair_harmony * 0.45e0 + color_count * 0.15e0 + light_dark * 0.15e0 + neutral * 0.1e0 + distribution * 0.1e0 + context * 0.05e0 + 0.5e0))) AS int) AS color_score FROM rj),
+  ev AS (SELECT *, CAST(least(100, greatest(0, floor(color_score * 0.3e0 + style_score * 0.25e0 + occasion_score * 0.15e0 + weather_score * 0.1e0 + season_score * 0.1e0 + accessory_score * 0.05e0 + favorite_score * 0.05e0 + 0.5e0))) AS int) AS final_score FROM sc),
+  ac AS (SELECT *, len(rs) = 0 AND final_score >= CASE style WHEN 'Minimal' THEN 78 WHEN 'Classic' THEN 82 WHEN 'Luxury' THEN 85 ELSE 72 END AS accepted FROM ev)"""
 _K = ", ".join(_KEYS)
 ORACLES = {
     "hard_rejections": f"{_RULES} SELECT {_K}, array_to_string(rs, ' ') AS reasons, len(rs) AS n_reasons FROM rj",
-    "rule_scores": f"{_RULES} SELECT {_K}, {', '.join(f'{sql} AS {name}' for name, sql in _SCORES.items())} FROM rj",
-    "outfit_evaluation": f"{_EVALUATED} SELECT {_K}, color_score, style_score, final_score, accepted FROM ev",
-    "outfit_evaluation_topk": f"{_EVALUATED} SELECT supp_key, CAST(rank AS int) AS rank, order_key, line_no, part_key, final_score FROM (SELECT *, row_number() OVER (PARTITION BY supp_key ORDER BY final_score DESC, order_key, line_no, part_key) AS rank FROM ev WHERE accepted) WHERE rank <= 10",
+    "rule_scores": f"{_RULES} SELECT {_K}, style_score, occasion_score, weather_score, season_score, accessory_score, favorite_score FROM sc",
+    "outfit_evaluation": f"{_RULES} SELECT {_K}, color_score, style_score, final_score, accepted FROM ac",
+    "outfit_evaluation_topk": f"{_RULES} SELECT supp_key, CAST(rank AS int) AS rank, order_key, line_no, part_key, final_score FROM (SELECT *, row_number() OVER (PARTITION BY supp_key ORDER BY final_score DESC, order_key, line_no, part_key) AS rank FROM ac WHERE accepted) WHERE rank <= 10",
 }

@@ -39,8 +39,8 @@ ITEM_STATES = ("ready", "queued", "processing", "failed", "cancelled")
 
 
 def named(names: tuple[str, ...], place: str) -> str:
-    """SQL of the name at a 0-based place; null for none."""
-    return f"CASE {place} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+    """SQL of the name at a 0-based place; null for none. A list that is split keeps the generated code short."""
+    return f"CASE WHEN {place} BETWEEN 0 AND {len(names) - 1} THEN split_part('{'|'.join(names)}', '|', CAST({place} AS int) + 1) END"
 
 
 _EVENT_ISSUE = dict(zip(("click", "view", "error", "purchase", "signup"), (k for k, _, _ in ISSUES), strict=True))
