@@ -140,7 +140,7 @@ def squeezed(a: np.ndarray, size: int | None = None) -> bytes:
     """The values, of each the lowest `size` bytes, first bytes first: small and slowly growing ones take little room."""
     wide = a.dtype.itemsize
     by_byte = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), wide)[:, : size or wide]
-    return zstandard.compress(np.ascontiguousarray(by_byte.T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(by_byte.T).tobytes(), 3)
 
 
 def loose(b: bytes, kind: type, size: int | None = None) -> np.ndarray:

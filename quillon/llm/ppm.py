@@ -29,9 +29,10 @@ END_WORD = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
 MESSAGES = "dest long, block long, keys binary, counts binary"
 ANSWERS = "block long, dest long, answer binary"
-#: Cells of the pairs of symbols; the keys of words in the same table are negative.
-PAIRS = 1 << 2 * BITS
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Cells of the pairs of symbols; bits behind the point of what is sent, and what stands for a number that is too large; the
+#: block that the totals of the words go to.
+PAIRS, POINT, FAR, TOTALS = 1 << 2 * BITS, 27, (1 << 32) - 1, -1
+SUMS = "total boolean, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def lower_bytes(buf: np.ndarray) -> np.ndarray:
@@ -222,15 +223,24 @@ class Model:
 
 
 def _values(values: np.ndarray) -> bytes:
-    """Doubles or integers of which many are the same: the different ones, and the place of each."""
-    every, at = np.unique(values, return_inverse=True)
-    table, places = squeezed(every), squeezed(at.astype(np.uint32), max(1, (len(every).bit_length() + 7) // 8))
-    return len(table).to_bytes(4, "little") + table + max(1, (len(every).bit_length() + 7) // 8).to_bytes(1, "little") + places
+    """Log probabilities in 32 bits with POINT bits behind the point, in steps of 4e-9 (a 32-bit float of -2 has steps of
+    2e-7); what is out of range follows as it is. Counts as they are."""
+    if values.dtype != np.float64:
+        return squeezed(values)
+    scaled = np.rint(-values * (1 << POINT))
+    far = scaled >= FAR
+    table = squeezed(np.where(far, FAR, scaled).astype(np.uint32))
+    return len(table).to_bytes(4, "little") + table + values[far].tobytes()
 
 
 def _valued(b: bytes, kind: type) -> np.ndarray:
+    if kind is not np.float64:
+        return loose(b, kind)
     end = 4 + int.from_bytes(b[:4], "little")
-    return loose(b[4:end], kind)[loose(b[end + 1 :], np.uint32, b[end])]
+    scaled = loose(b[4:end], np.uint32)
+    out = scaled / -float(1 << POINT)
+    out[scaled == FAR] = np.frombuffer(b[end:], np.float64)
+    return out
 
 
 def _answer(shared):
@@ -248,17 +258,26 @@ def _answer(shared):
             four = (short["key"].to_numpy().astype(U), short["n"].to_numpy()) if short.num_rows else None
             values = Model(every[trained], values[trained], pairs, four).log10(every)
         parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"block": got["block"], "dest": got["dest"], "answer": pa.array([_values(values[p]) for p in parts], pa.binary())})
+        to, answers = got["block"].to_pylist(), [_values(values[p]) for p in parts]
+        if dest >= layout.groups:  # tokens and different ones, once
+            to.append(TOTALS)
+            answers.append(np.array([values.sum(), (values > 0).sum()], np.int64).tobytes())
+        return pa.table({"block": pa.array(to, pa.int64()), "dest": pa.array([dest] * len(to), pa.int64()), "answer": pa.array(answers, pa.binary())})
 
     return run
 
 
-def _score(shared, width: int, trained: int, distinct: int):
+def _score(shared, width: int):
+    names = [f.split()[0] for f in SUMS.split(", ")]
+    kinds = [pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def table_of(columns) -> pa.Table:
+        return pa.table({k: x if isinstance(x, pa.Array) else pa.array(x, t) for k, x, t in zip(names, columns, kinds, strict=True)})
+
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not block.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+            both = np.sum([np.frombuffer(a, np.int64) for a in answers["answer"].to_pylist()] or [[0, 0]], axis=0)
+            return table_of([[True], [None], [None], both[:1], both[1:], [None], [None]])
         b = Block(block)
         by_dest = dict(zip(answers["dest"].to_pylist(), answers["answer"].to_pylist(), strict=True))
         values = []
@@ -275,37 +294,32 @@ def _score(shared, width: int, trained: int, distinct: int):
         keys, v = values[1]
         c = Places(keys).values(b.words, v)
         n = np.bincount(b.word_of, minlength=texts)
-        base = np.bincount(b.word_of, np.log10(c + 1.0), texts) - n * np.log10(trained + distinct + 1.0)
-        columns = [ids_or_null(b.rows["doc_id"].to_numpy()), b.rows["held_out"].combine_chunks(), n, np.bincount(b.word_of, c > 0, texts).astype(np.int64), np.full(texts, trained), base, score]
-        return pa.table({k: pa.array(x, t) if not isinstance(x, pa.Array) else x for k, x, t in zip(names, columns, kinds, strict=True)})
+        known = np.bincount(b.word_of, c > 0, texts).astype(np.int64)
+        return table_of([np.zeros(texts, bool), ids_or_null(b.rows["doc_id"].to_numpy()), b.rows["held_out"].combine_chunks(), n, known, np.bincount(b.word_of, np.log10(c + 1.0), texts), score])
 
     return run
 
 
-def training_counts(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Of the texts of docs: counts of (symbol before, symbol), PAIRS cells at most whatever the input; how many tokens they
-    have; and how many different ones. The words are counted where Spark puts them; only their number comes here."""
+def pair_counts(docs: DataFrame) -> np.ndarray:
+    """Counts of (symbol before, symbol) in the texts of docs, and of texts at 0: PAIRS cells at most, whatever the input."""
 
     def run(batches):
+        cells = np.zeros(PAIRS, np.int64)
         for batch in batches:
             for piece in in_pieces(batch):
                 buf, off = flat(pc.fill_null(piece["text"], ""))
-                buf = lower_bytes(buf)
-                s, _ = symbols(buf, off)
+                s, _ = symbols(lower_bytes(buf), off)
                 at = np.flatnonzero(s)
-                cells = np.bincount(s[at - 1].astype(np.int64) << BITS | s[at], minlength=PAIRS) if len(at) else np.zeros(PAIRS, np.int64)
-                cells[0] = len(off) - 1  # texts: what follows (0, 0) is the first symbol
-                some = np.flatnonzero(cells)
-                first, last, _ = tokens(buf, off)
-                words, n = np.unique(np.append(word_hashes(buf, first, last) >> U(1), np.full(len(off) - 1, END_WORD)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - words.astype(np.int64)])), pa.array(np.concatenate([cells[some], n]))], ["cell", "n"])
-
-    counted = written(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+                if len(at):
+                    cells += np.bincount(s[at - 1].astype(np.int64) << BITS | s[at], minlength=PAIRS)
+                cells[0] += len(off) - 1  # what follows (0, 0) is the first symbol of a text
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
+
     out = np.zeros(PAIRS, np.int64)
-    for cell, n in counted.where("cell >= 0").collect():
+    for cell, n in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
-    total, distinct = counted.where("cell < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    return out, total, distinct
+    return out
 
 
 def short_counts(docs: DataFrame, shared) -> DataFrame:
@@ -353,14 +367,17 @@ def score(docs: DataFrame) -> DataFrame:
     held = held_out(F.col("doc_id"))
     rows = in_blocks(docs, blocks, F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(~held, F.lit(False)).alias("train"))
     trained_on = docs.where(~held)
-    pairs, trained, distinct = training_counts(trained_on)
+    pairs = pair_counts(trained_on)
     layout = Layout(pairs, width)
     pairs = np.where(np.arange(PAIRS) == 0, 0, pairs)
     shared = spark.sparkContext.broadcast((pairs, layout))  # PAIRS entries
     sent = rows.groupBy("block").applyInArrow(_send(shared, width), MESSAGES)
     short = short_counts(trained_on, shared) if (layout.parts > 1).any() else spark.createDataFrame([], "dest long, key long, n long")
     answers = sent.groupBy("dest").cogroup(short.groupBy("dest")).applyInArrow(_answer(shared), ANSWERS)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, width, trained, distinct), SCHEMA)
+    sums = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, width), SUMS))
+    trained, distinct = sums.where("total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(trained + distinct + 1))
+    return sums.where("NOT total").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
