@@ -142,7 +142,16 @@ _LOOKS = "WITH " + sql_of("outfits") + ", " + _pairs() + f""", l0 AS (SELECT o.*
 _HSL = """hsl AS (SELECT *, CASE WHEN mx = mn THEN 0.0e0 WHEN mx = rr THEN (gg - bb) / (mx - mn) + CASE WHEN gg < bb THEN 6 ELSE 0 END WHEN mx = gg THEN (bb - rr) / (mx - mn) + 2 ELSE (rr - gg) / (mx - mn) + 4 END * 60 AS h,
   CASE WHEN mx = mn THEN 0.0e0 WHEN (mx + mn) / 2 > 0.5e0 THEN (mx - mn) / (2 - mx - mn) ELSE (mx - mn) / (mx + mn) END AS s, (mx + mn) / 2 AS l
   FROM (SELECT *, greatest(rr, gg, bb) AS mx, least(rr, gg, bb) AS mn FROM (SELECT *, r / 255.0e0 AS rr, g / 255.0e0 AS gg, b / 255.0e0 AS bb FROM {0})))"""
-_NAMED = "named AS (SELECT *, " + C.named_sql() + " AS color FROM hsl), shaded AS (SELECT *, " + C.shade_sql() + " AS shade FROM named)"
+#: The bands of hue and the shades written out, without the tables and the text that the query uses.
+_NAMED = """named AS (SELECT *, CASE WHEN s < 0.08 THEN CASE WHEN l < 0.18 THEN 'Black' WHEN l > 0.86 THEN 'White' WHEN l > 0.68 THEN 'Silver' ELSE 'Gray' END
+  WHEN h < 12 OR h >= 345 THEN CASE WHEN l < 0.42 THEN 'Burgundy' WHEN l > 0.68 AND s < 0.65 THEN 'Pink' ELSE 'Red' END WHEN h < 32 THEN CASE WHEN l < 0.36 THEN 'Brown' WHEN s < 0.45 AND l > 0.55 THEN 'Camel' ELSE 'Orange' END
+  WHEN h < 52 THEN CASE WHEN l > 0.72 AND s < 0.38 THEN 'Cream' WHEN l > 0.56 AND s < 0.45 THEN 'Beige' WHEN l < 0.42 THEN 'Brown' ELSE 'Camel' END WHEN h < 72 THEN CASE WHEN s < 0.35 THEN 'Khaki' WHEN l < 0.45 THEN 'Gold' ELSE 'Yellow' END
+  WHEN h < 165 THEN CASE WHEN s < 0.42 OR l < 0.36 THEN 'Olive' ELSE 'Green' END WHEN h < 195 THEN CASE WHEN l > 0.72 THEN 'Blue' ELSE 'Green' END WHEN h < 245 THEN CASE WHEN l < 0.32 THEN 'Navy' WHEN s < 0.48 AND l < 0.62 THEN 'Denim' ELSE 'Blue' END
+  WHEN h < 285 THEN CASE WHEN l < 0.35 THEN 'Navy' ELSE 'Purple' END ELSE CASE WHEN l > 0.58 THEN 'Pink' ELSE 'Purple' END END AS color FROM hsl),
+  shaded AS (SELECT *, CASE WHEN color IN ('Gold', 'Silver') THEN color WHEN l < 0.32 THEN CASE color WHEN 'Gray' THEN 'Dark Gray' WHEN 'Blue' THEN 'Dark Blue' WHEN 'Navy' THEN 'Dark Navy' WHEN 'Denim' THEN 'Dark Denim' WHEN 'Camel' THEN 'Dark Camel' WHEN 'Brown' THEN 'Dark Brown' WHEN 'Green' THEN 'Dark Green'
+    WHEN 'Red' THEN 'Dark Red' WHEN 'Purple' THEN 'Dark Purple' ELSE color END
+  WHEN l > 0.7 THEN CASE color WHEN 'White' THEN 'Cream' WHEN 'Gray' THEN 'Light Gray' WHEN 'Blue' THEN 'Light Blue' WHEN 'Denim' THEN 'Light Denim' WHEN 'Camel' THEN 'Light Camel' WHEN 'Cream' THEN 'Cream' WHEN 'Brown' THEN 'Light Brown' WHEN 'Pink' THEN 'Light Pink' WHEN 'Khaki' THEN 'Light Khaki' ELSE color END
+  ELSE color END AS shade FROM named)"""
 _CELLS = "WITH " + sql_of("pixels") + """, cells AS (SELECT image_id, CAST(floor(r / 24.0e0 + 0.5e0) AS bigint) AS cr, CAST(floor(g / 24.0e0 + 0.5e0) AS bigint) AS cg, CAST(floor(b / 24.0e0 + 0.5e0) AS bigint) AS cb, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM pixels
   WHERE NOT (((r + g + b) / 3.0e0 > 232 AND greatest(r, g, b) - least(r, g, b) < 28) OR (r + g + b) / 3.0e0 < 18) GROUP BY 1, 2, 3, 4),
   best AS (SELECT image_id, CAST(floor(r / n + 0.5e0) AS bigint) AS r, CAST(floor(g / n + 0.5e0) AS bigint) AS g, CAST(floor(b / n + 0.5e0) AS bigint) AS b, n AS pixels FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cr, cg, cb) AS place FROM cells) WHERE place = 1)"""
