@@ -91,14 +91,14 @@ def _kind(slot: str, kind: str) -> str:
     return f"(is_{slot}_anyshirt AND NOT is_{slot}_tshirt)" if kind == "shirt" else f"is_{slot}_{kind}"
 
 
-def _holds(what: str) -> str:
+def _holds(what: str, slots=SLOTS) -> str:
     """SQL of a condition of the tables."""
     if what == "always":
         return "TRUE"
     if what == "all neutral":
-        return "(" + " AND ".join(f"({s} IS NULL OR {s} IN {_names(NEUTRAL)})" for s in SLOTS) + ")"
+        return "(" + " AND ".join(f"({s} IS NULL OR {s} IN {_names(NEUTRAL)})" for s in slots) + ")"
     if what.startswith("any "):
-        return "(" + " OR ".join(f"coalesce({s} IN {_names(what[4:].split())}, FALSE)" for s in SLOTS) + ")"
+        return "(" + " OR ".join(f"coalesce({s} IN {_names(what[4:].split())}, FALSE)" for s in slots) + ")"
     special = {
         "jacket": "jacket_t IS NOT NULL", "no jacket": "jacket_t IS NULL", "no top": "top_t IS NULL", "no bottom or dress": "(bottom_t IS NULL AND NOT is_dress)", "no shoes": "shoes_t IS NULL",
         "light jacket": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'coat')})", "jacket without sport": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'sport')})",
@@ -107,22 +107,22 @@ def _holds(what: str) -> str:
     return special[what] if what in special else "(" + " OR ".join(_kind(*w.split(":")) for w in what.split()) + ")"
 
 
-def _points(rules) -> str:
+def _points(rules, slots=SLOTS) -> str:
     out = []
     for rule in rules:
         pairs = list(zip(rule[::2], rule[1::2], strict=True))
-        out.append("CASE " + " ".join(f"WHEN {_holds(w)} THEN {n}" for w, n in pairs) + " ELSE 0 END")
+        out.append("CASE " + " ".join(f"WHEN {_holds(w, slots)} THEN {n}" for w, n in pairs) + " ELSE 0 END")
     return "(" + " + ".join(out or ["0"]) + ")"
 
 
-def _count(names: str) -> str:
-    return "(" + " + ".join(f"CASE WHEN {s} IN {_names(names.split())} THEN 1 ELSE 0 END" for s in SLOTS) + ")" if names else "0"
+def _count(names: str, slots=SLOTS) -> str:
+    return "(" + " + ".join(f"CASE WHEN {s} IN {_names(names.split())} THEN 1 ELSE 0 END" for s in slots) + ")" if names else "0"
 
 
-def different_colors() -> str:
+def different_colors(slots=SLOTS) -> str:
     out = []
-    for i, s in enumerate(SLOTS):
-        again = " OR ".join(f"coalesce({s} = {b}, FALSE)" for b in SLOTS[:i]) or "FALSE"
+    for i, s in enumerate(slots):
+        again = " OR ".join(f"coalesce({s} = {b}, FALSE)" for b in slots[:i]) or "FALSE"
         out.append(f"CASE WHEN {s} IS NOT NULL AND NOT ({again}) THEN 1 ELSE 0 END")
     return "(" + " + ".join(out) + ")"
 
@@ -140,22 +140,22 @@ def _whole(x: str) -> str:
     return f"CAST(least(100, greatest(0, floor({x} + 0.5e0))) AS int)"
 
 
-def style_score() -> str:
+def style_score(slots=SLOTS) -> str:
     out = "CASE style"
     for name, (good, bad, most, _, jacket, accessory, few, wrong, many) in STYLES.items():
-        total = f"60 + {_count(good)} * 5 - {_count(bad)} * {wrong} + CASE WHEN {different_colors()} <= {most} THEN {few} ELSE -{many} END + CASE WHEN jacket_t IS NOT NULL THEN {jacket} ELSE 0 END + CASE WHEN accessory_t IS NOT NULL THEN {accessory} ELSE 0 END"
+        total = f"60 + {_count(good, slots)} * 5 - {_count(bad, slots)} * {wrong} + CASE WHEN {different_colors(slots)} <= {most} THEN {few} ELSE -{many} END + CASE WHEN jacket_t IS NOT NULL THEN {jacket} ELSE 0 END + CASE WHEN accessory_t IS NOT NULL THEN {accessory} ELSE 0 END"
         pair = f"({pair_score('top', 'bottom')} - 70) * 0.25e0"
-        out += f" WHEN '{name}' THEN {_whole(f'{total} + {_points(STYLE_POINTS[name])} + {pair}')}"
+        out += f" WHEN '{name}' THEN {_whole(f'{total} + {_points(STYLE_POINTS[name], slots)} + {pair}')}"
     return out + " END"
 
 
-def occasion_score() -> str:
-    return "CASE " + " ".join(f"WHEN occasion = '{n}' THEN {_whole(f'65 + {_count(good)} * 5 + {_points(rules)}')}" for n, (good, rules) in OCCASIONS.items()) + " ELSE 75 END"
+def occasion_score(slots=SLOTS) -> str:
+    return "CASE " + " ".join(f"WHEN occasion = '{n}' THEN {_whole(f'65 + {_count(good, slots)} * 5 + {_points(rules, slots)}')}" for n, (good, rules) in OCCASIONS.items()) + " ELSE 75 END"
 
 
-def weather_score(column: str = "weather") -> str:
+def weather_score(column: str = "weather", slots=SLOTS) -> str:
     of = WEATHERS if column == "weather" else SEASONS
-    return "CASE " + " ".join(f"WHEN {column} = '{n}' THEN {_whole(f'65 + {_count(good)} * 5 - {_count(bad)} * 10 + {_points(rules)}')}" for n, (good, bad, rules) in of.items()) + " ELSE 75 END"
+    return "CASE " + " ".join(f"WHEN {column} = '{n}' THEN {_whole(f'65 + {_count(good, slots)} * 5 - {_count(bad, slots)} * 10 + {_points(rules, slots)}')}" for n, (good, bad, rules) in of.items()) + " ELSE 75 END"
 
 
 def accessory_score() -> str:

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import cleaned
 from ..functions.wear import engine_role
 
 #: Looks that are scored for an owner at most, as the loops come to them.
 MOST_LOOKS = 50_000
 
 
-def _role(items: DataFrame, name: str, slot: str, optional: bool = False) -> DataFrame:
-    """owner_id, slot (a struct of an item, or null first where it is optional), its place and how many there are."""
+def _role(items: DataFrame, sizes: DataFrame, name: str, slot: str, inner: Column, most: int, optional: bool = False) -> DataFrame:
+    """owner_id, slot (a struct of an item, or null first where it is optional) and its place; places from which on every look
+    is past the first `most` are left out, so the product that follows has about that many rows."""
     rows = items.where(F.col("role") == name)
     place = (F.row_number().over(W.partitionBy("owner_id").orderBy("id")) - (0 if optional else 1)).cast("long")
-    rows = rows.select("owner_id", F.struct("id", "color", "category", "favorite").alias(slot), place.alias(f"{slot}_at"))
+    rows = rows.select("owner_id", F.struct("id", "color", "category", "favorite", "name").alias(slot), place.alias(f"{slot}_at"))
     if optional:
         kind = rows.schema[slot].dataType
-        nothing = items.select("owner_id").distinct().select("owner_id", F.lit(None).cast(kind).alias(slot), F.lit(0).cast("long").alias(f"{slot}_at"))
-        rows = rows.unionByName(nothing)
-    return rows.withColumn(f"{slot}_n", F.count("*").over(W.partitionBy("owner_id")))
+        rows = rows.unionByName(sizes.select("owner_id", F.lit(None).cast(kind).alias(slot), F.lit(0).cast("long").alias(f"{slot}_at")))
+    return rows.join(sizes, "owner_id").where(F.col(f"{slot}_at") * inner < most).select("owner_id", slot, f"{slot}_at")
 
 
 def candidates(items: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
@@ -29,25 +32,59 @@ def candidates(items: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
 
     Looks with a bottom come first, in the order of nested loops over tops, bottoms, shoes, no jacket and jackets, no accessory
     and accessories; then dresses without a bottom. ordinal is worked out from the places, so nothing is sorted, and looks
-    from `most` on are left out. The join is by owner: one owner's wardrobe is what is multiplied, not the table.
+    from `most` on are left out, before the product where their place alone tells. The join is by owner: one owner's wardrobe
+    is what is multiplied, not the table.
     """
+    if "name" not in items.columns:
+        items = items.withColumn("name", F.lit(None).cast("string"))
     items = items.withColumn("role", engine_role(F.col("category")))
-    shoes, jackets, more = _role(items, "Shoes", "shoes"), _role(items, "Jackets", "jacket", True), _role(items, "Accessories", "accessory", True)
-    rest = shoes.join(jackets, "owner_id").join(more, "owner_id")
+    n = lambda role: F.count_if(F.col("role") == role)
+    sizes = items.groupBy("owner_id").agg(n("Tops").alias("tops"), n("Bottoms").alias("bottoms"), n("Shoes").alias("shoes_n"), (n("Jackets") + 1).alias("jacket_n"), (n("Accessories") + 1).alias("accessory_n"))
+    per_shoe = F.col("jacket_n") * F.col("accessory_n")
+    size = F.col("shoes_n") * per_shoe
+    shoes, jackets, more = _role(items, sizes, "Shoes", "shoes", per_shoe, most), _role(items, sizes, "Jackets", "jacket", F.col("accessory_n"), most, True), _role(items, sizes, "Accessories", "accessory", F.lit(1), most, True)
+    rest = shoes.join(jackets, "owner_id").join(more, "owner_id").join(sizes, "owner_id")
     inner = (F.col("shoes_at") * F.col("jacket_n") + F.col("jacket_at")) * F.col("accessory_n") + F.col("accessory_at")
-    size = F.col("shoes_n") * F.col("jacket_n") * F.col("accessory_n")
-    bottoms = _role(items, "Bottoms", "bottom")
-    regular = _role(items, "Tops", "top").join(bottoms, "owner_id").join(rest, "owner_id")
-    at = (F.col("top_at") * F.col("bottom_n") + F.col("bottom_at")) * size + inner
+    rest = rest.where(inner < most)
     slots = ("top", "bottom", "shoes", "jacket", "accessory")
-    first = regular.select("owner_id", at.alias("ordinal"), *slots)
-    regular_size = items.groupBy("owner_id").agg((F.count_if(F.col("role") == "Tops") * F.count_if(F.col("role") == "Bottoms")).alias("before"))
-    dresses = _role(items, "Dresses", "top").join(rest, "owner_id").join(regular_size, "owner_id")
+    bottoms = _role(items, sizes, "Bottoms", "bottom", size, most)
+    at = (F.col("top_at") * F.col("bottoms") + F.col("bottom_at")) * size + inner
+    pairs = _role(items, sizes, "Tops", "top", F.col("bottoms") * size, most).join(bottoms, "owner_id")
+    first = pairs.join(rest, "owner_id").select("owner_id", at.alias("ordinal"), *slots)
     kind = bottoms.schema["bottom"].dataType
-    second = dresses.select("owner_id", (F.col("before") * size + F.col("top_at") * size + inner).alias("ordinal"), "top", F.lit(None).cast(kind).alias("bottom"), "shoes", "jacket", "accessory")
+    after = F.col("tops") * F.col("bottoms") * size + F.col("top_at") * size + inner
+    dresses = _role(items, sizes, "Dresses", "top", size, most).join(rest, "owner_id")
+    second = dresses.select("owner_id", after.alias("ordinal"), "top", F.lit(None).cast(kind).alias("bottom"), "shoes", "jacket", "accessory")
     return first.unionByName(second).where(F.col("ordinal") < most)
 
 
+def accessory_slot(item: Column) -> Column:
+    """bag, cap, watch or other, by category and words in the texts of an item; other for none."""
+    c, name = cleaned(item["category"]), cleaned(item["name"])
+    every = F.concat_ws(" ", c, name)
+    has = lambda *words: functools.reduce(lambda a, b: a | b, [every.contains(w) for w in words])
+    return F.when(item["id"].isNull(), "other").when(c.isin("bag", "bags") | has("handbag", "backpack"), "bag").when(has("cap", "hat"), "cap").when(has("watch"), "watch").otherwise("other")
+
+
+def with_accessories(looks: DataFrame, items: DataFrame) -> DataFrame:
+    """Looks with bag, cap, watch and accessory: the look's own one where it is of that kind, else one of the owner's in turn,
+    by the look's ordinal (the number of looks before it, where none of these is a repeat) and 0 to 3 more."""
+    own = items.withColumn("role", engine_role(F.col("category"))).where("role = 'Accessories'")
+    item = F.struct("id", "color", "category", "favorite", "name")
+    own = own.select("owner_id", item.alias("item")).withColumn("slot", accessory_slot(F.col("item")))
+    pool = lambda slot: F.array_sort(F.collect_list(F.when(F.col("slot") == slot, F.col("item")))).alias(f"{slot}s")
+    pools = own.groupBy("owner_id").agg(*[pool(s) for s in ("bag", "cap", "watch", "other")])
+    kind = accessory_slot(F.col("accessory"))
+    rows = looks.withColumn("kind", F.when(F.col("accessory").isNull(), "other").otherwise(kind)).join(pools, "owner_id", "left")
+
+    def pick(slot: str, more: int) -> Column:
+        of = F.col(f"{slot}s")
+        return F.when(F.size(of) > 0, F.get(of, ((F.col("ordinal") + more) % F.size(of)).cast("int")))
+
+    worn = lambda slot, more: F.coalesce(F.when(F.col("kind") == slot, F.col("accessory")), pick(slot, more))
+    return rows.select(*[c for c in looks.columns if c != "accessory"], worn("bag", 0).alias("bag"), worn("cap", 1).alias("cap"), worn("watch", 2).alias("watch"), worn("other", 3).alias("accessory"))
+
+
 def identity(slots: tuple[str, ...] = ("top", "bottom", "shoes", "jacket", "accessory")) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in slots])
 
