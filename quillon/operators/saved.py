@@ -82,7 +82,8 @@ def draw_other(rows: DataFrame, by: str, current: Column, seed: Column) -> DataF
 def single(rows: DataFrame, key: str) -> DataFrame:
     """rows, of which none has a key twice; the query fails where one does."""
     twice = F.count("*").over(W.partitionBy(key)) > 1
-    return rows.withColumn("twice", F.when(twice, F.raise_error(F.lit("several rows of one key"))).otherwise(F.lit(False))).drop("twice")
+    error = F.raise_error(F.lit("several rows of one key")).cast(rows.schema[key].dataType)
+    return rows.withColumn(key, F.when(twice, error).otherwise(F.col(key)))  # in the key, so that no plan leaves it out
 
 
 def found(keys: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

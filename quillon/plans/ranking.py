@@ -11,6 +11,9 @@ from ..functions.color import MATCHES
 from ..operators import ranking as R
 from ..sources.tables import _SPARK_MS, COLORS, DERIVED, derived, given, sql_of
 from ..streaming import upserts
+from .transitions import ORACLES as _TRANSITIONS
+
+JOB_TRANSITIONS = _TRANSITIONS["job_transitions"]  # the stream has the rows of the batch query
 
 
 def _looks(spark, sf):
@@ -87,8 +90,12 @@ def stream_queue_machine(spark, sf):
     return upserts.job_states(_stream(spark, sf, "queue_events"))
 
 
+def stream_job_transitions(spark, sf):
+    return upserts.job_transitions(_stream(spark, sf, "job_events"))
+
+
 QUERIES = {f.__name__: f for f in (
-    outfit_candidates, outfit_identity_distinct, outfit_rank_topk, outfit_rank_summary, ai_score_legacy, preference_bonus, category_knowledge, calendar_season, weather_class, stream_counting_upsert, stream_queue_machine,
+    stream_job_transitions, outfit_candidates, outfit_identity_distinct, outfit_rank_topk, outfit_rank_summary, ai_score_legacy, preference_bonus, category_knowledge, calendar_season, weather_class, stream_counting_upsert, stream_queue_machine,
 )}
 
 _M = "m(k) AS (VALUES " + ", ".join(f"('{c}>{m}')" for c in COLORS for m in MATCHES[c].split()) + ")"
@@ -118,6 +125,7 @@ _NULL = "CAST(NULL AS varchar)"
 _QUEUE = "WITH " + sql_of("queue_events")
 _ONLY = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
 ORACLES = {
+    "stream_job_transitions": JOB_TRANSITIONS,
     "outfit_candidates": _ITEMS + " SELECT owner_id, ordinal, top, bottom, shoes, jacket, accessory FROM looks",
     "outfit_identity_distinct": _ITEMS + " SELECT owner_id, identity, min(ordinal) AS ordinal FROM looks GROUP BY 1, 2",
     "outfit_rank_topk": _RANKED + " SELECT owner_id, CAST(rank AS int) AS rank, identity, ai_overall FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY ai_overall DESC, ordinal) AS rank FROM sc) WHERE rank <= 10",

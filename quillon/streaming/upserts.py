@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import transitions
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,3 +76,19 @@ def job_states(events: DataFrame, folder: str | None = None) -> DataFrame:
     for name, n in STATES.items():
         word = F.when(F.col("n") == n, name.removeprefix("job-")).otherwise(word)
     return spark.read.parquet(f"{folder}/states/{last % 2}").select("job_id", word.alias("state"), "events", "last_ms")
+
+
+def job_transitions(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """The states of the jobs after a stream of their events (see transitions), each kept in the state store: every batch puts
+    the jobs that it has changed under its number, and the last one of each job counts."""
+    spark = events.sparkSession
+    folder = folder or shared_folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
+
+    query = transitions.streamed(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = ["status", "attempt", "progress", "next_retry_ms", "changes"]
+    rows = spark.read.parquet(f"{folder}/changed").groupBy("job_id").agg(F.max_by(F.struct(*states), "batch").alias("s"))
+    return rows.select("job_id", "s.*").where("status IS NOT NULL")

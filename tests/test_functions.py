@@ -116,3 +116,74 @@ def test_fold_is_replay(spark, rows):
     df = spark.createDataFrame(clicks, "click_id long, user_id long, issue_key string, platform string, app_version string, ms long")
     got = {(r["user_id"], r["issue_key"]): (r["report_count"], r["first_reported_ms"], r["last_reported_ms"], r["platform"], r["app_version"]) for r in issues.fold_clicks(df).collect()}
     assert got == want
+
+
+def test_transitions(spark):
+    """A job that fails, is retried and fails for good; one that is cancelled; one that is removed; stream and batch agree."""
+    from quillon.operators import transitions
+
+    rows = [(1, 1, "added"), (1, 2, "progress"), (1, 3, "failed"), (1, 4, "retry"), (1, 5, "progress"), (1, 6, "interrupted"), (1, 7, "retry"), (1, 8, "failed"), (2, 1, "added"), (2, 2, "cancelled"), (2, 3, "completed"), (3, 1, "failed"), (4, 1, "added"), (4, 2, "removed"), (5, 1, "added"), (5, 2, "completed"), (5, 3, "failed")]
+    data = [(j, n, n * 1000, kind, 0.5, True, 1 if n < 8 else 3, False) for j, n, kind in rows]
+    events = spark.createDataFrame(data, "job_id long, seq long, ms long, kind string, progress double, retryable boolean, attempt long, reset boolean")
+    got = {r["job_id"]: tuple(r)[1:] for r in transitions.folded(events).collect()}
+    assert got[1] == ("failed", 3, 0.0, None, 8) and got[2] == ("completed", 0, 1.0, None, 3) and got[5] == ("completed", 0, 1.0, None, 2) and set(got) == {1, 2, 5}
+    for job in (1, 2, 5):
+        now = (None, 0, 0.0, None, 0)
+        for e in sorted((r for r in events.collect() if r["job_id"] == job), key=lambda r: r["seq"]):
+            now = transitions._after(now, e)
+        assert now == got[job]
+
+
+def test_simplified_contours():
+    """Kept are the ends, and every point that is left out is near the line between the kept ones beside it."""
+    import math
+    import random
+
+    from quillon.operators import shapes
+
+    random.seed(3)
+    for _ in range(20):
+        n = random.randint(3, 60)
+        ring = [(math.cos(k / n * 6.28) * 50 + random.random() * 9, math.sin(k / n * 6.28) * 50 + random.random() * 9) for k in range(n)]
+        kept = shapes.simplify(ring, 4.0)
+        assert set(kept) <= set(ring) and len(set(kept)) == len(kept)
+        if n > shapes.LEAST_POINTS:
+            at = [ring.index(p) for p in kept]
+            turned = at[at.index(min(at)):] + at[:at.index(min(at))]
+            assert turned == sorted(at)
+            for a, b in zip(at, at[1:] + at[:1], strict=True):
+                (x0, y0), (x1, y1) = ring[a], ring[b]
+                for k in range(1, (b - a) % n):
+                    x, y = ring[(a + k) % n]
+                    assert abs((y1 - y0) * x - (x1 - x0) * y + x1 * y0 - y1 * x0) / math.hypot(x1 - x0, y1 - y0) <= 4.0 + 1e-9
+
+
+def test_mask_parts(spark):
+    """Parts joined by a corner are one with all eight directions and two with the sides only."""
+    from quillon.operators import imaging
+
+    picture = ["##..", "..#.", "#..#", "####"]
+    cells = spark.createDataFrame([(1, x, y, c == "#") for y, row in enumerate(picture) for x, c in enumerate(row)], "image_id long, x int, y int, mask boolean")
+    all_ways = sorted(tuple(r)[1:3] for r in imaging.components(cells).collect())
+    sides = sorted(tuple(r)[1:3] for r in imaging.components(cells, diagonal=False).collect())
+    assert all_ways == [(0, 9)] and sides == [(0, 2), (6, 1), (8, 6)]
+
+
+def test_missing_bottom(spark):
+    """A dress needs no bottom; any other top does."""
+    from pyspark.sql import functions as F
+    from quillon.functions import look_rules
+
+    sql = next(s for s, reason in look_rules.rejections() if reason == "Missing bottom.")
+    df = spark.createDataFrame([("dress", None, True), ("shirt", None, False), ("shirt", "jeans", False)], "top_t string, bottom_t string, is_dress boolean")
+    assert [r[0] for r in df.select(F.expr(sql)).collect()] == [False, True, False]
+
+
+def test_item_lookup_is_single(spark):
+    import pytest
+    from quillon.operators import saved
+
+    keys, rows = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
+    with pytest.raises(Exception, match="several rows"):
+        saved.found(keys, rows).collect()
+    assert saved.found(keys, rows.limit(1)).where("id = 2").first()["v"] is None
