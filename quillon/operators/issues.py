@@ -1,4 +1,8 @@
-"""Issue telemetry: the counting upsert, its views, constraints and change capture."""
+"""Issue telemetry: the counting upsert, its views, constraints and change capture.
+
+The lists of issues and the sums by issue are small, but how small is the data's affair: whether one is sent to all tasks is left to
+its size when the query runs.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +41,7 @@ def statistics(reports: DataFrame, options: DataFrame) -> DataFrame:
         F.count_if(F.col("platform") == "android").alias("android"),
     )
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return options.join(F.broadcast(sums), "issue_key", "left").select(
+    return options.join(sums, "issue_key", "left").select(
         "issue_key", "title_en", "display_order", "is_active", zero("reporters", "unique_reporters"), zero("reports", "total_reports"),
         "first_reported_ms", "last_reported_ms", zero("ios", "ios_unique_reporters"), zero("android", "android_unique_reporters"),
     )
@@ -47,7 +51,7 @@ def details(reports: DataFrame, options: DataFrame, issue_key: str | None = None
     """The reports with their issue's title; of one issue if a key that isn't blank is given."""
     if issue_key and issue_key.strip():
         reports = reports.where(F.col("issue_key") == issue_key.strip())
-    return reports.join(F.broadcast(options.select("issue_key", F.col("title_en").alias("issue_title"))), "issue_key")
+    return reports.join(options.select("issue_key", F.col("title_en").alias("issue_title")), "issue_key")
 
 
 def totals(reports: DataFrame, issue_key: str) -> DataFrame:
@@ -56,7 +60,7 @@ def totals(reports: DataFrame, issue_key: str) -> DataFrame:
 
 def violations(reports: DataFrame, options: DataFrame) -> DataFrame:
     """rule, n: how many reports break each constraint; a rule that none breaks has no row."""
-    known = F.broadcast(options.select("issue_key").withColumn("known", F.lit(True)))
+    known = options.select("issue_key").withColumn("known", F.lit(True))
     rows = reports.join(known, "issue_key", "left")
     rules = {
         "issue_key_exists": F.col("known").isNull(),
@@ -85,7 +89,7 @@ def accepted_changes(rows: DataFrame) -> DataFrame:
 def response_json(reports: DataFrame, options: DataFrame) -> DataFrame:
     """user_id, issue_key, response: the nested JSON that a report is answered with."""
     sums = reports.groupBy("issue_key").agg(F.count("*").alias("uniqueReporters"), F.sum("report_count").alias("totalReports"))
-    rows = reports.join(F.broadcast(sums), "issue_key").join(F.broadcast(options), "issue_key")
+    rows = reports.join(sums, "issue_key").join(options, "issue_key")
     report = F.struct(F.col("issue_key").alias("issueKey"), F.col("report_count").alias("reportCount"), F.col("first_reported_ms").alias("firstReportedAt"), F.col("last_reported_ms").alias("lastReportedAt"))
     body = F.struct(F.lit(True).alias("success"), F.struct(F.col("issue_key").alias("issueKey"), F.col("title_en").alias("title")).alias("issue"), report.alias("report"), F.struct("uniqueReporters", "totalReports").alias("statistics"))
     return rows.select("user_id", "issue_key", F.to_json(body).alias("response"))
@@ -93,7 +97,7 @@ def response_json(reports: DataFrame, options: DataFrame) -> DataFrame:
 
 def notices(rows: DataFrame, statistics_of: DataFrame) -> DataFrame:
     """user_id, issue_key, heading, color, body: what an accepted change is announced with. A missing statistic is 0."""
-    found = rows.join(F.broadcast(statistics_of.select("issue_key", "title_en", "unique_reporters", "total_reports")), "issue_key", "left")
+    found = rows.join(statistics_of.select("issue_key", "title_en", "unique_reporters", "total_reports"), "issue_key", "left")
     title = text.shortened(F.coalesce("title_en", "issue_key"), 40)
     fresh = F.col("op") == "INSERT"
     body = F.concat(title, F.lit(": "), F.coalesce("total_reports", F.lit(0)), F.lit(" by "), F.coalesce("unique_reporters", F.lit(0)))

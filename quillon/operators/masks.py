@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .imaging import labelled
+from .imaging import MOST_CENTERS, labelled
 
 #: The share of an image and of the largest part from which on a part stays; what is trimmed at either end, the
 #: least number for that, and the shares of median and trimmed mean.
@@ -126,7 +126,10 @@ def robust_colors(pixels: DataFrame) -> DataFrame:
 
 
 def closest_pair(centers: DataFrame) -> DataFrame:
-    """a, b, distance: the two nearest of a few centers (center, c), the first of equals."""
+    """a, b, distance: the two nearest of a few centers (center, c), the first of equals; more than MOST_CENTERS are refused,
+    since every center meets every other one."""
+    if centers.limit(MOST_CENTERS + 1).count() > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} centers")
     far = F.sqrt(F.aggregate(F.zip_with("c", "d", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     both = centers.select(F.col("center").alias("a"), "c").join(F.broadcast(centers.select(F.col("center").alias("b"), F.col("c").alias("d"))), F.col("a") < F.col("b"))
     return both.agg(F.min(F.struct(F.round(far, 6).alias("distance"), "a", "b")).alias("m")).select("m.a", "m.b", "m.distance")

@@ -127,7 +127,7 @@ def latest_jobs(items: DataFrame, jobs: DataFrame) -> DataFrame:
 def best_matches(items: DataFrame, drafts: DataFrame, matches: DataFrame, limit: int = 4) -> DataFrame:
     """draft_id, rank, id: for each draft the first items of its owner, newest first, in a colour that goes with its own
     (matches: color, other) and of another category."""
-    wanted = drafts.join(F.broadcast(matches), "color").select(F.col("id").alias("draft_id"), "owner_id", F.col("category").alias("draft_category"), F.col("other").alias("color"))
+    wanted = drafts.join(matches, "color").select(F.col("id").alias("draft_id"), "owner_id", F.col("category").alias("draft_category"), F.col("other").alias("color"))
     rows = items.join(wanted, ["owner_id", "color"]).where((F.col("category") != F.col("draft_category")) & (F.col("id") != F.col("draft_id")))
     first = F.row_number().over(W.partitionBy("draft_id").orderBy(F.desc("created_seq"), "id"))
     return rows.withColumn("rank", first).where(F.col("rank") <= limit).select("draft_id", "rank", "id")

@@ -132,7 +132,7 @@ def active_options(spark, sf):
     """What a signed-in user sees: the active issues in order, and how many of the user's own reports there are of each."""
     options = issue_options(spark).withColumn("is_active", F.col("display_order") != 4).where("is_active").select("issue_key", "title_en", "display_order")
     own = derived(spark, sf, "issue_clicks").where("user_id = 1").groupBy("issue_key").agg(F.count("*").alias("own_reports"))
-    return options.join(F.broadcast(own), "issue_key", "left").select("issue_key", "display_order", F.coalesce("own_reports", F.lit(0)).alias("own_reports")).orderBy("display_order")
+    return options.join(own, "issue_key", "left").select("issue_key", "display_order", F.coalesce("own_reports", F.lit(0)).alias("own_reports")).orderBy("display_order")
 
 
 def option_count_check(spark, sf):

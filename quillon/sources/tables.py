@@ -76,7 +76,7 @@ DERIVED: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
         ("dress_look", "o_orderkey % 9 = 0 AND o_orderkey % 2 = 0"),
     )),
     "jobs": ("orders", (
-        ("job_id", "o_orderkey"), ("item_id", "o_custkey"), ("batch_id", "o_orderkey % 50"), ("status", named(STATUSES, "o_orderkey % 10")),
+        ("job_id", "o_orderkey"), ("item_id", "o_custkey"), ("batch_id", "CAST(floor(o_orderkey / 128) AS bigint)"), ("status", named(STATUSES, "o_orderkey % 10")),
         ("priority", "6 - CAST(substr(o_orderpriority, 1, 1) AS int)"), ("queue_position", "o_orderkey % 100"), ("created_ms", "{ms:o_orderdate}"),
         ("progress", "CAST(o_orderkey % 101 AS double) / 100"), ("total_processing_ms", "CAST(floor(o_totalprice) AS bigint)"), ("attempt", "1 + o_orderkey % 6"),
     )),
