@@ -37,7 +37,8 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, text; other columns are ignored. A conversation whose turns are the first turns of a
     longer one goes; of conversations with the same turns the smallest conv_id stays and n_copies counts them. A missing role or
-    text is empty, rows without conv_id are one conversation, rows without turn come first. An empty table gives no row.
+    text is empty, rows without conv_id are one conversation, rows without turn come first. An empty table gives no row. The
+    mark of the format in a role or a text is broken: "<|im_" is rendered as "<| im_", so that no turn can close itself.
     The hashes are deduplicated before they are joined, so a first turn that a third of all conversations share is one row.
     """
     rows = turn_prefixes(turns)
@@ -57,12 +58,12 @@ _SAID = "replace(coalesce({0}, ''), '<|im_', '<| im_')"
 ORACLE = f"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_SAID.format('role')}, {_SAID.format('text')}) AS pos,
-         '<|im_start|>' || {_SAID.format('role')} || chr(10) || {_SAID.format('text')} || '<|im_end|>' || chr(10) AS r
+         [{_SAID.format('role')}, {_SAID.format('text')}] AS said, '<|im_start|>' || {_SAID.format('role')} || chr(10) || {_SAID.format('text')} || '<|im_end|>' || chr(10) AS r
   FROM conversations),
 p AS (
-  SELECT conv_id, pos, string_agg(r, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pre,
-         max(pos) OVER (PARTITION BY conv_id) AS n FROM t),
-w AS (SELECT pre, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY pre, n)
-SELECT conv_id, CAST(n AS BIGINT) AS n_turns, n_copies, pre AS rendered FROM w
+  SELECT conv_id, pos, list(said) OVER w AS pre, string_agg(r, '') OVER w AS rendered, max(pos) OVER (PARTITION BY conv_id) AS n FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+w AS (SELECT pre, n, min(conv_id) AS conv_id, count(*) AS n_copies, min(rendered) AS rendered FROM p WHERE pos = n GROUP BY pre, n)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, n_copies, rendered FROM w
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = w.n AND p.pre = w.pre)
 """

@@ -9,13 +9,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as tok
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, forest, languages, licenses, media, near_copies, packing, ppm, sentence_pieces, suffixes, webp
+from quillon.llm import chat, forest, languages, licenses, media, near_copies, packing, ppm, sentence_pieces, suffixes, webp, words
 
 DOCS = "doc_id long, text string, lang string, block int, score string, label int"
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua " * 2
@@ -505,3 +506,159 @@ def test_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(rows(df), key=by_null) == sorted(want, key=by_null)
+
+
+# What rounds have found
+
+
+def thue_morse(n):
+    a, b = b"a", b"b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_thue_morse_words_apart(spark):
+    a, b = (x.decode() for x in thue_morse(10))
+    assert len({h for h in words.shingles(pa.array([a, b]), 5)[1].tolist()}) == 2
+    train = next(i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = next(i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 7 == 2)
+    df = spark.createDataFrame([(train, a), (held, b)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.score(df).collect()}
+    assert got[held]["n_known"] == 1 and got[held]["n_tokens"] == 2 and got[train]["n_known"] == 2
+
+
+def test_repeats_without_ids_in_several_blocks(spark, monkeypatch):
+    """A passage at the start of fifty documents without doc_id, and of fifty with the same one: one copy stays."""
+    monkeypatch.setattr(suffixes, "BLOCK_MB", 0.003)
+    rng = np.random.default_rng(5)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, other = text(300), text(250)
+    data = [(None, passage + text(300)) for _ in range(50)] + [(7, other + text(200)) for _ in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = rows(suffixes.cut_repeats(df))
+    for i, n in ((None, 300), (7, 250)):  # what follows a passage begins alike now and then
+        assert 49 * n <= sum(r[2] for r in got if r[0] == i) <= 49 * (n + 3) and sum(r[2] > 0 for r in got if r[0] == i) == 49
+
+
+def test_a_line_with_many_contexts(spark, monkeypatch):
+    """A line in the middle of every document, so that its edges have as many contexts as there are documents."""
+    monkeypatch.setattr(suffixes, "BLOCK_MB", 0.004)
+    rng = np.random.default_rng(6)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    line = text(180)
+    data = [(i, text(int(rng.integers(0, 200))) + line + text(int(rng.integers(0, 200)))) for i in range(80)]
+    got = sorted(rows(suffixes.cut_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4))))
+    assert got == sorted(cut_plainly(data))
+
+
+def test_text_of_megabytes(spark):
+    """Each operator on whole texts takes one of four megabytes beside small ones."""
+    rng = np.random.default_rng(9)
+    word = [bytes(rng.integers(97, 123, int(n), np.uint8)).decode() for n in rng.integers(2, 9, 3000)]
+    long = " ".join(rng.choice(word, 700_000))
+    df = spark.createDataFrame([(1, long, "en"), (2, "small text", "en"), (3, long, "de")], "doc_id long, text string, lang string").repartition(2)
+    assert {r["doc_id"]: r["n_removed"] for r in suffixes.cut_repeats(df).collect()}[3] == len(long)
+    assert {r["doc_id"]: r["class_id"] for r in near_copies.near_classes(df).collect()} == {1: 1, 2: 2, 3: 1}
+    assert ppm.score(df).where("n_tokens > 600000").count() == 2 and languages.identify(df).count() == 3
+    got = {r["doc_id"]: r for r in media.media_digests(df.where("doc_id < 3")).collect()}
+    assert got[1]["n_bytes"] == len(long) and got[1]["payload_sha256"] == hashlib.sha256(long.encode() + b"\xff" * (-len(long) % 576)).hexdigest()
+
+
+def test_images_that_a_prediction_suits():
+    y, x = np.mgrid[0:40, 0:64]
+    values = ((x * 3 + y * 5) % 256).astype(np.uint8)
+    assert webp.best_prediction(values) is not None
+    assert (webp.decode(webp.encode_gray(values))[..., webp.GREEN] == values).all()
+    for mode in (webp.LEFT, webp.TOP):  # the short way of undoing one equals the long one
+        pixels = np.random.default_rng(mode).integers(0, 256, (9, 7, 4), np.uint8)
+        modes = np.zeros((3, 2, 4), np.uint8)
+        modes[..., webp.GREEN] = mode
+        assert (webp.undo_predictor(webp.apply_predictor(pixels, 2, modes), 7, 2, modes) == pixels).all()
+
+
+def test_files_samples_ids_and_texts(spark, odd, none, pieces):
+    samples = {r[0]: r[1] for r in media.pixels(media.stored(odd.where("doc_id IS NOT NULL"))).collect()}
+    for i, t, *_ in odd_rows():
+        if i is not None:
+            b = utf8(t)
+            assert bytes(samples[i]) == b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
+    got = {r[0]: (r[1], r[2]) for r in sentence_pieces.encoded(odd.where("doc_id IS NOT NULL"), tok.path("piece_bpe_32k.model")).collect()}
+    for i, t, *_ in odd_rows():
+        if i is not None:
+            ids = pieces.encode(t or "", add_bos=True, add_eos=True)
+            assert got[i] == (ids, pieces.decode(ids))
+    assert rows(media.pixels(media.stored(none))) == []
+
+
+def test_chunks_without_spaces_are_not_kept(pieces, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "HELD_CHARACTERS", 3000)
+    table = sentence_pieces.ChunkTable(pieces)
+    for i in range(40):
+        text = f"{i}" * 700 + f" word{i} " + "x" * 900
+        ids, decoded = table.encode_decode([text])[0]
+        assert np.frombuffer(ids, np.uint32).tolist() == pieces.encode(text, add_bos=True, add_eos=True) and decoded == text
+        assert sum(map(len, table)) <= 3000 + 2 * len(text) and table.held == sum(map(len, table))
+
+
+def fit_plainly(data, n, languages_of):
+    """Follow-the-regularised-leader, coordinate by coordinate."""
+    z, sq = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k, lang):
+        l1 = 0 if k == "offset" else languages.L1
+        v = z[k, lang]
+        return 0.0 if abs(v) <= l1 else (math.copysign(l1, v) - v) / ((languages.BETA + math.sqrt(sq[k, lang])) / languages.ALPHA + languages.L2)
+
+    for _ in range(languages.PASSES):
+        for cells, x, y in data:
+            row = [*zip(cells.tolist(), x.tolist(), strict=True), ("offset", 1.0)]
+            w = {(k, a): weight(k, a) for k, _ in row for a in range(languages_of)}
+            logits = [sum(v * w[k, a] for k, v in row) for a in range(languages_of)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            for k, v in row:
+                for a in range(languages_of):
+                    slope = v * (e[a] / sum(e) - (a == y))
+                    after = sq[k, a] + slope**2
+                    z[k, a] += slope - (math.sqrt(after) - math.sqrt(sq[k, a])) / languages.ALPHA * w[k, a]
+                    sq[k, a] = after
+    return {(k, a): weight(k, a) for k, a in list(z)}
+
+
+def test_fit_equals_a_plain_one():
+    rng = np.random.default_rng(2)
+    data = [(np.sort(rng.choice(60, 8, replace=False)), rng.random(8), int(rng.integers(0, 3))) for _ in range(40)]
+    weights, offsets = languages.fit_ftrl(data, 3)
+    want = fit_plainly(data, 60, 3)
+    for (k, a), v in want.items():
+        assert math.isclose(offsets[a] if k == "offset" else weights[k, a], v, abs_tol=1e-9)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if pathlib.Path("/root/testdata/sf0.01").exists() else pytest.skip("no tables")
+    got = languages.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred != 'und'")
+    right, n = got.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert n > 200 and right / n > 0.97
+
+
+def test_a_rare_language_has_a_class(spark):
+    sentence = {"en": "the house is near the river and we walk there", "it": "la casa vicino al fiume e noi camminiamo sempre"}
+    data = [(i, f"{sentence['en']} {i}", "en") for i in range(400)] + [(1000 + i, f"{sentence['it']} {i}", "it") for i in range(12)]
+    model = languages.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), sample=40)
+    assert model.languages == ["en", "it"] and model.predict("la casa al fiume")[0] == "it" and model.predict("we walk near the house")[0] == "en"
+
+
+def test_forest_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(forest, "PART_MB", 0.01)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((30, 8))[rng.integers(0, 30, 900)] * 4 + rng.standard_normal((900, 8)) * 0.3
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for q, _, i, s in sorted(rows(forest.nearest(df))):
+        got[q].append((i, s))
+    found = 0
+    for q, hits in got.items():
+        truth = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in range(900) if i != q)[:10]
+        found += len({i for i, _ in hits} & {i for _, i in truth})
+        assert all(math.isclose(s, float(np.sqrt(((v[i] - v[q]) ** 2).sum())), rel_tol=1e-12) for i, s in hits)
+    assert found >= 0.9 * 10 * len(got) and len(got) == 9
