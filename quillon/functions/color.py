@@ -232,6 +232,23 @@ def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return h * 60, s, light
 
 
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue, saturation and value of 8-bit red, green and blue, each from 0 to 1."""
+    r, g, b = r / 255.0, g / 255.0, b / 255.0
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    d = high - low
+    h = F.when(d == 0, 0.0).when(high == r, (g - b) / d).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4) / 6
+    return F.when(h < 0, h + 1).otherwise(h), F.when(high == 0, 0.0).otherwise(d / high), high
+
+
+def hsv_distance(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """The way round the circle of hues, which counts more the stronger the colours are, with saturation and value."""
+    around = F.abs(a[0] - b[0])
+    hue = F.least(around, 1 - around) * 2
+    weight = F.lit(0.15) + (a[1] + b[1]) / 2 * 0.35
+    return F.least(F.lit(1.0), hue * weight + F.abs(a[1] - b[1]) * 0.22 + F.abs(a[2] - b[2]) * (1 - weight - 0.22))
+
+
 #: Bands of hue (up to, conditions in order, else); a condition is (least or most of l and s, colour).
 HUES = (
     (12, (("l < 0.42", "Burgundy"), ("l > 0.68 AND s < 0.65", "Pink")), "Red"),

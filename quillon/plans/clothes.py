@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as C
 from ..functions import text
-from ..sources.tables import derived, sql_of
+from ..sources.tables import derived, given, sql_of
 
 SEASON = "Winter"
 
@@ -99,7 +99,35 @@ def template_counts(spark, sf):
     return shown.join(used, "template", "left").select("group_id", "place", "template", "category", F.coalesce("items", F.lit(0)).alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (category_names, clothing_knowledge, item_seasons, category_families, accessory_types, summer_wardrobe, storage_paths, engine_colors, first_of_each, item_templates, template_counts)}
+#: Kinds of weather that have a text of their own.
+SAID_WEATHER = ("sunny", "cold", "fresh", "cloudy", "hot", "mild", "rainy")
+
+
+def translation_keys(spark, sf):
+    """The keys of the texts for a season and for a kind of weather; autumn and unknown stand for all others."""
+    rows = derived(spark, sf, "saved_looks").withColumn("season", F.element_at(F.array(*map(F.lit, ("Winter", "Spring", "Summer", "Autumn", "Monsoon"))), (F.col("id") % 5 + 1).cast("int")))
+    weather = F.lower(text.trimmed(F.coalesce("weather", F.lit(""))))
+    key = lambda kind, known, other: F.concat(F.lit(f"weatherContext.{kind}."), F.when(known, F.lower(F.col("season") if kind == "season" else weather)).otherwise(other))
+    return rows.select("id", key("season", F.col("season").isin("Winter", "Spring", "Summer"), "autumn").alias("season_key"), key("weather", weather.isin(*SAID_WEATHER), "unknown").alias("weather_key"))
+
+
+def option_violations(spark, sf):
+    """How many of the proposed issues break each rule of the list: form of the key, lengths of title and text, order."""
+    rows = given(spark, sf, "part").selectExpr(*[f"{sql} AS {name}" for name, sql in PROPOSED.items()])
+    rules = {
+        "key_format": ~F.col("issue_key").rlike("^[a-z0-9]+(?:_[a-z0-9]+)*$"), "title_length": ~F.length(F.trim("title")).between(3, 120), "text_length": ~F.length(F.trim("text")).between(3, 500), "order_positive": F.col("display_order") <= 0,
+    }
+    return rows.select(F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+#: Proposed issues, derived from parts; both engines take these expressions.
+PROPOSED = {
+    "issue_key": "CASE p_partkey % 5 WHEN 0 THEN concat('part_', CAST(p_partkey AS varchar(9))) WHEN 1 THEN concat('Part', CAST(p_partkey AS varchar(9))) WHEN 2 THEN concat('a__', CAST(p_partkey AS varchar(9))) WHEN 3 THEN 'broken' ELSE 'x_' END",
+    "title": "CASE WHEN p_partkey % 7 = 0 THEN '  ab ' ELSE p_name END", "text": "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 11 = 1 THEN repeat(p_name, 40) ELSE p_name END", "display_order": "p_size - 5",
+}
+
+
+QUERIES = {f.__name__: f for f in (translation_keys, option_violations, category_names, clothing_knowledge, item_seasons, category_families, accessory_types, summer_wardrobe, storage_paths, engine_colors, first_of_each, item_templates, template_counts)}
 
 
 def _values(rows) -> str:
@@ -123,6 +151,10 @@ _SEASON = "CASE WHEN {0} IN ('summer', 'estate') THEN 'Summer' WHEN {0} IN ('aut
 _TEMPLATE_IDS = [t[0] for t in C.TEMPLATES] + ["female-dress", "unknown"]
 _TEMPLATES = f"t(template, label, gender, category) AS (VALUES {_values(C.TEMPLATES)}), u AS (SELECT id, [{', '.join(repr(t) for t in _TEMPLATE_IDS)}][id % {len(_TEMPLATE_IDS)} + 1] AS template FROM clothes)"
 ORACLES = {
+    "translation_keys": "WITH " + sql_of("saved_looks") + f""" SELECT id, 'weatherContext.season.' || CASE id % 5 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'autumn' END AS season_key,
+      'weatherContext.weather.' || CASE WHEN lower(trim(weather)) IN {_in(SAID_WEATHER)} THEN lower(trim(weather)) ELSE 'unknown' END AS weather_key FROM saved_looks""",
+    "option_violations": "WITH o AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in PROPOSED.items()) + """ FROM part), v AS (SELECT unnest([CASE WHEN NOT regexp_full_match(issue_key, '[a-z0-9]+(_[a-z0-9]+)*') THEN 'key_format' END, CASE WHEN length(trim(title)) NOT BETWEEN 3 AND 120 THEN 'title_length' END,
+      CASE WHEN length(trim(text)) NOT BETWEEN 3 AND 500 THEN 'text_length' END, CASE WHEN display_order <= 0 THEN 'order_positive' END]) AS rule FROM o) SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1""",
     "category_names": f"{_N} SELECT id, kind, sub_kind FROM n",
     "clothing_knowledge": f"""{_N}, s AS (SELECT *, CASE WHEN sk IN {_in(C.SPORT)} THEN 'sport' WHEN sk IN {_in(C.FORMAL)} THEN 'formal' WHEN sk IN {_in(C.SMART_CASUAL)} THEN 'smart' ELSE 'plain' END AS way, sk IN {_in(C.STREETWEAR)} AS street, sk IN {_in(C.LUXURY)} AS lux FROM d),
       l AS (SELECT *, list_concat(CASE way WHEN 'sport' THEN ['Sport', 'Casual'] WHEN 'formal' THEN ['Classic', 'Elegant', 'Luxury', 'Business'] WHEN 'smart' THEN ['SmartCasual', 'Classic', 'Minimal'] ELSE ['Casual', 'Minimal'] END,

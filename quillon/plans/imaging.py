@@ -16,6 +16,13 @@ def quality_percentiles(spark, sf):
     return I.percentiles(grid(spark, sf))
 
 
+def value_statistics(spark, sf):
+    """Mean, variance and deviation of the whole, and the median, of the finite values; with fewer than two they don't vary."""
+    v = F.col("lum")
+    many = F.count("*") > 1
+    return grid(spark, sf).where(~F.isnan(v)).groupBy("image_id").agg(I.r6(F.avg(v)).alias("mean"), I.r6(F.when(many, F.var_pop(v)).otherwise(0.0)).alias("variance"), I.r6(F.when(many, F.stddev_pop(v)).otherwise(0.0)).alias("deviation"), I.r6(F.median(v)).alias("median"))
+
+
 def quality_contrast(spark, sf):
     return I.contrast(grid(spark, sf))
 
@@ -93,7 +100,7 @@ def nearest_cluster(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    quality_brightness, quality_percentiles, quality_contrast, quality_laplacian, quality_sobel, box_blur, integral_sum, histogram_256, otsu_threshold, adaptive_threshold, mask_metrics, mask_components, mask_holes,
+    value_statistics, quality_brightness, quality_percentiles, quality_contrast, quality_laplacian, quality_sobel, box_blur, integral_sum, histogram_256, otsu_threshold, adaptive_threshold, mask_metrics, mask_components, mask_holes,
     quality_decision, polygon_metrics, bounds_iou, nearest_cluster,
 )}
 
@@ -120,6 +127,7 @@ def _components(value: str, diagonal: bool) -> str:
 
 
 ORACLES = {
+    "value_statistics": _G + " SELECT image_id, round(avg(lum), 6) AS mean, round(var_pop(lum), 6) AS variance, round(stddev_pop(lum), 6) AS deviation, round(median(lum), 6) AS median FROM grid GROUP BY 1",
     "quality_brightness": _G + """ SELECT image_id, round(avg(lum), 6) AS mean, round(quantile_cont(lum, 0.5), 6) AS median, round(min(lum), 6) AS minimum, round(max(lum), 6) AS maximum, round(count(*) FILTER (WHERE lum <= 0.12e0) / count(*), 6) AS dark_ratio,
       round(count(*) FILTER (WHERE lum >= 0.9e0) / count(*), 6) AS bright_ratio, round(count(*) FILTER (WHERE lum <= 0.015e0) / count(*), 6) AS clipped_black_ratio, round(count(*) FILTER (WHERE lum >= 0.985e0) / count(*), 6) AS clipped_white_ratio,
       round(quantile_cont(lum, 0.95) - quantile_cont(lum, 0.05), 6) AS dynamic_range FROM grid GROUP BY 1""",

@@ -94,8 +94,17 @@ def color_distances(spark, sf):
     return rows.groupBy("image_id").agg(mean("L"), mean("A"), F.round(F.avg("B"), 4).alias("mean_b_star"), mean("d"), mean("y"))
 
 
+def hsv_distances(spark, sf):
+    """Mean hue, saturation and value of an image's pixels, and their mean distance from a dark orange."""
+    rows = derived(spark, sf, "pixels")
+    h, s, v = C.hsv(F.col("r"), F.col("g"), F.col("b"))
+    far = C.hsv_distance((h, s, v), C.hsv(F.lit(200.0), F.lit(90.0), F.lit(20.0)))
+    rows = rows.select("image_id", h.alias("h"), s.alias("s"), v.alias("v"), far.alias("d"))
+    return rows.groupBy("image_id").agg(*[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in "hsvd"])
+
+
 QUERIES = {f.__name__: f for f in (
-    wardrobe_newest, wardrobe_search, wardrobe_category, wardrobe_exclude, wardrobe_stats, wardrobe_latest_job_join, best_match_items, preference_top5, color_normalize, pair_color_matrix,
+    hsv_distances, wardrobe_newest, wardrobe_search, wardrobe_category, wardrobe_exclude, wardrobe_stats, wardrobe_latest_job_join, best_match_items, preference_top5, color_normalize, pair_color_matrix,
     color_score_outfit, color_score_by_style, dominant_color, classify_color, color_distances,
 )}
 
@@ -175,7 +184,12 @@ def _linear(c: str) -> str:
     return f"CASE WHEN {c} / 255.0e0 <= 0.04045e0 THEN {c} / 255.0e0 / 12.92e0 ELSE pow(({c} / 255.0e0 + 0.055e0) / 1.055e0, 2.4e0) END"
 
 
+_HSV = """p AS (SELECT image_id, r / 255.0e0 AS rr, g / 255.0e0 AS gg, b / 255.0e0 AS bb, 200 / 255.0e0 AS r2, 90 / 255.0e0 AS g2, 20 / 255.0e0 AS b2 FROM pixels), x AS (SELECT *, greatest(rr, gg, bb) AS mx, greatest(rr, gg, bb) - least(rr, gg, bb) AS d FROM p),
+  y AS (SELECT *, CASE WHEN d = 0 THEN 0.0e0 WHEN mx = rr THEN CASE WHEN gg < bb THEN (gg - bb) / d / 6 + 1 ELSE (gg - bb) / d / 6 END WHEN mx = gg THEN ((bb - rr) / d + 2) / 6 ELSE ((rr - gg) / d + 4) / 6 END AS h, CASE WHEN mx = 0 THEN 0.0e0 ELSE d / mx END AS s, mx AS v,
+    (g2 - b2) / (r2 - b2) / 6 AS h2, (r2 - b2) / r2 AS s2 FROM x),
+  z AS (SELECT *, 0.15e0 + (s + s2) / 2 * 0.35e0 AS w, least(abs(h - h2), 1 - abs(h - h2)) * 2 AS hd FROM y)"""
 ORACLES = {
+    "hsv_distances": "WITH " + sql_of("pixels") + f", {_HSV} SELECT image_id, round(avg(h), 4) AS mean_h, round(avg(s), 4) AS mean_s, round(avg(v), 4) AS mean_v, round(avg(least(1.0e0, hd * w + abs(s - s2) * 0.22e0 + abs(v - r2) * (1 - w - 0.22e0))), 4) AS mean_d FROM z GROUP BY 1",
     "wardrobe_newest": _W + " SELECT * FROM wardrobe WHERE owner_id = 3 ORDER BY created_seq DESC, id",
     "wardrobe_search": _W + " SELECT * FROM wardrobe WHERE contains(lower(category), 'red') OR contains(lower(name), 'red') OR contains(lower(color), 'red')",
     "wardrobe_category": _W + " SELECT * FROM wardrobe WHERE category = 'Shoes'",
