@@ -133,3 +133,63 @@ def closest_pair(centers: DataFrame) -> DataFrame:
     far = F.sqrt(F.aggregate(F.zip_with("c", "d", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     both = centers.select(F.col("center").alias("a"), "c").join(F.broadcast(centers.select(F.col("center").alias("b"), F.col("c").alias("d"))), F.col("a") < F.col("b"))
     return both.agg(F.min(F.struct(F.round(far, 6).alias("distance"), "a", "b")).alias("m")).select("m.a", "m.b", "m.distance")
+
+
+#: The eight neighbours, clockwise from the right (y grows downwards).
+AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+
+def _trace(there: set[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """The boundary of the part that the first cell, in reading order, is in: from each cell on to the next one clockwise from
+    where it was come from, until the start is reached as it was begun, or after `most` steps where it never is."""
+    if not there:
+        return []
+    at = start = min(there, key=lambda p: (p[1], p[0]))
+    back, out = 4, []  # come from the left
+    while True:
+        out.append(at)
+        turn = next((k for k in range(1, 9) if (at[0] + AROUND[(back + k) % 8][0], at[1] + AROUND[(back + k) % 8][1]) in there), None)
+        if turn is None:
+            return out
+        to, before = AROUND[(back + turn) % 8], AROUND[(back + turn - 1) % 8]
+        at = at[0] + to[0], at[1] + to[1]
+        back = AROUND.index((before[0] - to[0], before[1] - to[1]))
+        if at == start and back == 4 or len(out) > most:
+            return out
+
+
+def boundaries(cells: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, i, x, y: the boundary of each mask as points in order. An image is a group; only its foreground is gathered."""
+    import pandas as pd
+
+    most = max(64, 4 * width * height)
+
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        points = _trace(set(zip(image["x"].tolist(), image["y"].tolist(), strict=True)), most)
+        return pd.DataFrame({"image_id": image["image_id"].iloc[0], "i": range(len(points)), "x": [p[0] for p in points], "y": [p[1] for p in points]})
+
+    return cells.where("mask").select("image_id", "x", "y").groupBy("image_id").applyInPandas(run, "image_id long, i int, x int, y int")
+
+
+#: What confidence and distance count when points are chosen, and how distance grows.
+SURE, FAR, FAR_TIMES = 0.66, 0.34, 2.5
+
+
+def spread_points(points: DataFrame, count: int, width: int, height: int) -> DataFrame:
+    """image_id, turn, i, x, y: `count` points (image_id, i, x, y, confidence) of each image, the surest one first, then each
+    time the one that is best by confidence and by its distance from those chosen; of equals the surer, then the first.
+
+    Every turn is one aggregation and one join by image, so an image's points are never in one place.
+    """
+    diagonal = math.hypot(width, height)
+    rows = points.withColumn("near", F.lit(float("inf")))
+    chosen = None
+    for turn in range(count):
+        value = F.round(F.col("confidence") * SURE + F.least(F.lit(1.0), F.col("near") * FAR_TIMES) * FAR, 9) if turn else F.col("confidence")
+        best = rows.groupBy("image_id").agg(F.max_by(F.struct("i", "x", "y"), F.struct(value, "confidence", -F.col("i"))).alias("p")).select("image_id", F.col("p.i").alias("pi"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+        now = best.select("image_id", F.lit(turn).alias("turn"), F.col("pi").alias("i"), F.col("px").alias("x"), F.col("py").alias("y"))
+        chosen = now if chosen is None else chosen.unionByName(now)
+        if turn + 1 < count:
+            dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+            rows = rows.join(best, "image_id").where(F.col("i") != F.col("pi")).withColumn("near", F.least("near", F.sqrt(dx * dx + dy * dy) / diagonal)).drop("pi", "px", "py")
+    return chosen

@@ -72,8 +72,17 @@ def closest_clusters(spark, sf):
     return M.closest_pair(centers)
 
 
+def mask_boundary(spark, sf):
+    return M.boundaries(grid(spark, sf), 8, 8)
+
+
+def spread_points(spark, sf):
+    """Four points of the foreground of each image that are sure and far from one another."""
+    return M.spread_points(grid(spark, sf).where("mask").select("image_id", "i", "x", "y", F.round("lum", 6).alias("confidence")), 4, 8, 8)
+
+
 QUERIES = {f.__name__: f for f in (
-    mask_dilate, mask_erode, mask_without_small_parts, mask_filled, mask_parts_by_size, mask_support, mask_distance, mask_overlap, pixel_gradient, local_texture, robust_color, closest_clusters,
+    mask_boundary, spread_points, mask_dilate, mask_erode, mask_without_small_parts, mask_filled, mask_parts_by_size, mask_support, mask_distance, mask_overlap, pixel_gradient, local_texture, robust_color, closest_clusters,
 )}
 
 _G = "WITH " + SQL_GRID
@@ -86,7 +95,26 @@ def _reach(value: str, near: str) -> str:
 
 _SIDES, _ALL = "abs(a.x - b.x) + abs(a.y - b.y) <= 1", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1"
 _SUM = "SELECT image_id, count(*) FILTER (WHERE m) AS foreground, CAST(coalesce(sum(i + 1) FILTER (WHERE m), 0) AS bigint) AS \"check\""
+#: Where a walk round a mask goes from each cell and each side that it was come from, and the walk itself.
+_WALK = f"""RECURSIVE {SQL_GRID}, fg AS (SELECT image_id, i, x, y FROM grid WHERE mask), around(k, dx, dy) AS (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)),
+  go AS (SELECT a.image_id, a.i, d.k AS back, (r.k - d.k + 7) % 8 AS turn, b.i AS to_i, e.k AS to_back FROM fg a JOIN around r ON TRUE JOIN fg b ON b.image_id = a.image_id AND b.x = a.x + r.dx AND b.y = a.y + r.dy JOIN around d ON TRUE
+    JOIN around q ON q.k = (r.k + 7) % 8 JOIN around e ON e.dx = q.dx - r.dx AND e.dy = q.dy - r.dy),
+  nx AS (SELECT image_id, i, back, arg_min(to_i, turn) AS to_i, arg_min(to_back, turn) AS to_back FROM go GROUP BY 1, 2, 3), st AS (SELECT image_id, min(i) AS i FROM fg GROUP BY 1),
+  walk(image_id, n, i, back, start) AS (SELECT image_id, 0, i, 4, i FROM st UNION ALL SELECT w.image_id, w.n + 1, nx.to_i, nx.to_back, w.start FROM walk w JOIN nx ON nx.image_id = w.image_id AND nx.i = w.i AND nx.back = w.back WHERE NOT (nx.to_i = w.start AND nx.to_back = 4) AND w.n < 256)"""
+
+
+def _spread() -> str:
+    out = "c0 AS (SELECT image_id, i, x, y, round(lum, 6) AS c, CAST('inf' AS double) AS near FROM grid WHERE mask), "
+    for turn in range(4):
+        value = "round(c * 0.66e0 + least(1.0e0, near * 2.5e0) * 0.34e0, 9)" if turn else "c"
+        out += f"p{turn} AS (SELECT image_id, i, x, y FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {value} DESC, c DESC, i) AS place FROM c{turn}) WHERE place = 1), "
+        out += f"c{turn + 1} AS (SELECT c.image_id, c.i, c.x, c.y, c.c, least(c.near, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) / sqrt(128)) AS near FROM c{turn} c JOIN p{turn} p ON p.image_id = c.image_id WHERE c.i <> p.i), "
+    return out + "z AS (" + " UNION ALL ".join(f"SELECT image_id, {t} AS turn, i, x, y FROM p{t}" for t in range(4)) + ")"
+
+
 ORACLES = {
+    "mask_boundary": f"WITH {_WALK} SELECT w.image_id, w.n AS i, g.x, g.y FROM walk w JOIN grid g ON g.image_id = w.image_id AND g.i = w.i",
+    "spread_points": f"{_G}, {_spread()} SELECT * FROM z",
     "mask_dilate": f"{_G}, d AS (SELECT g.image_id, g.i, bool_or(n.mask) AS m FROM grid g JOIN grid n ON n.image_id = g.image_id AND abs(n.x - g.x) <= 1 AND abs(n.y - g.y) <= 1 GROUP BY 1, 2) {_SUM} FROM d GROUP BY 1",
     "mask_erode": f"{_G}, d AS (SELECT g.image_id, g.i, count(*) FILTER (WHERE n.mask) = 9 AS m FROM grid g JOIN grid n ON n.image_id = g.image_id AND abs(n.x - g.x) <= 1 AND abs(n.y - g.y) <= 1 GROUP BY 1, 2) {_SUM} FROM d GROUP BY 1",
     "mask_without_small_parts": f"""WITH {_reach('mask', _ALL)}, c AS (SELECT image_id, label, count(*) AS area FROM lab GROUP BY 1, 2), k AS (SELECT image_id, label FROM (SELECT *, max(area) OVER (PARTITION BY image_id) AS most, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS place FROM c) WHERE place = 1 OR area >= 3 OR area / most >= 0.035e0),
