@@ -696,11 +696,11 @@ def _bits(flat: np.ndarray) -> float:
     return float(n @ np.log2(n.sum() / n))
 
 
-def best_prediction(values: np.ndarray) -> tuple[int, np.ndarray] | None:
-    """The mode that leaves the least bits and the green residuals; None where single values and their copies take less."""
-    plain = values.ravel().copy()
+def best_prediction(values: np.ndarray, copies: list[tuple[int, int, int]] = ()) -> tuple[int, np.ndarray] | None:
+    """The mode that leaves the least bits and the green residuals; None where single values beside the copies take less."""
+    plain = values.ravel()
     literal = np.ones(len(plain), bool)
-    for p, n, _ in find_copies(plain.tobytes()):
+    for p, n, _ in copies:
         literal[p : p + n] = False
     least, best = 0.9 * _bits(plain[literal]), None
     for mode in (LEFT, TOP):
@@ -720,7 +720,7 @@ def encode_gray(values: np.ndarray) -> bytes:
     before and for runs, or all values are predicted from the left or from above where that takes less.
     """
     height, width = values.shape
-    out, colors = _header(width, height), np.flatnonzero(np.bincount(values.ravel(), minlength=256))
+    out, colors, copies = _header(width, height), np.flatnonzero(np.bincount(values.ravel(), minlength=256)), None
     flat = values.ravel()
     if len(colors) <= 16:
         packed = 3 if len(colors) <= 2 else 2 if len(colors) <= 4 else 1
@@ -735,9 +735,9 @@ def encode_gray(values: np.ndarray) -> bytes:
         table[0, :, GREEN], table[0, 0, ALPHA] = np.diff(colors, prepend=0), 255
         write_any(out, table)
         others = (0, 0, 0)
-    elif best := best_prediction(values):
+    elif best := best_prediction(values, copies := find_copies(flat.tobytes())):
         mode, values = best
-        flat, others = values.ravel(), (0, 0, 0)
+        flat, others, copies = values.ravel(), (0, 0, 0), None
         block = min(9, max(2, max(height, width).bit_length()))
         elements = np.zeros((-(-height >> block), -(-width >> block), 4), np.uint8)
         elements[..., GREEN], elements[..., ALPHA] = mode, 255
@@ -747,7 +747,7 @@ def encode_gray(values: np.ndarray) -> bytes:
     else:
         others = (0, 0, 255)
     out.put(0, 1)  # no further transform
-    write_green(out, flat, width, others, find_copies(flat.tobytes()))
+    write_green(out, flat, width, others, find_copies(flat.tobytes()) if copies is None else copies)
     return _file(out)
 
 
