@@ -43,7 +43,7 @@ class ChunkTable(dict):
     """
 
     def __init__(self, model):
-        self.model, self.changed, self.held = model, {}, 0
+        self.model, self.changed, self.held, self.long = model, {}, 0, []
         self.ends = [i.to_bytes(4, "little") for i in (model.bos_id(), model.eos_id())]
         self.pieces = [self._alone(i) for i in range(model.get_piece_size())]
         # The model drops the first mark when it decodes, and gives no mark to an empty text: a word in front keeps both.
@@ -67,6 +67,7 @@ class ChunkTable(dict):
             new, self.held = list(chunks), 0
             more = sum(map(len, new))
         self.held += more
+        self.long = [c for c in new if len(c) > LONGEST_KEPT]  # they go when the texts at hand are done
         for c, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
             if c.isspace():
                 ids = self.model.encode("a" + c)[len(self.lead) :]
@@ -86,7 +87,7 @@ class ChunkTable(dict):
         for chunks in in_chunks:
             ids = b"".join([self.ends[0], *map(self.__getitem__, chunks), self.ends[1]])
             out.append((ids, "".join([self.changed.get(c, c) for c in chunks] if self.changed else chunks)[1:]))
-        for c in {c for chunks in in_chunks for c in chunks if len(c) > LONGEST_KEPT}:
+        for c in self.long:
             del self[c]
             self.changed.pop(c, None)
             self.held -= len(c)
