@@ -16,7 +16,7 @@ from .common import flat, table, unlisted, written
 
 #: Trees, vectors that the trees are laid out by at most, of these in a leaf; neighbours of so many queries that are looked for in
 #: this sample to learn how far a search goes, and the share of them that it has to find. MB of codes that are searched together.
-TREES, SAMPLE, LEAF, TRIALS, RECALL, PART_MB = 12, 32768, 24, 128, 0.94, 48
+TREES, SAMPLE, LEAF, TRIALS, RECALL, PART_MB = 12, 16384, 24, 96, 0.94, 8
 SEED = 7
 
 
@@ -210,7 +210,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str =
     grown = grow(points, trees, leaf)
     enough = effort(grown, points, k, recall)
     forest = spark.sparkContext.broadcast(grown)
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries.count() * trees * (points.shape[1] + 32) / (PART_MB * 1e6)))
+    width = math.ceil(entries.count() * trees * (points.shape[1] + 32) / (PART_MB * 1e6))
     element = vectors.schema[column].dataType.simpleString()
 
     def index(batches):
