@@ -11,8 +11,9 @@ leftmost of equals. Equal windows choose the same place, so nothing that is repe
 3. Only where a first digit has several contexts (at the edges of repeated passages): the whole window is the digit.
 
 A first digit that has several contexts within one block needs no comparison to know that: the block sends two of its anchors
-as witnesses for the other blocks and takes all of them to step 3, where each window goes its own way. So a line or a passage
-that a third of all documents share is two entries a block in step 2, and is spread over all destinations in step 3.
+as witnesses for the other blocks, deals all of them by both digits, and those that are the first of theirs go to step 3, where
+windows are dealt by their bytes. So a line or a passage that a third of all documents share is two entries a block in one place, and
+its contexts are spread over all destinations.
 """
 
 from __future__ import annotations
@@ -30,16 +31,17 @@ from .common import RollingHash, destinations, flat, ids_or_null, in_blocks, in_
 
 #: Bytes of a repeated string, of the first digit, of a block of documents (MB), and of what is hashed at once; blocks whose
 #: messages one destination takes.
-DEPTH, GRAM, BLOCK_MB, AT_ONCE, BLOCKS_EACH = 100, 32, 4, 1_000_000, 4
+DEPTH, GRAM, BLOCK_MB, AT_ONCE, BLOCKS_EACH = 100, 32, 4, 400_000, 4
+#: Windows in a row that are sent together in step 3.
+TOGETHER = 8
 FIRST, SECOND = RollingHash(3), RollingHash(4)
 U = np.uint64
 
-#: Columns of a message or an answer: type, and the bytes of it that are sent. h2 stands beside the 8 bytes of h1: the context
-#: of an anchor, or the second hash of a window.
-COLUMNS = {"h1": (np.uint64, 8), "h2": (np.uint64, 6), "doc_id": (np.int64, 8), "i": (np.int32, 4), "lo": (np.int32, 4), "n": (np.int32, 4), "rel": (np.int32, 4)}
-MESSAGES = "dest long, block long, own boolean, ask boolean, " + ", ".join(f"{c} binary" for c in COLUMNS)
+#: Columns of a message or an answer: type, and the bytes of it that are sent. Beside the 8 bytes of h1 stand h2, the context of an
+#: anchor, or w, the hashes of n windows.
+COLUMNS = {"h1": (np.uint64, 8), "h2": (np.uint64, 6), "w": (np.uint64, 6), "doc_id": (np.int64, 8), "i": (np.int32, 4), "lo": (np.int32, 4), "n": (np.int32, 4), "rel": (np.int32, 4)}
+MESSAGES = "dest long, block long, own boolean, deep boolean, " + ", ".join(f"{c} binary" for c in COLUMNS)
 BACK = ("i", "lo", "n", "rel")
-LOW_48 = U((1 << 48) - 1)
 ANSWERS = "block long, ask boolean, i binary, lo binary, n binary, rel binary"
 
 
@@ -119,22 +121,32 @@ def _unpacked(table: pa.Table, name: str) -> list[np.ndarray]:
     return [loose(b, *COLUMNS[name]) if b is not None else np.zeros(0, COLUMNS[name][0]) for b in table[name].to_pylist()]
 
 
-def _messages(block: int, width: int, found: dict[str, np.ndarray], own: dict[str, np.ndarray], asks: dict[str, np.ndarray]) -> pa.Table:
-    """What a block sends: a row for each destination with its part of found (by h1), and rows that come back to it as they
-    are: its own repeats, and the anchors that it has to look at again."""
-    dest = (mix(found["h1"]) % U(width)).astype(np.int64)
-    order = np.lexsort([found["lo"], found["i"], dest])
-    to, first = np.unique(dest[order], return_index=True)
-    parts = np.split(order, first[1:]) if len(to) else []
-    back = [(x, ask) for x, ask in ((own, False), (asks, True)) if len(x["i"])]
-    columns = {}
+def _messages(block: int, width: int, sent: list[tuple[bool, np.ndarray, dict[str, np.ndarray]]], own: dict[str, np.ndarray]) -> pa.Table:
+    """What a block sends: of each (deep, key, found) a row for each destination with its part of found, dealt by key; and its
+    own repeats, which come back to it as they are."""
+    dest, deep, parts = [], [], {c: [] for c in COLUMNS}
+    for is_deep, key, found in sent:
+        of = (mix(key) % U(width)).astype(np.int64)
+        order = np.lexsort([found["lo"], found["i"], of])
+        to, first = np.unique(of[order], return_index=True)
+        some = np.split(order, first[1:]) if len(to) else []
+        dest += to.tolist()
+        deep += [is_deep] * len(to)
+        for c in COLUMNS:
+            if c == "w" and c in found:  # n values for each
+                ends, n = np.cumsum(found["n"]), found["n"]
+                some_w = [found["w"][np.repeat(ends[p] - n[p], n[p]) + _counted(n[p])] for p in some]
+                parts[c].append(_packed(c, some_w))
+            else:
+                parts[c].append(_packed(c, [found[c][p] for p in some]) if c in found else pa.nulls(len(to), pa.binary()))
+    back = int(bool(len(own["i"])))
     for c in COLUMNS:
-        sent = _packed(c, [found[c][p] for p in parts]) if c in found else pa.nulls(len(parts), pa.binary())
-        columns[c] = pa.concat_arrays([sent, *[_packed(c, [x[c]]) if c in x else pa.nulls(1, pa.binary()) for x, _ in back]])
+        parts[c].append(_packed(c, [own[c]]) if back and c in own else pa.nulls(back, pa.binary()))
+    n = len(dest)
     return pa.table({
-        "dest": pa.array([*to.tolist(), *[block % width] * len(back)], pa.int64()), "block": pa.array([block] * (len(to) + len(back)), pa.int64()),
-        "own": pa.array([False] * len(to) + [True] * len(back), pa.bool_()), "ask": pa.array([False] * len(to) + [ask for _, ask in back], pa.bool_()),
-    } | columns)
+        "dest": pa.array(dest + [block % width] * back, pa.int64()), "block": pa.array([block] * (n + back), pa.int64()),
+        "own": pa.array([False] * n + [True] * back, pa.bool_()), "deep": pa.array(deep + [False] * back, pa.bool_()),
+    } | {c: pa.concat_arrays(x) for c, x in parts.items()})
 
 
 def _counted(n: np.ndarray) -> np.ndarray:
@@ -162,7 +174,8 @@ def _anchor_pass(depth: int, width: int):
         own = {c: every[c][~first] for c in BACK}
         every = {c: x[first] for c, x in every.items()}
         several, witness = _several_contexts(every["h1"], every["h2"])
-        return _messages(block["block"][0].as_py(), width, {c: x[~several | witness] for c, x in every.items()}, own, {c: every[c][several] for c in BACK})
+        plain, deep = ({c: x[which] for c, x in every.items()} for which in (~several | witness, several))
+        return _messages(block["block"][0].as_py(), width, [(False, plain["h1"], plain), (True, deep["h1"] ^ mix(deep["h2"]), deep)], own)
 
     return run
 
@@ -179,32 +192,38 @@ def _several_contexts(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _window_pass(depth: int, width: int):
-    names = ("h1", "h2", "doc_id", "i", "lo")
+    """Windows in groups of TOGETHER by their distance from the anchor. A group is dealt by what all its windows have in common,
+    so equal windows meet, and those of different contexts don't."""
+    step = min(TOGETHER, depth)
+    names = ("h1", "doc_id", "i", "lo", "n", "rel", "w")
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.filter(answers["ask"])
         none = {c: np.zeros(0, np.int64) for c in BACK}
         if not block.num_rows or not answers.num_rows:
-            return _messages(0, width, none | {"h1": np.zeros(0, U)}, none, none)
+            return _messages(0, width, [], none)
         block = in_order(block)
         buf, off = flat(block["text"])
-        i, lo, n = (np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in ("i", "lo", "n"))
+        i, lo, n, rel = (np.concatenate(_unpacked(answers, c)).astype(np.int64) for c in BACK)
         order = np.lexsort([lo, i])
-        i, lo, n = i[order], lo[order], n[order]
+        i, lo, n, rel = i[order], lo[order], n[order], rel[order]
         once = np.concatenate([[True], (i[1:] != i[:-1]) | (lo[1:] != lo[:-1])])  # a witness can be asked for twice
-        i, lo, n = i[once], lo[once], n[once]
+        i, lo, n, rel = i[once], lo[once], n[once], rel[once]
         ids, sizes, found = _ids(block), np.cumsum(n + depth), []
         for r in np.split(np.arange(len(i)), np.searchsorted(sizes, np.arange(AT_ONCE, sizes[-1], AT_ONCE))):
             if len(r):
                 parts = list(zip(i[r].tolist(), lo[r].tolist(), (lo[r] + n[r] + depth - 1).tolist(), strict=True))
                 part, _, _, starts = gathered(buf, off, parts)
-                k = _counted(n[r])
-                p, of = np.repeat(starts[:-1], n[r]) + k, np.repeat(i[r], n[r])
-                found.append((mix(FIRST.spans(FIRST.sums(part), p, p + depth)), mix(SECOND.spans(SECOND.sums(part), p, p + depth)) & LOW_48, ids[of], of, np.repeat(lo[r], n[r]) + k))
+                k, start, far = _counted(n[r]), np.repeat(starts[:-1], n[r]), np.repeat(rel[r], n[r])
+                group = (far - k) // step
+                first = np.flatnonzero((k == 0) | (group != np.concatenate([[-1], group[:-1]])))
+                common = (start + far - group * step)[first]
+                c = mix(FIRST.spans(FIRST.sums(part), common, common + depth - step + 1) + mix(group[first].astype(U)))
+                w = mix(SECOND.spans(SECOND.sums(part), start + k, start + k + depth))
+                of = np.repeat(i[r], n[r])[first]
+                found.append((c, ids[of], of, (np.repeat(lo[r], n[r]) + k)[first], np.diff(np.append(first, len(k))), (far - k)[first], w))
         every = dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True))
-        first = first_of_equals(every["h1"], every["h2"])
-        own = {c: every[c][~first] for c in ("i", "lo")} | {"n": np.ones((~first).sum(), np.int64), "rel": np.zeros((~first).sum(), np.int64)}
-        return _messages(block["block"][0].as_py(), width, {c: x[first] for c, x in every.items()}, own, none)
+        return _messages(block["block"][0].as_py(), width, [(False, every["h1"], every)], none)
 
     return run
 
@@ -215,25 +234,38 @@ def _compare(windows: bool):
 
     def run(got: pa.Table) -> pa.Table:
         own = got.filter(got["own"])
-        got = got.filter(pc.invert(got["own"]))
-        out = [pa.table({"block": own["block"], "ask": own["ask"]} | {c: own[c] for c in BACK})]
-        if got.num_rows:
-            h1 = _unpacked(got, "h1")
-            block = np.repeat(got["block"].to_numpy(), [len(x) for x in h1])
-            h1 = np.concatenate(h1)
-            second, doc_id, i, lo = (np.concatenate(_unpacked(got, c)) for c in ("h2", "doc_id", "i", "lo"))
-            n, rel = (np.ones(len(h1), np.int32), np.zeros(len(h1), np.int32)) if windows else (np.concatenate(_unpacked(got, c)) for c in ("n", "rel"))
-            order = np.lexsort([lo, i, block, doc_id, second, h1])
-            block, h1, second, i, lo, n, rel = (x[order] for x in (block, h1, second, i, lo, n, rel))
-            later = np.zeros(len(h1), bool)
-            later[1:] = (h1[1:] == h1[:-1]) & (second[1:] == second[:-1])
-            out.append(_answers(block[later], i[later], lo[later], n[later], rel[later], False))
-            if not windows:
-                first, last = run_edges(h1[1:] == h1[:-1])
-                several = np.repeat(second[first] != second[last], last - first + 1) & ~later
-                out.append(_answers(block[several], i[several], lo[several], n[several], rel[several], True))
+        out = [pa.table({"block": own["block"], "ask": pa.array([False] * own.num_rows, pa.bool_())} | {c: own[c] for c in BACK})]
+        for deep in (False, True):
+            some = got.filter(pc.and_(pc.invert(got["own"]), pc.equal(got["deep"], deep)))
+            if some.num_rows:
+                out += compared(some, deep)
         return pa.concat_tables(x.cast(out[0].schema) for x in out)
 
+    def compared(got: pa.Table, deep: bool) -> list[pa.Table]:
+        h1 = _unpacked(got, "h1")
+        block = np.repeat(got["block"].to_numpy(), [len(x) for x in h1])
+        h1 = np.concatenate(h1)
+        doc_id, i, lo, n, rel = (np.concatenate(_unpacked(got, c)) for c in ("doc_id", "i", "lo", "n", "rel"))
+        if windows:  # a row for each window; its distance from the anchor is part of the digit
+            k = _counted(n)
+            second = np.concatenate(_unpacked(got, "w")) | (np.repeat(rel, n) - k).astype(U) << U(48)
+            block, h1, doc_id, i, lo = (np.repeat(x, n) for x in (block, h1, doc_id, i, lo))
+            lo, n, rel = lo + k.astype(np.int32), np.ones(len(k), np.int32), np.zeros(len(k), np.int32)
+        else:
+            second = np.concatenate(_unpacked(got, "h2"))
+        order = np.lexsort([lo, i, block, doc_id, second, h1])
+        block, h1, second, i, lo, n, rel = (x[order] for x in (block, h1, second, i, lo, n, rel))
+        later = np.zeros(len(h1), bool)
+        later[1:] = (h1[1:] == h1[:-1]) & (second[1:] == second[:-1])
+        out = [_answers(block[later], i[later], lo[later], n[later], rel[later], False)]
+        if not windows:
+            again = ~later  # of what is known to have several contexts all firsts
+            if not deep:
+                first, last = run_edges(h1[1:] == h1[:-1])
+                again &= np.repeat(second[first] != second[last], last - first + 1)
+            out.append(_answers(block[again], i[again], lo[again], n[again], rel[again], True))
+        return out
+
     return run
 
 
