@@ -16,8 +16,10 @@ from .words import U, in_pieces, shingles
 #: probability (1 - 0.8 ** 6) ** 36 = 0.00002.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 36, 6
 #: Different texts of a bucket up to which all pairs of different classes are compared; in larger ones only those that share
-#: a rare shingle can be alike. Cells of the histogram that says which are rare, and texts of a shingle that are joined at once.
-ALL_PAIRS, CELLS, AT_ONCE = 32, 1 << 18, 1000
+#: a rare shingle can be alike. Draws in large buckets before that (each only if the one before has linked something), steps in
+#: which numbers of shingles are told apart, cells of the histogram that says which shingles are rare, and texts of a shingle that
+#: are joined at once.
+ALL_PAIRS, DRAWS, STEP, CELLS, AT_ONCE = 32, 1, 0.02, 1 << 18, 1000
 _STEP, _SLOT, _LEVEL = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
 
 
@@ -137,6 +139,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links (a, b): their components are those of the classes that the links connect."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    named = written(links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb")))
+    classes = components(named.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b").distinct())
+    new = named.select(F.col("a").alias("node")).unionByName(named.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(new.withColumn("label", F.col("node")))
+    to = classes.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def _alike(n: str, m: str):
     return F.least(n, m) >= F.lit(LEAST) * F.greatest(n, m)
 
@@ -150,12 +163,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     text is empty. An empty table gives no row; other columns are ignored.
     Equal texts count as one from the start. In each bucket of a band every text is compared with one of them; where a bucket
     still has several classes, all pairs of different classes in it are compared up to ALL_PAIRS texts, and beyond that every
-    text with one that each band draws anew. Where larger buckets have several classes after that, all their pairs of
-    different classes are compared that can reach LEAST by their rarest shingles (see _by_rare_shingles), so that no pair that
-    meets in a bucket is missed.
+    text with one that each bucket draws anew, up to DRAWS times. Where larger buckets have several classes after that, all their
+    pairs of different classes are compared that can reach LEAST by their rarest shingles (see _by_rare_shingles), so that no
+    pair that meets in a bucket is missed. Joins on labels and buckets are of tables in the shared folder, so that an adaptive
+    plan can split a class or a bucket that a third of all texts are in; a side is only sent to all tasks where its size, known
+    when it is read, is below spark.sql.autoBroadcastJoinThreshold.
     """
     named = _named(docs)
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    named = written(named)
+    classes = written(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return named.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"))
 
 
@@ -164,25 +180,26 @@ def _named(docs: DataFrame) -> DataFrame:
     rows = written(signed(docs))
     texts = rows.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("t")).select("digest", "t.*")
     banded = texts.where("n > 0").select("digest", "n", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("band", "h").agg(F.count("*").alias("texts"), F.min(F.struct("digest", "n")).alias("head")).where("texts > 1")
+    shared = written(banded.groupBy("band", "h").agg(F.count("*").alias("texts"), F.min(F.struct("digest", "n")).alias("head")).where("texts > 1"))
     met = written(banded.join(shared, ["band", "h"]))
     star = met.where(F.col("digest") != F.col("head.digest")).where(_alike("n", "head.n")).select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct()
     involved = met.select("digest").distinct().join(texts.select("digest", "doc_id"), "digest")
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     same = rows_of["doc_id"].eqNullSafe(involved["doc_id"]) & (rows_of["digest"] == involved["digest"])
     their = written(rows_of.join(involved, same, "left_semi").select("digest", "text").dropDuplicates(["digest"]))
-    star = written(star)
-    links = written(verified(star, their))
-    labels = components(links)
-    more = written(verified(_across(met, labels).join(star, ["a", "b"], "left_anti"), their))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+    compared = written(star)
+    labels = components(written(verified(compared, their)))
+    for draw in range(DRAWS):
+        pairs = written(_across(met, labels, draw).join(compared, ["a", "b"], "left_anti"))
+        more = written(verified(pairs, their))
+        if more.isEmpty():
+            break
+        labels, compared = merged(labels, more), compared.unionByName(pairs)
     members = written(_in_large(met, labels))
     if not members.isEmpty():
-        more = written(verified(_by_rare_shingles(members, their).join(star, ["a", "b"], "left_anti"), their))
+        more = written(verified(_by_rare_shingles(members, their).join(compared, ["a", "b"], "left_anti"), their))
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = merged(labels, more)
     return rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", "n", F.coalesce("label", "digest").alias("label"))
 
 
@@ -190,13 +207,13 @@ def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
-def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
+def _across(met: DataFrame, labels: DataFrame, draw: int) -> DataFrame:
     """a, b (a before b): pairs of texts of different classes in one bucket, of like numbers of shingles; in buckets of more
-    than ALL_PAIRS texts only those with the drawn one."""
-    now = _labelled(met, labels)
-    drawn = F.min_by(F.struct("digest", "n", "label"), F.xxhash64("digest", "band")).alias("drawn")
-    mixed = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn).where("low != high")
-    rows = now.join(mixed.select("band", "h", "drawn"), ["band", "h"])
+    than ALL_PAIRS texts only those with the drawn one. The first draw takes all buckets, later ones only the large."""
+    now = _labelled(met if draw == 0 else met.where(F.col("texts") > ALL_PAIRS), labels)
+    drawn = F.min_by(F.struct("digest", "n", "label"), F.xxhash64("digest", "band", F.lit(draw))).alias("drawn")
+    mixed = written(now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn).where("low != high").select("band", "h", "drawn"))
+    rows = written(now.join(mixed, ["band", "h"]))
     small = rows.where(F.col("texts") <= ALL_PAIRS)
     x = small.select("band", "h", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
     y = small.select("band", "h", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
@@ -206,10 +223,15 @@ def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _in_large(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """digest, label: the texts of buckets of more than ALL_PAIRS texts and of several classes."""
-    now = _labelled(met.where(F.col("texts") > ALL_PAIRS), labels)
-    mixed = now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    return now.join(mixed, ["band", "h"], "left_semi").select("digest", "label").distinct()
+    """digest, label, low: the texts of buckets of more than ALL_PAIRS texts and of several classes; low is a bound on the
+    number of shingles of those in the same buckets that have fewer and can be alike. A bucket is summed up by the steps of
+    STEP (of the logarithm of n) that its texts are in."""
+    now = _labelled(met.where(F.col("texts") > ALL_PAIRS), labels).withColumn("step", F.floor(F.log("n") / STEP))
+    mixed = written(now.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.collect_set("step").alias("steps")).where("low != high").select("band", "h", "steps"))
+    least = F.array_min(F.filter("steps", lambda x: x >= F.floor(F.log(LEAST * F.col("n")) / STEP - 1e-9)))
+    rows = now.join(mixed, ["band", "h"]).select("digest", "label", "n", least.alias("least"))
+    low = F.greatest(F.ceil(LEAST * F.col("n") - 1e-6), F.floor(F.exp(F.min("least") * STEP) + 1e-9))
+    return rows.groupBy("digest", "label", "n").agg(low.cast("long").alias("low")).select("digest", "label", "low")
 
 
 def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -238,29 +260,32 @@ def _rarest(cells: np.ndarray):
                 of, key = of[order], key[order]
                 n = np.bincount(of, minlength=piece.num_rows)
                 rest = np.repeat(np.cumsum(n), n) - np.arange(len(of))  # keys from this one on
-                first = rest >= LEAST * n[of] - 1e-6
+                low = np.maximum(LEAST * n, pc.fill_null(piece["low"], 0).to_numpy(zero_copy_only=False))
+                first = (1 + LEAST) * rest >= LEAST * (n + low)[of] - 1e-6
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=piece.num_rows))])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece["digest"], pa.array(n, pa.int64()), keys], ["digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([piece["digest"], piece["label"], pa.array(n, pa.int64()), keys], ["digest", "label", "n", "keys"])
 
     return run
 
 
 def _by_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b (a before b): all pairs of members (digest, label) of different labels whose similarity can be LEAST or more.
+    """a, b (a before b): all pairs of members (digest, label, low) of different labels whose similarity can be LEAST or more.
 
     The keys of every text are put in one order, rare ones first (by a histogram of CELLS cells of all texts; the pairs found
     don't depend on it). The first key that two texts share leaves at most the rest of each to share, so pairs are taken only
-    at keys where that rest is enough. A key that many texts have is joined in parts of about AT_ONCE texts against all.
+    at keys where that rest is enough: for a text with n keys and others with `low` at least, if there is a bound. A key that many texts have is joined in parts of about AT_ONCE texts against all.
     """
     cells = np.zeros(CELLS, np.int64)
     counted = texts.select("text").mapInArrow(_cells, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
     cells[counted["cell"].to_numpy()] = counted["k"].to_numpy()  # CELLS of them at most
-    rarest = texts.mapInArrow(_rarest(cells), "digest string, n long, keys array<long>")
-    keys = written(rarest.join(members, "digest")).select("digest", "label", "n", F.posexplode("keys").alias("at", "key"))
+    if "low" not in members.columns:
+        members = members.withColumn("low", F.lit(None).cast("long"))
+    rarest = texts.join(members, "digest").mapInArrow(_rarest(cells), "digest string, label string, n long, keys array<long>")
+    keys = written(rarest).select("digest", "label", "n", F.posexplode("keys").alias("at", "key"))
     keys = keys.select("digest", "label", "n", (F.col("n") - F.col("at")).alias("rest"), "key")
     shared = keys.groupBy("key").agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "parts")
-    both = written(keys.join(shared, "key"))
+    both = written(keys.join(written(shared), "key"))
     name = lambda df, x: df.select("key", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "rest")])
     x = name(both.where((1 + LEAST) * F.col("rest") >= 2 * LEAST * F.col("n") - 1e-6).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "x")
     y = name(both.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "y")
@@ -274,7 +299,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near_classes: that of its smallest doc_id, and of rows with the same doc_id that of
     the smallest text. A class that has no doc_id at all keeps its smallest text. Rows of one doc_id in different classes stay."""
     named = _named(docs.select("doc_id", "text"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = written(named)
+    least = written(named.groupBy("label").agg(F.min("doc_id").alias("least")))
     first = named.join(least, "label").where(F.col("doc_id").eqNullSafe(F.col("least")))
     first = first.select(F.col("doc_id").alias("kept id"), F.col("digest").alias("kept digest"), F.col("label").alias("kept class")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("`kept id`")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("`kept digest`"))
