@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISSING_ID = -(2**63)
 
@@ -161,3 +163,46 @@ def unlisted(column) -> np.ndarray:
 
 def list_lengths(column) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+
+
+#: Rows of a range of placed() that one task numbers.
+RANGE_ROWS = 500_000
+
+
+def _numbered(groups: list[str]):
+    """The rows, each with its number (at) in its group within this range; rows come sorted by group."""
+
+    def run(batches):
+        last, n = None, 0
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            new = np.zeros(rows.num_rows, bool)
+            for g in groups:
+                c = rows[g].combine_chunks()
+                new[1:] |= ~pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new | (np.arange(rows.num_rows) == 0))
+            at = np.arange(rows.num_rows) - np.repeat(first, np.diff(np.append(first, rows.num_rows)))
+            if rows.num_rows:
+                if [rows[g][0].as_py() for g in groups] == last:
+                    at[: first[1] if len(first) > 1 else None] += n
+                last, n = [rows[g][-1].as_py() for g in groups], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "at"])
+
+    return run
+
+
+def placed(rows: DataFrame, groups: list[str], order: list) -> DataFrame:
+    """rows with pos, the place in the group by order (from 0), and n, the size of the group. Groups have no nulls.
+
+    Rows are dealt by ranges of group and order, numbered there, and moved on by what the ranges before have of the group, so
+    that a group of any size is spread. rows should be a table: it is read twice (the first time for the bounds of the ranges).
+    """
+    width = max(shuffle_width(rows.sparkSession), math.ceil(rows.count() / RANGE_ROWS))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = rows.repartitionByRange(width, *groups, *order).sortWithinPartitions(*groups, *order).withColumn("range", F.spark_partition_id())
+    schema = T.StructType([*dealt.schema.fields, T.StructField("at", T.LongType())])
+    numbered = written(dealt.mapInArrow(_numbered(groups), schema))
+    sizes = numbered.groupBy(*groups, "range").agg(F.count("*").alias("k"))
+    before = W.partitionBy(*groups).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("k").over(before), F.lit(0)), "n": F.sum("k").over(W.partitionBy(*groups))})
+    return numbered.join(sizes.drop("k"), [*groups, "range"]).withColumn("pos", F.col("before") + F.col("at")).select(*[F.col(f"`{c}`") for c in rows.columns], "pos", "n")
