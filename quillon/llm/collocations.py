@@ -2,11 +2,11 @@
 
 Words that are frequent enough get ids by rank. A chunk of texts becomes a row of ids, and a pair of neighbours is the cell
 (x, y) of a square of ranks. The tile of the lowest ranks, which holds much of all pairs, is counted in a dense array by bincount;
-cells outside are sorted coordinates with counts (COO). Frequent pairs are ranked anew and are the symbols of the next level, where a
+cells of other tiles are sorted coordinates with counts (COO). Frequent pairs are ranked anew and are the symbols of the next level, where a
 pair of neighbouring pairs is a triple, and a pair of neighbouring triples a quadruple; what contains an infrequent part can't be
 frequent itself, so each level keeps only what the one before has left.
 
-A chunk sends the dense tile in strips of rows and its coordinates by their hash, summed up in the chunk; who adds up a strip or
+A chunk sends the dense tile in strips of rows and the rows of other tiles by their hash, summed up in the chunk; who adds up a strip or
 a share of the coordinates reads one chunk after the other. Where phrases are frequent goes back to each chunk the same way.
 """
 
@@ -51,14 +51,13 @@ def words_of(texts) -> tuple[pa.StringArray, np.ndarray]:
     inside = kind == 0
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
-    start = inside.copy()
+    start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
     first = np.flatnonzero(start)
-    sizes = np.add.reduceat(inside.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(end) + 1 - first)])
     words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(buf[inside].tobytes())])
-    piece = np.cumsum((kind == 2) | edge[:-1])  # of each byte
-    at = piece[first]
+    at = np.searchsorted(np.flatnonzero((kind == 2) | edge[:-1]), first, "right")  # the piece of each word
     return words, np.concatenate([[True], at[1:] != at[:-1]]) if len(first) else np.zeros(0, bool)
 
 
@@ -115,7 +114,8 @@ def _chunks(chunk_bytes: int):
 def square(ids: np.ndarray, width: int, side: int = SIDE) -> list[tuple]:
     """(destination, dense strip or None, keys, counts): the pairs of neighbours (neither -1) of a chunk, counted.
 
-    The dense tile's rows are dealt in turn to the first destinations, other cells by their hash.
+    The dense tile's rows are dealt in turn to the first destinations, the rows of other tiles by their hash: the cells of
+    such a row stay together, so their differences are small.
     """
     x, y = ids[:-1], ids[1:]
     both = (x >= 0) & (y >= 0)
@@ -125,7 +125,7 @@ def square(ids: np.ndarray, width: int, side: int = SIDE) -> list[tuple]:
     keys = np.sort(x[~low] << 32 | y[~low])
     first, last = run_edges(keys[1:] == keys[:-1]) if len(keys) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     keys, counts = keys[first], last - first + 1
-    to = (mix(keys.astype(U)) % U(width)).astype(np.int64)
+    to = (mix((keys >> 32).astype(U) * U(1 << 32) + (keys & 0xFFFFFFFF).astype(U) // U(side)) % U(width)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     ends = np.searchsorted(to[order], np.arange(width + 1))
     out = []
