@@ -55,14 +55,27 @@ class Forest:
                 node = int(children[node, right])
             yield -1 - node
 
-    def search(self, q: np.ndarray, enough: int) -> list[int]:
-        """The first leaves in this order that hold `enough` of the sample."""
-        out, got, sizes = [], 0, self.leaf_sizes
+    def trees(self) -> np.ndarray:
+        """The tree of each leaf; leaves are numbered tree by tree."""
+        out, stack = np.empty(len(self.leaf_sizes), np.int64), list(enumerate(self.roots))
+        while stack:
+            tree, node = stack.pop()
+            if node < 0:
+                out[-1 - node] = tree
+            else:
+                stack += [(tree, int(child)) for child in self.children[node]]
+        return out
+
+    def search(self, q: np.ndarray, enough: int, entries: np.ndarray, tree: np.ndarray, least: int) -> list[int]:
+        """The first leaves in this order that hold `enough` of the sample and, in one of the trees, `least` entries (all, if
+        there are fewer); entries and tree are those of each leaf."""
+        out, got, seen = [], 0, [0] * len(self.roots)
         for leaf in self.in_order(q):
-            if got >= enough:
+            if got >= enough and max(seen) >= least:
                 break
             out.append(leaf)
-            got += int(sizes[leaf])
+            got += int(self.leaf_sizes[leaf])
+            seen[tree[leaf]] += int(entries[leaf])
         return out
 
 
@@ -192,7 +205,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str =
     score is the Euclidean distance in double precision; ties go to the smaller id. Rows that aren't usable() take no part.
     Repeated ids are repeated candidates of one id and count once. Fewer than k other rows: all that are found. The trees
     are laid out on at most `sample` vectors, those with the smallest hashes of their ids, and every row is put in a leaf of
-    each tree; how far a search goes is learnt from this sample (see effort). Rows with equal vectors are one entry with the
+    each tree; how far a search goes is learnt from this sample (see effort), but never ends before k + 1 entries. Rows with equal vectors are one entry with the
     k + 1 smallest of their ids, and equal queries are one search, so a vector that a third of all rows have makes neither a
     large leaf nor a repeated search. Only ids and codes of 8 bits a component are sent to the leaves; all candidates that
     can be among the nearest by the bounds of their codes are then ranked by the vectors themselves. Leaves are dealt to as many
@@ -228,7 +241,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str =
         for batch in batches:
             parts, leaves, at = [], [], []
             for i, q in enumerate(_matrix(batch["v"], batch.num_rows) if batch.num_rows else []):
-                found = np.sort(np.array(forest.value.search(q, enough), np.int64))
+                found = np.sort(np.array(forest.value.search(q, enough, *sizes.value, k + 1), np.int64))
                 to = found % width
                 for b in np.unique(to):
                     parts.append(b)
@@ -239,7 +252,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str =
 
     queries = rows.where(F.col("id") % every == 0).distinct()
     searches = written(queries.groupBy("v").agg(F.min("id").alias("query")))
-    indexed = entries.select("entry", "v").mapInArrow(index, "part long, leaf long, entry long, code binary, step double").repartition(width, "part")
+    indexed = written(entries.select("entry", "v").mapInArrow(index, "part long, leaf long, entry long, code binary, step double"))
+    of_leaf = np.zeros(len(grown.leaf_sizes), np.int64)
+    filled = indexed.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()  # as many as the trees have leaves
+    of_leaf[filled["leaf"].to_numpy()] = filled["n"].to_numpy()
+    sizes = spark.sparkContext.broadcast((of_leaf, grown.trees()))
+    indexed = indexed.repartition(width, "part")
     asked = searches.select("query", "v").mapInArrow(ask, f"part long, leaves array<long>, query long, v {element}").repartition(width, "part")
     found = indexed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_rank(k), "query long, entry long, low double, high double")
     found = found.groupBy("query", "entry").agg(F.min("low").alias("low"), F.min("high").alias("high"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -13,11 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 #: Hash cells of n-grams of 1 to ORDERS characters; the labelled documents that a model is fitted on at most, dealt evenly to
-#: the languages, and of these languages at most so many, the most frequent ones.
-CELLS, ORDERS, SAMPLE, LANGUAGES = 1 << 16, 3, 4000, 200
+#: the languages (one of each language, if there are more languages than that).
+CELLS, ORDERS, SAMPLE = 1 << 16, 3, 4000
 #: Of follow-the-regularised-leader: step, its offset, L1 and L2 penalties, passes over the sample; the share for calibration.
 ALPHA, BETA, L1, L2, PASSES, CALIBRATION = 0.3, 1.0, 0.002, 0.01, 3, 0.2
 UNKNOWN = "und"
@@ -139,8 +138,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:CELLS], int(out[CELLS])
 
 
-def features_of(docs: DataFrame, languages: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Language (its place), cells and counts of each row of docs, in one order; CELLS entries a row at most, whatever its text."""
+def features_of(docs: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Language (its place y), cells and counts of each row of docs, in one order; CELLS entries a row at most, whatever its text."""
 
     def run(batches):
         for batch in batches:
@@ -148,8 +147,7 @@ def features_of(docs: DataFrame, languages: list[str]) -> list[tuple[int, np.nda
                 cells, counts = ngram_counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([y], pa.int32()), pa.array([cells.astype("<i4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], ["h", "y", "cells", "counts"])
 
-    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
-    got = docs.select("text", place.alias("y"), "h").mapInArrow(run, "h long, y int, cells binary, counts binary").toArrow()
+    got = docs.select("text", "y", "h").mapInArrow(run, "h long, y int, cells binary, counts binary").toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("h", "y", "cells", "counts")), strict=True))
     return [(y, np.frombuffer(cells, "<i4").astype(np.int64), np.frombuffer(counts, "<i4")) for _, y, cells, counts in rows]
 
@@ -160,19 +158,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     The document frequencies are of all rows. The weights and the temperature are fitted on at most `sample` rows: of each
     language as many as of any other, those with the smallest hashes (of doc_id, then text), so that a rare language has rows
     too; a fifth of them is for the temperature only. What reaches the driver is at most CELLS counts a row of the sample.
-    Languages are the lang values, the LANGUAGES most frequent ones if there are more.
+    Languages are all lang values; the weights take CELLS numbers for each on the driver and in every worker.
     """
     rows = docs.where(F.col("lang").isNotNull() & _has_letter()).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not known:
+    order = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    first = written(rows.select("lang", "h").withColumn("place", order).where(F.col("place") <= sample))
+    languages = sorted(r["lang"] for r in first.select("lang").distinct().collect())
+    if not languages:
         return Model([], np.zeros((CELLS, 0)), np.zeros(0), np.ones(CELLS))
-    languages = sorted(r["lang"] for r in known)
     each = max(1, sample // len(languages))
-    order = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    last = rows.select("lang", "h").where(F.col("lang").isin(languages)).withColumn("place", order).where(F.col("place") <= each).groupBy("lang").agg(F.max("h")).collect()
-    wanted = functools.reduce(lambda a, b: a | b, [(F.col("lang") == lang) & (F.col("h") <= h) for lang, h in last])
+    last = dict(first.where(F.col("place") <= each).groupBy("lang").agg(F.max("h")).collect())
+    bounds = docs.sparkSession.createDataFrame([(lang, y, last[lang]) for y, lang in enumerate(languages)], "lang string, y int, last long")
+    wanted = rows.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("last"))  # a row for each language
     data, per = [], dict.fromkeys(range(len(languages)), 0)
-    for y, cells, counts in features_of(rows.where(wanted).dropDuplicates(["h", "lang"]), languages):
+    for y, cells, counts in features_of(wanted.dropDuplicates(["h", "lang"])):
         per[y] += 1
         if per[y] <= each:
             data.append((cells, counts, y))
