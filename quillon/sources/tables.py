@@ -153,3 +153,25 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_GRID = """grid0 AS (SELECT vec_id AS image_id, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding) AS v FROM embeddings),
 grid AS (SELECT image_id, CAST(j AS int) AS i, CAST(j % 8 AS int) AS x, CAST(j // 8 AS int) AS y, least(1.0e0, greatest(0.0e0, 0.5e0 + 2 * CAST(v AS double))) AS lum,
   least(1.0e0, greatest(0.0e0, 0.5e0 + 2 * CAST(v AS double))) >= 0.5e0 AS mask FROM grid0)"""
+
+
+#: What a soft mask and its colours could look like, from the value v of an embedding's component: the same text for both engines.
+SOFT = (
+    ("alpha", "0.5e0 + 10 * v"), ("lum", "0.5e0 + 2 * v"), ("gradient", "5 * abs(v)"), ("fg_rgb", "0.5e0 + 2 * v"), ("fg_hsv", "0.6e0 + v"), ("fg_lab", "0.5e0 + 3 * v"),
+    ("bg_rgb", "0.5e0 - 2 * v"), ("bg_hsv", "0.4e0 - v"), ("bg_lab", "0.5e0 - 3 * v"), ("local_fg", "0.5e0 + 4 * v"), ("all_fg", "0.55e0 + 2 * v"), ("all_bg", "0.6e0 - 4 * v"),
+)
+_SOFT = (
+    *[f"least(1.0e0, greatest(0.0e0, {e})) AS {c}" for c, e in SOFT],
+    "CASE WHEN image_id % 3 = 0 THEN NULL ELSE 20 * v END AS direction", "x = 0 OR y = 0 OR x = 7 OR y = 7 AS touches",
+)
+
+
+def soft_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, i, x, y, the columns of SOFT, direction, touches: eight by eight cells an embedding."""
+    rows = given(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", "posexplode(embedding) AS (i, e)")
+    return rows.selectExpr("image_id", "i", "i % 8 AS x", "CAST(floor(i / 8) AS int) AS y", "CAST(e AS double) AS v").selectExpr("image_id", "i", "x", "y", *_SOFT)
+
+
+SQL_SOFT = f"""soft0 AS (SELECT vec_id AS image_id, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding) AS e FROM embeddings),
+soft1 AS (SELECT image_id, CAST(j AS int) AS i, CAST(j % 8 AS int) AS x, CAST(j // 8 AS int) AS y, CAST(e AS double) AS v FROM soft0),
+soft AS (SELECT image_id, i, x, y, {', '.join(_SOFT)} FROM soft1)"""

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import transitions
+from ..sources.shared import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below the warehouse where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    return f"{root}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def counting_upsert(clicks: DataFrame, folder: str | None = None) -> DataFrame:
     result is that of the batch form.
     """
     spark = clicks.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or stream_folder(spark)
 
     def add(batch: DataFrame, number: int) -> None:
         partial(batch).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
@@ -59,7 +59,7 @@ def job_states(events: DataFrame, folder: str | None = None) -> DataFrame:
     """job_id, state, events, last_ms after a stream of queue events: the furthest state of each job, kept as a running
     aggregation in the state store; events without a job are not about one."""
     spark = events.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or stream_folder(spark)
     rank = F.lit(0)
     for name, n in STATES.items():
         rank = F.when(F.col("type") == name, n).otherwise(rank)
@@ -82,7 +82,7 @@ def job_transitions(events: DataFrame, folder: str | None = None) -> DataFrame:
     """The states of the jobs after a stream of their events (see transitions), each kept in the state store: every batch puts
     the jobs that it has changed under its number, and the last one of each job counts."""
     spark = events.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or stream_folder(spark)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
