@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import transitions
+from ..operators import retries, transitions
 from ..sources.shared import shared_folder
 
 
@@ -92,3 +92,34 @@ def job_transitions(events: DataFrame, folder: str | None = None) -> DataFrame:
     states = ["status", "attempt", "progress", "next_retry_ms", "changes"]
     rows = spark.read.parquet(f"{folder}/changed").groupBy("job_id").agg(F.max_by(F.struct(*states), "batch").alias("s"))
     return rows.select("job_id", "s.*").where("status IS NOT NULL")
+
+
+#: The state store that timers and lists need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def job_retries(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """The states of the jobs after a stream of their events and after the retries that have come due meanwhile (see retries).
+
+    A batch's changes are put under its number, so one that runs again replaces itself; a job can change twice in a batch, by
+    its events and then by its timer, so of equal batches the larger number of changes counts.
+    """
+    spark = events.sparkSession
+    folder = folder or stream_folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
+
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        query = retries.streamed(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)
+    states = ["status", "attempt", "progress", "next_retry_ms", "changes", "fired", "last_fired_ms"]
+    rows = spark.read.parquet(f"{folder}/changed").groupBy("job_id").agg(F.max_by(F.struct(*states), F.struct("batch", "changes", "fired")).alias("s"))
+    return rows.select("job_id", "s.*").where("status IS NOT NULL")
