@@ -87,6 +87,17 @@ def kinds() -> dict[str, str]:
     return out
 
 
+def kind_bits(text: str) -> str:
+    """SQL of a number that has a bit for each kind that a text, in lower case, names."""
+    has = lambda words: " OR ".join(f"contains({text}, '{w}')" for w in words)
+    return "(" + " + ".join(f"CASE WHEN {has(words)} THEN {1 << k} ELSE 0 END" for k, words in enumerate(WORDS.values())) + ")"
+
+
+def kinds_of_bits() -> dict[str, str]:
+    """The columns of kinds(), from the numbers slot_kinds."""
+    return {f"is_{slot}_{kind}": f"(({slot}_kinds & {1 << k}) <> 0)" for slot in SLOTS for k, kind in enumerate(WORDS)}
+
+
 def _kind(slot: str, kind: str) -> str:
     return f"(is_{slot}_anyshirt AND NOT is_{slot}_tshirt)" if kind == "shirt" else f"is_{slot}_{kind}"
 

@@ -39,7 +39,7 @@ def color_scores(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
     Colours are numbers, what is counted of them is one sum, and how well two go together is looked up in the list of all
     pairs of codes, which has a fixed length: so the generated code is short enough to be compiled.
     """
-    rows = with_codes(outfits, slots)
+    rows = outfits if f"{slots[0]}_code" in outfits.columns else with_codes(outfits, slots)
     points = F.broadcast(C.pair_scores(outfits.sparkSession))
     used = [(a, b, w) for a, b, w in C.HARMONY if a in slots and b in slots]
     pair_code = lambda s: F.shiftright(f"{s}_code", C.CODE_BITS)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,47 +17,61 @@ from ..functions.wear import engine_role
 MOST_LOOKS = 50_000
 
 
-def _role(items: DataFrame, sizes: DataFrame, name: str, slot: str, inner: Column, most: int, optional: bool = False) -> DataFrame:
-    """owner_id, slot (a struct of an item, or null first where it is optional) and its place; places from which on every look
-    is past the first `most` are left out, so the product that follows has about that many rows."""
-    rows = items.where(F.col("role") == name)
-    place = (F.row_number().over(W.partitionBy("owner_id").orderBy("id")) - (0 if optional else 1)).cast("long")
-    rows = rows.select("owner_id", F.struct("id", "color", "category", "favorite", "name").alias(slot), place.alias(f"{slot}_at"))
-    if optional:
-        kind = rows.schema[slot].dataType
-        rows = rows.unionByName(sizes.select("owner_id", F.lit(None).cast(kind).alias(slot), F.lit(0).cast("long").alias(f"{slot}_at")))
-    return rows.join(sizes, "owner_id").where(F.col(f"{slot}_at") * inner < most).select("owner_id", slot, f"{slot}_at")
+SLOTS = ("bag", "cap", "watch", "other")
+_ITEM = ("id", "color", "category", "favorite", "name")
+
+
+def wardrobes(items: DataFrame, most: int = MOST_LOOKS, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row an owner: tops, dresses, bottoms, shoes, jackets and accessories as arrays in the order of their ids, what they are
+    in number (n_tops, ...), and how many accessories of each slot there are (n_bag, ...).
+
+    Items are structs of _ITEM, slot, at (the place among all of the role) and `extra`, columns that are worked out once an item. What the
+    first `most` looks can't come to is left out: looks go through 5 most accessories at most (one of them is passed over only
+    if it was worn in one of the looks before, which wear four each), and turn to the first `most` of each slot, so an owner's row is
+    bounded however large a wardrobe is.
+    """
+    if "name" not in items.columns:
+        items = items.withColumn("name", F.lit(None).cast("string"))
+    rows = items.withColumn("role", engine_role(F.col("category"))).withColumn("slot", F.when(F.col("role") == "Accessories", accessory_slot(F.struct(*_ITEM))))
+    at = lambda *by: (F.row_number().over(W.partitionBy(*by).orderBy("id")) - 1).cast("long")
+    n = [F.count_if(F.col("role") == role).alias(f"n_{name}") for role, name in ROLES.items()] + [F.count_if(F.col("slot") == s).alias(f"n_{s}") for s in SLOTS]
+    sizes = rows.groupBy("owner_id").agg(*n).withColumnRenamed("owner_id", "of")
+    rows = rows.withColumns({"at": at("owner_id", "role"), "in_slot": at("owner_id", "role", "slot")}).where((F.col("at") < 5 * most + 5) | (F.col("in_slot") < most + 4))
+    item = F.struct(*_ITEM, "slot", "at", *[c.alias(k) for k, c in (extra or {}).items()])
+    of_role = lambda role, name: F.array_sort(F.collect_list(F.when(F.col("role") == role, item))).alias(name)
+    arrays = rows.groupBy("owner_id").agg(*[of_role(role, name) for role, name in ROLES.items()])
+    return arrays.join(sizes, F.col("owner_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+#: Roles and what an owner's items of them are called.
+ROLES = {"Tops": "tops", "Dresses": "dresses", "Bottoms": "bottoms", "Shoes": "shoes", "Jackets": "jackets", "Accessories": "accessories"}
 
 
 def candidates(items: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
     """owner_id, ordinal and the items top, bottom, shoes, jacket and accessory of each look.
 
     Looks with a bottom come first, in the order of nested loops over tops, bottoms, shoes, no jacket and jackets, no accessory
-    and accessories; then dresses without a bottom. ordinal is worked out from the places, so nothing is sorted, and looks
-    from `most` on are left out, before the product where their place alone tells. The join is by owner: one owner's wardrobe
-    is what is multiplied, not the table.
+    and accessories; then dresses without a bottom. Looks from `most` on are left out. A look is its ordinal: the items are read off it,
+    so an owner's numbers are written out once and nothing is joined or sorted.
     """
-    if "name" not in items.columns:
-        items = items.withColumn("name", F.lit(None).cast("string"))
-    items = items.withColumn("role", engine_role(F.col("category")))
-    n = lambda role: F.count_if(F.col("role") == role)
-    sizes = items.groupBy("owner_id").agg(n("Tops").alias("tops"), n("Bottoms").alias("bottoms"), n("Shoes").alias("shoes_n"), (n("Jackets") + 1).alias("jacket_n"), (n("Accessories") + 1).alias("accessory_n"))
-    per_shoe = F.col("jacket_n") * F.col("accessory_n")
-    size = F.col("shoes_n") * per_shoe
-    shoes, jackets, more = _role(items, sizes, "Shoes", "shoes", per_shoe, most), _role(items, sizes, "Jackets", "jacket", F.col("accessory_n"), most, True), _role(items, sizes, "Accessories", "accessory", F.lit(1), most, True)
-    rest = shoes.join(jackets, "owner_id").join(more, "owner_id").join(sizes, "owner_id")
-    inner = (F.col("shoes_at") * F.col("jacket_n") + F.col("jacket_at")) * F.col("accessory_n") + F.col("accessory_at")
-    rest = rest.where(inner < most)
-    slots = ("top", "bottom", "shoes", "jacket", "accessory")
-    bottoms = _role(items, sizes, "Bottoms", "bottom", size, most)
-    at = (F.col("top_at") * F.col("bottoms") + F.col("bottom_at")) * size + inner
-    pairs = _role(items, sizes, "Tops", "top", F.col("bottoms") * size, most).join(bottoms, "owner_id")
-    first = pairs.join(rest, "owner_id").select("owner_id", at.alias("ordinal"), *slots)
-    kind = bottoms.schema["bottom"].dataType
-    after = F.col("tops") * F.col("bottoms") * size + F.col("top_at") * size + inner
-    dresses = _role(items, sizes, "Dresses", "top", size, most).join(rest, "owner_id")
-    second = dresses.select("owner_id", after.alias("ordinal"), "top", F.lit(None).cast(kind).alias("bottom"), "shoes", "jacket", "accessory")
-    return first.unionByName(second).where(F.col("ordinal") < most)
+    jackets, more = F.col("n_jackets") + 1, F.col("n_accessories") + 1
+    size, pairs = F.col("n_shoes") * jackets * more, F.col("n_tops") * F.col("n_bottoms")
+    last = F.least(F.lit(most).cast("long"), (pairs + F.col("n_dresses")) * size) - 1
+    each = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+    rows = wardrobes(items, most).select("*", F.explode(each).alias("ordinal"))
+    div = lambda a, b: F.call_function("div", a, b)
+    pair, inner = div(F.col("ordinal"), size), F.col("ordinal") % size
+    left = inner % (jackets * more)
+    regular = pair < pairs
+    pick = lambda name, place: _bare(F.get(name, place.cast("int")))
+    return rows.select(
+        "owner_id", "ordinal", F.when(regular, pick("tops", div(pair, F.col("n_bottoms")))).otherwise(pick("dresses", pair - pairs)).alias("top"), F.when(regular, pick("bottoms", pair % F.col("n_bottoms"))).alias("bottom"),
+        pick("shoes", div(inner, jackets * more)).alias("shoes"), pick("jackets", div(left, more) - 1).alias("jacket"), pick("accessories", left % more - 1).alias("accessory"),
+    )
+
+
+def _bare(item: Column) -> Column:
+    return F.when(item.isNotNull(), F.struct(*[item[c].alias(c) for c in _ITEM]))
 
 
 def accessory_slot(item: Column) -> Column:
@@ -66,23 +82,83 @@ def accessory_slot(item: Column) -> Column:
     return F.when(item["id"].isNull(), "other").when(c.isin("bag", "bags") | has("handbag", "backpack"), "bag").when(has("cap", "hat"), "cap").when(has("watch"), "watch").otherwise("other")
 
 
-def with_accessories(looks: DataFrame, items: DataFrame) -> DataFrame:
-    """Looks with bag, cap, watch and accessory: the look's own one where it is of that kind, else one of the owner's in turn,
-    by the look's ordinal (the number of looks before it, where none of these is a repeat) and 0 to 3 more."""
-    own = items.withColumn("role", engine_role(F.col("category"))).where("role = 'Accessories'")
-    item = F.struct("id", "color", "category", "favorite", "name")
-    own = own.select("owner_id", item.alias("item")).withColumn("slot", accessory_slot(F.col("item")))
-    pool = lambda slot: F.array_sort(F.collect_list(F.when(F.col("slot") == slot, F.col("item")))).alias(f"{slot}s")
-    pools = own.groupBy("owner_id").agg(*[pool(s) for s in ("bag", "cap", "watch", "other")])
-    kind = accessory_slot(F.col("accessory"))
-    rows = looks.withColumn("kind", F.when(F.col("accessory").isNull(), "other").otherwise(kind)).join(pools, "owner_id", "left")
+WORN = ("top", "bottom", "shoes", "jacket", "bag", "cap", "watch", "accessory")
+_UNIQUE = "owner_id long, ordinal long, is_dress boolean, " + ", ".join(f"{s} int" for s in WORN)
 
-    def pick(slot: str, more: int) -> Column:
-        of = F.col(f"{slot}s")
-        return F.when(F.size(of) > 0, F.get(of, ((F.col("ordinal") + more) % F.size(of)).cast("int")))
 
-    worn = lambda slot, more: F.coalesce(F.when(F.col("kind") == slot, F.col("accessory")), pick(slot, more))
-    return rows.select(*[c for c in looks.columns if c != "accessory"], worn("bag", 0).alias("bag"), worn("cap", 1).alias("cap"), worn("watch", 2).alias("watch"), worn("other", 3).alias("accessory"))
+class _Turns:
+    """What the accessories of an owner give for each number of looks so far: of the options (none, then each accessory) those that
+    make a new look, as places of bag, cap, watch and accessory (-1: none).
+
+    A look wears its own accessory in the slot that it is for; in the others the owner's take turns, by the number of different
+    looks so far and 0 to 3 more. Only looks of the same top, bottom, shoes and jacket can be repeats of one another, and for all
+    of these the accessories are the same, so what follows depends on the number's remainders by the sizes of the slots alone.
+    """
+
+    def __init__(self, slots: list[str], places: list[int], sizes: list[int], most: int):
+        self.options = [(-1, 3)] + [(i, SLOTS.index(s)) for i, (s, at) in enumerate(zip(slots, places, strict=True)) if at < 5 * most + 5]
+        self.pools = [[i for i, s in enumerate(slots) if s == name] for name in SLOTS]
+        self.sizes, self.most, self.known = sizes, most, {}
+
+    def after(self, n: int) -> np.ndarray:
+        key = tuple(n % size if size else 0 for size in self.sizes)
+        if key not in self.known:
+            seen: dict[tuple, None] = {}
+            for item, slot in self.options:
+                if len(seen) >= self.most:
+                    break
+                k = n + len(seen)
+                worn = tuple(item if slot == s and item >= 0 else self.pools[s][(k + s) % size] if size else -1 for s, size in enumerate(self.sizes))
+                seen.setdefault(worn)
+            self.known[key] = np.array(list(seen), np.int64).reshape(-1, 4)
+        return self.known[key]
+
+
+def _one_after_another(most: int):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                turns = _Turns(r["slots"], r["places"], [r[f"n_{s}"] for s in SLOTS], most)
+                jackets = r["n_jackets"] + 1
+                pairs, inner = r["n_tops"] * r["n_bottoms"], r["n_shoes"] * jackets
+                n, combo, parts = 0, [], []
+                for c in range((pairs + r["n_dresses"]) * inner):
+                    if n >= most:
+                        break
+                    new = turns.after(n)[: most - n]
+                    combo.append((c, len(new)))
+                    parts.append(new)
+                    n += len(new)
+                if not n:
+                    continue
+                c, times = np.array(combo, np.int64).T
+                c = np.repeat(c, times)
+                pair, rest = c // inner, c % inner
+                dress, worn = pair >= pairs, np.concatenate(parts)
+                bottoms = max(1, r["n_bottoms"])
+                columns = [np.where(dress, pair - pairs, pair // bottoms), np.where(dress, -1, pair % bottoms), rest // jackets, rest % jackets - 1, *worn.T]
+                places = [pa.array(x, pa.int32(), mask=x < 0) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([r["owner_id"]] * n, pa.int64()), pa.array(np.arange(n)), pa.array(dress), *places], [x.split()[0] for x in _UNIQUE.split(", ")])
+
+    return run
+
+
+def unique_looks(owners: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
+    """owner_id, ordinal, is_dress and the places of the pieces of each different look of owners (see wardrobes), with bag, cap, watch and
+    accessory, as an owner's loops come to them; ordinal is the number of different looks before it, which also says whose turn it
+    is among the accessories. At most `most` looks are taken; repeats don't count. Owners don't depend on one another."""
+    slots = [F.transform("accessories", lambda p: p["slot"]).alias("slots"), F.transform("accessories", lambda p: p["at"]).alias("places")]
+    rows = owners.select("owner_id", *[f"n_{name}" for name in ROLES.values()], *[f"n_{s}" for s in SLOTS], *slots)
+    return rows.mapInArrow(_one_after_another(most), _UNIQUE)
+
+
+def dressed(looks: DataFrame, owners: DataFrame) -> DataFrame:
+    """looks with the pieces themselves instead of their places."""
+    arrays = {"bottom": "bottoms", "shoes": "of_shoes", "jacket": "jackets", "bag": "accessories", "cap": "accessories", "watch": "accessories", "accessory": "accessories"}
+    its = owners.select(F.col("owner_id").alias("of"), "tops", "dresses", "bottoms", F.col("shoes").alias("of_shoes"), "jackets", "accessories")
+    rows = looks.join(its, F.col("owner_id").eqNullSafe(F.col("of")))
+    top = F.when(F.col("is_dress"), F.get("dresses", F.col("top"))).otherwise(F.get("tops", F.col("top"))).alias("top")
+    return rows.select("owner_id", "ordinal", "is_dress", top, *[F.get(a, F.col(s)).alias(s) for s, a in arrays.items()])
 
 
 def identity(slots: tuple[str, ...] = ("top", "bottom", "shoes", "jacket", "accessory")) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from ..functions import color as C
 from ..functions import look_rules as L
 from ..operators import outfits as O
 from ..operators import ranking as R
+from ..sources.shared import kept
 from ..sources.tables import derived, sql_of
 from .styling import _LOOKS, SLOTS
 
@@ -66,43 +70,54 @@ def outfit_evaluation_topk(spark, sf):
 #: What accessories are called, so that there are watches and caps among them; both engines take this expression.
 ITEM_NAME = "CASE WHEN category = 'Accessories' AND id % 3 = 0 THEN 'Steel watch' WHEN category = 'Accessories' AND id % 3 = 1 THEN 'Wool cap' WHEN category = 'Tops' AND id % 4 = 0 THEN 'Shirt' WHEN category = 'Tops' AND id % 4 = 1 THEN 'T-Shirt' WHEN category = 'Pants' AND id % 2 = 0 THEN 'Formal pants' WHEN category = 'Pants' THEN 'Jeans' WHEN category = 'Shoes' AND id % 3 = 0 THEN 'Loafers' WHEN category = 'Shoes' THEN 'Sneakers' ELSE name END"
 _FILLED = ("bag", "cap", "watch", "accessory")
-_ALL = (*L.SLOTS[:4], *_FILLED)
 
 
-def _filled(spark, sf):
-    items = derived(spark, sf, "wardrobe").withColumn("name", F.expr(ITEM_NAME))
-    return R.with_accessories(R.candidates(items), items)
+def _owners(spark, sf, extra=None):
+    """Each owner's wardrobe, with what is worked out once an item."""
+    return kept(R.wardrobes(derived(spark, sf, "wardrobe").withColumn("name", F.expr(ITEM_NAME)), extra=extra))
 
 
 def accessory_fill(spark, sf):
-    """The accessories that each candidate look gets."""
-    return _filled(spark, sf).select("owner_id", "ordinal", *[F.col(f"{s}.id").alias(s) for s in _FILLED])
+    """The accessories that each different look gets."""
+    owners = _owners(spark, sf)
+    return R.dressed(R.unique_looks(owners), owners).select("owner_id", "ordinal", *[F.col(f"{s}.id").alias(s) for s in _FILLED])
 
 
-def outfit_rank_full(spark, sf):
-    """The ten best looks of each wardrobe by the full evaluation, for a Minimal look at work on a mild spring day: the first of
-    looks with the same pieces counts, rejected ones and those under the least score don't."""
-    rows = _filled(spark, sf).withColumn("identity", F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in _ALL]))
-    first = rows.groupBy("owner_id", "identity").agg(F.min_by(F.struct("ordinal", *_ALL), "ordinal").alias("look")).select("owner_id", "identity", "look.*")
-    text = lambda s: F.lower(F.concat_ws(" ", f"{s}.category", f"{s}.name", f"{s}.color"))
+def rank_looks(looks):
+    """The ten best of an owner's looks, whose pieces have kinds and code: for a Minimal look at work on a mild spring day. Rejected
+    ones and those under the least score don't count; of equals the earlier one is first."""
     worn = lambda s: F.col(f"{s}.id").isNotNull()
-    favorites = sum((F.when(F.col(f"{s}.favorite"), 1).otherwise(0) for s in _ALL), F.lit(0)) * 100 / sum((worn(s).cast("int") for s in _ALL), F.lit(0))
-    count = sum((worn(s).cast("int") for s in _FILLED), F.lit(0))
-    flat = first.select(
-        "owner_id", "identity", "ordinal", *[F.col(f"{s}.color").alias(s) for s in _ALL], *[F.when(worn(s), text(s)).alias(f"{s}_t") for s in L.SLOTS[:4]], F.when(count > 0, F.concat_ws(" ", *[F.when(worn(s), text(s)) for s in _FILLED])).alias("accessory_t"),
-        (F.col("top.category") == "Dresses").alias("is_dress"), F.when(count > 3, 10).otherwise(0).alias("crowded"), F.floor(favorites + 0.5).cast("int").alias("favorite_score"),
+    count = lambda slots: sum((worn(s).cast("int") for s in slots), F.lit(0))
+    favorites = sum((F.when(F.col(f"{s}.favorite"), 1).otherwise(0) for s in R.WORN), F.lit(0)) * 100 / count(R.WORN)
+    bits = {s: F.col(f"{s}.kinds") for s in L.SLOTS[:4]} | {"accessory": functools.reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(F.col(f"{s}.kinds"), F.lit(0)) for s in _FILLED])}
+    there = {s: worn(s) for s in L.SLOTS[:4]} | {"accessory": count(_FILLED) > 0}
+    flat = looks.select(
+        "owner_id", "ordinal", F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in R.WORN]).alias("identity"), *[F.col(f"{s}.color").alias(s) for s in R.WORN], *[F.col(f"{s}.code").alias(f"{s}_code") for s in R.WORN],
+        *[F.when(there[s], F.lit("")).alias(f"{s}_t") for s in L.SLOTS], *[F.coalesce(b, F.lit(0)).alias(f"{s}_kinds") for s, b in bits.items()], "is_dress", F.when(count(_FILLED) > 3, 10).otherwise(0).alias("crowded"), F.floor(favorites + 0.5).cast("int").alias("favorite_score"),
         F.lit("Minimal").alias("style"), F.lit("Work").alias("occasion"), F.lit("Mild").alias("weather"), F.lit("Spring").alias("season"),
     )
-    rows = O.color_scores(flat, _ALL).select("*", *[F.expr(sql).alias(name) for name, sql in L.kinds().items()])
+    rows = O.color_scores(flat, R.WORN).select("*", *[F.expr(sql).alias(name) for name, sql in L.kinds_of_bits().items()])
     rejected = F.lit(False)
     for sql, _ in L.rejections():
         rejected = rejected | F.coalesce(F.expr(sql), F.lit(False))
-    scores = {"style_score": L.style_score(_ALL), "occasion_score": L.occasion_score(_ALL), "weather_score": L.weather_score("weather", _ALL), "season_score": L.weather_score("season", _ALL), "accessory_score": f"greatest(0, {L.accessory_score()} - crowded)"}
+    scores = {"style_score": L.style_score(R.WORN), "occasion_score": L.occasion_score(R.WORN), "weather_score": L.weather_score("weather", R.WORN), "season_score": L.weather_score("season", R.WORN), "accessory_score": f"greatest(0, {L.accessory_score()} - crowded)"}
     rows = rows.select("*", *[F.expr(sql).alias(name) for name, sql in scores.items()]).withColumn("final_score", F.expr(_FINAL))
     rows = rows.withColumn("worth", F.when(~rejected & (F.col("final_score") >= F.expr(L.least_score())), F.col("final_score")).otherwise(-1))
     return R.best(rows, "owner_id", "worth", 10).where("worth >= 0").select("owner_id", "rank", "identity", "color_score", "style_score", "final_score")
 
 
+def of_item() -> dict:
+    """What the ranking needs of an item, worked out before any look is made: the kinds that its texts name, and its colour's code."""
+    color = C.normalize(F.col("color"))
+    return {"kinds": F.expr(L.kind_bits("lower(concat_ws(' ', category, name, color))")), "code": F.when(F.col("color").isNotNull(), C.code(color, C.brightness(F.col("color"), color)))}
+
+
+def outfit_rank_full(spark, sf):
+    """The ten best looks of each wardrobe by the full evaluation."""
+    owners = _owners(spark, sf, of_item())
+    return rank_looks(R.dressed(R.unique_looks(owners), owners))
+
+
 QUERIES = {f.__name__: f for f in (accessory_fill, outfit_rank_full, hard_rejections, rule_scores, outfit_evaluation, outfit_evaluation_topk)}
 
 _TEXT_SQL = ", ".join(f"{sql} AS {name}" for name, sql in TEXTS.items())
@@ -170,14 +185,18 @@ _RULES = f"""{_LOOKS}, tx AS (SELECT l5.*, {_TEXT_SQL} FROM l5),
 _K = ", ".join(_KEYS)
 _POOL = "CASE WHEN lower(trim(category)) IN ('bag', 'bags') THEN 'bag' WHEN regexp_matches(lower(category || ' ' || coalesce(nm, '')), 'handbag|backpack') THEN 'bag' WHEN regexp_matches(lower(category || ' ' || coalesce(nm, '')), 'cap|hat') THEN 'cap' WHEN contains(lower(coalesce(nm, '')), 'watch') THEN 'watch' ELSE 'other' END"
 ORACLES = {
-    "accessory_fill": "WITH " + sql_of("wardrobe") + f""", i AS (SELECT *, {ITEM_NAME} AS nm, CASE WHEN category = 'Tops' THEN 'T' WHEN category IN ('Pants', 'Shorts', 'Skirts') THEN 'B' WHEN category IN ('Shoes', 'Heels') THEN 'S' WHEN category = 'Jackets' THEN 'J' WHEN category = 'Dresses' THEN 'D' ELSE 'A' END AS role FROM wardrobe),
-      a AS (SELECT *, {_POOL} AS slot FROM i WHERE role = 'A'), o AS (SELECT DISTINCT owner_id FROM i), jo AS (SELECT owner_id, NULL AS id FROM o UNION ALL SELECT owner_id, id FROM i WHERE role = 'J'), ao AS (SELECT owner_id, NULL AS id, 'other' AS slot FROM o UNION ALL SELECT owner_id, id, slot FROM a),
+    "accessory_fill": "WITH RECURSIVE " + sql_of("wardrobe") + f""", i AS (SELECT *, {ITEM_NAME} AS nm, CASE WHEN category = 'Tops' THEN 'T' WHEN category IN ('Pants', 'Shorts', 'Skirts') THEN 'B' WHEN category IN ('Shoes', 'Heels') THEN 'S' WHEN category = 'Jackets' THEN 'J' WHEN category = 'Dresses' THEN 'D' ELSE 'A' END AS role FROM wardrobe),
+      a AS (SELECT *, {_POOL} AS slot FROM i WHERE role = 'A'), o AS (SELECT DISTINCT owner_id FROM i), jo AS (SELECT owner_id, CAST(NULL AS bigint) AS id FROM o UNION ALL SELECT owner_id, id FROM i WHERE role = 'J'), ao AS (SELECT owner_id, CAST(NULL AS bigint) AS id, 'other' AS slot FROM o UNION ALL SELECT owner_id, id, slot FROM a),
       c AS (SELECT t.owner_id, 0 AS part, t.id AS top, b.id AS bottom, s.id AS shoes, j.id AS jacket, x.id AS acc, x.slot FROM i t JOIN i b ON b.owner_id = t.owner_id AND b.role = 'B' JOIN i s ON s.owner_id = t.owner_id AND s.role = 'S' JOIN jo j ON j.owner_id = t.owner_id JOIN ao x ON x.owner_id = t.owner_id WHERE t.role = 'T'
         UNION ALL SELECT t.owner_id, 1, t.id, NULL, s.id, j.id, x.id, x.slot FROM i t JOIN i s ON s.owner_id = t.owner_id AND s.role = 'S' JOIN jo j ON j.owner_id = t.owner_id JOIN ao x ON x.owner_id = t.owner_id WHERE t.role = 'D'),
-      n AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY part, top, bottom NULLS FIRST, shoes, jacket NULLS FIRST, acc NULLS FIRST) - 1 AS ordinal FROM c),
-      p AS (SELECT owner_id, list(id ORDER BY id) FILTER (WHERE slot = 'bag') AS bags, list(id ORDER BY id) FILTER (WHERE slot = 'cap') AS caps, list(id ORDER BY id) FILTER (WHERE slot = 'watch') AS watches, list(id ORDER BY id) FILTER (WHERE slot = 'other') AS others FROM a GROUP BY 1)
-      SELECT owner_id, ordinal, coalesce(CASE WHEN slot = 'bag' THEN acc END, bags[ordinal % len(bags) + 1]) AS bag, coalesce(CASE WHEN slot = 'cap' THEN acc END, caps[(ordinal + 1) % len(caps) + 1]) AS cap, coalesce(CASE WHEN slot = 'watch' THEN acc END, watches[(ordinal + 2) % len(watches) + 1]) AS watch,
-        coalesce(CASE WHEN slot = 'other' THEN acc END, others[(ordinal + 3) % len(others) + 1]) AS accessory FROM n LEFT JOIN p USING (owner_id) WHERE ordinal < 50000""",
+      n AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY part, top, bottom NULLS FIRST, shoes, jacket NULLS FIRST, acc NULLS FIRST) AS step, dense_rank() OVER (PARTITION BY owner_id ORDER BY part, top, bottom NULLS FIRST, shoes, jacket NULLS FIRST) AS combo FROM c),
+      p AS (SELECT owner_id, list(id ORDER BY id) FILTER (WHERE slot = 'bag') AS bags, list(id ORDER BY id) FILTER (WHERE slot = 'cap') AS caps, list(id ORDER BY id) FILTER (WHERE slot = 'watch') AS watches, list(id ORDER BY id) FILTER (WHERE slot = 'other') AS others FROM a GROUP BY 1),
+      loop(owner_id, step, combo, n, before, seen, bag, cap, watch, other, fresh) AS (SELECT DISTINCT owner_id, CAST(0 AS bigint), CAST(0 AS bigint), CAST(0 AS bigint), CAST(0 AS bigint), CAST([] AS varchar[]), CAST(NULL AS bigint), CAST(NULL AS bigint), CAST(NULL AS bigint), CAST(NULL AS bigint), FALSE FROM n
+        UNION ALL SELECT owner_id, step, combo, n + CASE WHEN fresh THEN 1 ELSE 0 END, n, CASE WHEN fresh THEN list_append(old, look) ELSE old END, bag, cap, watch, other, fresh FROM (SELECT *, NOT list_contains(old, look) AS fresh FROM (SELECT *, concat_ws('|', coalesce(CAST(bag AS varchar), '-'), coalesce(CAST(cap AS varchar), '-'), coalesce(CAST(watch AS varchar), '-'), coalesce(CAST(other AS varchar), '-')) AS look FROM (
+          SELECT l.owner_id, n.step, n.combo, l.n, CASE WHEN n.combo = l.combo THEN l.seen ELSE CAST([] AS varchar[]) END AS old, coalesce(CASE WHEN slot = 'bag' THEN acc END, bags[l.n % len(bags) + 1]) AS bag, coalesce(CASE WHEN slot = 'cap' THEN acc END, caps[(l.n + 1) % len(caps) + 1]) AS cap,
+            coalesce(CASE WHEN slot = 'watch' THEN acc END, watches[(l.n + 2) % len(watches) + 1]) AS watch, coalesce(CASE WHEN slot = 'other' THEN acc END, others[(l.n + 3) % len(others) + 1]) AS other
+          FROM loop l JOIN n ON n.owner_id = l.owner_id AND n.step = l.step + 1 LEFT JOIN p ON p.owner_id = l.owner_id WHERE l.n < 50000))))
+      SELECT owner_id, before AS ordinal, bag, cap, watch, other AS accessory FROM loop WHERE fresh""",
     "hard_rejections": f"{_RULES} SELECT {_K}, array_to_string(rs, ' ') AS reasons, len(rs) AS n_reasons FROM rj",
     "rule_scores": f"{_RULES} SELECT {_K}, style_score, occasion_score, weather_score, season_score, accessory_score, favorite_score FROM sc",
     "outfit_evaluation": f"{_RULES} SELECT {_K}, color_score, style_score, final_score, accepted FROM ac",
