@@ -40,7 +40,7 @@ _LOWER[65:91] += 32
 CHUNKS = "chunk long, ids binary, words array<struct<lang:string,word:string,n:long>>"
 SQUARE = "dest int, chunk long, ids binary, dense binary, keys binary, counts binary"
 FOUND = "dest int, x long, y long, f long"
-REPLIES = "chunk long, keys binary, ids binary"
+REPLIES = "chunk long, dest int, known binary, ids binary"
 
 
 def words_of(texts) -> tuple[pa.StringArray, np.ndarray]:
@@ -190,8 +190,15 @@ def _frequent(least: int, width: int, side: int):
     return run
 
 
+def _asked(d: int, width: int, side: int, strip: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """The cells that a chunk has sent something of to a destination, in an order that both know."""
+    if strip is None:
+        return keys
+    return np.concatenate([keys, _strip_cells(d, width, strip.size // side, side)[strip.ravel() > 0]])
+
+
 def _reply(width: int, side: int):
-    """To each chunk that sent something here, which of its pairs are frequent, and their ids."""
+    """To each chunk that sent something here, which of its pairs are frequent (bits, in the order of _asked), and their ids."""
 
     def run(got: pa.Table, frequent: pa.Table) -> pa.Table:
         out = []
@@ -201,16 +208,12 @@ def _reply(width: int, side: int):
             keys, ids = keys[order], frequent["id"].to_numpy()[order]
             d = got["dest"][0].as_py()
             for chunk, strip, its in zip(got["chunk"], got["dense"], got["keys"], strict=True):
-                its = _keys(its.as_py())
-                if strip.is_valid:
-                    cells = loose(strip.as_py(), np.int64, 5)
-                    its = np.concatenate([its, _strip_cells(d, width, len(cells) // side, side)[cells > 0]])
+                its = _asked(d, width, side, loose(strip.as_py(), np.int64, 5) if strip.is_valid else None, _keys(its.as_py()))
                 at = np.minimum(np.searchsorted(keys, its), len(keys) - 1)
                 known = keys[at] == its
                 if known.any():
-                    mine = np.sort(at[known])
-                    out.append((chunk.as_py(), squeezed(np.diff(keys[mine], prepend=0)), squeezed(ids[mine])))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary()), "ids": pa.array([x[2] for x in out], pa.binary())})
+                    out.append((chunk.as_py(), d, squeezed(np.packbits(known)), squeezed(ids[at[known]])))
+        return pa.table({c.split()[0]: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(zip(REPLIES.split(", "), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True))})
 
     return run
 
@@ -242,7 +245,8 @@ def _next_square(width: int, side: int):
         ids = loose(chunk["ids"][0].as_py(), np.int64)
         out = np.zeros(0, np.int64)
         if replies.num_rows and len(ids) > 1:
-            keys = np.concatenate([_keys(b) for b in replies["keys"].to_pylist()])
+            asked = {d: _asked(d, width, side, strip, keys) for d, strip, keys, _ in square(ids, width, side)}  # again what was sent
+            keys = np.concatenate([asked[d][np.unpackbits(loose(b, np.uint8), count=len(asked[d])) > 0] for d, b in zip(replies["dest"].to_pylist(), replies["known"].to_pylist(), strict=True)])
             of = np.concatenate([loose(b, np.int64) for b in replies["ids"].to_pylist()])
             order = np.argsort(keys)
             keys, of = keys[order], of[order]
