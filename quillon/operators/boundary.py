@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .imaging import labelled
+from .parts import with_labels
 
 PLACES = 9
 
@@ -94,11 +94,10 @@ def distances(cells: DataFrame, seed: str, most: float, name: str = "distance")
 
 def main_component(cells: DataFrame) -> DataFrame:
     """cells with main: in the largest part of what is INSIDE by steps to the sides, of equals the one whose first cell comes first."""
-    parts = labelled(cells.withColumn("mask", F.col("alpha") >= INSIDE), diagonal=False)
-    areas = parts.groupBy("image_id", "label").agg(F.count("*").alias("area"))
-    largest = areas.groupBy("image_id").agg(F.min(F.struct(-F.col("area"), "label"))["label"].alias("label"))
-    main = parts.join(largest, ["image_id", "label"]).select("image_id", "x", "y", F.lit(True).alias("main"))
-    return cells.join(main, ["image_id", "x", "y"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    rows = with_labels(cells.withColumn("mask", F.col("alpha") >= INSIDE), diagonal=False)
+    areas = rows.where("label IS NOT NULL").groupBy("image_id", "label").agg(F.count("*").alias("area"))
+    largest = areas.groupBy("image_id").agg(F.min(F.struct(-F.col("area"), "label"))["label"].alias("label")).withColumn("main", F.lit(True))
+    return rows.join(largest, ["image_id", "label"], "left").withColumn("main", F.coalesce("main", F.lit(False))).select(*cells.columns, "main")
 
 
 def with_boundary(cells: DataFrame) -> DataFrame:

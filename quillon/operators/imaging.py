@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.num import clamp, lerp
+from .parts import labelled
 
 #: What is dark, bright and clipped; the least contrast that counts as full; the strength of an edge.
 DARK, BRIGHT, BLACK, WHITE = 0.12, 0.90, 0.015, 0.985
@@ -153,62 +154,6 @@ def mask_metrics(cells: DataFrame, width: int, height: int) -> DataFrame:
     )
 
 
-def _runs(mask):
-    """Row, first and last column of each run of True in a row, in reading order."""
-    import numpy as np
-
-    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
-    wide[:, 1:-1] = mask
-    edge = np.diff(wide, axis=1)
-    row, first = np.nonzero(edge == 1)
-    return row, first, np.nonzero(edge == -1)[1] - 1
-
-
-def _joined(row, first, last, height: int, diagonal: bool) -> list[int]:
-    """Of each run the first run that it is connected with: runs of neighbouring rows that overlap are one."""
-    import numpy as np
-
-    root = list(range(len(row)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    starts, more = np.searchsorted(row, np.arange(height + 1)), int(diagonal)
-    for y in range(height - 1):
-        above, below = starts[y], starts[y + 1]
-        while above < starts[y + 1] and below < starts[y + 2]:
-            if first[below] <= last[above] + more and first[above] <= last[below] + more:
-                a, b = find(above), find(below)
-                root[max(a, b)] = min(a, b)
-            above, below = (above + 1, below) if last[above] < last[below] else (above, below + 1)
-    return [find(i) for i in range(len(root))]
-
-
-def labelled(cells: DataFrame, value: bool = True, diagonal: bool = True) -> DataFrame:
-    """image_id, x, y, label of the cells with mask = value: label is the first cell, in reading order, of those connected.
-
-    An image is a group whose cells fit a task; images are worked on in parallel. Within one, runs of cells are joined, so the
-    work grows with the number of runs.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(image["x"].max()) + 1, int(image["y"].max()) + 1
-        mask = np.zeros((height, width), bool)
-        mask[image["y"], image["x"]] = image["mask"] == value
-        row, first, last = _runs(mask)
-        of = np.array(_joined(row, first, last, height, diagonal), np.int64)
-        size = last - first + 1
-        x = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
-        label = np.repeat((row * width + first)[of], size) if len(of) else np.zeros(0, np.int64)
-        return pd.DataFrame({"image_id": image["image_id"].iloc[0], "x": x, "y": np.repeat(row, size), "label": label})
-
-    return cells.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, label long")
-
-
 def components(cells: DataFrame, value: bool = True, diagonal: bool = True) -> DataFrame:
     """image_id, label, area, min_x, max_x, min_y, max_y, edge: connected cells with mask = value; label is the smallest cell."""
     size = cells.groupBy("image_id").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .imaging import MOST_CENTERS, labelled
+from .imaging import MOST_CENTERS
+from .parts import with_labels
 
 #: The share of an image and of the largest part from which on a part stays; what is trimmed at either end, the
 #: least number for that, and the shares of median and trimmed mean.
@@ -42,41 +43,27 @@ def eroded(cells: DataFrame, radius: int = 1) -> DataFrame:
 
 def without_small_parts(cells: DataFrame, least: float = LEAST_AREA, largest_only: bool = False) -> DataFrame:
     """The mask without small connected parts: those under `least` of the image and under LEAST_SHARE of the largest part."""
-    of = labelled(cells)
-    parts = of.groupBy("image_id", "label").agg(F.count("*").alias("area"))
-    order = W.partitionBy("image_id").orderBy(F.desc("area"), "label")
-    parts = parts.withColumns({"largest": F.max("area").over(W.partitionBy("image_id")), "place": F.row_number().over(order)})
-    size = cells.groupBy("image_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * least)).alias("floor"))
-    stays = F.col("place") == 1
+    rows = with_labels(cells)
+    parts = rows.groupBy("image_id", "label").agg(F.count("*").alias("area"))
+    size = parts.groupBy("image_id").agg(F.greatest(F.lit(1), F.floor(F.sum("area") * least)).alias("floor"))
+    real = parts.where("label IS NOT NULL")
+    first = real.groupBy("image_id").agg(F.min(F.struct(-F.col("area"), "label")).alias("f")).select("image_id", F.col("f.label").alias("first"), (-F.col("f.col1")).alias("largest"))
+    stays = F.col("label") == F.col("first")
     if not largest_only:
         stays = stays | (F.col("area") >= F.col("floor")) | (F.col("area") / F.col("largest") >= LEAST_SHARE)
-    kept = of.join(parts.join(size, "image_id").where(stays).select("image_id", "label"), ["image_id", "label"]).select("image_id", "x", "y", F.lit(True).alias("stays"))
-    return cells.join(kept, ["image_id", "x", "y"], "left").withColumn("mask", F.coalesce("stays", F.lit(False))).drop("stays")
+    kept_parts = real.join(first, "image_id").join(size, "image_id").where(stays).select("image_id", "label", F.lit(True).alias("stays"))
+    return rows.join(kept_parts, ["image_id", "label"], "left").withColumn("mask", F.coalesce("stays", F.lit(False))).select(*[F.col(f"`{c}`") for c in cells.columns])
 
 
 def filled(cells: DataFrame) -> DataFrame:
     """The mask with its holes: background that no side step connects with the border becomes foreground."""
-    out = labelled(cells, value=False, diagonal=False)
+    rows = with_labels(cells, value=False, diagonal=False)
     size = cells.groupBy("image_id").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
-    at_border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("right")) | (F.col("y") == F.col("bottom"))
-    open_parts = out.join(size, "image_id").where(at_border).select("image_id", "label").distinct()
-    reached = out.join(open_parts, ["image_id", "label"], "left_semi").select("image_id", "x", "y", F.lit(True).alias("reached"))
-    return cells.join(reached, ["image_id", "x", "y"], "left").withColumn("mask", F.col("reached").isNull()).drop("reached")
-
-
-def distances(cells: DataFrame, most: int) -> DataFrame:
-    """distance of each cell to the nearest foreground, in steps of 1 to the sides and the root of 2 across, `most` at most.
-
-    A foreground cell reaches the cells within `most` steps, so the work is a bounded number of rows a cell and nothing is
-    propagated.
-    """
-    reach = F.explode(F.sequence(F.lit(-most), F.lit(most)))
-    seeds = cells.where("mask").select("image_id", "x", "y").withColumn("dx", reach).withColumn("dy", reach)
-    across = F.least(F.abs("dx"), F.abs("dy"))
-    step = F.greatest(F.abs("dx"), F.abs("dy")) - across + across * math.sqrt(2)
-    found = seeds.select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), step.alias("distance")).where(F.col("distance") <= most)
-    found = found.groupBy("image_id", "x", "y").agg(F.min("distance").alias("distance"))
-    return cells.join(found, ["image_id", "x", "y"], "left").withColumn("distance", F.coalesce("distance", F.lit(float(most))))
+    ends = [f(c).alias(n) for c in "xy" for f, n in ((F.min, f"low_{c}"), (F.max, f"high_{c}"))]
+    parts = rows.where("label IS NOT NULL").groupBy("image_id", "label").agg(*ends).join(size, "image_id")
+    at_border = (F.col("low_x") == 0) | (F.col("low_y") == 0) | (F.col("high_x") == F.col("right")) | (F.col("high_y") == F.col("bottom"))
+    open_parts = parts.where(at_border).select("image_id", "label", F.lit(True).alias("reached"))
+    return rows.join(open_parts, ["image_id", "label"], "left").withColumn("mask", F.col("reached").isNull()).select(*[F.col(f"`{c}`") for c in cells.columns])
 
 
 def overlap(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imaging as I
 from ..operators import masks as M
+from ..operators.boundary import distances
 from ..sources.tables import SQL_GRID, derived, given, grid, sql_of
 
 
@@ -44,7 +45,7 @@ def mask_support(spark, sf):
 
 
 def mask_distance(spark, sf):
-    return M.distances(grid(spark, sf), 3).select("image_id", "x", "y", F.round("distance", 6).alias("distance"))
+    return distances(grid(spark, sf), "mask", 3).select("image_id", "x", "y", F.round("distance", 6).alias("distance"))
 
 
 def mask_overlap(spark, sf):
