@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..operators import retries
-from ..sources.tables import derived, sql_of
+from ..sources.tables import derived, issue_options, sql_of
 from ..streaming import upserts
 from .ranking import _stream
+from .telemetry import ORACLES as _TELEMETRY
 
 
 def job_retries(spark, sf):
@@ -18,7 +19,12 @@ def stream_job_retries(spark, sf):
     return upserts.job_retries(_stream(spark, sf, "job_events"))
 
 
-QUERIES = {f.__name__: f for f in (job_retries, stream_job_retries)}
+def stream_issue_notices(spark, sf):
+    """The notices of a stream of clicks: each with the titles and sums as they are when it is told."""
+    return upserts.issue_notices(_stream(spark, sf, "issue_clicks"), issue_options(spark))
+
+
+QUERIES = {f.__name__: f for f in (job_retries, stream_job_retries, stream_issue_notices)}
 
 _TRIES = "greatest(1, s.attempt, e.attempt)"
 _OPEN = "s.status NOT IN ('completed', 'failed', 'cancelled')"
@@ -45,4 +51,5 @@ s(job_id, n, status, attempt, progress, next_retry_ms, changes, fired, last_fire
     WHEN e.kind = 'cancelled' AND {_OPEN} THEN 'cancelled' WHEN e.kind = 'interrupted' AND s.status IN ('preparing', 'processing', 'finalizing') THEN 'interrupted' WHEN e.kind = 'removed' THEN 'removed' END AS m))
 SELECT job_id, status, attempt, progress, next_retry_ms, changes, fired, last_fired_ms FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1 AND status IS NOT NULL"""
 
-ORACLES = {"job_retries": _RETRIES, "stream_job_retries": _RETRIES}
+#: A table that is one file is one batch, whose notices are those of the batch form.
+ORACLES = {"job_retries": _RETRIES, "stream_job_retries": _RETRIES, "stream_issue_notices": _TELEMETRY["issue_notices"]}

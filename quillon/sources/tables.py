@@ -175,3 +175,21 @@ def soft_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SOFT = f"""soft0 AS (SELECT vec_id AS image_id, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding) AS e FROM embeddings),
 soft1 AS (SELECT image_id, CAST(j AS int) AS i, CAST(j % 8 AS int) AS x, CAST(j // 8 AS int) AS y, CAST(e AS double) AS v FROM soft0),
 soft AS (SELECT image_id, i, x, y, {', '.join(_SOFT)} FROM soft1)"""
+
+
+#: Cells with a low mask and colours of their own, from the value v of an embedding's component and the values w and u of two others.
+TINTED = (("alpha", "0.15e0 + 2 * v"), ("gradient", "2 * abs(w)"), ("texture", "2 * abs(u)"), ("l", "0.5e0 + 1.5e0 * v"), ("a", "0.5e0 + 1.2e0 * w"), ("b", "0.5e0 + u"))
+_TINTED = [f"least(1.0e0, greatest(0.0e0, {e})) AS {c}" for c, e in TINTED]
+
+
+def tinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, x, y and the columns of TINTED: eight by eight cells an embedding."""
+    rows = given(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", "embedding", "posexplode(embedding) AS (i, e)")
+    of = "CAST(element_at(embedding, CAST((i + {}) % 64 + 1 AS int)) AS double) AS {}".format
+    rows = rows.selectExpr("image_id", "i % 8 AS x", "CAST(floor(i / 8) AS int) AS y", "CAST(e AS double) AS v", of(7, "w"), of(19, "u"))
+    return rows.selectExpr("image_id", "x", "y", *_TINTED)
+
+
+SQL_TINTED = f"""tinted0 AS (SELECT vec_id AS image_id, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding) AS e, embedding FROM embeddings),
+tinted1 AS (SELECT image_id, CAST(j % 8 AS int) AS x, CAST(j // 8 AS int) AS y, CAST(e AS double) AS v, CAST(embedding[(j + 7) % 64 + 1] AS double) AS w, CAST(embedding[(j + 19) % 64 + 1] AS double) AS u FROM tinted0),
+tinted AS (SELECT image_id, x, y, {', '.join(_TINTED)} FROM tinted1)"""

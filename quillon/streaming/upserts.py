@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retries, transitions
+from ..operators import issues, retries, transitions
 from ..sources.shared import shared_folder
 
 
@@ -123,3 +123,32 @@ def job_retries(events: DataFrame, folder: str | None = None) -> DataFrame:
     states = ["status", "attempt", "progress", "next_retry_ms", "changes", "fired", "last_fired_ms"]
     rows = spark.read.parquet(f"{folder}/changed").groupBy("job_id").agg(F.max_by(F.struct(*states), F.struct("batch", "changes", "fired")).alias("s"))
     return rows.select("job_id", "s.*").where("status IS NOT NULL")
+
+
+def issue_notices(clicks: DataFrame, options: DataFrame, folder: str | None = None) -> DataFrame:
+    """click_id, user_id, issue_key, heading, body: what each accepted change of a stream of clicks is announced with.
+
+    Each batch meets two tables: the reports so far, which say whether a click is a reporter's first one, and the statistics and titles of
+    the issues as they are after the batch. Both are read where the batch is written, under its number: a batch that runs
+    again reads the reports of the batches before it and replaces what it has written.
+    """
+    spark = clicks.sparkSession
+    folder = folder or stream_folder(spark)
+    schema = partial(clicks).schema
+
+    def tell(batch: DataFrame, number: int) -> None:
+        paths = [f"{folder}/parts/batch={k}" for k in range(number)]
+        parts = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        before = parts.groupBy("user_id", "issue_key").agg(F.sum("report_count").alias("before"))
+        partial(batch).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+        after = counted(spark.read.schema(schema).parquet(*paths, f"{folder}/parts/batch={number}"))
+        reports = after.withColumn("platform", F.col("latest.platform"))
+        rows = issues.changes(batch).join(before, ["user_id", "issue_key"], "left")
+        known = F.coalesce("before", F.lit(0))
+        rows = rows.withColumns({"op": F.when(known + F.col("old_count") == 0, "INSERT").otherwise("UPDATE"), "old_count": known + F.col("old_count"), "new_count": known + F.col("new_count")})
+        told = issues.notices(issues.accepted_changes(rows), issues.statistics(reports, options))
+        told.write.mode("overwrite").parquet(f"{folder}/told/batch={number}")
+
+    query = clicks.writeStream.foreachBatch(tell).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/told").drop("batch")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from quillon.operators import retries
+from quillon.operators import issues, retries
+from quillon.sources.tables import ISSUES, issue_options
 from quillon.streaming import upserts
 
 EVENTS = "job_id long, seq long, ms long, kind string, progress double, retryable boolean, attempt long, reset boolean"
@@ -49,3 +50,22 @@ def test_batches_equal_the_fold(spark, tmp_path, seed):
     got = states(upserts.job_retries(stream(spark, str(tmp_path / "in")), str(tmp_path / "out")))
     want = states(retries.folded(spark.createDataFrame(rows, EVENTS)))
     assert got == want and sum(r[6] for r in want) >= 3
+
+
+CLICKS = "click_id long, user_id long, issue_key string, platform string, app_version string, ms long"
+
+
+def test_notices_are_told_with_the_sums_of_their_time(spark, tmp_path):
+    """Each batch's notices are those of all clicks so far, by the batch form."""
+    rng = random.Random(4)
+    clicks = [(i, rng.randrange(5), rng.choice([k for k, _, _ in ISSUES[:3]]), "ios", "1.0", 1000 * i) for i in range(60)]
+    want = []
+    for i in range(0, 60, 20):
+        spark.createDataFrame(clicks[i : i + 20], CLICKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        so_far = spark.createDataFrame(clicks[: i + 20], CLICKS)
+        rows = issues.accepted_changes(issues.changes(so_far))
+        told = issues.notices(rows, issues.statistics(issues.fold_clicks(so_far), issue_options(spark)))
+        want += [tuple(r) for r in told.where(f"click_id >= {i}").collect()]
+        source = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = upserts.issue_notices(source, issue_options(spark), str(tmp_path / "out"))
+        assert sorted(map(tuple, got.collect())) == sorted(want), f"after {i + 20} clicks, each time after a restart"
