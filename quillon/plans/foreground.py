@@ -8,7 +8,7 @@ from ..operators import boundary as B
 from ..operators import foreground as M
 from ..sources.shared import kept
 from ..sources.tables import SQL_TINTED, soft_grid, tinted
-from .boundary import _BASE
+from .boundary import _BASE, _CLASSES, _vote
 
 #: The images are small: every sample counts, and two make a region.
 DEPTH, SAMPLES = 0.0, 2
@@ -50,7 +50,19 @@ def foreground_similarity(spark, sf):
     return _cut(M.similarities(cells, models, regions), *names).select("image_id", "x", "y", *names)
 
 
-QUERIES = {f.__name__: f for f in (foreground_prototypes, foreground_regions, foreground_similarity)}
+def refined_masks(spark, sf):
+    """The whole way: features of the edge, the colour model of what is inside, classes by both, and two votes of the neighbours."""
+    colors = tinted(spark, sf).selectExpr("image_id", "x", "y", "l AS r", "a AS g", "b")
+    plain = soft_grid(spark, sf).select("image_id", "x", "y", "alpha", "lum", "gradient", "direction", "touches")
+    cells = kept(B.features(plain).join(colors, ["image_id", "x", "y"]))
+    models = kept(M.prototypes(cells, DEPTH))
+    regions = kept(M.regions_of(cells, models, M.region_seeds(cells, models, DEPTH), DEPTH, SAMPLES))
+    classes = B.classified(M.similarities(cells, models, regions)).withColumn("alpha", F.col("refined"))
+    rows, _ = B.voted(kept(classes.select("image_id", "x", "y", "alpha", "class", "confidence", "active", "main", "continuity", "support", "agreement")), cut=kept)
+    return _cut(rows, "alpha", "confidence").select("image_id", "x", "y", "class", "alpha", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (foreground_prototypes, foreground_regions, foreground_similarity, refined_masks)}
 
 _U = "least(1.0e0, greatest(0.0e0, {}))".format
 _FIVE = "floor({0} * 100000 + 0.00005e0) / 100000 AS {0}".format
@@ -109,15 +121,18 @@ regions AS (SELECT * EXCLUDE (confidence), round(n / every, 9) AS reliable, roun
 _F, _B, _R = _alike("c", "f"), _alike("c", "k"), _alike("c", "q")
 _NAMES = ("fg_rgb", "fg_hsv", "fg_lab", "bg_rgb", "bg_hsv", "bg_lab", "local_fg", "all_fg", "all_bg")
 _ONE = ", ".join(f"{t}.{c} AS {n}_{c}" if c == "n" else f"floor({t}.{c} * 100000 + 0.00005e0) / 100000 AS {n}_{c}" for t, n in (("f", "fore"), ("k", "back")) for c in ("n", "r", "h", "lab_l", "variance", "confidence"))
+_LIKENESS = f"""{_MODEL}, near AS (SELECT c.image_id, c.x, c.y, q.region, q.confidence, q.reliable, q.mean_alpha, round(sqrt((c.x - q.sx) * (c.x - q.sx) + (c.y - q.sy) * (c.y - q.sy)), 9) AS d, q.radius, {_R['all']} AS alike FROM cells c JOIN regions q ON q.image_id = c.image_id),
+weighed AS (SELECT *, CASE WHEN exp(-(d / radius) * (d / radius) * 0.65e0) >= 0.001 THEN exp(-(d / radius) * (d / radius) * 0.65e0) * greatest(0.05e0, 0.5e0 * confidence + 0.3e0 * reliable + 0.2e0 * mean_alpha) ELSE 0 END AS w FROM near),
+locals AS (SELECT image_id, x, y, CASE WHEN sum(w) > 0.000001 THEN sum(w * alike) / sum(w) ELSE arg_min(alike, row(d, -confidence, region)) END AS l, arg_min(confidence, row(d, -confidence, region)) > 0 AS here FROM weighed GROUP BY 1, 2, 3),
+each AS (SELECT c.image_id, c.x, c.y, m.separation, coalesce({_F['rgb']}, 0) AS fg_rgb, coalesce({_F['hsv']}, 0) AS fg_hsv, coalesce({_F['lab']}, 0) AS fg_lab, coalesce({_F['all']}, 0) AS fa, coalesce({_B['rgb']}, 0) AS bg_rgb, coalesce({_B['hsv']}, 0) AS bg_hsv, coalesce({_B['lab']}, 0) AS bg_lab, coalesce({_B['all']}, 0) AS all_bg
+FROM cells c JOIN model m ON m.image_id = c.image_id LEFT JOIN fore f ON f.image_id = c.image_id LEFT JOIN back k ON k.image_id = c.image_id),
+done AS (SELECT e.*, {_U(_U('CASE WHEN coalesce(here, FALSE) THEN 0.62e0 * l + 0.38e0 * fa ELSE fa END') + ' * (0.55e0 + 0.45e0 * separation)')} AS local_fg, {_U('fa * (0.55e0 + 0.45e0 * separation)')} AS all_fg FROM each e LEFT JOIN locals o ON o.image_id = e.image_id AND o.x = e.x AND o.y = e.y)"""
 
 ORACLES = {
     "foreground_prototypes": f"{_MODEL} SELECT m.image_id, {_ONE}, {_FIVE('separation')}, both_there AND separation >= 0.08 AS usable, radius FROM model m LEFT JOIN fore f ON f.image_id = m.image_id LEFT JOIN back k ON k.image_id = m.image_id",
     "foreground_regions": f"{_MODEL} SELECT image_id, region, sx AS x, sy AS y, n, {_FIVE('reliable')}, floor(mean_alpha * 100000 + 0.00005e0) / 100000 AS alpha, {_FIVE('confidence')} FROM regions",
-    "foreground_similarity": f"""{_MODEL}, near AS (SELECT c.image_id, c.x, c.y, q.region, q.confidence, q.reliable, q.mean_alpha, round(sqrt((c.x - q.sx) * (c.x - q.sx) + (c.y - q.sy) * (c.y - q.sy)), 9) AS d, q.radius, {_R['all']} AS alike FROM cells c JOIN regions q ON q.image_id = c.image_id),
-      weighed AS (SELECT *, CASE WHEN exp(-(d / radius) * (d / radius) * 0.65e0) >= 0.001 THEN exp(-(d / radius) * (d / radius) * 0.65e0) * greatest(0.05e0, 0.5e0 * confidence + 0.3e0 * reliable + 0.2e0 * mean_alpha) ELSE 0 END AS w FROM near),
-      locals AS (SELECT image_id, x, y, CASE WHEN sum(w) > 0.000001 THEN sum(w * alike) / sum(w) ELSE arg_min(alike, row(d, -confidence, region)) END AS l, arg_min(confidence, row(d, -confidence, region)) > 0 AS here FROM weighed GROUP BY 1, 2, 3),
-      each AS (SELECT c.image_id, c.x, c.y, m.separation, coalesce({_F['rgb']}, 0) AS fg_rgb, coalesce({_F['hsv']}, 0) AS fg_hsv, coalesce({_F['lab']}, 0) AS fg_lab, coalesce({_F['all']}, 0) AS fa, coalesce({_B['rgb']}, 0) AS bg_rgb, coalesce({_B['hsv']}, 0) AS bg_hsv, coalesce({_B['lab']}, 0) AS bg_lab, coalesce({_B['all']}, 0) AS all_bg
-        FROM cells c JOIN model m ON m.image_id = c.image_id LEFT JOIN fore f ON f.image_id = c.image_id LEFT JOIN back k ON k.image_id = c.image_id),
-      done AS (SELECT e.*, {_U(_U('CASE WHEN coalesce(here, FALSE) THEN 0.62e0 * l + 0.38e0 * fa ELSE fa END') + ' * (0.55e0 + 0.45e0 * separation)')} AS local_fg, {_U('fa * (0.55e0 + 0.45e0 * separation)')} AS all_fg FROM each e LEFT JOIN locals o ON o.image_id = e.image_id AND o.x = e.x AND o.y = e.y)
-      SELECT image_id, x, y, {', '.join(f'floor(round({n}, 9) * 100000 + 0.00005e0) / 100000 AS {n}' for n in _NAMES)} FROM done""",
+    "foreground_similarity": f"{_LIKENESS} SELECT image_id, x, y, {', '.join(f'floor(round({n}, 9) * 100000 + 0.00005e0) / 100000 AS {n}' for n in _NAMES)} FROM done",
+    "refined_masks": f"""{_LIKENESS}, featured AS (SELECT s.* EXCLUDE ({', '.join(_NAMES)}), {', '.join(f'round({n}, 9) AS {n}' for n in ('d.' + n for n in _NAMES)).replace('AS d.', 'AS ')} FROM feature s JOIN done d ON d.image_id = s.image_id AND d.x = s.x AND d.y = s.y)
+      {_CLASSES.replace('FROM feature)', 'FROM featured)')}, ballots AS (SELECT image_id, i, x, y, active, main, continuity, support, agreement, class AS k, refined AS alpha, confidence AS c, TRUE AS going FROM classes){_vote(0, 'ballots')}{_vote(1, 'state0')}
+      SELECT image_id, x, y, k AS class, {_FIVE('alpha')}, floor(c * 100000 + 0.00005e0) / 100000 AS confidence FROM state1""",
 }
