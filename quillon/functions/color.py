@@ -36,28 +36,28 @@ SHADES = {
     "Silver": ("Silver",),
 }
 MATCHES = {
-    "Black": "White Gray Beige Cream Camel Blue Navy Olive Burgundy Red Pink Silver Denim",
-    "White": "Black Gray Blue Navy Brown Green Olive Beige Camel Khaki Burgundy Pink Gold Denim",
-    "Gray": "Black White Blue Navy Beige Camel Pink Burgundy Green Olive",
-    "Blue": "White Gray Black Beige Camel Brown Olive Cream",
-    "Navy": "White Gray Beige Cream Camel Brown Burgundy Pink Olive Gold",
-    "Denim": "White Black Gray Beige Camel Brown Olive",
-    "Beige": "Black White Brown Blue Navy Green Olive Burgundy Gray",
-    "Camel": "White Black Navy Blue Cream Olive Brown Gray",
-    "Cream": "Brown Camel Navy Blue Olive Black Gray Burgundy",
-    "Brown": "White Cream Beige Camel Blue Navy Olive Green",
-    "Green": "White Black Brown Beige Cream Gray Camel",
-    "Olive": "Black White Cream Camel Brown Gray Beige Navy",
-    "Red": "Black White Gray Cream Denim",
-    "Burgundy": "Black White Gray Beige Cream Navy Camel Pink",
-    "Pink": "White Gray Navy Black Beige Camel Burgundy",
-    "Yellow": "Black Gray Blue Navy White",
-    "Orange": "Black White Brown Beige Navy",
-    "Purple": "Black White Gray Silver",
-    "Khaki": "White Black Olive Brown Navy",
-    "Gold": "Black White Navy Burgundy",
-    "Silver": "Black White Gray Blue",
-}
+    "Black": ("White", "Gray", "Beige", "Cream", "Camel", "Blue", "Navy", "Olive", "Burgundy", "Red", "Pink", "Silver", "Denim"),
+    "White": ("Black", "Gray", "Blue", "Navy", "Brown", "Green", "Olive", "Beige", "Camel", "Khaki", "Burgundy", "Pink", "Gold", "Denim"),
+    "Gray": ("Black", "White", "Blue", "Navy", "Beige", "Camel", "Pink", "Burgundy", "Green", "Olive"),
+    "Blue": ("White", "Gray", "Black", "Beige", "Camel", "Brown", "Olive", "Cream"),
+    "Navy": ("White", "Gray", "Beige", "Cream", "Camel", "Brown", "Burgundy", "Pink", "Olive", "Gold"),
+    "Denim": ("White", "Black", "Gray", "Beige", "Camel", "Brown", "Olive"),
+    "Beige": ("Black", "White", "Brown", "Blue", "Navy", "Green", "Olive", "Burgundy", "Gray"),
+    "Camel": ("White", "Black", "Navy", "Blue", "Cream", "Olive", "Brown", "Gray"),
+    "Cream": ("Brown", "Camel", "Navy", "Blue", "Olive", "Black", "Gray", "Burgundy"),
+    "Brown": ("White", "Cream", "Beige", "Camel", "Blue", "Navy", "Olive", "Green"),
+    "Green": ("White", "Black", "Brown", "Beige", "Cream", "Gray", "Camel"),
+    "Olive": ("Black", "White", "Cream", "Camel", "Brown", "Gray", "Beige", "Navy"),
+    "Red": ("Black", "White", "Gray", "Cream", "Denim"),
+    "Burgundy": ("Black", "White", "Gray", "Beige", "Cream", "Navy", "Camel", "Pink"),
+    "Pink": ("White", "Gray", "Navy", "Black", "Beige", "Camel", "Burgundy"),
+    "Yellow": ("Black", "Gray", "Blue", "Navy", "White"),
+    "Orange": ("Black", "White", "Brown", "Beige", "Navy"),
+    "Purple": ("Black", "White", "Gray", "Silver"),
+    "Khaki": ("White", "Black", "Olive", "Brown", "Navy"),
+    "Gold": ("Black", "White", "Navy", "Burgundy"),
+    "Silver": ("Black", "White", "Gray", "Blue"),
+}
 #: Groups of colours, pairs that go very well, and pairs at risk.
 NEUTRAL = ("Black", "White", "Gray", "Navy", "Denim", "Beige", "Camel", "Cream", "Brown", "Khaki", "Olive", "Gold", "Silver")
 STRONG = ("Red", "Yellow", "Orange", "Purple", "Pink", "Green", "Blue", "Burgundy")
@@ -67,8 +67,20 @@ WARM = ("Red", "Orange", "Yellow", "Brown", "Camel", "Beige", "Cream", "Burgundy
 COOL = ("Blue", "Navy", "Denim", "Green", "Olive", "Purple", "Gray", "Silver")
 SPRING = ("White", "Cream", "Beige", "Blue", "Green", "Pink", "Yellow", "Denim")
 RAIN, SPORT = ("Black", "Navy", "Gray", "Brown", "Olive", "Denim"), ("Black", "White", "Gray", "Blue", "Navy")
-BRIGHTNESS = {c: g for g, names in {"dark": "Black Navy Brown Olive Burgundy Purple", "light": "White Beige Cream Pink Yellow", "medium": "Gray Blue Denim Camel Green Red Orange Khaki", "metallic": "Gold Silver"}.items() for c in names.split()}
-SATURATION = {c: g for g, names in {"neutral": "Black White Gray Beige Cream", "strong": "Blue Green Red Yellow Orange Purple", "soft": "Navy Denim Camel Brown Olive Burgundy Pink Khaki", "metallic": "Gold Silver"}.items() for c in names.split()}
+BRIGHTNESS_GROUPS = {
+    "dark": ("Black", "Navy", "Brown", "Olive", "Burgundy", "Purple"),
+    "light": ("White", "Beige", "Cream", "Pink", "Yellow"),
+    "medium": ("Gray", "Blue", "Denim", "Camel", "Green", "Red", "Orange", "Khaki"),
+    "metallic": ("Gold", "Silver"),
+}
+BRIGHTNESS = {c: g for g, names in BRIGHTNESS_GROUPS.items() for c in names}
+SATURATION_GROUPS = {
+    "neutral": ("Black", "White", "Gray", "Beige", "Cream"),
+    "strong": ("Blue", "Green", "Red", "Yellow", "Orange", "Purple"),
+    "soft": ("Navy", "Denim", "Camel", "Brown", "Olive", "Burgundy", "Pink", "Khaki"),
+    "metallic": ("Gold", "Silver"),
+}
+SATURATION = {c: g for g, names in SATURATION_GROUPS.items() for c in names}
 EXCELLENT = (("Black", "White"), ("Black", "Gray"), ("Black", "Beige"), ("White", "Navy"), ("White", "Blue"), ("White", "Denim"), ("Beige", "Brown"), ("Beige", "Navy"), ("Camel", "Navy"), ("Cream", "Brown"), ("Gray", "Navy"), ("Blue", "Brown"), ("Olive", "Cream"), ("Burgundy", "Beige"))
 RISKY = (("Red", "Green"), ("Purple", "Yellow"), ("Orange", "Pink"), ("Red", "Orange"), ("Green", "Purple"))
 BRIGHTNESS_WORDS = (("light", ("light", "sky", "ivory", "off white", "mint")), ("dark", ("dark", "midnight", "charcoal", "coffee", "chocolate")))
@@ -80,7 +92,7 @@ def canonical_pairs(pairs) -> list[str]:
     return ["|".join(sorted(p)) for p in pairs]
 
 
-MATCHING = [f"{c}>{m}" for c in COLORS for m in MATCHES[c].split()]
+MATCHING = [f"{c}>{m}" for c in COLORS for m in MATCHES[c]]
 
 
 def literal_map(of: dict[str, str | int]) -> Column:

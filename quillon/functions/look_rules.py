@@ -17,60 +17,119 @@ WORDS = {
 NEUTRAL = ("Black", "White", "Gray", "Beige", "Brown", "Navy", "Cream")
 LIGHT = ("White", "Beige", "Cream", "Light Blue", "Gray")
 FAMILIES = {
-    "Black": "White Gray Beige Brown Navy Red Blue Green", "White": "Black Gray Beige Brown Navy Blue Green Red Pink Purple Yellow", "Gray": "Black White Beige Brown Navy Blue Green Pink", "Beige": "Black White Brown Navy Blue Green Gray",
-    "Brown": "White Beige Cream Black Green Navy Blue", "Navy": "White Beige Brown Gray Blue Red", "Blue": "White Black Gray Beige Brown Navy", "Green": "White Black Beige Brown Gray", "Red": "Black White Gray Navy Beige",
-    "Pink": "White Black Gray Beige Navy", "Purple": "White Black Gray Beige", "Yellow": "Black White Gray Navy Blue", "Orange": "Black White Brown Navy Blue",
+    "Black": ("White", "Gray", "Beige", "Brown", "Navy", "Red", "Blue", "Green"),
+    "White": ("Black", "Gray", "Beige", "Brown", "Navy", "Blue", "Green", "Red", "Pink", "Purple", "Yellow"),
+    "Gray": ("Black", "White", "Beige", "Brown", "Navy", "Blue", "Green", "Pink"),
+    "Beige": ("Black", "White", "Brown", "Navy", "Blue", "Green", "Gray"),
+    "Brown": ("White", "Beige", "Cream", "Black", "Green", "Navy", "Blue"),
+    "Navy": ("White", "Beige", "Brown", "Gray", "Blue", "Red"),
+    "Blue": ("White", "Black", "Gray", "Beige", "Brown", "Navy"),
+    "Green": ("White", "Black", "Beige", "Brown", "Gray"),
+    "Red": ("Black", "White", "Gray", "Navy", "Beige"),
+    "Pink": ("White", "Black", "Gray", "Beige", "Navy"),
+    "Purple": ("White", "Black", "Gray", "Beige"),
+    "Yellow": ("Black", "White", "Gray", "Navy", "Blue"),
+    "Orange": ("Black", "White", "Brown", "Navy", "Blue"),
 }
 RISKY = (("Red", "Green"), ("Purple", "Yellow"), ("Orange", "Pink"), ("Red", "Orange"), ("Green", "Purple"))
 #: Of each style the colours it prefers and avoids, most colours, least score, what a jacket, an accessory and few
 #: colours add, and what a wrong colour and too many take.
 STYLES = {
-    "Minimal": ("Black White Gray Beige Brown Navy", "Yellow Orange Pink Purple", 3, 78, 4, 8, 15, 15, 25),
-    "Classic": ("Black White Gray Navy Brown Beige", "Pink Orange Yellow Purple", 3, 82, 18, 12, 20, 20, 30),
-    "Luxury": ("Black White Gray Navy Brown Beige", "Yellow Orange Pink Purple Green", 3, 85, 25, 18, 25, 25, 35),
-    "Streetwear": ("Black White Gray Green Blue Red", "", 5, 72, 10, 15, 15, 8, 10),
-    "Sport": ("Black White Blue Gray", "Brown Purple", 4, 72, -10, 8, 15, 10, 15),
-}
+    "Minimal": (("Black", "White", "Gray", "Beige", "Brown", "Navy"), ("Yellow", "Orange", "Pink", "Purple"), 3, 78, 4, 8, 15, 15, 25),
+    "Classic": (("Black", "White", "Gray", "Navy", "Brown", "Beige"), ("Pink", "Orange", "Yellow", "Purple"), 3, 82, 18, 12, 20, 20, 30),
+    "Luxury": (("Black", "White", "Gray", "Navy", "Brown", "Beige"), ("Yellow", "Orange", "Pink", "Purple", "Green"), 3, 85, 25, 18, 25, 25, 35),
+    "Streetwear": (("Black", "White", "Gray", "Green", "Blue", "Red"), (), 5, 72, 10, 15, 15, 8, 10),
+    "Sport": (("Black", "White", "Blue", "Gray"), ("Brown", "Purple"), 4, 72, -10, 8, 15, 10, 15),
+}
 #: Points of a style for what is worn; of several in a row joined by > only the first that holds counts.
 STYLE_POINTS = {
-    "Minimal": (("all neutral", 20), ("top:tshirt top:shirt top:polo", 10), ("bottom:jeans bottom:formal", 10), ("shoes:sneakers", 8)),
-    "Classic": (("top:shirt top:polo top:sweater", 22), ("bottom:formal bottom:jeans", 18), ("shoes:loafers shoes:boots", 20), ("jacket", 12), ("accessory:watch", 10)),
-    "Luxury": (("top:shirt top:polo", 25), ("bottom:formal", 25, "bottom:jeans", 10), ("shoes:loafers", 25, "shoes:boots", 15, "shoes:sneakers", -8), ("jacket", 20), ("accessory:watch accessory:bag", 15)),
-    "Streetwear": (("top:hoodie top:tshirt", 22), ("bottom:cargo bottom:jeans", 22), ("shoes:sneakers", 25), ("accessory:cap accessory:bag", 15)),
-    "Sport": (("top:tshirt top:hoodie", 20), ("bottom:shorts bottom:joggers", 25), ("shoes:sneakers", 30), ("accessory:cap", 10)),
-}
+    "Minimal": (
+        ("all neutral", 20), (("top:tshirt", "top:shirt", "top:polo"), 10), (("bottom:jeans", "bottom:formal"), 10), (("shoes:sneakers",), 8),
+    ),
+    "Classic": (
+        (("top:shirt", "top:polo", "top:sweater"), 22), (("bottom:formal", "bottom:jeans"), 18), (("shoes:loafers", "shoes:boots"), 20), ("jacket",
+        12), (("accessory:watch",), 10),
+    ),
+    "Luxury": (
+        (("top:shirt", "top:polo"), 25), (("bottom:formal",), 25, ("bottom:jeans",), 10), (("shoes:loafers",), 25, ("shoes:boots",), 15,
+        ("shoes:sneakers",), -8), ("jacket", 20), (("accessory:watch", "accessory:bag"), 15),
+    ),
+    "Streetwear": (
+        (("top:hoodie", "top:tshirt"), 22), (("bottom:cargo", "bottom:jeans"), 22), (("shoes:sneakers",), 25), (("accessory:cap", "accessory:bag"),
+        15),
+    ),
+    "Sport": ((("top:tshirt", "top:hoodie"), 20), (("bottom:shorts", "bottom:joggers"), 25), (("shoes:sneakers",), 30), (("accessory:cap",), 10)),
+}
 OCCASIONS = {
-    "Casual": ("Black White Gray Blue Green Brown Beige", (("top:tshirt top:polo top:hoodie", 15), ("bottom:jeans bottom:cargo bottom:shorts", 15), ("shoes:sneakers", 15))),
-    "Work": ("Black White Gray Navy Brown Beige", (("top:shirt top:polo", 25), ("bottom:formal", 25), ("shoes:loafers", 20), ("jacket", 10))),
-    "Date": ("Black White Gray Navy Brown Beige Red", (("top:shirt top:polo top:sweater", 18), ("bottom:formal bottom:jeans", 18), ("shoes:loafers shoes:boots", 16), ("accessory:watch", 12))),
-    "Party": ("Black White Gray Red Navy", (("top:shirt top:polo top:tshirt", 15), ("bottom:jeans bottom:formal", 15), ("shoes:sneakers shoes:loafers", 15))),
-    "Sport": ("Black White Blue Gray", (("top:tshirt top:hoodie", 20), ("bottom:shorts bottom:joggers", 25), ("shoes:sneakers", 25))),
-    "Summer": ("White Beige Blue Gray Green", (("top:tshirt top:polo", 15), ("bottom:shorts bottom:skirt", 20), ("shoes:sneakers shoes:sandals", 15), ("no jacket", 10))),
-}
+    "Casual": (
+        ("Black", "White", "Gray", "Blue", "Green", "Brown", "Beige"), ((("top:tshirt", "top:polo", "top:hoodie"), 15), (("bottom:jeans",
+        "bottom:cargo", "bottom:shorts"), 15), (("shoes:sneakers",), 15)),
+    ),
+    "Work": (
+        ("Black", "White", "Gray", "Navy", "Brown", "Beige"), ((("top:shirt", "top:polo"), 25), (("bottom:formal",), 25), (("shoes:loafers",), 20),
+        ("jacket", 10)),
+    ),
+    "Date": (
+        ("Black", "White", "Gray", "Navy", "Brown", "Beige", "Red"), ((("top:shirt", "top:polo", "top:sweater"), 18), (("bottom:formal",
+        "bottom:jeans"), 18), (("shoes:loafers", "shoes:boots"), 16), (("accessory:watch",), 12)),
+    ),
+    "Party": (
+        ("Black", "White", "Gray", "Red", "Navy"), ((("top:shirt", "top:polo", "top:tshirt"), 15), (("bottom:jeans", "bottom:formal"), 15),
+        (("shoes:sneakers", "shoes:loafers"), 15)),
+    ),
+    "Sport": (
+        ("Black", "White", "Blue", "Gray"), ((("top:tshirt", "top:hoodie"), 20), (("bottom:shorts", "bottom:joggers"), 25), (("shoes:sneakers",),
+        25)),
+    ),
+    "Summer": (
+        ("White", "Beige", "Blue", "Gray", "Green"), ((("top:tshirt", "top:polo"), 15), (("bottom:shorts", "bottom:skirt"), 20), (("shoes:sneakers",
+        "shoes:sandals"), 15), ("no jacket", 10)),
+    ),
+}
 #: Preferred and forbidden colours, and points; `always` holds for every look.
 WEATHERS = {
-    "Hot": ("White Beige Blue Gray Green", "", (("no jacket", 20), ("bottom:shorts bottom:skirt", 15), ("shoes:sandals shoes:sneakers", 10))),
-    "Mild": ("Black White Gray Brown Beige Blue", "", (("always", 15), ("light jacket", 5))),
-    "Rainy": ("Black Gray Brown Navy", "White", (("jacket", 15, "always", 5), ("shoes:boots", 20), ("shoes:sandals", -40))),
-}
+    "Hot": (
+        ("White", "Beige", "Blue", "Gray", "Green"), (), (("no jacket", 20), (("bottom:shorts", "bottom:skirt"), 15), (("shoes:sandals",
+        "shoes:sneakers"), 10)),
+    ),
+    "Mild": (("Black", "White", "Gray", "Brown", "Beige", "Blue"), (), (("always", 15), ("light jacket", 5))),
+    "Rainy": (("Black", "Gray", "Brown", "Navy"), ("White",), (("jacket", 15, "always", 5), (("shoes:boots",), 20), (("shoes:sandals",), -40))),
+}
 SEASONS = {
-    "Spring": ("White Blue Green Gray Beige", "", (("any White Blue Green Beige Gray", 15), ("light jacket", 5))),
-    "Summer": ("White Beige Blue Gray Green", "", (("no jacket", 20), ("bottom:shorts bottom:skirt", 15), ("any " + " ".join(LIGHT[:3] + LIGHT[4:]), 10))),
-}
+    "Spring": (("White", "Blue", "Green", "Gray", "Beige"), (), ((("any", "White", "Blue", "Green", "Beige", "Gray"), 15), ("light jacket", 5))),
+    "Summer": (
+        ("White", "Beige", "Blue", "Gray", "Green"), (), (("no jacket", 20), (("bottom:shorts", "bottom:skirt"), 15), (("any", "White", "Beige",
+        "Cream", "Gray"), 10)),
+    ),
+}
 #: Option, its value, what rejects the look, and the reason that is given.
 REJECTIONS = (
-    (None, None, "no top", "Missing top or dress."), (None, None, "no bottom or dress", "Missing bottom."), (None, None, "no shoes", "Missing shoes."),
-    ("style", "Luxury", "bottom:shorts", "Luxury outfits do not use shorts."), ("style", "Luxury", "top:hoodie", "Hoodies are not suitable for the selected Luxury style."),
-    ("style", "Luxury", "bottom:cargo bottom:joggers", "Cargo and joggers are not suitable for Luxury outfits."), ("style", "Luxury", "shoes:sandals", "Sandals are not suitable for Luxury outfits."),
-    ("style", "Classic", "bottom:shorts", "Classic outfits do not use shorts."), ("style", "Classic", "bottom:cargo bottom:joggers", "Cargo and joggers are not suitable for Classic outfits."),
-    ("style", "Classic", "top:hoodie", "Hoodies are not suitable for Classic outfits."), ("style", "Classic", "shoes:sandals", "Sandals are not suitable for Classic outfits."),
-    ("style", "Sport", "jacket without sport", "This jacket is not suitable for a Sport outfit."), ("style", "Sport", "shoes:loafers shoes:boots", "Loafers and boots are not suitable for this Sport outfit."),
-    ("occasion", "Work", "bottom:shorts", "Shorts are not suitable for Work."), ("occasion", "Work", "top:hoodie top:tshirt", "This top is too casual for Work."), ("occasion", "Work", "shoes:sandals", "Sandals are not suitable for Work."),
-    ("occasion", "Date", "bottom:shorts", "Shorts are not suitable for this Date outfit."), ("occasion", "Date", "bottom:joggers", "Joggers are too casual for this Date outfit."),
-    ("occasion", "Party", "bottom:joggers", "Joggers are not suitable for this Party outfit."), ("occasion", "Sport", "shoes without sneakers or sport", "Sport outfits require sneakers."),
-    ("occasion", "Summer", "jacket", "Summer outfits should not include a jacket."), ("occasion", "Summer", "shoes:boots", "Boots are not suitable for Summer."),
-    ("weather", "Hot", "jacket", "Hot weather outfits should not include a jacket."), ("weather", "Hot", "shoes:boots", "Boots are not suitable for hot weather."),
-    ("weather", "Rainy", "shoes:sandals", "Sandals are not suitable for rainy weather."), ("season", "Summer", "jacket:coat", "A coat is not suitable for Summer."),
+    (None, None, "no top", "Missing top or dress."),
+    (None, None, "no bottom or dress", "Missing bottom."),
+    (None, None, "no shoes", "Missing shoes."),
+    ("style", "Luxury", ("bottom:shorts",), "Luxury outfits do not use shorts."),
+    ("style", "Luxury", ("top:hoodie",), "Hoodies are not suitable for the selected Luxury style."),
+    ("style", "Luxury", ("bottom:cargo", "bottom:joggers"), "Cargo and joggers are not suitable for Luxury outfits."),
+    ("style", "Luxury", ("shoes:sandals",), "Sandals are not suitable for Luxury outfits."),
+    ("style", "Classic", ("bottom:shorts",), "Classic outfits do not use shorts."),
+    ("style", "Classic", ("bottom:cargo", "bottom:joggers"), "Cargo and joggers are not suitable for Classic outfits."),
+    ("style", "Classic", ("top:hoodie",), "Hoodies are not suitable for Classic outfits."),
+    ("style", "Classic", ("shoes:sandals",), "Sandals are not suitable for Classic outfits."),
+    ("style", "Sport", "jacket without sport", "This jacket is not suitable for a Sport outfit."),
+    ("style", "Sport", ("shoes:loafers", "shoes:boots"), "Loafers and boots are not suitable for this Sport outfit."),
+    ("occasion", "Work", ("bottom:shorts",), "Shorts are not suitable for Work."),
+    ("occasion", "Work", ("top:hoodie", "top:tshirt"), "This top is too casual for Work."),
+    ("occasion", "Work", ("shoes:sandals",), "Sandals are not suitable for Work."),
+    ("occasion", "Date", ("bottom:shorts",), "Shorts are not suitable for this Date outfit."),
+    ("occasion", "Date", ("bottom:joggers",), "Joggers are too casual for this Date outfit."),
+    ("occasion", "Party", ("bottom:joggers",), "Joggers are not suitable for this Party outfit."),
+    ("occasion", "Sport", "shoes without sneakers or sport", "Sport outfits require sneakers."),
+    ("occasion", "Summer", "jacket", "Summer outfits should not include a jacket."),
+    ("occasion", "Summer", ("shoes:boots",), "Boots are not suitable for Summer."),
+    ("weather", "Hot", "jacket", "Hot weather outfits should not include a jacket."),
+    ("weather", "Hot", ("shoes:boots",), "Boots are not suitable for hot weather."),
+    ("weather", "Rainy", ("shoes:sandals",), "Sandals are not suitable for rainy weather."),
+    ("season", "Summer", ("jacket:coat",), "A coat is not suitable for Summer."),
 )
 
 
@@ -102,20 +161,22 @@ def _kind(slot: str, kind: str) -> str:
     return f"(is_{slot}_anyshirt AND NOT is_{slot}_tshirt)" if kind == "shirt" else f"is_{slot}_{kind}"
 
 
-def _holds(what: str, slots=SLOTS) -> str:
+def _holds(what: str | tuple[str, ...], slots=SLOTS) -> str:
     """SQL of a condition of the tables."""
     if what == "always":
         return "TRUE"
     if what == "all neutral":
         return "(" + " AND ".join(f"({s} IS NULL OR {s} IN {_names(NEUTRAL)})" for s in slots) + ")"
-    if what.startswith("any "):
-        return "(" + " OR ".join(f"coalesce({s} IN {_names(what[4:].split())}, FALSE)" for s in slots) + ")"
+    if what[0] == "any":
+        return "(" + " OR ".join(f"coalesce({s} IN {_names(what[1:])}, FALSE)" for s in slots) + ")"
+    if isinstance(what, tuple):
+        return "(" + " OR ".join(_kind(*w.split(":")) for w in what) + ")"
     special = {
         "jacket": "jacket_t IS NOT NULL", "no jacket": "jacket_t IS NULL", "no top": "top_t IS NULL", "no bottom or dress": "(bottom_t IS NULL AND NOT is_dress)", "no shoes": "shoes_t IS NULL",
         "light jacket": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'coat')})", "jacket without sport": f"(jacket_t IS NOT NULL AND NOT {_kind('jacket', 'sport')})",
         "shoes without sneakers or sport": f"NOT ({_kind('shoes', 'sneakers')} OR {_kind('shoes', 'sport')})",
     }
-    return special[what] if what in special else "(" + " OR ".join(_kind(*w.split(":")) for w in what.split()) + ")"
+    return special[what]
 
 
 def _points(rules, slots=SLOTS) -> str:
@@ -126,8 +187,8 @@ def _points(rules, slots=SLOTS) -> str:
     return "(" + " + ".join(out or ["0"]) + ")"
 
 
-def _count(names: str, slots=SLOTS) -> str:
-    return "(" + " + ".join(f"CASE WHEN {s} IN {_names(names.split())} THEN 1 ELSE 0 END" for s in slots) + ")" if names else "0"
+def _count(names: tuple[str, ...], slots=SLOTS) -> str:
+    return "(" + " + ".join(f"CASE WHEN {s} IN {_names(names)} THEN 1 ELSE 0 END" for s in slots) + ")" if names else "0"
 
 
 def different_colors(slots=SLOTS) -> str:
@@ -141,7 +202,7 @@ def different_colors(slots=SLOTS) -> str:
 def pair_score(a: str, b: str) -> str:
     """SQL of the style engine's score of two colours; a missing one is Black."""
     a, b = f"coalesce({a}, 'Black')", f"coalesce({b}, 'Black')"
-    goes = [f"{c}>{m}" for c, names in FAMILIES.items() for m in names.split()]
+    goes = [f"{c}>{m}" for c, names in FAMILIES.items() for m in names]
     risky = [f"{x}>{y}" for p in RISKY for x, y in (p, p[::-1])]
     both = f"concat({a}, '>', {b})"
     return f"CASE WHEN {a} = {b} THEN 88 WHEN {a} IN {_names(NEUTRAL)} AND {b} IN {_names(NEUTRAL)} THEN 95 WHEN {both} IN {_names(goes)} OR concat({b}, '>', {a}) IN {_names(goes)} THEN 92 WHEN {both} IN {_names(risky)} THEN 45 ELSE 70 END"

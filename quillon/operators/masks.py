@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .imaging import MOST_CENTERS
 from .parts import with_labels
 
@@ -112,14 +114,19 @@ def robust_colors(pixels: DataFrame) -> DataFrame:
     return sums.groupBy("image_id").agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in "rgb"])
 
 
-def closest_pair(centers: DataFrame) -> DataFrame:
-    """a, b, distance: the two nearest of a few centers (center, c), the first of equals; more than MOST_CENTERS are refused,
-    since every center meets every other one."""
-    if centers.limit(MOST_CENTERS + 1).count() > MOST_CENTERS:
-        raise ValueError(f"more than {MOST_CENTERS} centers")
+def closest_pair(centers: DataFrame, at_once: int = MOST_CENTERS) -> DataFrame:
+    """a, b, distance: the two nearest of centers (center, c), the first of equals. Every center meets every other one, in blocks of at
+    most at_once of them that are sent to all tasks one after another; of each block only the nearest pair is kept."""
     far = F.sqrt(F.aggregate(F.zip_with("c", "d", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    both = centers.select(F.col("center").alias("a"), "c").join(F.broadcast(centers.select(F.col("center").alias("b"), F.col("c").alias("d"))), F.col("a") < F.col("b"))
-    return both.agg(F.min(F.struct(F.round(far, 6).alias("distance"), "a", "b")).alias("m")).select("m.a", "m.b", "m.distance")
+    blocks = max(1, -(-centers.count() // at_once))
+    of = F.pmod(F.xxhash64("center"), F.lit(blocks))
+    found = []
+    for k in range(blocks):
+        block = centers.where(of == k).select(F.col("center").alias("b"), F.col("c").alias("d"))
+        both = centers.select(F.col("center").alias("a"), "c").join(F.broadcast(block), F.col("a") < F.col("b"))
+        found.append(both.agg(F.min(F.struct(F.round(far, 6).alias("distance"), "a", "b")).alias("m")))
+    every = functools.reduce(DataFrame.unionByName, found).agg(F.min("m").alias("m"))
+    return every.where("m IS NOT NULL").select("m.a", "m.b", "m.distance")
 
 
 #: The eight neighbours, clockwise from the right (y grows downwards).
@@ -166,17 +173,17 @@ def spread_points(points: DataFrame, count: int, width: int, height: int) -> Dat
     """image_id, turn, i, x, y: `count` points (image_id, i, x, y, confidence) of each image, the surest one first, then each
     time the one that is best by confidence and by its distance from those chosen; of equals the surer, then the first.
 
-    Every turn is one aggregation and one join by image, so an image's points are never in one place.
+    Every turn is one aggregation and one join by image, so an image's points are never in one place; what is chosen so far is a
+    table in the shared folder, so a turn doesn't read those before it again.
     """
     diagonal = math.hypot(width, height)
-    rows = points.withColumn("near", F.lit(float("inf")))
-    chosen = None
-    for turn in range(count):
-        value = F.round(F.col("confidence") * SURE + F.least(F.lit(1.0), F.col("near") * FAR_TIMES) * FAR, 9) if turn else F.col("confidence")
-        best = rows.groupBy("image_id").agg(F.max_by(F.struct("i", "x", "y"), F.struct(value, "confidence", -F.col("i"))).alias("p")).select("image_id", F.col("p.i").alias("pi"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-        now = best.select("image_id", F.lit(turn).alias("turn"), F.col("pi").alias("i"), F.col("px").alias("x"), F.col("py").alias("y"))
-        chosen = now if chosen is None else chosen.unionByName(now)
-        if turn + 1 < count:
-            dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-            rows = rows.join(best, "image_id").where(F.col("i") != F.col("pi")).withColumn("near", F.least("near", F.sqrt(dx * dx + dy * dy) / diagonal)).drop("pi", "px", "py")
-    return chosen
+    place = lambda p: F.sqrt(((F.col("x") - p["x"]) * (F.col("x") - p["x"]) + (F.col("y") - p["y"]) * (F.col("y") - p["y"])).cast("double")) / diagonal
+    chosen = kept(points.groupBy("image_id").agg(F.array(F.max_by(F.struct("i", "x", "y"), F.struct("confidence", -F.col("i")))).alias("chosen")))
+    for _ in range(count - 1):
+        rows = points.join(chosen, "image_id").where(~F.exists("chosen", lambda p: p["i"] == F.col("i")))
+        rows = rows.withColumn("near", F.array_min(F.transform("chosen", place)))
+        value = F.round(F.col("confidence") * SURE + F.least(F.lit(1.0), F.col("near") * FAR_TIMES) * FAR, 9)
+        best = rows.groupBy("image_id").agg(F.max_by(F.struct("i", "x", "y"), F.struct(value, "confidence", -F.col("i"))).alias("next"))
+        more = F.when(F.col("next").isNotNull(), F.array_append("chosen", F.col("next"))).otherwise(F.col("chosen"))
+        chosen = kept(chosen.join(best, "image_id", "left").select("image_id", more.alias("chosen")))
+    return chosen.select("image_id", F.posexplode("chosen").alias("turn", "p")).select("image_id", "turn", "p.i", "p.x", "p.y")

@@ -29,7 +29,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def following(points: Column) -> Column:
     """The points from the second on and the first one again."""
-    return F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1))
+    return F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
 
 
 def inside(p: Column, points: Column) -> Column:
@@ -66,7 +66,7 @@ def nearest_points(asked: DataFrame, contours: DataFrame) -> DataFrame:
 
 def spread(points: Column, least: float) -> Column:
     """The points without those nearer than `least` to the one kept before, and without a last one that near to the first."""
-    kept = F.aggregate(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1), lambda out, p: F.when(distance(F.element_at(out, -1), p) >= least, F.concat(out, F.array(p))).otherwise(out))
+    kept = F.aggregate(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1), lambda out, p: F.when(distance(F.element_at(out, -1), p) >= least, F.concat(out, F.array(p))).otherwise(out))
     ends = (F.size(kept) > 2) & (distance(F.element_at(kept, 1), F.element_at(kept, -1)) < least)
     return F.when(ends, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
 

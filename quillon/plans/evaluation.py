@@ -145,7 +145,7 @@ def _if(*rules) -> str:
 
 #: Written out rule by rule from the rules' description, without the tables and the text that the queries use.
 _RULES = f"""{_LOOKS}, tx AS (SELECT l5.*, {_TEXT_SQL} FROM l5),
-  fam(k) AS (VALUES {', '.join(f"('{c}>{m}')" for c, names in L.FAMILIES.items() for m in names.split())}),
+  fam(k) AS (VALUES {', '.join(f"('{c}>{m}')" for c, names in L.FAMILIES.items() for m in names)}),
   kd AS (SELECT *, list_filter([top, bottom, shoes, jacket], lambda c: c IS NOT NULL) AS cl, regexp_matches(top_t, 'tshirt|t-shirt|tee') AS tee, contains(top_t, 'shirt') AND NOT regexp_matches(top_t, 'tshirt|t-shirt|tee') AS shirt, contains(top_t, 'polo') AS polo, contains(top_t, 'hoodie') AS hoodie, contains(top_t, 'sweater') AS sweater,
     coalesce(regexp_matches(bottom_t, 'shorts|short pants'), FALSE) AS short, coalesce(contains(bottom_t, 'skirt'), FALSE) AS skirt, coalesce(contains(bottom_t, 'formal'), FALSE) AS formal, coalesce(regexp_matches(bottom_t, 'jeans|denim'), FALSE) AS jeans, coalesce(contains(bottom_t, 'cargo'), FALSE) AS cargo, coalesce(regexp_matches(bottom_t, 'jogger|sweatpants'), FALSE) AS jog,
     contains(shoes_t, 'sneaker') AS sneak, contains(shoes_t, 'boot') AS boot, contains(shoes_t, 'loafer') AS loafer, contains(shoes_t, 'sandal') AS sandal, contains(shoes_t, 'sport') AS sporty, jacket_t IS NOT NULL AS j, coalesce(contains(jacket_t, 'coat'), FALSE) AS coat, coalesce(contains(jacket_t, 'sport'), FALSE) AS jsport,

@@ -98,7 +98,7 @@ QUERIES = {f.__name__: f for f in (
     stream_job_transitions, outfit_candidates, outfit_identity_distinct, outfit_rank_topk, outfit_rank_summary, ai_score_legacy, preference_bonus, category_knowledge, calendar_season, weather_class, stream_counting_upsert, stream_queue_machine,
 )}
 
-_M = "m(k) AS (VALUES " + ", ".join(f"('{c}>{m}')" for c in COLORS for m in MATCHES[c].split()) + ")"
+_M = "m(k) AS (VALUES " + ", ".join(f"('{c}>{m}')" for c in COLORS for m in MATCHES[c]) + ")"
 _ITEMS = "WITH " + sql_of("wardrobe") + """, it AS (SELECT *, CASE WHEN category = 'Tops' THEN 'Tops' WHEN category IN ('Pants', 'Shorts', 'Skirts') THEN 'Bottoms' WHEN category IN ('Shoes', 'Heels') THEN 'Shoes' WHEN category = 'Jackets' THEN 'Jackets' WHEN category = 'Dresses' THEN 'Dresses' ELSE 'Accessories' END AS role FROM wardrobe),
   opt AS (SELECT owner_id, id, color, role FROM it UNION ALL SELECT DISTINCT owner_id, CAST(NULL AS bigint), CAST(NULL AS varchar), 'Jackets' FROM it UNION ALL SELECT DISTINCT owner_id, CAST(NULL AS bigint), CAST(NULL AS varchar), 'Accessories' FROM it),
   lk AS (SELECT t.owner_id, 0 AS kind, t.id AS top, b.id AS bottom, s.id AS shoes, j.id AS jacket, a.id AS accessory, t.color AS tc, b.color AS bc, s.color AS sc, j.color AS jc, a.color AS ac FROM it t JOIN it b USING (owner_id) JOIN it s USING (owner_id) JOIN opt j USING (owner_id) JOIN opt a USING (owner_id)

@@ -38,7 +38,7 @@ def wardrobe_latest_job_join(spark, sf):
 
 
 def color_matches(spark):
-    return spark.createDataFrame([(c, m) for c in COLORS for m in C.MATCHES[c].split()], "color string, other string")
+    return spark.createDataFrame([(c, m) for c in COLORS for m in C.MATCHES[c]], "color string, other string")
 
 
 def best_match_items(spark, sf):
@@ -110,7 +110,7 @@ QUERIES = {f.__name__: f for f in (
 
 _W = "WITH " + sql_of("wardrobe")
 _LIST = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
-_MATCHES = "m(color, other) AS (VALUES " + ", ".join(f"('{c}', '{m}')" for c in COLORS for m in C.MATCHES[c].split()) + ")"
+_MATCHES = "m(color, other) AS (VALUES " + ", ".join(f"('{c}', '{m}')" for c in COLORS for m in C.MATCHES[c]) + ")"
 _KINDS = f"bright(color, b) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{C.BRIGHTNESS[c]}{chr(39)})' for c in COLORS)})"
 
 
