@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cleaned
 from ..functions.wear import engine_role
+from ..sources.shared import kept
 
 #: Looks that are scored for an owner at most, as the loops come to them.
 MOST_LOOKS = 50_000
@@ -32,12 +33,13 @@ def wardrobes(items: DataFrame, most: int = MOST_LOOKS, extra: dict[str, Column]
     """
     if "name" not in items.columns:
         items = items.withColumn("name", F.lit(None).cast("string"))
-    rows = items.withColumn("role", engine_role(F.col("category"))).withColumn("slot", F.when(F.col("role") == "Accessories", accessory_slot(F.struct(*_ITEM))))
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by owner once, for all that follows, and not fewer because items are small
+    rows = items.repartition(width, "owner_id").withColumn("role", engine_role(F.col("category"))).withColumn("slot", F.when(F.col("role") == "Accessories", accessory_slot(F.struct(*_ITEM)))).withColumns(extra or {})
     at = lambda *by: (F.row_number().over(W.partitionBy(*by).orderBy("id")) - 1).cast("long")
     n = [F.count_if(F.col("role") == role).alias(f"n_{name}") for role, name in ROLES.items()] + [F.count_if(F.col("slot") == s).alias(f"n_{s}") for s in SLOTS]
     sizes = rows.groupBy("owner_id").agg(*n).withColumnRenamed("owner_id", "of")
     rows = rows.withColumns({"at": at("owner_id", "role"), "in_slot": at("owner_id", "role", "slot")}).where((F.col("at") < 5 * most + 5) | (F.col("in_slot") < most + 4))
-    item = F.struct(*_ITEM, "slot", "at", *[c.alias(k) for k, c in (extra or {}).items()])
+    item = F.struct(*_ITEM, "slot", "at", *(extra or {}))
     of_role = lambda role, name: F.array_sort(F.collect_list(F.when(F.col("role") == role, item))).alias(name)
     arrays = rows.groupBy("owner_id").agg(*[of_role(role, name) for role, name in ROLES.items()])
     return arrays.join(sizes, F.col("owner_id").eqNullSafe(F.col("of"))).drop("of")
@@ -51,27 +53,31 @@ def candidates(items: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
     """owner_id, ordinal and the items top, bottom, shoes, jacket and accessory of each look.
 
     Looks with a bottom come first, in the order of nested loops over tops, bottoms, shoes, no jacket and jackets, no accessory
-    and accessories; then dresses without a bottom. Looks from `most` on are left out. A look is its ordinal: the items are read off it,
-    so an owner's numbers are written out once and nothing is joined or sorted.
+    and accessories; then dresses without a bottom. Looks from `most` on are left out. A look is its ordinal: the places of its items are
+    read off it, so an owner's numbers are written out once, and the items come from one row of the owner.
     """
+    owners = kept(wardrobes(items, most))
     jackets, more = F.col("n_jackets") + 1, F.col("n_accessories") + 1
     size, pairs = F.col("n_shoes") * jackets * more, F.col("n_tops") * F.col("n_bottoms")
     last = F.least(F.lit(most).cast("long"), (pairs + F.col("n_dresses")) * size) - 1
     each = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<long>"))
-    rows = wardrobes(items, most).select("*", F.explode(each).alias("ordinal"))
-    div = lambda a, b: F.call_function("div", a, b)
-    pair, inner = div(F.col("ordinal"), size), F.col("ordinal") % size
-    left = inner % (jackets * more)
-    regular = pair < pairs
-    pick = lambda name, place: _bare(F.get(name, place.cast("int")))
-    return rows.select(
-        "owner_id", "ordinal", F.when(regular, pick("tops", div(pair, F.col("n_bottoms")))).otherwise(pick("dresses", pair - pairs)).alias("top"), F.when(regular, pick("bottoms", pair % F.col("n_bottoms"))).alias("bottom"),
-        pick("shoes", div(inner, jackets * more)).alias("shoes"), pick("jackets", div(left, more) - 1).alias("jacket"), pick("accessories", left % more - 1).alias("accessory"),
-    )
+    rows = owners.select("owner_id", "n_bottoms", "n_dresses", pairs.alias("pairs"), size.alias("size"), (jackets * more).alias("per_shoe"), more.alias("more"), F.explode(each).alias("ordinal"))
+    div = lambda a, b: F.call_function("div", F.col(a), F.col(b)).cast("int")
+    rows = rows.withColumns({"pair": div("ordinal", "size"), "inner": (F.col("ordinal") % F.col("size")).cast("int")})
+    rows = rows.withColumns({"is_dress": F.col("pair") >= F.col("pairs"), "left": (F.col("inner") % F.col("per_shoe")).cast("int")})
+    bottom = F.when(~F.col("is_dress"), (F.col("pair") % F.col("n_bottoms")).cast("int"))
+    places = {"top": F.when(F.col("is_dress"), F.col("pair") - F.col("pairs")).otherwise(div("pair", "n_bottoms")).cast("int"), "bottom": bottom, "shoes": div("inner", "per_shoe"), "jacket": div("left", "more") - 1, "accessory": (F.col("left") % F.col("more") - 1).cast("int")}
+    return dressed(rows.select("owner_id", "ordinal", "is_dress", *[c.alias(s) for s, c in places.items()]), owners)
 
 
-def _bare(item: Column) -> Column:
-    return F.when(item.isNotNull(), F.struct(*[item[c].alias(c) for c in _ITEM]))
+def dressed(looks: DataFrame, owners: DataFrame) -> DataFrame:
+    """owner_id, ordinal, is_dress and the pieces themselves of looks that have their places (null or negative: none)."""
+    of = {"bottom": "bottoms", "shoes": "of_shoes", "jacket": "jackets"}
+    its = owners.select(F.col("owner_id").alias("of"), "tops", "dresses", "bottoms", F.col("shoes").alias("of_shoes"), "jackets", "accessories")
+    rows = looks.join(its, F.col("owner_id").eqNullSafe(F.col("of")))
+    top = F.get(F.when(F.col("is_dress"), F.col("dresses")).otherwise(F.col("tops")), F.col("top")).alias("top")
+    slots = [s for s in WORN if s in looks.columns and s != "top"]
+    return rows.select("owner_id", "ordinal", "is_dress", top, *[F.get(of.get(s, "accessories"), F.col(s)).alias(s) for s in slots])
 
 
 def accessory_slot(item: Column) -> Column:
@@ -152,15 +158,6 @@ def unique_looks(owners: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
     return rows.mapInArrow(_one_after_another(most), _UNIQUE)
 
 
-def dressed(looks: DataFrame, owners: DataFrame) -> DataFrame:
-    """looks with the pieces themselves instead of their places."""
-    arrays = {"bottom": "bottoms", "shoes": "of_shoes", "jacket": "jackets", "bag": "accessories", "cap": "accessories", "watch": "accessories", "accessory": "accessories"}
-    its = owners.select(F.col("owner_id").alias("of"), "tops", "dresses", "bottoms", F.col("shoes").alias("of_shoes"), "jackets", "accessories")
-    rows = looks.join(its, F.col("owner_id").eqNullSafe(F.col("of")))
-    top = F.when(F.col("is_dress"), F.get("dresses", F.col("top"))).otherwise(F.get("tops", F.col("top"))).alias("top")
-    return rows.select("owner_id", "ordinal", "is_dress", top, *[F.get(a, F.col(s)).alias(s) for s, a in arrays.items()])
-
-
 def identity(slots: tuple[str, ...] = ("top", "bottom", "shoes", "jacket", "accessory")) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in slots])
 

@@ -10,7 +10,7 @@ from ..functions import color as C
 from ..functions import look_rules as L
 from ..operators import outfits as O
 from ..operators import ranking as R
-from ..sources.shared import kept
+from ..sources.shared import kept, spread
 from ..sources.tables import derived, sql_of
 from .styling import _LOOKS, SLOTS
 
@@ -37,18 +37,18 @@ def _texts(rows):
 
 
 def hard_rejections(spark, sf):
-    rows = _texts(derived(spark, sf, "outfits"))
+    rows = _texts(spread(derived(spark, sf, "outfits")))
     reasons = F.array_compact(F.array(*[F.when(F.expr(sql), F.lit(reason)) for sql, reason in L.rejections()]))
     return rows.select(*_KEYS, F.concat_ws(" ", reasons).alias("reasons"), F.size(reasons).cast("long").alias("n_reasons"))
 
 
 def rule_scores(spark, sf):
-    rows = _texts(derived(spark, sf, "outfits"))
+    rows = _texts(spread(derived(spark, sf, "outfits")))
     return rows.select(*_KEYS, *[F.expr(sql).alias(name) for name, sql in _SCORES.items()])
 
 
 def _evaluated(spark, sf):
-    rows = _texts(O.color_scores(derived(spark, sf, "outfits"), SLOTS))
+    rows = _texts(O.color_scores(spread(derived(spark, sf, "outfits")), SLOTS))
     rejected = F.lit(False)
     for sql, _ in L.rejections():
         rejected = rejected | F.coalesce(F.expr(sql), F.lit(False))

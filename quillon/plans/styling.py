@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import outfits as O
+from ..sources.shared import spread
 from ..sources.tables import COLORS, derived, sql_of
 
 SLOTS = ("top", "bottom", "shoes", "jacket")
@@ -47,7 +48,7 @@ def best_match_items(spark, sf):
 
 
 def preference_top5(spark, sf):
-    looks = derived(spark, sf, "outfits").withColumn("favorite", F.col("part_key") % 7 == 0)
+    looks = spread(derived(spark, sf, "outfits")).withColumn("favorite", F.col("part_key") % 7 == 0)
     return O.preferences(looks, "supp_key", {"color": list(SLOTS), "occasion": ["occasion"], "weather": ["weather"], "season": ["season"]})
 
 
@@ -69,7 +70,7 @@ def pair_color_matrix(spark, sf):
 
 
 def color_score_outfit(spark, sf):
-    return O.color_scores(derived(spark, sf, "outfits"), SLOTS).drop("top", "bottom", "shoes", "jacket", "occasion")
+    return O.color_scores(spread(derived(spark, sf, "outfits")), SLOTS).drop("top", "bottom", "shoes", "jacket", "occasion")
 
 
 def color_score_by_style(spark, sf):

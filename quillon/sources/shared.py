@@ -24,3 +24,10 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table that is one small file is dealt out before work that takes much
+    longer than reading it; a larger one, which has more splits than that, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
