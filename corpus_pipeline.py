@@ -36,7 +36,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("pack", pack)]
 
-#: SQL can't express the model, the signatures, the cuts or the fit: tests/llm compares the stages with plain versions.
+#: SQL can't express the model, the signatures, the cuts or the fit. tests/llm compares near_dedup and suffix_dedup with plain versions,
+#: the ids that pack takes with another library's, and holds language to a bound on rows that it hasn't seen.
 ORACLE_SQL = None
 
 
