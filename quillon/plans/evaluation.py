@@ -67,6 +67,20 @@ def outfit_evaluation_topk(spark, sf):
     return R.best(rows, "supp_key", "worth", 10).where("worth >= 0").select("supp_key", "rank", "order_key", "line_no", "part_key", "final_score")
 
 
+def match_scores(spark, sf):
+    """What is shown of a look: how its colours match, how it suits its style and the weather, and its score; 0 without a top or shoes.
+
+    The colours are judged as in a Minimal look of no weather, and no occasion counts."""
+    looks = spread(derived(spark, sf, "outfits")).withColumns({"shoes": F.when(F.col("order_key") % 13 != 0, F.col("shoes")), "occasion": F.lit(None).cast("string")})
+    none = F.lit(None).cast("string")
+    own = {c: f"own {c}" for c in ("style", "weather", "season")}
+    plain = O.color_scores(looks.withColumnsRenamed(own).withColumns({"style": F.lit("Minimal"), "weather": none, "season": none}), SLOTS)
+    rows = plain.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in looks.columns], F.col("color_score").alias("color_match"))
+    rows = _texts(O.color_scores(rows, SLOTS)).select("*", *[F.expr(sql).alias(name) for name, sql in _SCORES.items()]).withColumn("final_score", F.expr(_FINAL))
+    shown = lambda c: F.when(F.col("top").isNotNull() & F.col("shoes").isNotNull(), F.col(c)).otherwise(0)
+    return rows.select(*_KEYS, shown("color_match").alias("color_match"), shown("style_score").alias("style_match"), shown("weather_score").alias("weather_match"), shown("final_score").alias("total"))
+
+
 #: What accessories are called, so that there are watches and caps among them; both engines take this expression.
 ITEM_NAME = "CASE WHEN category = 'Accessories' AND id % 3 = 0 THEN 'Steel watch' WHEN category = 'Accessories' AND id % 3 = 1 THEN 'Wool cap' WHEN category = 'Tops' AND id % 4 = 0 THEN 'Shirt' WHEN category = 'Tops' AND id % 4 = 1 THEN 'T-Shirt' WHEN category = 'Pants' AND id % 2 = 0 THEN 'Formal pants' WHEN category = 'Pants' THEN 'Jeans' WHEN category = 'Shoes' AND id % 3 = 0 THEN 'Loafers' WHEN category = 'Shoes' THEN 'Sneakers' ELSE name END"
 _FILLED = ("bag", "cap", "watch", "accessory")
@@ -118,7 +132,7 @@ def outfit_rank_full(spark, sf):
     return rank_looks(R.dressed(R.unique_looks(owners), owners))
 
 
-QUERIES = {f.__name__: f for f in (accessory_fill, outfit_rank_full, hard_rejections, rule_scores, outfit_evaluation, outfit_evaluation_topk)}
+QUERIES = {f.__name__: f for f in (match_scores, accessory_fill, outfit_rank_full, hard_rejections, rule_scores, outfit_evaluation, outfit_evaluation_topk)}
 
 _TEXT_SQL = ", ".join(f"{sql} AS {name}" for name, sql in TEXTS.items())
 
@@ -183,8 +197,20 @@ _RULES = f"""{_LOOKS}, tx AS (SELECT l5.*, {_TEXT_SQL} FROM l5),
   ev AS (SELECT *, CAST(least(100, greatest(0, floor(color_score * 0.3e0 + style_score * 0.25e0 + occasion_score * 0.15e0 + weather_score * 0.1e0 + season_score * 0.1e0 + accessory_score * 0.05e0 + favorite_score * 0.05e0 + 0.5e0))) AS int) AS final_score FROM sc),
   ac AS (SELECT *, len(rs) = 0 AND final_score >= CASE style WHEN 'Minimal' THEN 78 WHEN 'Classic' THEN 82 WHEN 'Luxury' THEN 85 ELSE 72 END AS accepted FROM ev)"""
 _K = ", ".join(_KEYS)
+
+
+def _rules_of(**columns: str) -> str:
+    """The rules for looks whose columns are replaced."""
+    table = sql_of("outfits")
+    changed = ", ".join(f"{sql} AS {c}" for c, sql in columns.items())
+    return _RULES.replace(table, f"given0 AS (WITH {table} SELECT * FROM outfits), outfits AS (SELECT * REPLACE ({changed}) FROM given0)")
+
+
+_SHOES, _NONE = "CASE WHEN order_key % 13 <> 0 THEN shoes END", "CAST(NULL AS varchar)"
 _POOL = "CASE WHEN lower(trim(category)) IN ('bag', 'bags') THEN 'bag' WHEN regexp_matches(lower(category || ' ' || coalesce(nm, '')), 'handbag|backpack') THEN 'bag' WHEN regexp_matches(lower(category || ' ' || coalesce(nm, '')), 'cap|hat') THEN 'cap' WHEN contains(lower(coalesce(nm, '')), 'watch') THEN 'watch' ELSE 'other' END"
 ORACLES = {
+    "match_scores": f"""WITH c AS ({_rules_of(shoes=_SHOES, occasion=_NONE, style="'Minimal'", weather=_NONE, season=_NONE)} SELECT DISTINCT {_K}, color_score FROM sc), e AS ({_rules_of(shoes=_SHOES, occasion=_NONE)} SELECT * FROM ev)
+      SELECT {', '.join('e.' + k for k in _KEYS)}, {', '.join(f'CASE WHEN e.top IS NOT NULL AND e.shoes IS NOT NULL THEN {x} ELSE 0 END AS {n}' for x, n in (('c.color_score', 'color_match'), ('e.style_score', 'style_match'), ('e.weather_score', 'weather_match'), ('e.final_score', 'total')))} FROM e JOIN c USING ({_K})""",
     "accessory_fill": "WITH RECURSIVE " + sql_of("wardrobe") + f""", i AS (SELECT *, {ITEM_NAME} AS nm, CASE WHEN category = 'Tops' THEN 'T' WHEN category IN ('Pants', 'Shorts', 'Skirts') THEN 'B' WHEN category IN ('Shoes', 'Heels') THEN 'S' WHEN category = 'Jackets' THEN 'J' WHEN category = 'Dresses' THEN 'D' ELSE 'A' END AS role FROM wardrobe),
       a AS (SELECT *, {_POOL} AS slot FROM i WHERE role = 'A'), o AS (SELECT DISTINCT owner_id FROM i), jo AS (SELECT owner_id, CAST(NULL AS bigint) AS id FROM o UNION ALL SELECT owner_id, id FROM i WHERE role = 'J'), ao AS (SELECT owner_id, CAST(NULL AS bigint) AS id, 'other' AS slot FROM o UNION ALL SELECT owner_id, id, slot FROM a),
       c AS (SELECT t.owner_id, 0 AS part, t.id AS top, b.id AS bottom, s.id AS shoes, j.id AS jacket, x.id AS acc, x.slot FROM i t JOIN i b ON b.owner_id = t.owner_id AND b.role = 'B' JOIN i s ON s.owner_id = t.owner_id AND s.role = 'S' JOIN jo j ON j.owner_id = t.owner_id JOIN ao x ON x.owner_id = t.owner_id WHERE t.role = 'T'

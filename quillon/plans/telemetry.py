@@ -182,6 +182,9 @@ ORACLES = {
       CASE WHEN report_count < 1 THEN 'count_positive' END, CASE WHEN length(app_version) > 100 THEN 'app_version_length' END, CASE WHEN report_count > 3 THEN 'repeated_reporter' END]) AS rule FROM reports)
       SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1""",
     "issue_cdc_filter": f"{_REPORTS}, {_CHANGES} SELECT * FROM accepted",
+    "issue_rpc_json": f"""{_REPORTS}, sums AS (SELECT issue_key, count(*) AS n, sum(report_count) AS total FROM reports GROUP BY 1)
+      SELECT user_id, issue_key, CAST(json_object('success', TRUE, 'issue', json_object('issueKey', issue_key, 'title', title_en), 'report', json_object('issueKey', issue_key, 'reportCount', report_count, 'firstReportedAt', first_reported_ms, 'lastReportedAt', last_reported_ms),
+        'statistics', json_object('uniqueReporters', n, 'totalReports', CAST(total AS bigint))) AS varchar) AS response FROM reports JOIN sums USING (issue_key) JOIN options USING (issue_key)""",
     "issue_notices": f"""{_REPORTS}, {_STATS}, {_CHANGES} SELECT click_id, user_id, issue_key, CASE WHEN op = 'INSERT' THEN 'New issue report' ELSE 'Repeated issue report' END AS heading,
       CASE WHEN length(title_en) > 40 THEN substr(title_en, 1, 39) || '…' ELSE title_en END || ': ' || total_reports || ' by ' || unique_reporters AS body FROM accepted JOIN stats USING (issue_key)""",
     "queue_statistics": f"{_JOBS}, {_statistics()} SELECT * FROM stats",

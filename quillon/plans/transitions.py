@@ -123,9 +123,11 @@ def upsert_tokens(spark, sf):
 
 
 def seed_options(spark, sf):
-    """The list of issues put in again over one in which a title has changed and one is missing."""
-    old = issue_options(spark).where("display_order <> 3").withColumn("title_en", F.when(F.col("display_order") == 1, F.lit("old title")).otherwise(F.col("title_en")))
-    return M.upserted(old, issue_options(spark).withColumn("seq", F.lit(1)), ["issue_key"], ["seq"])
+    """The list of issues put in again over the keys that clicks have, each with its first reporter as its title: keys of the list get its
+    titles, those that nobody has reported are new, and others (here that of unknown clicks) stay as they are."""
+    clicks = derived(spark, sf, "issue_clicks")
+    old = clicks.groupBy(F.coalesce("issue_key", F.lit("other")).alias("issue_key")).agg(F.concat(F.lit("user "), F.min("user_id").cast("string")).alias("title_en"), F.lit(0).alias("display_order"), F.lit(False).alias("is_active"))
+    return M.upserted(old.where(F.col("issue_key") != ISSUES[1][0]), issue_options(spark).withColumn("seq", F.lit(1)), ["issue_key"], ["seq"])
 
 
 def active_options(spark, sf):
@@ -196,7 +198,8 @@ ORACLES = {
       SELECT * FROM items WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT id, owner_id, name, favorite, updated_ms, state FROM u""",
     "upsert_tokens": _CHANGES + " SELECT id, token, max(ms) AS ms FROM item_changes GROUP BY 1, 2",
     "active_options": "WITH " + sql_of("issue_clicks") + ", o(issue_key, display_order) AS (VALUES " + ", ".join(f"('{k}', {n})" for k, _, n in ISSUES if n != 4) + ") SELECT issue_key, display_order, (SELECT count(*) FROM issue_clicks c WHERE c.user_id = 1 AND c.issue_key = o.issue_key) AS own_reports FROM o",
-    "seed_options": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {o}, TRUE)" for k, t, o in ISSUES) + ") o(issue_key, title_en, display_order, is_active)",
+    "seed_options": "WITH " + sql_of("issue_clicks") + ", o(issue_key, title_en, display_order, is_active) AS (VALUES " + ", ".join(f"('{k}', '{t}', {o}, TRUE)" for k, t, o in ISSUES) + f""")
+      SELECT * FROM o UNION ALL SELECT coalesce(issue_key, 'other'), 'user ' || min(user_id), 0, FALSE FROM issue_clicks WHERE coalesce(issue_key, 'other') NOT IN (SELECT issue_key FROM o) GROUP BY 1""",
     "option_count_check": "WITH " + sql_of("issue_clicks") + " SELECT count(DISTINCT issue_key) AS n, count(DISTINCT issue_key) = 5 AS fine FROM issue_clicks",
     "normalized_by_sql": _CHANGES + " SELECT seq, nullif(substr(trim(name), 1, 8), '') AS name FROM item_changes",
 }
