@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.num import clamp, lerp, percent, sigmoid, smoothstep
+from ..operators import contexts
 from ..operators import scans as S
 from ..sources.tables import derived, given, sql_of
 
@@ -123,6 +124,17 @@ def coerced_values(spark, sf):
     )
 
 
+#: What may be stored for a user: whole, of other types, of another season, damaged, nothing, and with more in it.
+_STORED = """CASE event_id % 8 WHEN 0 THEN '{"temperature":21.5,"weather":"Sunny","season":"Spring"}' WHEN 1 THEN '{"temperature":"12","weather":"Sunny","season":"Spring"}' WHEN 2 THEN '{"temperature":9,"weather":"Wind","season":"Fall"}' WHEN 3 THEN '{"temperature":'
+  WHEN 5 THEN 'null' WHEN 6 THEN '{"temperature":9,"weather":5,"season":"Winter"}' WHEN 7 THEN '{"season":"Autumn","temperature":-3,"weather":"Fog","more":[1]}' END"""
+
+
+def weather_contexts(spark, sf):
+    """The weather that the reader of each stored document gets, and whether a default was put back."""
+    stored = given(spark, sf, "events").selectExpr("event_id", "ts", f"{_STORED} AS document")
+    return contexts.weather_contexts(stored, F.col("ts")).select("event_id", "temperature", "weather", "season", "put_back")
+
+
 def valid_times(spark, sf):
     """The text of a time without blanks where it is one, else null."""
     t = text.trimmed(F.col("t"))
@@ -194,7 +206,7 @@ def valid_jobs(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     issue_dedupe_rank, primary_issue, final_scores, scan_decisions, analytics_payload, candidate_argmax, candidate_best, results_in_order, mask_confidence, contour_confidence, number_helpers,
-    coerced_values, valid_times, required_texts, first_available, claims, batch_eta, stage_progress, duration_texts, valid_jobs,
+    coerced_values, weather_contexts, valid_times, required_texts, first_available, claims, batch_eta, stage_progress, duration_texts, valid_jobs,
 )}
 
 _I = "WITH " + sql_of("scan_issues")
@@ -211,6 +223,10 @@ _L = "l_orderkey, l_linenumber, l_partkey"
 _CL = "least(1.0e0, greatest(0.0e0, {0}))"
 _EV = "WITH v AS (SELECT event_id, " + _MESSY + " AS v, " + _STATES + " AS s, " + _VERSIONS + " AS version FROM events)"
 ORACLES = {
+    "weather_contexts": f"""WITH d AS (SELECT event_id, CASE WHEN month(ts) IN (12, 1, 2) THEN 'Winter' WHEN month(ts) <= 5 THEN 'Spring' WHEN month(ts) <= 8 THEN 'Summer' ELSE 'Autumn' END AS now, CASE WHEN json_valid({_STORED}) THEN {_STORED} END AS t FROM events),
+      h AS (SELECT *, coalesce(json_type(t, '$.temperature') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND json_type(t, '$.weather') = 'VARCHAR' AND json_extract_string(t, '$.season') IN ('Winter', 'Spring', 'Summer', 'Autumn'), FALSE) AS ok FROM d)
+      SELECT event_id, CASE WHEN ok THEN CAST(json_extract_string(t, '$.temperature') AS double) ELSE CASE now WHEN 'Winter' THEN 8 WHEN 'Spring' THEN 20 WHEN 'Summer' THEN 32 ELSE 16 END END AS temperature,
+        CASE WHEN ok THEN json_extract_string(t, '$.weather') ELSE CASE now WHEN 'Winter' THEN 'Cold' WHEN 'Spring' THEN 'Fresh' WHEN 'Summer' THEN 'Sunny' ELSE 'Cloudy' END END AS weather, CASE WHEN ok THEN json_extract_string(t, '$.season') ELSE now END AS season, NOT ok AS put_back FROM h""",
     "issue_dedupe_rank": f"{_I}{_KEPT} SELECT scan_id, stage, code_ix, severity, confidence, CAST(rank AS int) AS rank FROM k",
     "primary_issue": f"{_I}{_KEPT} SELECT scan_id, stage, code_ix, severity, confidence, issues FROM (SELECT *, count(*) OVER (PARTITION BY scan_id) AS issues FROM k) WHERE rank = 1",
     "final_scores": f"{_I}{_SCAN} SELECT scan_id, round(score, 6) AS score FROM f",
