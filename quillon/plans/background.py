@@ -40,7 +40,7 @@ _FADE = "1 - least(1, {0} / {1}) * least(1, {0} / {1}) * (3 - 2 * least(1, {0} /
 _SEEDS = f"""WITH RECURSIVE {SQL_TINTED},
 turned AS (SELECT *, least(x, y, 7 - x, 7 - y) AS edge, CASE WHEN x = 0 AND y = 0 THEN 0 WHEN x = 7 AND y = 0 THEN 1 WHEN x = 7 AND y = 7 THEN 2 WHEN x = 0 AND y = 7 THEN 3
   WHEN y = 0 AND x % 2 = 0 THEN 4 WHEN x = 6 AND y % 2 = 0 THEN 5 WHEN y = 6 AND x % 2 = 0 THEN 6 WHEN x = 0 AND y % 2 = 0 THEN 7 WHEN x % 2 = 0 AND y % 2 = 0 AND alpha <= 0.16 THEN 8 END AS turn FROM tinted),
-seeds AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY turn, y, x) AS place, CASE WHEN turn < 4 THEN 'corner' WHEN turn < 8 THEN 'border' ELSE 'low mask' END AS source, x, y, l, a, b, texture,
+seeds AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY turn, y, x) AS int) AS place, CASE WHEN turn < 4 THEN 'corner' WHEN turn < 8 THEN 'border' ELSE 'low mask' END AS source, x, y, l, a, b, texture,
   round(0.30e0 * ({_FADE('alpha', '0.34e0')}) + 0.20e0 * ({_FADE('gradient', '0.24e0')}) + 0.14e0 * ({_FADE('texture', '0.22e0')}) + 0.10e0 * (1 - edge / 4.0e0) + 0.12e0
     + 0.14e0 * CASE WHEN turn < 4 THEN 1 WHEN turn < 8 THEN 0.92e0 ELSE 0.82e0 END, 9) AS confidence FROM turned WHERE turn IS NOT NULL AND alpha <= 0.34 AND gradient <= 0.24 AND texture <= 0.22)"""
 _SUMS = ("l", "a", "b", "ll", "aa", "bb", "texture", "x", "y")
