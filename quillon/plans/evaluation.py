@@ -94,7 +94,7 @@ def _owners(spark, sf, extra=None):
 def accessory_fill(spark, sf):
     """The accessories that each different look gets."""
     owners = _owners(spark, sf)
-    return R.dressed(R.unique_looks(owners), owners).select("owner_id", "ordinal", *[F.col(f"{s}.id").alias(s) for s in _FILLED])
+    return R.dressed(R.unique_looks(owners)).select("owner_id", "ordinal", *[F.col(f"{s}.id").alias(s) for s in _FILLED])
 
 
 def rank_looks(looks):
@@ -129,7 +129,7 @@ def of_item() -> dict:
 def outfit_rank_full(spark, sf):
     """The ten best looks of each wardrobe by the full evaluation."""
     owners = _owners(spark, sf, of_item())
-    return rank_looks(R.dressed(R.unique_looks(owners), owners))
+    return rank_looks(R.dressed(R.unique_looks(owners)))
 
 
 QUERIES = {f.__name__: f for f in (match_scores, accessory_fill, outfit_rank_full, hard_rejections, rule_scores, outfit_evaluation, outfit_evaluation_topk)}

@@ -79,3 +79,23 @@ def test_candidates_scan_once(spark, sf_dir):
 
     plan = ranking.outfit_candidates(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2 and "CartesianProduct" not in plan
+
+
+def test_looks_are_neither_joined_nor_sent_to_all(spark, sf_dir):
+    """Looks are far more than items, but look small to the planner: none of them is broadcast or joined to its owner's pieces."""
+    from quillon.plans import ranking
+
+    for query in (ranking.outfit_candidates, ranking.outfit_identity_distinct, ranking.outfit_rank_topk, ranking.outfit_rank_summary, evaluation.accessory_fill):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan, query.__name__
+    items = derived(spark, sf_dir, "wardrobe")
+    assert "Broadcast" not in R.wardrobes(items)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_looks_with_places_only_are_moved_to_their_owners(spark):
+    items = wardrobe(45, 1)
+    owners = R.wardrobes(spark.createDataFrame([tuple(i[c.split()[0]] for c in ITEMS.split(", ")) for i in items], ITEMS))
+    looks = R.unique_looks(owners)
+    plain = R.dressed(looks.drop(*R.ITS), owners)
+    assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, plain.collect())) == sorted(map(str, R.dressed(looks).collect()))
