@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..functions.num import half_up
 from ..sources.shared import kept
 from .boundary import mixed, unit
 
@@ -122,7 +123,8 @@ def regions_of(cells: DataFrame, models: DataFrame, seeds: DataFrame, least_dept
     found = _prototypes(sums.where(F.col("n") >= least_samples))
     found = found.withColumns({"reliable": F.round(F.col("n") / F.col("cells"), PLACES), "alpha": F.round("alpha", PLACES)})
     sure = unit(mixed(("confidence", 0.55), ("reliable", 0.25), ("alpha", 0.20), (unit(F.col("n") / ENOUGH), 0.10)))
-    return found.withColumn("confidence", F.round(sure, PLACES)).select("image_id", "region", "x", "y", "radius", "reliable", "alpha", F.struct(*_PROTOTYPE).alias("prototype"))
+    # its terms are short decimals, so that many sums end in a 5 behind PLACES: these are rounded as doubles, not by how they are written
+    return found.withColumn("confidence", half_up(sure * 10**PLACES) / 10**PLACES).select("image_id", "region", "x", "y", "radius", "reliable", "alpha", F.struct(*_PROTOTYPE).alias("prototype"))
 
 
 def _alike(p: dict[str, Column], q: dict[str, Column]) -> dict[str, Column]:
@@ -151,10 +153,11 @@ def similarities(cells: DataFrame, models: DataFrame, regions: DataFrame) -> Dat
 
     def seen(q: Column) -> Column:
         d = F.sqrt(((F.col("x") - q["x"]) * (F.col("x") - q["x"]) + (F.col("y") - q["y"]) * (F.col("y") - q["y"])).cast("double"))
+        d = F.round(d, PLACES)  # the same number that the nearest one is found by
         t = d / F.greatest(F.lit(1), q["radius"])
         near = F.exp(-t * t * 0.65)
         trust = F.greatest(F.lit(0.05), mixed((q["prototype"]["confidence"], 0.50), (q["reliable"], 0.30), (q["alpha"], 0.20)))
-        return F.struct(F.round(d, PLACES).alias("d"), (-q["prototype"]["confidence"]).alias("sure"), q["region"].alias("region"), F.when(near >= 0.001, near * trust).otherwise(0.0).alias("w"), _alike(p, _fields(q["prototype"]))["all"].alias("alike"))
+        return F.struct(d.alias("d"), (-q["prototype"]["confidence"]).alias("sure"), q["region"].alias("region"), F.when(near >= 0.001, near * trust).otherwise(0.0).alias("w"), _alike(p, _fields(q["prototype"]))["all"].alias("alike"))
 
     rows = rows.withColumn("seen", F.transform("regions", seen))
     total = lambda f: F.aggregate("seen", F.lit(0.0), lambda s, q: s + f(q))
