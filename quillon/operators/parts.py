@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.shared import kept
+from .strips import STRIP, Cells, over_strips
 
-#: Rows of an image that are one task's. A label is the row and the column of a cell: row * 2 ** COLUMN_BITS + column.
-STRIP, COLUMN_BITS = 256, 32
-
-
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last column of each run of True in a row, in reading order."""
-    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
-    wide[:, 1:-1] = mask
-    edge = np.diff(wide, axis=1)
-    row, first = np.nonzero(edge == 1)
-    return row, first, np.nonzero(edge == -1)[1] - 1
+#: A label is the row and the column of a cell: row * 2 ** COLUMN_BITS + column.
+COLUMN_BITS = 32
 
 
 def _joined(row: np.ndarray, first: np.ndarray, last: np.ndarray, height: int, diagonal: bool) -> list[int]:
@@ -43,21 +34,21 @@ def _joined(row: np.ndarray, first: np.ndarray, last: np.ndarray, height: int, d
     return [find(i) for i in range(len(root))]
 
 
-def _in_strip(value: bool, diagonal: bool):
-    def run(strip: pa.Table) -> pa.Table:
-        x, y = strip["x"].to_numpy().astype(np.int64), strip["y"].to_numpy().astype(np.int64)
-        low, left = y.min(), x.min()
-        mask = np.zeros((y.max() - low + 1, x.max() - left + 1), bool)
-        mask[y - low, x - left] = strip["mask"].to_numpy(zero_copy_only=False) == value
-        row, first, last = _runs(mask)
-        labels = np.full(mask.shape, -1, np.int64)
-        if len(row):
-            of = np.array(_joined(row, first, last, len(mask), diagonal), np.int64)
-            labels[mask] = np.repeat(((row + low) << COLUMN_BITS | (first + left))[of], last - first + 1)
-        own = labels[y - low, x - left]
-        return strip.append_column("label", pa.array(own, pa.int64(), mask=own < 0))
+def _in_strips(value: bool, diagonal: bool):
+    def look(at: Cells) -> dict[str, np.ndarray]:
+        labels = np.full(len(at.key), -1, np.int64)
+        of = np.flatnonzero(pc.fill_null(pc.equal(at.table["mask"], value), False).to_numpy())
+        if len(of):
+            places, i = np.unique(at.key[of], return_index=True)
+            row, x, y = at.row[of][i], at.x[of][i], at.y[of][i]
+            begins = np.r_[True, (row[1:] != row[:-1]) | (x[1:] != x[:-1] + 1)]
+            ends = np.r_[begins[1:], True]
+            first = np.array(_joined(row[begins] - row[0], x[begins], x[ends], int(row[-1] - row[0]) + 1, diagonal), np.int64)
+            own = (y[begins] << COLUMN_BITS | x[begins])[first][np.cumsum(begins) - 1]
+            labels[of] = own[np.searchsorted(places, at.key[of])]
+        return {"label": np.ma.masked_less(labels, 0)}
 
-    return run
+    return look
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -85,9 +76,7 @@ def with_labels(cells: DataFrame, value: bool = True, diagonal: bool = True, str
     A strip of an image is one task's, so an image of any height is spread; labels that meet where strips do are merged as a
     graph that has a node a label, not a cell. Rows of one place that come twice are one cell. An image without cells has no row.
     """
-    band = F.floor(F.col("y") / strip).cast("int")
-    schema = T.StructType([*cells.schema.fields, T.StructField("strip", T.IntegerType()), T.StructField("label", T.LongType())])
-    rows = kept(cells.withColumn("strip", band).groupBy("image_id", "strip").applyInArrow(_in_strip(value, diagonal), schema))
+    rows = kept(over_strips(cells, 0, _in_strips(value, diagonal), "label long", strip))
     labels = rows.where("label IS NOT NULL").select("image_id", "x", "y", "label")
     reach = F.explode(F.array(*[F.col("x") + d for d in ((-1, 0, 1) if diagonal else (0,))]))
     above = labels.where(F.col("y") % strip == strip - 1).select("image_id", reach.alias("x"), (F.col("y") + 1).alias("y"), F.col("label").alias("above"))
@@ -95,7 +84,7 @@ def with_labels(cells: DataFrame, value: bool = True, diagonal: bool = True, str
     node = lambda c: F.struct("image_id", F.col(c).alias("label"))
     edges = kept(below.join(above, ["image_id", "x", "y"]).select(node("above").alias("a"), node("below").alias("b")).distinct())
     if edges.isEmpty():
-        return rows.drop("strip")
+        return rows
     to = connected(edges).select(F.col("node.image_id").alias("image_id"), F.col("node.label").alias("label"), F.col("label.label").alias("to"))
     merged = rows.join(to, ["image_id", "label"], "left").withColumn("label", F.coalesce("to", "label"))
     return merged.select(*[F.col(f"`{c}`") for c in cells.columns], "label")
