@@ -55,9 +55,10 @@ def preference_top5(spark, sf):
 def color_normalize(spark, sf):
     rows = derived(spark, sf, "wardrobe")
     free = F.concat(F.when(F.col("id") % 3 == 0, "Dark ").when(F.col("id") % 3 == 1, "  off-").otherwise(""), F.col("color"))
-    color = C.normalize(F.col("free"))
-    rows = rows.select("id", free.alias("free")).withColumn("normalized", color)
-    return rows.select("id", "normalized", C.brightness(F.col("free"), F.col("normalized")).alias("brightness"), C.saturation(F.col("free"), F.col("normalized")).alias("saturation"))
+    rows = rows.select("id", free.alias("free"))
+    names = rows.select(F.col("free").alias("text")).distinct().withColumn("normalized", C.normalize(F.col("text")))  # each text once
+    names = names.select("text", "normalized", C.brightness(F.col("text"), F.col("normalized")).alias("brightness"), C.saturation(F.col("text"), F.col("normalized")).alias("saturation"))
+    return rows.join(names, F.col("free").eqNullSafe(F.col("text")), "left").select("id", "normalized", "brightness", "saturation")
 
 
 def pair_color_matrix(spark, sf):
