@@ -2,7 +2,8 @@
 
 The rules are tables; each becomes one SQL expression over the columns of a look: top_t, bottom_t, shoes_t, jacket_t and
 accessory_t (what is written about an item, in lower case, null without one), top, bottom, shoes, jacket and accessory (colours),
-is_dress (the top is a dress, so no bottom is missing), style, occasion, weather and season.
+is_dress (the top is a dress, so no bottom is missing), style, occasion, weather and season. What all rules share is worked out
+once a look, as few numbers (see prepared()): which kinds of items its texts name, and how often it has each colour.
 """
 
 from __future__ import annotations
@@ -137,38 +138,61 @@ def _names(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def kinds() -> dict[str, str]:
-    """A column for each kind of item in each slot: is_slot_kind. They are worked out once a row; the rules use them."""
-    out = {}
-    for slot in SLOTS:
-        for kind, words in WORDS.items():
-            out[f"is_{slot}_{kind}"] = "(" + " OR ".join(f"contains(coalesce({slot}_t, ''), '{w}')" for w in words) + ")"
-    return out
+#: All colours that a rule names. How often a look has each is four bits of one number, so a remainder by 15 is how often it has any of some.
+NAMED = tuple(dict.fromkeys((*FAMILIES, *NEUTRAL, *LIGHT, *(c for x in RISKY for c in x), *(c for of in (*STYLES.values(), *OCCASIONS.values(), *WEATHERS.values(), *SEASONS.values()) for names in of[:2] for c in names if isinstance(c, str)))))
+if len(NAMED) > 15:
+    raise ValueError("four bits for each of more than 15 colours don't fit one number")
+BITS = {kind: 1 << k for k, kind in enumerate(WORDS)}
 
 
-def kind_bits(text: str) -> str:
-    """SQL of a number that has a bit for each kind that a text, in lower case, names."""
+def kind_bits(text: str, kinds=tuple(WORDS)) -> str:
+    """SQL of a number that has a bit for each of the kinds that a text, in lower case, names."""
     has = lambda words: " OR ".join(f"contains({text}, '{w}')" for w in words)
-    return "(" + " + ".join(f"CASE WHEN {has(words)} THEN {1 << k} ELSE 0 END" for k, words in enumerate(WORDS.values())) + ")"
+    return "(" + " + ".join(f"CASE WHEN {has(WORDS[kind])} THEN {BITS[kind]} ELSE 0 END" for kind in kinds) + ")"
+
+
+def _asked() -> dict[str, tuple[str, ...]]:
+    """The kinds that the rules ask for in each slot."""
+    asked = {f"accessory:{k}" for k in ("watch", "bag", "cap")} | {"jacket:coat", "jacket:sport", "shoes:sneakers", "shoes:sport"}
+    rules = [*STYLE_POINTS.values(), *(of[-1] for of in (*OCCASIONS.values(), *WEATHERS.values(), *SEASONS.values()))]
+    for what in [*(w for of in rules for rule in of for w in rule[::2]), *(what for _, _, what, _ in REJECTIONS)]:
+        asked |= {w for w in what if ":" in w} if isinstance(what, tuple) else set()
+    asked |= {"top:tshirt", "top:anyshirt"}  # what a shirt is
+    return {slot: tuple(k for k in WORDS if f"{slot}:{k}" in asked) for slot in SLOTS}
+
+
+def kinds() -> dict[str, str]:
+    """A column for each slot, slot_kinds: a number with a bit for each kind of item that a rule asks for there (see BITS)."""
+    return {f"{slot}_kinds": kind_bits(f"coalesce({slot}_t, '')", of) for slot, of in _asked().items()}
+
+
+def prepared(slots=SLOTS) -> dict[str, str]:
+    """The columns that the scores share: how often a look has each of NAMED, how many colours it has, how many different ones, and how
+    its top goes with its bottom."""
+    sums = lambda of: " + ".join(of)
+    bits = "array(" + ", ".join(f"{n}L" for n in (0, *(1 << 4 * i for i in range(len(NAMED))))) + ")"
+    return {
+        "named_colors": sums(f"get({bits}, CAST(coalesce(array_position(array{_names(NAMED)}, {s}), 0) AS int))" for s in slots),
+        "worn_colors": sums(f"CASE WHEN {s} IS NULL THEN 0 ELSE 1 END" for s in slots), "different_colors": different_colors(slots), "pair_score": pair_score("top", "bottom"),
+    }
 
 
-def kinds_of_bits() -> dict[str, str]:
-    """The columns of kinds(), from the numbers slot_kinds."""
-    return {f"is_{slot}_{kind}": f"(({slot}_kinds & {1 << k}) <> 0)" for slot in SLOTS for k, kind in enumerate(WORDS)}
+def _has(slot: str, *names: str) -> str:
+    return f"(({slot}_kinds & {sum(BITS[k] for k in names)}) <> 0)"
 
 
 def _kind(slot: str, kind: str) -> str:
-    return f"(is_{slot}_anyshirt AND NOT is_{slot}_tshirt)" if kind == "shirt" else f"is_{slot}_{kind}"
+    return f"({slot}_kinds & {BITS['anyshirt'] + BITS['tshirt']}) = {BITS['anyshirt']}" if kind == "shirt" else _has(slot, kind)
 
 
-def _holds(what: str | tuple[str, ...], slots=SLOTS) -> str:
+def _holds(what: str | tuple[str, ...]) -> str:
     """SQL of a condition of the tables."""
     if what == "always":
         return "TRUE"
     if what == "all neutral":
-        return "(" + " AND ".join(f"({s} IS NULL OR {s} IN {_names(NEUTRAL)})" for s in slots) + ")"
+        return f"({_count(NEUTRAL)} = worn_colors)"
     if what[0] == "any":
-        return "(" + " OR ".join(f"coalesce({s} IN {_names(what[1:])}, FALSE)" for s in slots) + ")"
+        return f"({_count(what[1:])} > 0)"
     if isinstance(what, tuple):
         return "(" + " OR ".join(_kind(*w.split(":")) for w in what) + ")"
     special = {
@@ -179,16 +203,17 @@ def _holds(what: str | tuple[str, ...], slots=SLOTS) -> str:
     return special[what]
 
 
-def _points(rules, slots=SLOTS) -> str:
+def _points(rules) -> str:
     out = []
     for rule in rules:
         pairs = list(zip(rule[::2], rule[1::2], strict=True))
-        out.append("CASE " + " ".join(f"WHEN {_holds(w, slots)} THEN {n}" for w, n in pairs) + " ELSE 0 END")
+        out.append("CASE " + " ".join(f"WHEN {_holds(w)} THEN {n}" for w, n in pairs) + " ELSE 0 END")
     return "(" + " + ".join(out or ["0"]) + ")"
 
 
-def _count(names: tuple[str, ...], slots=SLOTS) -> str:
-    return "(" + " + ".join(f"CASE WHEN {s} IN {_names(names)} THEN 1 ELSE 0 END" for s in slots) + ")" if names else "0"
+def _count(names: tuple[str, ...]) -> str:
+    """How many of a look's colours are among the names: the sum of their four bits."""
+    return f"CAST((named_colors & {sum(15 << 4 * NAMED.index(n) for n in names)}L) % 15 AS int)" if names else "0"
 
 
 def different_colors(slots=SLOTS) -> str:
@@ -212,22 +237,21 @@ def _whole(x: str) -> str:
     return f"CAST(least(100, greatest(0, floor({x} + 0.5e0))) AS int)"
 
 
-def style_score(slots=SLOTS) -> str:
+def style_score() -> str:
     out = "CASE style"
     for name, (good, bad, most, _, jacket, accessory, few, wrong, many) in STYLES.items():
-        total = f"60 + {_count(good, slots)} * 5 - {_count(bad, slots)} * {wrong} + CASE WHEN {different_colors(slots)} <= {most} THEN {few} ELSE -{many} END + CASE WHEN jacket_t IS NOT NULL THEN {jacket} ELSE 0 END + CASE WHEN accessory_t IS NOT NULL THEN {accessory} ELSE 0 END"
-        pair = f"({pair_score('top', 'bottom')} - 70) * 0.25e0"
-        out += f" WHEN '{name}' THEN {_whole(f'{total} + {_points(STYLE_POINTS[name], slots)} + {pair}')}"
+        total = f"60 + {_count(good)} * 5 - {_count(bad)} * {wrong} + CASE WHEN different_colors <= {most} THEN {few} ELSE -{many} END + CASE WHEN jacket_t IS NOT NULL THEN {jacket} ELSE 0 END + CASE WHEN accessory_t IS NOT NULL THEN {accessory} ELSE 0 END"
+        out += f" WHEN '{name}' THEN {_whole(f'{total} + {_points(STYLE_POINTS[name])} + (pair_score - 70) * 0.25e0')}"
     return out + " END"
 
 
-def occasion_score(slots=SLOTS) -> str:
-    return "CASE " + " ".join(f"WHEN occasion = '{n}' THEN {_whole(f'65 + {_count(good, slots)} * 5 + {_points(rules, slots)}')}" for n, (good, rules) in OCCASIONS.items()) + " ELSE 75 END"
+def occasion_score() -> str:
+    return "CASE " + " ".join(f"WHEN occasion = '{n}' THEN {_whole(f'65 + {_count(good)} * 5 + {_points(rules)}')}" for n, (good, rules) in OCCASIONS.items()) + " ELSE 75 END"
 
 
-def weather_score(column: str = "weather", slots=SLOTS) -> str:
+def weather_score(column: str = "weather") -> str:
     of = WEATHERS if column == "weather" else SEASONS
-    return "CASE " + " ".join(f"WHEN {column} = '{n}' THEN {_whole(f'65 + {_count(good, slots)} * 5 - {_count(bad, slots)} * 10 + {_points(rules, slots)}')}" for n, (good, bad, rules) in of.items()) + " ELSE 75 END"
+    return "CASE " + " ".join(f"WHEN {column} = '{n}' THEN {_whole(f'65 + {_count(good)} * 5 - {_count(bad)} * 10 + {_points(rules)}')}" for n, (good, bad, rules) in of.items()) + " ELSE 75 END"
 
 
 def accessory_score() -> str:

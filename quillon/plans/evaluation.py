@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import look_rules as L
+from ..functions.num import compiled_apart
 from ..operators import outfits as O
 from ..operators import ranking as R
 from ..sources.shared import kept, spread
@@ -33,7 +34,18 @@ _KEYS = ("order_key", "line_no", "part_key", "supp_key")
 def _texts(rows):
     for name, sql in TEXTS.items():
         rows = rows.withColumn(name, F.expr(sql))
-    return rows.select("*", *[F.expr(sql).alias(name) for name, sql in L.kinds().items()])
+    return _with(rows, L.kinds())
+
+
+def _with(rows, columns):
+    """rows with columns by their SQL, which is too much of it for one function (see compiled_apart)."""
+    first, *others = rows.columns
+    return rows.select(compiled_apart(F.col(first)).alias(first), *others, *[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+def _scored(rows):
+    """The scores of _SCORES, of looks with kinds."""
+    return _with(_with(rows, L.prepared()), _SCORES)
 
 
 def hard_rejections(spark, sf):
@@ -43,8 +55,7 @@ def hard_rejections(spark, sf):
 
 
 def rule_scores(spark, sf):
-    rows = _texts(spread(derived(spark, sf, "outfits")))
-    return rows.select(*_KEYS, *[F.expr(sql).alias(name) for name, sql in _SCORES.items()])
+    return _scored(_texts(spread(derived(spark, sf, "outfits")))).select(*_KEYS, *_SCORES)
 
 
 def _evaluated(spark, sf):
@@ -52,7 +63,7 @@ def _evaluated(spark, sf):
     rejected = F.lit(False)
     for sql, _ in L.rejections():
         rejected = rejected | F.coalesce(F.expr(sql), F.lit(False))
-    rows = rows.select("*", *[F.expr(sql).alias(name) for name, sql in _SCORES.items()]).withColumn("final_score", F.expr(_FINAL))
+    rows = _scored(rows).withColumn("final_score", F.expr(_FINAL))
     return rows.withColumn("accepted", ~rejected & (F.col("final_score") >= F.expr(L.least_score())))
 
 
@@ -77,7 +88,7 @@ def match_scores(spark, sf):
     own = {c: f"own {c}" for c in ("style", "weather", "season")}
     plain = O.color_scores(looks.withColumnsRenamed(own).withColumns({"style": F.lit("Minimal"), "weather": none, "season": none}), SLOTS)
     rows = plain.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in looks.columns], F.col("color_score").alias("color_match"))
-    rows = _texts(O.color_scores(rows, SLOTS)).select("*", *[F.expr(sql).alias(name) for name, sql in _SCORES.items()]).withColumn("final_score", F.expr(_FINAL))
+    rows = _scored(_texts(O.color_scores(rows, SLOTS))).withColumn("final_score", F.expr(_FINAL))
     shown = lambda c: F.when(F.col("top").isNotNull() & F.col("shoes").isNotNull(), F.col(c)).otherwise(0)
     return rows.select(*_KEYS, shown("color_match").alias("color_match"), shown("style_score").alias("style_match"), shown("weather_score").alias("weather_match"), shown("final_score").alias("total"))
 
@@ -111,12 +122,12 @@ def rank_looks(looks):
         *[F.when(there[s], F.lit("")).alias(f"{s}_t") for s in L.SLOTS], *[F.coalesce(b, F.lit(0)).alias(f"{s}_kinds") for s, b in bits.items()], "is_dress", F.when(count(_FILLED) > 3, 10).otherwise(0).alias("crowded"), F.floor(favorites + 0.5).cast("int").alias("favorite_score"),
         F.lit("Minimal").alias("style"), F.lit("Work").alias("occasion"), F.lit("Mild").alias("weather"), F.lit("Spring").alias("season"),
     )
-    rows = O.color_scores(flat, R.WORN).select("*", *[F.expr(sql).alias(name) for name, sql in L.kinds_of_bits().items()])
+    rows = _with(O.color_scores(flat, R.WORN), L.prepared(R.WORN))
     rejected = F.lit(False)
     for sql, _ in L.rejections():
         rejected = rejected | F.coalesce(F.expr(sql), F.lit(False))
-    scores = {"style_score": L.style_score(R.WORN), "occasion_score": L.occasion_score(R.WORN), "weather_score": L.weather_score("weather", R.WORN), "season_score": L.weather_score("season", R.WORN), "accessory_score": f"greatest(0, {L.accessory_score()} - crowded)"}
-    rows = rows.select("*", *[F.expr(sql).alias(name) for name, sql in scores.items()]).withColumn("final_score", F.expr(_FINAL))
+    scores = {"style_score": L.style_score(), "occasion_score": L.occasion_score(), "weather_score": L.weather_score(), "season_score": L.weather_score("season"), "accessory_score": f"greatest(0, {L.accessory_score()} - crowded)"}
+    rows = _with(rows, scores).withColumn("final_score", F.expr(_FINAL))
     rows = rows.withColumn("worth", F.when(~rejected & (F.col("final_score") >= F.expr(L.least_score())), F.col("final_score")).otherwise(-1))
     return R.best(rows, "owner_id", "worth", 10).where("worth >= 0").select("owner_id", "rank", "identity", "color_score", "style_score", "final_score")
 
