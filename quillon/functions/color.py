@@ -154,14 +154,10 @@ def pair_score(a: Column, a_bright: Column, b: Column, b_bright: Column) -> Colu
 
 
 def weighted(scores: list[tuple[Column, Column, int]]) -> Column:
-    """The mean of (there, score, weight) over those that are there, whole; 55 without any.
-
-    A fold over an array isn't part of generated whole stages; what is worked out beside it is then compiled in small functions,
-    which the virtual machine translates, where one large function of all rules would be interpreted.
-    """
-    rows = F.array(*[F.struct(F.when(there, s * w).otherwise(0).cast("long").alias("s"), F.when(there, w).otherwise(0).cast("long").alias("w")) for there, s, w in scores])
-    sums = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("w")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["w"] + x["w"]).alias("w")))
-    return F.when(sums["w"] <= 0, F.lit(55)).otherwise(score(sums["s"] / sums["w"]))
+    """The mean of (there, score, weight) over those that are there, whole; 55 without any."""
+    total = sum((F.when(there, s * w).otherwise(0) for there, s, w in scores), F.lit(0))
+    weights = sum((F.when(there, w).otherwise(0) for there, _, w in scores), F.lit(0))
+    return F.when(weights <= 0, F.lit(55)).otherwise(score(total / weights))
 
 
 #: What is compared in a look without a dress, with its weight; what a repeated colour adds.

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color as C
-from ..functions.num import half_up, score
+from ..functions.num import compiled_apart, half_up, score
 
 SLOTS = ("top", "bottom", "shoes", "jacket", "bag", "cap", "watch", "accessory")
 
@@ -67,8 +67,9 @@ def color_scores(outfits: DataFrame, slots: tuple[str, ...]) -> DataFrame:
     spread = score(spread + F.when(different.between(2, 3), 8).otherwise(0) - F.when(different >= 5, 28).otherwise(0))
     white = bits.bitwiseAND(1 << C.COLORS.index("White")) != 0
     pairs = [(of(f"{a} {b} points").isNotNull(), of(f"{a} {b} points"), w) for a, b, w in used]
+    first, *others = outfits.columns
     rows = rows.select(
-        *outfits.columns, C.weighted(pairs).cast("int").alias("pair_harmony"), C.color_count_score(different, style).alias("color_count"), C.light_dark_score(of("light ones"), of("medium ones"), of("dark ones"), style).alias("light_dark"),
+        compiled_apart(F.col(f"`{first}`")).alias(first), *[F.col(f"`{c}`") for c in others], C.weighted(pairs).cast("int").alias("pair_harmony"), C.color_count_score(different, style).alias("color_count"), C.light_dark_score(of("light ones"), of("medium ones"), of("dark ones"), style).alias("light_dark"),
         C.neutral_score(of("known"), of("neutral"), of("strong")).alias("neutral"), spread.alias("distribution"), C.context_score(of, white, F.col("style"), F.col("weather"), F.col("season")).cast("int").alias("context"),
     )
     final = F.col("pair_harmony") * 0.45 + F.col("color_count") * 0.15 + F.col("light_dark") * 0.15 + F.col("neutral") * 0.1 + F.col("distribution") * 0.1 + F.col("context") * 0.05

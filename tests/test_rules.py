@@ -36,3 +36,10 @@ def test_colors_of_a_look(spark):
     df = df.select(*[F.expr(sql).alias(name) for name, sql in L.prepared(slots).items()])
     got = df.select("worn_colors", "different_colors", "pair_score", *[F.expr(L._count(names)) for names in (("Red",), ("Light Blue", "Navy"), L.NAMED)]).collect()
     assert [tuple(r) for r in got] == [(8, 1, 88, 8, 0, 8), (0, 0, 88, 0, 0, 0), (7, 6, 45, 0, 3, 5)]
+
+
+@pytest.mark.parametrize("name", ["outfit_evaluation", "outfit_evaluation_topk"])
+def test_scores_of_colors_are_compiled(spark, sf_dir, name):
+    """No score is a fold, which is gone through piece by piece for every look."""
+    plan = evaluation.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "transform(" in plan
