@@ -118,17 +118,17 @@ def rank_looks(looks):
     bits = {s: F.col(f"{s}.kinds") for s in L.SLOTS[:4]} | {"accessory": functools.reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(F.col(f"{s}.kinds"), F.lit(0)) for s in _FILLED])}
     there = {s: worn(s) for s in L.SLOTS[:4]} | {"accessory": count(_FILLED) > 0}
     flat = looks.select(
-        "owner_id", "ordinal", F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in R.WORN]).alias("identity"), *[F.col(f"{s}.color").alias(s) for s in R.WORN], *[F.col(f"{s}.code").alias(f"{s}_code") for s in R.WORN],
+        compiled_apart(F.col("owner_id")).alias("owner_id"), "ordinal", F.concat_ws("|", *[F.coalesce(F.col(f"{s}.id").cast("string"), F.lit("none")) for s in R.WORN]).alias("identity"), *[F.col(f"{s}.color").alias(s) for s in R.WORN], *[F.col(f"{s}.code").alias(f"{s}_code") for s in R.WORN],
         *[F.when(there[s], F.lit("")).alias(f"{s}_t") for s in L.SLOTS], *[F.coalesce(b, F.lit(0)).alias(f"{s}_kinds") for s, b in bits.items()], "is_dress", F.when(count(_FILLED) > 3, 10).otherwise(0).alias("crowded"), F.floor(favorites + 0.5).cast("int").alias("favorite_score"),
         F.lit("Minimal").alias("style"), F.lit("Work").alias("occasion"), F.lit("Mild").alias("weather"), F.lit("Spring").alias("season"),
     )
-    rows = _with(O.color_scores(flat, R.WORN), L.prepared(R.WORN))
     rejected = F.lit(False)
     for sql, _ in L.rejections():
         rejected = rejected | F.coalesce(F.expr(sql), F.lit(False))
+    rows = _with(O.color_scores(flat.where(~rejected), R.WORN), L.prepared(R.WORN))  # what rejects a look are a few bits; its scores take longer
     scores = {"style_score": L.style_score(), "occasion_score": L.occasion_score(), "weather_score": L.weather_score(), "season_score": L.weather_score("season"), "accessory_score": f"greatest(0, {L.accessory_score()} - crowded)"}
     rows = _with(rows, scores).withColumn("final_score", F.expr(_FINAL))
-    rows = rows.withColumn("worth", F.when(~rejected & (F.col("final_score") >= F.expr(L.least_score())), F.col("final_score")).otherwise(-1))
+    rows = rows.withColumn("worth", F.when(F.col("final_score") >= F.expr(L.least_score()), F.col("final_score")).otherwise(-1))
     return R.best(rows, "owner_id", "worth", 10).where("worth >= 0").select("owner_id", "rank", "identity", "color_score", "style_score", "final_score")
 
 

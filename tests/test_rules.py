@@ -23,7 +23,7 @@ def largest_function(query, spark, sf_dir, capsys):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-@pytest.mark.parametrize("name", ["rule_scores", "hard_rejections"])
+@pytest.mark.parametrize("name", ["rule_scores", "hard_rejections", "outfit_rank_full"])
 def test_rules_are_short_enough_to_be_compiled(spark, sf_dir, capsys, name):
     assert largest_function(evaluation.QUERIES[name], spark, sf_dir, capsys) < MOST_BYTES
 
