@@ -99,12 +99,18 @@ def textures(cells: DataFrame, radius: int = 1) -> DataFrame:
     return rows.withColumn("texture", F.least(F.lit(1.0), F.sqrt(variance) * 4)).select(*cells.columns, "texture")
 
 
-def robust_colors(pixels: DataFrame) -> DataFrame:
+#: Values that a task ranks, about.
+AT_ONCE = 2_000_000
+
+
+def robust_colors(pixels: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """image_id and r, g, b between the median and the mean without the ends, for each channel by itself.
 
-    Each channel is ranked within its image, so what is trimmed is known without gathering an image's pixels in one place.
+    Each channel is ranked within its image, so what is trimmed is known without gathering an image's pixels in one place. Parts are as
+    many as the values need, so what a task sorts doesn't grow with the table.
     """
-    long = pixels.select("image_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("p")).select("image_id", "p.*")
+    width = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * pixels.count() // at_once))
+    long = pixels.select("image_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in "rgb"])).alias("p")).select("image_id", "p.*").repartition(width, "image_id", "c")
     every = W.partitionBy("image_id", "c")
     rows = long.withColumns({"n": F.count("*").over(every), "at": F.row_number().over(every.orderBy("v"))})
     cut = F.when(F.col("n") < LEAST_TO_TRIM, 0).otherwise(F.floor(F.col("n") * TRIM))

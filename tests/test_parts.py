@@ -72,3 +72,12 @@ def test_distances(spark, most):
         want = {(x, y): min(most, far.get((x, y), math.inf)) for y in range(h) for x in range(w)}
         got = {(r.x, r.y): r.distance for r in boundary.distances(frame(spark, [seeds], "seed"), "seed", most).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_robust_colors_take_as_many_parts_as_the_values_need(spark):
+    from quillon.operators import masks
+
+    pixels = spark.range(3000).selectExpr("id % 50 AS image_id", "id * 7 % 256 AS r", "id * 11 % 256 AS g", "id * 13 % 256 AS b")
+    few, many = masks.robust_colors(pixels), masks.robust_colors(pixels, at_once=300)
+    assert many.rdd.getNumPartitions() >= few.rdd.getNumPartitions() and "30)" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
