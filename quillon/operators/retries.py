@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +14,7 @@ from . import transitions as T
 BEGUN = 0.01
 WAITS, STARTS = "retry-scheduled", "preparing"
 COLUMNS = f"job_id long, {T.STATE}, fired long, last_fired_ms long"
+_ROW = Row(*[c.split()[0] for c in COLUMNS.split(", ")])
 
 
 def _started(s: Column, now: Column) -> Column:
@@ -62,24 +62,22 @@ class Retries(StatefulProcessor):
         self.fired.appendValue((retry,))
         return (STARTS, attempt + 1, max(BEGUN, progress), None, changes + 1)
 
-    def _kept(self, key: tuple, now: tuple) -> Iterator[pd.DataFrame]:
+    def _kept(self, key: tuple, now: tuple) -> Iterator[Row]:
         self.job.update(now)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if now[0] == WAITS:
             self.handle.registerTimer(int(now[3]))
         times = [ms for (ms,) in self.fired.get()]
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        row = pd.DataFrame([(key[0], *now, len(times), max(times, default=None))], columns=names)
-        yield row.astype({"next_retry_ms": "Int64", "last_fired_ms": "Int64"})
+        yield _ROW(key[0], *now, len(times), max(times, default=None))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = self._now()
-        for e in pd.concat(rows).sort_values(["ms", "seq"]).itertuples():
+        for e in sorted(rows, key=lambda e: (e.ms, e.seq)):
             now = T._after(self._started(now, e.ms), e)
         return self._kept(key, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return self._kept(key, self._started(self._now(), expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
@@ -90,4 +88,4 @@ def streamed(events: DataFrame) -> DataFrame:
     """The states of the jobs that events or due retries have changed. Time is that of the events: a retry is due when an event of any
     job has come that is as late, and rows that come after that with an earlier time are too late."""
     timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", "0 seconds")
-    return timed.groupBy("job_id").transformWithStateInPandas(Retries(), COLUMNS, "Update", "eventTime")
+    return timed.groupBy("job_id").transformWithState(Retries(), COLUMNS, "Update", "eventTime")

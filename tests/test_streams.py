@@ -69,3 +69,25 @@ def test_notices_are_told_with_the_sums_of_their_time(spark, tmp_path):
         source = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         got = upserts.issue_notices(source, issue_options(spark), str(tmp_path / "out"))
         assert sorted(map(tuple, got.collect())) == sorted(want), f"after {i + 20} clicks, each time after a restart"
+
+
+def test_a_job_is_kept_as_rows():
+    """The processor takes and gives rows, in the order of time: no table is made for each job."""
+    from pyspark.sql import Row
+
+    class Value:
+        now, times = None, ()
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now if self.now is not None else iter(self.times)
+        update = lambda self, now: setattr(self, "now", now)
+
+    class Handle:
+        getValueState = getListState = lambda self, *a: Value()
+        listTimers = lambda self: iter(())
+        registerTimer = deleteTimer = lambda self, ms: None
+
+    job = retries.Retries()
+    job.init(Handle())
+    e = Row("job_id", "seq", "ms", "kind", "progress", "retryable", "attempt", "reset")
+    rows = iter([e(1, 1, 2000, "failed", 0.0, True, 1, False), e(1, 0, 1000, "added", 0.0, True, 0, False)])
+    assert [tuple(r) for r in job.handleInputRows((1,), rows, None)] == [(1, "retry-scheduled", 1, 0.0, 3500, 2, 0, None)]
